@@ -1,10 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from chiffra.llm import quality, sharding, urls
+from chiffra.llm import decontam, fixity, licenses, mixing, neardup, quality, sharding, tokencount, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_fixity_audit": fixity.op4_fixity_audit,
+    "op5_token_counts": tokencount.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_near_dedup": neardup.op7_near_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLE_SQL = {**urls.SQL}
+ORACLE_SQL = {**licenses.SQL, **urls.SQL}
