@@ -30,6 +30,8 @@ SLOTS, PER_BAND = 256, 4
 BANDS = SLOTS // PER_BAND
 SMALL = 4
 ROUNDS = 5
+#: Words of 64 bits in the bitmap of candidates: 8 MB, whatever the input.
+FILTER_WORDS = 1 << 20
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -93,13 +95,35 @@ def _sign(batches):
             )
 
 
-def _sets(batches):
-    for batch in batches:
-        ids, col = batch.column(0), batch.column(1)
-        for lo, hi, data, offs in strings(col):
-            sets = shingle_sets(Words(data, offs, lower=True))
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists(flat.view(np.int64), [len(s) for s in sets])], ["rep", "shingles"])
+def _sets(bits: np.ndarray):
+    """The sorted sets of the rows (doc_id, its hash, text) whose hash is marked."""
+
+    def make(batches):
+        for batch in batches:
+            h = batch.column(1).to_numpy().view(np.uint64) & np.uint64(64 * len(bits) - 1)
+            marked = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(marked.astype(bool)))
+            for lo, hi, data, offs in strings(batch.column(2)):
+                sets = shingle_sets(Words(data, offs, lower=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["rep", "shingles"])
+
+    return make
+
+
+def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, shingles) of at least the documents in ``ids`` (rep). A bitmap of fixed size (``FILTER_WORDS`` words) tells
+    which texts to cut, so that no text is shuffled; where it is too full for that it only lets more texts through."""
+    h = F.xxhash64("rep").bitwiseAND(64 * FILTER_WORDS - 1)
+    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make(batches):
+        yield from _sets(sent.value)(batches)
+
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(make, "rep long, shingles array<long>")
+    return rows.where(F.size("shingles") > 0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,16 +148,11 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "rep long, shingles array<long>").where(F.size("shingles") > 0), "shingles")
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    good = stored(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "links")
-    dropped(sets)
-    return good
+    return stored(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -148,6 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(rows.join(shared, "bucket"), "buckets")
     weight = members.groupBy("rep").agg(F.sum("members").alias("weight"))
     members = stored(members.join(weight, "rep"), "members")
+    sets = stored(candidate_sets(docs, weight.select("rep")), "shingles")
 
     small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("r"))
     small = small.select("r", F.explode("r").alias("a")).select("a", F.explode("r").alias("b")).where("a < b")
@@ -155,7 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = large.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", "rep")).alias("centre"))
     star = large.join(centres, "bucket").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     tried = stored(small.unionByName(star).distinct(), "pairs")
-    links = _confirmed(tried, docs)
+    links = _confirmed(tried, sets)
     comp = stored(components(links), "components")
     for k in range(1, ROUNDS):
         # What is still open: large buckets with members in several components.
@@ -166,14 +186,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
-        found = _confirmed(more, docs)
+        found = _confirmed(more, sets)
         tried = tried.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
             comp = stored(components(links), "components")
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named, "named")
-    dropped(members)
+    dropped(members, sets)
     answers = join_groups(full.select("doc_id", "d1", "d2", "n_shingles"), named, ["d1", "d2", "n_shingles"], "copies", total).drop("copies")
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "d1", "d2", "n_shingles", F.col("doc_id").alias("component_id"))
     return answers.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
