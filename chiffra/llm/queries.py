@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from chiffra.llm import decontam, fixity, licenses, mixing, neardup, quality, sharding, tokencount, urls
+from chiffra.llm import decontam, fixity, licenses, lmscore, mixing, neardup, quality, sharding, tokencount, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_lm_scores": lmscore.op2_lm_scores,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_fixity_audit": fixity.op4_fixity_audit,
     "op5_token_counts": tokencount.op5_token_counts,
