@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from chiffra.plans import retrieval  # noqa: F401
+from chiffra.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
