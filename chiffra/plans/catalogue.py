@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from chiffra.plans import retrieval  # noqa: F401
+from chiffra.plans import figures, retrieval, texts  # noqa: F401
 from chiffra.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
