@@ -94,9 +94,9 @@ def audit(reference: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> Dat
 
 
 def replica_of(pages: DataFrame, spoiled: int = 97) -> DataFrame:
-    """A second copy of the archive with known faults, for drills: of records whose CRC of page_id leaves 0 by ``spoiled``
-    one byte of the body is changed, of those that leave 1 the body is cut short by a byte."""
-    mark = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(spoiled))
+    """A second copy of the archive with known faults, for drills: where the MD5 of page_id (its first 28 bits) leaves 0 by
+    ``spoiled`` the first character of the body is replaced, where it leaves 1 the last one is cut off."""
+    mark = F.coalesce(F.conv(F.substr(F.md5(F.col("page_id").cast("string").cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("long") % spoiled, F.lit(-1))
     body = F.coalesce(F.col("html"), F.lit(""))
     return pages.withColumn("html", F.when(mark == 0, F.concat(F.lit("~"), F.substr(body, F.lit(2)))).when((mark == 1) & (F.length(body) > 0), F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(F.col("html")))
 
@@ -126,4 +126,17 @@ def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "ordinal", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"), F.coalesce("actual", "digest").alias("replica_digest"))
 
 
-SQL = {}
+def _sql() -> str:
+    nl = "chr(13) || chr(10)"
+    rec = lambda body: f"'WARC/1.1' || {nl} || 'WARC-Type: resource' || {nl} || 'WARC-Target-URI: ' || coalesce(url, '') || {nl} || 'Content-Type: text/html' || {nl} || 'WARC-Block-Digest: sha256:' || sha256({body}) || {nl} || 'Content-Length: ' || strlen({body}) || {nl} || {nl} || {body} || {nl} || {nl}"
+    return f"""
+with p as (select page_id, url, coalesce(html, '') a, coalesce(('0x' || substr(md5(page_id::varchar), 1, 7))::bigint % 97, -1) mark from pages),
+q as (select *, case when mark = 0 then '~' || substr(a, 2) when mark = 1 and length(a) > 0 then substr(a, 1, length(a) - 1) else a end b from p),
+x as (select page_id, {rec('a')} ra, {rec('b')} rb from q),
+l as (select page_id, strlen(ra)::bigint len, sha256(ra) digest, row_number() over (partition by page_id order by sha256(ra)) copy from x),
+r as (select page_id, sha256(rb) digest, row_number() over (partition by page_id order by sha256(rb)) copy from x)
+select l.page_id, row_number() over o - 1 as ordinal, (sum(len) over (o rows between unbounded preceding and current row) - len)::bigint as "offset", len as "length", l.digest, case when l.digest = r.digest then 'intact' else 'damaged' end as state, r.digest replica_digest
+from l join r on l.page_id is not distinct from r.page_id and l.copy = r.copy window o as (order by l.page_id nulls first, l.digest, l.copy)"""
+
+
+SQL = {"op4_fixity_audit": _sql()}

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLE_SQL = {**licenses.SQL, **urls.SQL}
+ORACLE_SQL = {**fixity.SQL, **licenses.SQL, **urls.SQL}

@@ -1,5 +1,7 @@
 import hashlib
 
+import duckdb
+
 from chiffra.llm import fixity
 
 FIELDS = "page_id long, url string, html string, offset int"
@@ -50,3 +52,12 @@ def test_query_reports_exactly_the_spoiled_records(spark):
     bad = {r[0] for r in pages.alias("a").join(other.alias("b"), "page_id").where("a.html <> b.html").select("page_id").collect()}
     got = {r["page_id"] for r in fixity.op4_fixity_audit(spark, sf).where("state = 'damaged'").collect()}
     assert got == bad and bad
+
+
+def test_sql_agrees(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{sf}/pages.parquet')")
+    cur = con.execute(fixity.SQL["op4_fixity_audit"])
+    df = fixity.op4_fixity_audit(spark, sf).select(*[d[0] for d in cur.description])
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
