@@ -235,7 +235,7 @@ class _Known:
     def __init__(self, row: dict, replies: list[dict], model: dict):
         back = sorted((r for r in replies if r["kind"] == "word"), key=lambda r: r["shard"])
         start = model["starts"]
-        self.ids = np.concatenate([unpack(r["a"]) + np.uint64(start[r["shard"]]) for r in back])
+        self.ids = np.concatenate([unpack(r["a"]) + start[r["shard"]] for r in back])
         self.counts = np.concatenate([unpack(r["b"]) for r in back])
         self.tokens = unpack(row["tokens"]).astype(np.int64)
         self.lengths = unpack(row["lengths"]).astype(np.int64)
@@ -371,7 +371,7 @@ def train_and_score(docs: DataFrame, held_out, mu: float = MU, tokens_per_shard:
     sent = chunks.select("chunk", "held", "lengths", "words", "tokens").mapInArrow(_send_words(shards), "shard long, chunk long, words binary, counts binary")
     word_side = stored(sent.groupBy("shard").applyInArrow(_word_shard, _REPLY_SCHEMA), "lm-words")
     level = word_side.where("kind = 'level1'").select("shard", "n", "m").orderBy("shard").collect()
-    starts, run = {}, 0
+    starts, run = np.zeros(shards, np.uint64), 0
     for r in level:
         starts[r["shard"]] = run
         run += r["n"]

@@ -8,7 +8,7 @@ applying it is plain Spark SQL.
 It is fitted on at most ``fit_rows`` labelled documents (those of smallest hash of their doc_id), a stated sample;
 the counts and the verdicts cover every row and every text whole. Without usable labels, or without a rule that is
 precise enough, the list is empty and keeps all. Null or empty texts have counts of 0 and fail the base rule (fewer
-than ten words). Labels with a null quality are left out; a doc_id labelled twice counts once, as bad if either is.
+than ten words). Labels with a null quality are left out; a doc_id labelled twice counts once, as bad if either is, and on several rows once.
 Columns of the input may have any names: they travel in one struct.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import documents, dropped, stored
+from chiffra.llm._common import documents, stored
 from chiffra.llm._text import Words, mix, span_hashes, strings, sums, windows
 
 FIT_ROWS = 20_000
@@ -191,10 +191,16 @@ def as_condition(rules: list[Rule]) -> Column:
     return out.otherwise(True)
 
 
-def fit(counted: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **options) -> list[Rule]:
-    """Learn the list from counted rows (with doc_id) that pass the base rule, and labels (doc_id, quality)."""
+def label_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, quality, h) of at most ``fit_rows`` labelled doc_ids, those of smallest hash; small enough to broadcast."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    x = counted.where(~base_failed()).join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *COUNTS).orderBy("h", "doc_id", "n_words", "n_chars_all").limit(fit_rows).toPandas()
+    return F.broadcast(marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows))
+
+
+def fit(counted: DataFrame, marks: DataFrame, **options) -> list[Rule]:
+    """Learn the list from counted rows (with doc_id) that pass the base rule, and a sample of labels."""
+    one = counted.where(~base_failed()).join(marks, "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c"))
+    x = one.select("h", "doc_id", "quality", "c.*").toPandas().sort_values(["h", "doc_id"])
     if x.empty:
         return []
     num = {k: np.nan_to_num(x[a].to_numpy(float) / np.where(x[b] == 0, np.nan, x[b].to_numpy(float))) for k, (a, b) in FEATURES.items()}
@@ -208,16 +214,15 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     counted = stored(with_counts(docs.select("doc_id", "text")).select("row.doc_id", *COUNTS), "quality-counts")
-    rules = fit(counted, labels, fit_rows)
+    rules = fit(counted, label_sample(labels, fit_rows))
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & as_condition(rules))
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that pass. Counts of the labelled rows alone are made for fitting."""
-    marked = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    counted = stored(with_counts(marked).select("row.doc_id", *COUNTS), "quality-fit")
-    rules = fit(counted, labels, fit_rows)
-    dropped(counted)
+    """The rows of ``docs`` that pass. For fitting, only the texts of the sample are counted."""
+    marks = label_sample(labels, fit_rows)
+    marked = docs.select("doc_id", "text").join(marks.select("doc_id"), "doc_id", "left_semi")
+    rules = fit(with_counts(marked).select("row.doc_id", *COUNTS), marks)
     return with_counts(docs).where(~base_failed() & as_condition(rules)).select("row.*")
 
 
