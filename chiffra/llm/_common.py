@@ -93,3 +93,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     marked = rows.join(hot, keys, "left")
     out = [*rows.columns, *values]
     return marked.where("__hot").select(*out).unionByName(marked.where("__hot is null").select(*rows.columns).join(cold, keys, how).select(*out))
+
+
+#: Words of 64 bits in a bitmap of ids: 8 MB, whatever the input.
+FILTER_WORDS = 1 << 20
+
+
+def id_bits(ids: DataFrame, column: str) -> DataFrame:
+    """(w, b): the set words of a bitmap of fixed size over the hashes of a column."""
+    h = F.xxhash64(column)
+    word = F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).alias("w")
+    return ids.select(word, F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` isn't in ``ids``; nulls stay. A broadcast bitmap of fixed size lets most rows pass where
+    they are; only those whose bit is set are shuffled for the exact anti-join."""
+    bits = F.broadcast(id_bits(ids, column).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
+    h = F.xxhash64(column)
+    marked = rows.join(bits, F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6) == F.col("__w"), "left")
+    hit = F.coalesce(F.expr(f"(__b & shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))) <> 0"), F.lit(False))
+    maybe = marked.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns]).join(ids.select(column), column, "left_anti")
+    return marked.where(~hit).select(*[F.col(f"`{c}`") for c in rows.columns]).unionByName(maybe)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import documents, dropped, join_groups, stored
+from chiffra.llm._common import FILTER_WORDS, documents, dropped, id_bits, join_groups, stored, without_ids
 from chiffra.llm._text import Words, lists, mix, strings, windows
 
 WIDTH = 5
@@ -30,8 +30,6 @@ SLOTS, PER_BAND = 256, 4
 BANDS = SLOTS // PER_BAND
 SMALL = 4
 ROUNDS = 5
-#: Words of 64 bits in the bitmap of candidates: 8 MB, whatever the input.
-FILTER_WORDS = 1 << 20
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -113,8 +111,7 @@ def _sets(bits: np.ndarray):
 def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, shingles) of at least the documents in ``ids`` (rep). A bitmap of fixed size (``FILTER_WORDS`` words) tells
     which texts to cut, so that no text is shuffled; where it is too full for that it only lets more texts through."""
-    h = F.xxhash64("rep").bitwiseAND(64 * FILTER_WORDS - 1)
-    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = id_bits(ids, "rep").toPandas()
     bits = np.zeros(FILTER_WORDS, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -204,7 +201,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     verdict = near_duplicates(docs)
     goes = verdict.where("not kept").select("doc_id").distinct()
     again = stored(verdict.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(goes, "doc_id", "left_anti")
+    left = without_ids(docs, stored(goes, "goes"), "doc_id")
     if again.isEmpty():
         return left
     one = left.join(again, "doc_id", "left_semi")

@@ -57,3 +57,14 @@ def test_rank_and_group_join_with_hot_keys(spark):
     g = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"))
     j = join_groups(df, g, ["k"], "n", 6000)
     assert j.count() == 6000 and j.where("k = 0 and low <> 0").count() == 0
+
+
+def test_rows_without_ids(spark, monkeypatch):
+    from chiffra.llm import _common
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(200)] + [(None, "x"), (7, "again")], "doc_id long, __w string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id long")
+    for words in (_common.FILTER_WORDS, 1):  # the second is a full bitmap
+        monkeypatch.setattr(_common, "FILTER_WORDS", words)
+        got = _common.without_ids(df.withColumnRenamed("__w", "v"), ids, "doc_id")
+        assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got.collect()) == sorted([-1, 7] + [i for i in range(200) if i % 3])
