@@ -75,8 +75,8 @@ def phases(blocks: list[int], weights: list[float], resolution: int = RESOLUTION
     return out
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
-    """(row, source, block, block_row, phase, slot): ``row`` holds the columns of ``docs``; (slot, block_row) is the order."""
+def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: str, block_rows: int, resolution: int) -> tuple[DataFrame, int]:
+    """The placed rows and the number of slots."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("source"))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -85,7 +85,8 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     counts = sorted(counts, key=lambda r: (r["source"] is None, r["source"] or ""))
     given = targets or {r["source"]: math.sqrt(r["n"]) for r in counts}
     weights = [max(given.get(r["source"], min(given.values())), 1e-12) for r in counts]
-    plan = phases([-(-r["n"] // block_rows) for r in counts], weights, resolution)
+    blocks = [-(-r["n"] // block_rows) for r in counts]
+    plan = phases(blocks, weights, resolution)
     table = spark.createDataFrame(
         [(counts[p["source"]]["source"], p["phase"], p["first"], p["blocks"], p["start"], p["round"], p["slots"]) for p in plan if p["blocks"]],
         "source string, phase int, first long, blocks long, start long, round long, slots array<int>",
@@ -96,12 +97,21 @@ def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None,
     out = nth.join(F.broadcast(table), on)
     k, e = F.col("block") - F.col("first"), F.size("slots").cast("long")
     slot = F.col("start") + F.expr("(block - first) div size(slots)") * F.col("round") + F.element_at("slots", (k % e + 1).cast("int"))
-    return out.select("row", nth["source"], "block", (F.col("nth") % block_rows).cast("int").alias("block_row"), "phase", slot.alias("slot"))
+    return out.select("row", nth["source"], "block", (F.col("nth") % block_rows).cast("int").alias("block_row"), "phase", slot.alias("slot")), sum(blocks)
+
+
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+    """(row, source, block, block_row, phase, slot): ``row`` holds the columns of ``docs``; (slot, block_row) is the order."""
+    return _placed(docs, targets, source, block_rows, resolution)[0]
 
 
 def in_order(docs: DataFrame, targets: dict | None = None) -> DataFrame:
-    """The rows of ``docs`` in the order of the mixture, over range partitions; (slot, block_row) is unique."""
-    return mix_sources(docs, targets).orderBy("slot", "block_row").select("row.*")
+    """The rows of ``docs`` in the order of the mixture; (slot, block_row) is unique. Slots are gapless, so equal ranges of
+    them are the partitions, and no sampling pass is needed to find their bounds."""
+    placed, slots = _placed(docs, targets, "source", BLOCK_ROWS, RESOLUTION)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.expr(f"cast(slot * {parts} div {max(1, slots)} as int)")
+    return placed.repartitionById(parts, part).sortWithinPartitions("slot", "block_row").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

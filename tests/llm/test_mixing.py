@@ -56,6 +56,8 @@ def test_rows(spark):
     assert len(cells) == sum(math.ceil(n / mixing.BLOCK_ROWS) for n in (900, 73, 33))
     got = mixing.in_order(df)
     assert got.columns == df.columns and got.count() == len(rows)
+    want = [r['row'] for r in mixing.mix_sources(df).orderBy('slot', 'block_row').collect()]
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want]
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
