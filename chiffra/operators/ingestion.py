@@ -123,3 +123,14 @@ def linear_cells(cells: DataFrame, header_rows: int = 1, label_cols: int = 1) ->
     return out.select("table_id", "label", "column", year.alias("year"), F.trim("text").alias("text"), F.concat("label", F.lit(" | "), "column", F.lit(" = "), F.trim("text")).alias("sentence"))
 
 
+
+
+def similar_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of titles (title, s: token set) by an inverted index: a pair shares one of the first tokens, in order of
+    rarity, that any pair as similar as ``least`` must share (prefix filtering)."""
+    words = titles.select("title", "s", F.explode("s").alias("w"))
+    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    nth = F.row_number().over(Window.partitionBy("title").orderBy("df", "w"))
+    prefix = words.join(df, "w").withColumn("nth", nth).where(F.col("nth") <= F.size("s") - F.ceil(least * F.size("s") - 1e-9) + 1)
+    a, b = prefix.select("w", F.col("title").alias("a"), F.col("s").alias("sa")), prefix.select("w", F.col("title").alias("b"), F.col("s").alias("sb"))
+    return a.join(b, "w").where("a < b").drop("w").distinct().withColumn("sim", T.jaccard_of(F.col("sa"), F.col("sb"))).where(F.col("sim") >= least)

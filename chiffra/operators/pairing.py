@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,17 @@ def attribute_codes(charts: DataFrame, least: float = 0.55) -> DataFrame:
     c = charts.select("series", "edition", "chart", T.slug(F.col("title")).alias("slug"), T.token_set(T.bare_title(F.col("title"))).alias("words"))
 
     def give(rows):
-        known: dict[str, set] = {}
-        out = []
-        for _, ed in rows.sort_values(["edition", "chart"]).groupby("edition", sort=True):
-            taken: set[str] = set()
-            for r in ed.itertuples():
-                words = set(r.words)
-                sim = sorted(((len(words & w) / len(words | w) if words and w else 0.0, k) for k, w in known.items() if k not in taken), reverse=True)
-                if sim and sim[0][0] >= least:
-                    code = sim[0][1]
-                else:
-                    code, k = r.slug, 2
-                    while code in known or code in taken:
-                        code, k = f"{r.slug}-{k}", k + 1
-                taken.add(code)
-                known[code] = words
-                out.append(code)
-        return rows.sort_values(["edition", "chart"])[["series", "edition", "chart"]].assign(code=out)
+        rows = rows.sort_values(["edition", "chart"])
+        titles: dict[str, frozenset] = {}  # the last title of each code
+        last_use: dict[str, int] = {}  # the edition that used it last
+        codes = []
+        for edition, base, words in zip(rows["edition"], rows["slug"], map(frozenset, rows["words"])):
+            near = {c: len(words & w) / len(words | w) for c, w in titles.items() if words & w and last_use[c] != edition}
+            code = max(near, key=lambda c: (near[c], c), default=None)
+            if code is None or near[code] < least:
+                code = next(c for c in chain([base], (f"{base}-{k}" for k in count(2))) if c not in titles)
+            titles[code], last_use[code] = words, edition
+            codes.append(code)
+        return rows[["series", "edition", "chart"]].assign(code=codes)
 
     return c.groupBy("series").applyInPandas(lambda k, rows: give(rows), "series string, edition int, chart int, code string")

@@ -160,13 +160,11 @@ def asof_caption(spark, sf):
     return e.where("event_type = 'purchase'").select("event_id", "caption_id")
 
 
-@query("title_jaccard", f"""with p as (select p_partkey, p_brand, {T.token_set_sql("p_name || ' ' || p_type")} s from part where p_size = 1) select a.p_partkey a, b.p_partkey b, round({T.jaccard_sql('a.s', 'b.s')}, 6) sim from p a join p b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey where {T.jaccard_sql('a.s', 'b.s')} >= 0.3""")
+@query("title_jaccard", f"""with p as (select title, {T.token_set_sql("title")} s from (select distinct p_name || ' ' || p_type title from part)) select a.title a, b.title b, round({T.jaccard_sql('a.s', 'b.s')}, 6) sim from p a join p b on a.title < b.title where {T.jaccard_sql('a.s', 'b.s')} >= 0.5""")
 def title_jaccard(spark, sf):
-    """Similar titles within a brand."""
-    p = table(spark, sf, "part").where("p_size = 1").select("p_partkey", "p_brand", T.token_set(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).withColumn("sim", T.jaccard_of(F.col("a.s"), F.col("b.s")))
-    return j.where("sim >= 0.3").select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r6("sim", "sim"))
+    """Pairs of different titles with a similarity of 0.5 or more; only titles that share a word meet."""
+    p = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("title")).distinct().withColumn("s", T.token_set(F.col("title")))
+    return I.similar_titles(p, 0.5).select("a", "b", r6("sim", "sim"))
 
 
 @query("informativeness", r"select doc_id, round(0.5 * len(list_distinct(w)) / len(w)::double + 0.5 * (1 - len(regexp_replace(text, '[^0-9#*$%&|<>]', '', 'g')) / len(text)::double), 6) score from (select doc_id, text, regexp_extract_all(text, '[^ \t\n\r]+') w from documents) where len(w) > 0")
