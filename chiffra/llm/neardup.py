@@ -29,7 +29,8 @@ WIDTH = 5
 SLOTS, PER_BAND = 256, 4
 BANDS = SLOTS // PER_BAND
 SMALL = 4
-ROUNDS = 5
+#: Rounds of stars, the first included, and centres of an open bucket in each later one.
+ROUNDS, CENTRES = 3, 2
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -159,27 +160,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
 
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = stored(rows.join(shared, "bucket"), "buckets")
     weight = members.groupBy("rep").agg(F.sum("members").alias("weight"))
     members = stored(members.join(weight, "rep"), "members")
     sets = stored(candidate_sets(docs, weight.select("rep")), "shingles")
 
-    small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("r"))
-    small = small.select("r", F.explode("r").alias("a")).select("a", F.explode("r").alias("b")).where("a < b")
+    # Sets whose sizes differ by more than a quarter can't be similar enough: such pairs are not formed.
+    apt = lambda x, y: 100 * F.least(x, y) >= 75 * F.greatest(x, y)
+    small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n_shingles"))).alias("r"))
+    small = small.select("r", F.explode("r").alias("x")).select("x", F.explode("r").alias("y")).where((F.col("x.rep") < F.col("y.rep")) & apt(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     large = members.where(F.col("members") > SMALL)
-    centres = large.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", "rep")).alias("centre"))
-    star = large.join(centres, "bucket").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    centres = large.groupBy("bucket").agg(F.max_by(F.struct("rep", "n_shingles"), F.struct("weight", "rep")).alias("c"))
+    star = large.join(centres, "bucket").where((F.col("rep") != F.col("c.rep")) & apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
     tried = stored(small.unionByName(star).distinct(), "pairs")
     links = _confirmed(tried, sets)
     comp = stored(components(links), "components")
     for k in range(1, ROUNDS):
-        # What is still open: large buckets with members in several components.
+        # What is still open: large buckets with members in several components. Each gets a few other centres, drawn anew in
+        # every bucket, besides a second one by weight.
         named = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pick = F.struct(F.xxhash64("rep", F.lit(k)), "rep") if k > 1 else F.struct(-F.col("weight"), "rep")
-        first = named.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), pick).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        more = named.join(first, "bucket").where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        picks = [F.struct(F.xxhash64("rep", "bucket", F.lit(CENTRES * k + i)), "rep") for i in range(CENTRES)]
+        if k == 1:
+            picks[0] = F.struct(-F.col("weight"), "rep")
+        chosen = [F.min_by(F.struct("rep", "component", "n_shingles"), p).alias(f"c{i}") for i, p in enumerate(picks)]
+        first = named.groupBy("bucket").agg(*chosen, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        first = first.select("bucket", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("c"))
+        more = named.join(first, "bucket").where((F.col("component") != F.col("c.component")) & apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
