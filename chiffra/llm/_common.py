@@ -71,16 +71,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, nam
     n = buckets(n_rows)
     b, off = f"__{name}_bucket", f"__{name}_off"
     rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    counts = rows.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(off))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(off))
-    within = Window.partitionBy(*keys, b).orderBy(*order)
-    same = [rows[k].eqNullSafe(offsets[k]) for k in [*keys, b]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    both = rows.withColumn(name, F.row_number().over(within) - 1).alias("r").join(offsets.alias("o"), [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, b]])
-    return both.select("r.*", F.col(f"o.{off}")).withColumn(name, F.col(name) + F.col(off)).drop(b, off)
+    # Keys without nulls: on null-safe keys the join could not use the window's partitioning and would shuffle again.
+    safe = []
+    for i, k in enumerate(keys):
+        rows = rows.withColumn(f"__{name}_k{i}", F.coalesce(F.col(k).cast("string"), F.lit(""))).withColumn(f"__{name}_n{i}", F.col(k).isNull())
+        safe += [f"__{name}_k{i}", f"__{name}_n{i}"]
+    counts = rows.groupBy(*safe, b).agg(F.count(F.lit(1)).alias(off))
+    before = Window.partitionBy(*safe).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*safe, b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(off))
+    within = Window.partitionBy(*safe, b).orderBy(*order)
+    both = rows.withColumn(name, F.row_number().over(within) - 1).join(offsets, [*safe, b])
+    return both.withColumn(name, F.col(name) + F.col(off)).select(*df.columns, name)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
