@@ -8,8 +8,9 @@ Trie. Level 1 lists the words by hash; a word's id is the number of training tok
 are monotone, their differences are the counts and one Elias-Fano sequence holds both. Level 2 lists the contexts of a
 shard, monotone pointers to the ranges of their successors, and the successors' ids, each range raised by the last value
 of the range before (one monotone sequence); beside them stand the shares c(b, w) / (c(b) + mu) in 8 bits on a
-logarithmic scale, rounded down, so that quantised probabilities never sum to over one. A shard is written to a file
-and memory-mapped; a query finds its context, then searches the context's range for the id relative to the range's base.
+logarithmic scale, rounded down, so that quantised probabilities never sum to over one. A shard is memory-mapped (from
+its bytes while scoring, from a file where a stored level is opened with ``PairLevel.mapped``); a query finds its
+context, then searches the context's range for the id relative to the range's base.
 
 Plan. Texts are cut into chunks of about 4 MB, kept once as local word numbers in a table bucketed by chunk. Distinct
 words of a chunk go to the shard of their hash range and come back with ids and counts; distinct word pairs go to the
@@ -21,8 +22,7 @@ Null and empty texts have one token, the end. A null doc_id is a training row. R
 and each is scored. Extra columns are ignored. Hashes have 64 bits.
 """
 
-import os
-import tempfile
+import mmap
 import uuid
 
 import numpy as np
@@ -133,7 +133,11 @@ class PairLevel:
 
     @classmethod
     def mapped(cls, path: str) -> "PairLevel":
-        data, at, seqs = np.memmap(path, np.uint8, "r"), 0, []
+        return cls.over(np.memmap(path, np.uint8, "r"))
+
+    @classmethod
+    def over(cls, data: np.ndarray) -> "PairLevel":
+        at, seqs = 0, []
         for _ in range(3):
             s, size = EliasFano.from_bytes(data[at:])
             seqs.append(s)
@@ -298,13 +302,9 @@ def _pair_shard(mu: float):
         kept = count > 0
         codes = quantise(count[kept] / (t1[kept] + mu))
         blob = PairLevel.encode(b1[kept], w1[kept], codes)
-        fd, path = tempfile.mkstemp(suffix=".trie")
-        try:
-            with os.fdopen(fd, "wb") as f:
-                f.write(blob)
-            found = PairLevel.mapped(path).find(b1, w1)
-        finally:
-            os.remove(path)
+        room = mmap.mmap(-1, len(blob))  # mapped memory without a file: executors keep nothing on their own disks
+        room.write(blob)
+        found = PairLevel.over(np.frombuffer(room, np.uint8)).find(b1, w1)
         back = np.empty(len(b), np.uint8)
         back[order] = np.repeat(found, np.diff(np.append(head, len(b))))
         shard, at, out = rows[0]["shard"], 0, []
