@@ -64,13 +64,13 @@ def buckets(n_rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
     return max(least, math.ceil(n_rows / per_bucket))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, name: str = "rank", part: Column | None = None) -> DataFrame:
     """Add a gapless rank from 0 within ``keys``. Rows are ranked in hash buckets, then shifted by what the buckets
     before hold, so that a key with a third of all rows is spread over many tasks. ``order`` decides the bucket and
-    the order within it."""
+    the order within it; buckets that ascend with ``order`` (``part``) make the rank follow it throughout."""
     n = buckets(n_rows)
     b, off = f"__{name}_bucket", f"__{name}_off"
-    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int") if part is None else part)
     # Keys without nulls: on null-safe keys the join could not use the window's partitioning and would shuffle again.
     safe = []
     for i, k in enumerate(keys):

@@ -49,16 +49,28 @@ def lpt_counts(classes: Iterable[tuple[int, int, float]], shards: int) -> tuple[
     return took, loads
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(row, size, text_crc32, group, shard, slot): ``row`` holds the document's columns without its text."""
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet files, with the files' order (``__file``, from 0) and a row's place in its file (``__at``)."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    paths = sorted((r["__path"] for r in rows.select("__path").distinct().collect()), key=lambda p: (len(p), p))
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__file int, __path string")
+    return rows.join(F.broadcast(files), "__path").drop("__path")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, written: bool = False) -> DataFrame:
+    """(row, size, text_crc32, group, shard, slot): ``row`` holds the document's columns without its text. Slots follow the
+    order in which the files of ``docs`` hold the rows where ``written`` is true, else the rows' hashes."""
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != "text"]
+    place = ["__file", "__at"] if written else []
+    docs = written_order(docs) if written else docs
     rows = stored(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"null")).alias("group"),
+            *place,
         ),
         "shard-rows",
     )
@@ -75,7 +87,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = ranked(groups, ["class"], [F.col("group")], sum(r["n"] for r in classes)).join(F.broadcast(deal), "class")
     placed = placed.select("group", "copies", F.size(F.filter("upto", lambda c: c <= F.col("rank"))).alias("shard"))
     out = join_groups(rows, stored(placed, "shard-placed"), ["group"], "copies", total).drop("copies")
-    return ranked(out, ["shard"], [F.xxhash64("row"), F.col("group")], total, "slot")
+    if not written:
+        return ranked(out, ["shard"], [F.xxhash64("row"), F.col("group")], total, "slot")
+    return ranked(out, ["shard"], [F.col(c) for c in place], total, "slot", F.struct("__file", F.expr("__at div 100000"))).drop(*place)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """From raw documents to shards: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Every stage reads all that the one before it kept, from Parquet. The first four return the columns of ``documents``;
-the last returns a manifest: doc_id, source, lang, n_chars, size, text_crc32, shard, slot.
+the last returns a manifest: doc_id, source, lang, n_chars, size, text_crc32, shard, slot. The mixture's order is that of
+the files and rows of its Parquet, which the last stage reads back.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    out = sharding.shard_documents(docs)
+    """The shard and slot of every document; the slots of a shard follow the order in which the mixture was written."""
+    out = sharding.shard_documents(docs, written=True)
     return out.select(*[F.col("row")[c].alias(c) for c in ("doc_id", "source", "lang", "n_chars")], "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 

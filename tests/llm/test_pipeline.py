@@ -1,7 +1,7 @@
 import math
 
 import corpus_pipeline
-from chiffra.llm import quality
+from chiffra.llm import mixing, quality
 from tests.llm.test_neardup import brute as families
 
 
@@ -31,3 +31,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert max(loads) - min(loads) <= max(r["size"] for r in shards.values())
     run = {r["doc_id"]: r["shard"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert run == {i: r["shard"] for i, r in shards.items()} and math.isfinite(sum(loads))
+
+
+def test_slots_follow_the_mixture(spark, tmp_path):
+    rows = [(i, f"text {i} " * (1 + i % 7), s, "en", 10) for i, s in enumerate(["a"] * 500 + ["b"] * 60 + ["c"] * 200)] + [(7, "text 7 ", "a", "en", 10)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    shards = corpus_pipeline.shard(spark, mixed, "").collect()
+    order = [r["row"]["doc_id"] for r in mixing.mix_sources(docs).orderBy("slot", "block_row").collect()]
+    for j in range(16):
+        mine = sorted((r["slot"], r["doc_id"]) for r in shards if r["shard"] == j)
+        held = {i for _, i in mine}
+        assert [s for s, _ in mine] == list(range(len(mine)))
+        assert [i for _, i in mine] == [i for i in order if i in held]
