@@ -9,7 +9,9 @@ star: its members are compared with its centre and not with one another. The cen
 buckets (the original of a family of edited copies), so stars follow families. Buckets whose members lie in more than
 one component after that are opened again, with other centres and only for members outside the centre's component,
 until a round finds no open bucket or ``ROUNDS`` are over; buckets of up to ``SMALL`` members are compared in full from
-the start. Every candidate is confirmed on the full sets (100 * intersection >= 75 * union). Components come from
+the start. Buckets still open then are compared in full too: those that share members form a group, whose members are
+cut into blocks of bounded size, and each pair of blocks counts all its common shingles by products of incidence
+matrices, leaving out pairs of blocks of one component or of sizes too unequal. Every candidate is confirmed on the full sets (100 * intersection >= 75 * union). Components come from
 alternating large and small stars, which need a logarithmic number of rounds and never gather a component.
 
 Null, empty and wordless texts have an empty set, and link with nothing. Rows with a null doc_id stand alone: their
@@ -31,6 +33,8 @@ BANDS = SLOTS // PER_BAND
 SMALL = 4
 #: Rounds of stars, the first included, and centres of an open bucket in each later one.
 ROUNDS, CENTRES = 3, 2
+#: Shingles of a block in the full comparison (a set counts as ``LEAST`` at least), and columns of an incidence matrix.
+BLOCK, LEAST, COLUMNS = 400_000, 200, 2048
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -153,6 +157,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "links")
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each."""
+    column = column.combine_chunks()
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """The similar pairs (a, b) of different components between two blocks, or within one."""
+    block, first, second = (table.column(c).to_numpy() for c in ("block", "x", "y"))
+    sides = [table.filter(pa.array(block == b)) for b in (first[0], second[0])]
+    (fx, rx), (fy, ry) = (_flat(s.column("shingles")) for s in sides)
+    words, times = np.unique(fx, return_counts=True)
+    words = words[times > 1] if first[0] == second[0] else np.intersect1d(words, fy)
+    rep, comp, size = ([s.column(c).to_numpy() for s in sides] for c in ("rep", "component", "n_shingles"))
+    common = np.zeros((len(rep[0]), len(rep[1])), np.float32)
+    cells = []
+    for flat, row in ((fx, rx), (fy, ry)):
+        at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+        hit = np.flatnonzero(words[at] == flat) if len(words) else np.zeros(0, np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        cells.append((at[order], row[order]))
+    for lo in range(0, len(words), COLUMNS):
+        parts = []
+        for (at, row), ids in zip(cells, rep, strict=True):
+            a, z = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((len(ids), min(COLUMNS, len(words) - lo)), np.float32)
+            m[row[a:z], at[a:z] - lo] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    i, j = np.nonzero((175 * common >= 75 * (size[0][:, None] + size[1][None, :])) & (comp[0][:, None] != comp[1][None, :]))
+    a, b = rep[0][i], rep[1][j]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _full_links(large: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """All similar pairs (a, b) of different components within open buckets; None where no bucket is open."""
+    named = large.select("bucket", "rep", "n_shingles").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    still = named.groupBy("bucket").agg(F.min("rep").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "head")
+    inside = stored(named.join(still, "bucket").select("rep", "n_shingles", "component", "head"), "open")
+    if inside.isEmpty():
+        return None
+    group = components(inside.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    rows = inside.select("rep", "n_shingles", "component").distinct().join(group, "rep")
+    # Members of a large component lie together, all others by size, so that many pairs of blocks need no comparison.
+    weight = F.greatest("n_shingles", F.lit(LEAST))
+    held = F.sum(weight).over(Window.partitionBy("group", "component"))
+    rows = rows.withColumn("apart", F.when(held >= BLOCK, F.col("component")))
+    run = F.sum(weight).over(Window.partitionBy("group").orderBy("apart", "n_shingles", "rep").rowsBetween(Window.unboundedPreceding, 0))
+    rows = stored(rows.withColumn("block", F.floor(run / BLOCK).cast("long")).drop("apart"), "blocks")
+    blocks = rows.groupBy("group", "block").agg(*[f(c).alias(f"{n}_{k}") for c, n in (("n_shingles", "size"), ("component", "comp")) for f, k in ((F.min, "low"), (F.max, "high"))])
+    x, y = blocks.alias("p"), blocks.alias("q")
+    near = (100 * F.col("p.size_high") >= 75 * F.col("q.size_low")) & (100 * F.col("q.size_high") >= 75 * F.col("p.size_low"))
+    mixed = F.least("p.comp_low", "q.comp_low") < F.greatest("p.comp_high", "q.comp_high")
+    both = x.join(y, (F.col("p.group") == F.col("q.group")) & (F.col("p.block") <= F.col("q.block")) & near & mixed).select("p.group", F.col("p.block").alias("x"), F.col("q.block").alias("y"))
+    sent = both.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).join(rows, ["group", "block"]).join(sets, "rep")
+    found = sent.select("group", "x", "y", "block", "rep", "component", "n_shingles", "shingles").groupBy("group", "x", "y").applyInArrow(_compare, "a long, b long")
+    return stored(found.where("a < b").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and the set's digest (d1, d2) of every row of ``docs``."""
     sig = stored(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
@@ -196,6 +260,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not found.isEmpty():
             links = links.unionByName(found)
             comp = stored(components(links), "components")
+    found = _full_links(large, comp, sets)
+    if found is not None and not found.isEmpty():
+        comp = stored(components(links.unionByName(found)), "components")
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named, "named")
     dropped(members, sets)

@@ -67,6 +67,29 @@ def test_families(spark):
     check(spark, list(enumerate(rows)))
 
 
+def test_sparse_template_family(spark, monkeypatch):
+    """Links run between members that are no centres. Each slot stands in five shingles, so texts link when at most five differ."""
+    rng = np.random.default_rng(11)
+    values = rng.integers(0, 8, (1500, 12))
+    rows = []
+    for v in values:
+        w = [f"w{i}" for i in range(200)]
+        for k in range(12):
+            w[8 + 16 * k] = f"s{k}v{v[k]}"
+        rows.append(" ".join(w))
+    want = np.arange(len(rows))
+    near = (values[:, None, :] != values[None, :, :]).sum(axis=2) <= 5
+    for _ in rows:
+        low = np.where(near, want[None, :], len(rows)).min(axis=1)
+        if (low == want).all():
+            break
+        want = low
+    monkeypatch.setattr(neardup, "BLOCK", 100_000, raising=False)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_tables(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(spark, [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()])
