@@ -3,27 +3,32 @@
 A source's rows, in an order drawn from their hashes, form blocks of ``block_rows`` rows. With target weight w its
 i-th block is released at floor((i - 1) / w) and due at ceil(i / w); each slot goes to the released block that is due
 earliest. As the weights sum to one this meets every deadline, so a source is never a whole block ahead of or behind
-its target. Weights are multiples of 1 / H, so the schedule repeats after H slots: the driver makes one round of H
-slots (H does not depend on the rows) and every block finds its slot by division. When a source has no blocks left,
-the others go on with their weights scaled up (a new phase with a round of its own); no row is left out or repeated.
+its target. Weights are whole multiples of 2^-50, the precision of the numbers they come from, so this holds against the
+targets themselves at any length. The driver makes the schedule and every block looks up its slot in it. When a source
+has no blocks left, the others go on with their weights scaled up (a new phase); no row is left out or repeated.
 
-Default targets are the square roots of the sources' row counts. The driver holds one row per source and at most H
-slots per phase; more than ``MOST_SOURCES`` sources are refused. Null is a source of its own. Sources without a target
+Default targets are the square roots of the sources' row counts. The driver holds one row per source and twelve
+bytes per block, so about 1.5 bytes per row; a plan of more than ``MOST_SENT`` blocks is joined by a shuffle. More than ``MOST_SOURCES`` sources are refused. Null is a source of its own. Sources without a target
 get the smallest target given; targets for absent sources are ignored. The last block of a source may be short.
 Repeated rows each get a place of their own. An empty table gives an empty result.
 """
 
 import heapq
 import math
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.llm._common import documents, ranked, stored
 
 BLOCK_ROWS = 8
-RESOLUTION = 4096
+RESOLUTION = 1 << 50
 MOST_SOURCES = 1024
+#: Blocks in a row of the plan, and in a plan that is broadcast.
+PIECE, MOST_SENT = 1024, 8_000_000
 
 
 def units(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
@@ -41,40 +46,54 @@ def units(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
     return out
 
 
-def pfair_round(e: list[int]) -> list[list[int]]:
-    """The slots, within one round of sum(e), of each source's blocks: earliest deadline first among those released."""
-    h = sum(e)
-    release: list[list[tuple[int, int, int]]] = [[] for _ in range(h)]
-    for j, n in enumerate(e):
-        for i in range(1, n + 1):
-            release[(i - 1) * h // n].append((-(-i * h // n), j, i))
-    ready, slots = [], [[] for _ in e]
-    for t in range(h):
-        for x in release[t]:
-            heapq.heappush(ready, x)
-        due, j, _ = heapq.heappop(ready)
+def pfair_slots(e: list[int], left: list[int]) -> list[array]:
+    """The slots of each source's blocks, earliest deadline first among those released, until a source has no blocks left."""
+    h, t = sum(e), 0
+    slots = [array("q") for _ in e]
+    later, ready = [(0, j) for j in range(len(e))], []
+    while True:
+        while later and later[0][0] <= t:
+            _, j = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(len(slots[j]) + 1) * h // e[j]), j))
+        due, j = heapq.heappop(ready)
         assert t < due, "a deadline was missed"
         slots[j].append(t)
-    return slots
+        t += 1
+        if len(slots[j]) == left[j]:
+            return slots
+        heapq.heappush(later, (len(slots[j]) * h // e[j], j))
 
 
 def phases(blocks: list[int], weights: list[float], resolution: int = RESOLUTION) -> list[dict]:
-    """For each phase and source in it: first block, blocks, the phase's first slot, its round and the slots in it."""
-    left, start, first, out = list(blocks), 0, [0] * len(blocks), []
+    """For each phase and source in it: first block, blocks, the phase's first slot, its length and the slots in it."""
+    left, start, first, out, phase = list(blocks), 0, [0] * len(blocks), [], 0
     while any(left):
         on = [j for j, n in enumerate(left) if n]
-        e = units([weights[j] for j in on], max(resolution, 4 * len(on)))
-        h, slots = sum(e), pfair_round(e)
-        last = min((left[j] - 1) // n * h + s[(left[j] - 1) % n] for j, n, s in zip(on, e, slots, strict=True))
-        for j, n, s in zip(on, e, slots, strict=True):
-            done = (last + 1) // h * n + sum(x < (last + 1) % h for x in s)
-            out.append({"phase": len({x["start"] for x in out} | {start}) - 1, "source": j, "first": first[j], "blocks": done, "start": start, "round": h, "slots": s})
-            first[j] += done
-            left[j] -= done
-        start += last + 1
+        slots = pfair_slots(units([weights[j] for j in on], max(resolution, 4 * len(on))), [left[j] for j in on])
+        h = sum(len(s) for s in slots)
+        for j, s in zip(on, slots, strict=True):
+            out.append({"phase": phase, "source": j, "first": first[j], "blocks": len(s), "start": start, "round": h, "slots": s})
+            first[j] += len(s)
+            left[j] -= len(s)
+        start += h
+        phase += 1
     return out
 
 
+def _plan(spark: SparkSession, plan: list[dict], names: list[str | None]) -> DataFrame:
+    """(source, piece, phases, slots): the phase and slot of each block, ``PIECE`` blocks of a source a row."""
+    parts: dict[int, list[dict]] = {}
+    for p in plan:
+        parts.setdefault(p["source"], []).append(p)
+    rows = []
+    for j, ps in parts.items():
+        slots = np.concatenate([np.frombuffer(p["slots"], np.int64) + p["start"] if p["blocks"] else np.zeros(0, np.int64) for p in ps])
+        phase = np.repeat(np.array([p["phase"] for p in ps], np.int32), [p["blocks"] for p in ps])
+        rows += [(names[j], k // PIECE, phase[k : k + PIECE], slots[k : k + PIECE]) for k in range(0, len(slots), PIECE)]
+    kinds = {"source": pa.string(), "piece": pa.int64(), "phases": pa.list_(pa.int32()), "slots": pa.list_(pa.int64())}
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())}), "source string, piece long, phases array<int>, slots array<long>")
+
+
 def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: str, block_rows: int, resolution: int) -> tuple[DataFrame, int]:
     """The placed rows and the number of slots."""
     spark = docs.sparkSession
@@ -86,18 +105,13 @@ def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: st
     given = targets or {r["source"]: math.sqrt(r["n"]) for r in counts}
     weights = [max(given.get(r["source"], min(given.values())), 1e-12) for r in counts]
     blocks = [-(-r["n"] // block_rows) for r in counts]
-    plan = phases(blocks, weights, resolution)
-    table = spark.createDataFrame(
-        [(counts[p["source"]]["source"], p["phase"], p["first"], p["blocks"], p["start"], p["round"], p["slots"]) for p in plan if p["blocks"]],
-        "source string, phase int, first long, blocks long, start long, round long, slots array<int>",
-    )
+    table = _plan(spark, phases(blocks, weights, resolution), [r["source"] for r in counts])
     total = sum(r["n"] for r in counts)
     nth = ranked(rows, ["source"], [F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2))], total, "nth").withColumn("block", F.expr(f"nth div {block_rows}"))
-    on = nth["source"].eqNullSafe(table["source"]) & (nth["block"] >= table["first"]) & (nth["block"] < table["first"] + table["blocks"])
-    out = nth.join(F.broadcast(table), on)
-    k, e = F.col("block") - F.col("first"), F.size("slots").cast("long")
-    slot = F.col("start") + F.expr("(block - first) div size(slots)") * F.col("round") + F.element_at("slots", (k % e + 1).cast("int"))
-    return out.select("row", nth["source"], "block", (F.col("nth") % block_rows).cast("int").alias("block_row"), "phase", slot.alias("slot")), sum(blocks)
+    on = nth["source"].eqNullSafe(table["source"]) & (F.expr(f"block div {PIECE}") == table["piece"])
+    out = nth.join(F.broadcast(table) if sum(blocks) <= MOST_SENT else table, on)
+    k = (F.col("block") % PIECE + 1).cast("int")
+    return out.select("row", nth["source"], "block", (F.col("nth") % block_rows).cast("int").alias("block_row"), F.element_at("phases", k).alias("phase"), F.element_at("slots", k).alias("slot")), sum(blocks)
 
 
 def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:

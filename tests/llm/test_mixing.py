@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from chiffra.llm import mixing
@@ -42,6 +43,17 @@ def test_units_sum_up():
         assert sum(u) == 100 and min(u) >= 1
 
 
+@pytest.mark.parametrize("blocks,weights", [([90_000, 20_000, 3_000], [0.7512345, 0.2, 0.0487655]), ([60_000, 300], [0.9999, 0.0001]), ([40_000] + [900] * 60, [math.sqrt(1_000_000)] + [math.sqrt(20_000)] * 60)])
+def test_deviation_from_the_targets_themselves(blocks, weights):
+    first = [p for p in mixing.phases(blocks, weights) if p["phase"] == 0]
+    for p in first:
+        e = len(p["slots"])
+        s = np.array([k // e * p["round"] + p["slots"][k % e] for k in range(p["blocks"])], float)
+        w = weights[p["source"]] / sum(weights)
+        k = np.arange(len(s))
+        assert (np.abs(k - w * s) < 1).all() and (np.abs(k + 1 - w * (s + 1)) < 1).all()
+
+
 def test_rows(spark):
     rows = [(i, f"t{i}", s, i) for s, n in (("a", 900), ("b", 70), (None, 33)) for i in range(n)] + [(None, None, "b", 0)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
