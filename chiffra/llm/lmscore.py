@@ -8,7 +8,8 @@ Trie. Level 1 lists the words by hash; a word's id is the number of training tok
 are monotone, their differences are the counts and one Elias-Fano sequence holds both. Level 2 lists the contexts of a
 shard, monotone pointers to the ranges of their successors, and the successors' ids, each range raised by the last value
 of the range before (one monotone sequence); beside them stand the shares c(b, w) / (c(b) + mu) in 8 bits on a
-logarithmic scale, rounded down, so that quantised probabilities never sum to over one. A shard is memory-mapped (from
+logarithmic scale, rounded down, so that quantised probabilities never sum to over one. A decade has
+``STEPS_PER_DECADE`` steps, or as many fewer as the smallest share of the largest context needs: none is lost. A shard is memory-mapped (from
 its bytes while scoring, from a file where a stored level is opened with ``PairLevel.mapped``); a query finds its
 context, then searches the context's range for the id relative to the range's base.
 
@@ -56,14 +57,24 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def quantise(share: np.ndarray) -> np.ndarray:
+def steps_for(count: int, mu: float) -> float:
+    """Steps a decade for which one occurrence after a context of ``count`` still has a code."""
+    return min(float(STEPS_PER_DECADE), 253 / max(1.0, float(np.log10(count + mu))))
+
+
+def quantise(share: np.ndarray, steps: float = STEPS_PER_DECADE) -> np.ndarray:
     """8-bit codes of shares in (0, 1], rounded down; 0 stands for nothing."""
     with np.errstate(divide="ignore"):
-        code = 255 + np.floor(np.log10(share) * STEPS_PER_DECADE + 1e-9)
+        code = 255 + np.floor(np.log10(share) * steps + 1e-9)
     return np.where(share > 0, np.maximum(code, 0), 0).astype(np.uint8)
 
 
-_SHARES = np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) / STEPS_PER_DECADE)])
+def shares(steps: float = STEPS_PER_DECADE) -> np.ndarray:
+    """The share that each code stands for."""
+    return np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) / steps)])
+
+
+_SHARES = shares()
 
 
 class EliasFano:
@@ -285,7 +296,7 @@ def _send_pairs(model: dict):
 _PAIR_SCHEMA = "shard long, chunk long, contexts binary, totals binary, runs binary, words binary, times binary"
 
 
-def _pair_shard(mu: float):
+def _pair_shard(mu: float, steps: float):
     def serve(table: pa.Table) -> pa.Table:
         """Level 2 of a range of pairs, and a "pair" reply of codes to each chunk."""
         rows = table.to_pylist()
@@ -300,7 +311,7 @@ def _pair_shard(mu: float):
         count = np.add.reduceat(times[order], head)
         b1, w1, t1 = sb[head], sw[head], total[order][head]
         kept = count > 0
-        codes = quantise(count[kept] / (t1[kept] + mu))
+        codes = quantise(count[kept] / (t1[kept] + mu), steps)
         blob = PairLevel.encode(b1[kept], w1[kept], codes)
         room = mmap.mmap(-1, len(blob))  # mapped memory without a file: executors keep nothing on their own disks
         room.write(blob)
@@ -312,7 +323,7 @@ def _pair_shard(mu: float):
             size = int(n.sum())
             out.append(["pair", shard, r["chunk"], back[at : at + size].tobytes(), None, size, 0])
             at += size
-        out.append(["level2", shard, -1, blob, None, int(kept.sum()), int(count.sum())])
+        out.append(["level2", shard, -1, blob, np.array([steps]).tobytes(), int(kept.sum()), int(count.sum())])
         return pa.Table.from_batches([_binary(out, _REPLY_NAMES, _REPLY_TYPES)])
 
     return serve
@@ -322,7 +333,7 @@ _SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, bas
 
 
 def _score(model: dict):
-    mu, n, v = model["mu"], model["n"], model["v"]
+    mu, n, v, share_of = model["mu"], model["n"], model["v"], shares(model["steps"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         replies, parts = right.to_pylist(), []
@@ -333,7 +344,7 @@ def _score(model: dict):
             if len(k.pairs):
                 back = sorted((r for r in replies if r["kind"] == "pair"), key=lambda r: r["shard"])
                 codes = np.frombuffer(b"".join(r["a"] for r in back), np.uint8)
-                share[k.seen] = _SHARES[codes][k.pair_of]
+                share[k.seen] = share_of[codes][k.pair_of]
             rest = (mu / (k.b_counts.astype(np.float64) + mu))[k.before]
             p = np.log10(share + rest * single[k.tokens])
             total = lambda x: np.add.reduceat(x, k.first)  # noqa: B023, E731
@@ -358,7 +369,7 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
 def train_and_score(docs: DataFrame, held_out, mu: float = MU, tokens_per_shard: int = TOKENS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
     """(scores, levels): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learning from the rows for which the Column ``held_out`` is false; and the model's trie levels
-    (kind, shard, a, b: the encoded sequences)."""
+    (kind, shard, a, b: the encoded sequences; for level 2, b is the steps a decade of its codes)."""
     spark = docs.sparkSession
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.count_if(~held_out)).first()
     if not size[1]:
@@ -376,11 +387,13 @@ def train_and_score(docs: DataFrame, held_out, mu: float = MU, tokens_per_shard:
         starts[r["shard"]] = run
         run += r["n"]
     model = {"starts": starts, "n": run, "v": sum(r["m"] for r in level), "docs": size[2], "shards": shards, "mu": mu}
+    # A context counts at most what its shard holds, and the start as many as there are texts.
+    model["steps"] = steps_for(max([size[2], *(r["n"] for r in level)]), mu)
 
     left = chunks.select("chunk", "doc_ids", "held", "lengths", "tokens").groupBy("chunk")
     word_back = word_side.where("kind = 'word'").select("kind", "shard", "chunk", "a", "b")
     pairs = left.cogroup(word_back.groupBy("chunk")).applyInArrow(_send_pairs(model), _PAIR_SCHEMA)
-    pair_side = stored(pairs.groupBy("shard").applyInArrow(_pair_shard(mu), _REPLY_SCHEMA), "lm-pairs")
+    pair_side = stored(pairs.groupBy("shard").applyInArrow(_pair_shard(mu, model["steps"]), _REPLY_SCHEMA), "lm-pairs")
     back = word_back.unionByName(pair_side.where("kind = 'pair'").select("kind", "shard", "chunk", "a", "b"))
     scores = left.cogroup(back.groupBy("chunk")).applyInArrow(_score(model), _SCORE_SCHEMA)
     levels = word_side.unionByName(pair_side).where("kind like 'level%'")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chiffra.llm import lmscore
@@ -89,3 +90,16 @@ def test_codes_never_exceed_shares():
     s = np.random.default_rng(5).random(10000) ** 6
     q = lmscore._SHARES[lmscore.quantise(s)]
     assert (q <= s * (1 + 1e-6)).all() and lmscore.quantise(np.array([1.0, 0.0])).tolist() == [255, 0]
+
+
+@pytest.mark.parametrize("total", [10**6, 2 * 10**8, 10**12])
+def test_rare_successors_of_a_huge_context_keep_a_code(total):
+    times = np.array([1, 2, 3, 1000, total // 2], np.uint64)
+    row = {"shard": 0, "chunk": 0, "contexts": lmscore.pack(np.array([7])), "totals": lmscore.pack(np.array([total])), "runs": lmscore.pack(np.array([5])), "words": lmscore.pack(np.arange(5)), "times": lmscore.pack(times)}
+    steps = lmscore.steps_for(total, 500.0)
+    out = lmscore._pair_shard(500.0, steps)(pa.Table.from_pylist([row])).to_pylist()
+    codes = np.frombuffer(out[0]["a"], np.uint8)
+    exact = times / (total + 500.0)
+    got = lmscore.shares(steps)[codes]
+    assert (codes > 0).all() and (got <= exact * (1 + 1e-6)).all() and (np.log10(exact / got) <= 1 / steps + 1e-6).all()
+    assert steps == lmscore.STEPS_PER_DECADE or total > 10**7
