@@ -9,24 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Files of a table of known size: so many, and one more for every so many narrow rows.
+FILES, ROWS_PER_FILE = 24, 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where the cluster names none."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where none is named, a temporary one on a single machine
+    and one in the warehouse, which executors share in any case, on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="chiffra-")
+        local = spark.sparkContext.master.startswith("local")
+        path = tempfile.mkdtemp(prefix="chiffra-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/chiffra"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends there."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: its lineage ends there. A table of at most ``rows`` narrow rows
+    goes into as many files as these need, not into one for each shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chiffra-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    out = df if rows is None else df.coalesce(FILES + rows // ROWS_PER_FILE)
+    out.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored_at"] = path
@@ -107,12 +113,22 @@ def id_bits(ids: DataFrame, column: str) -> DataFrame:
     return ids.select(word, F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
+def _marked_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """``rows`` beside the word of the bitmap of ``ids`` that they fall on, and whether their bit is set."""
+    bits = F.broadcast(id_bits(ids, column).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
+    word = F.shiftright(F.xxhash64(column).bitwiseAND(64 * FILTER_WORDS - 1), 6)
+    return rows.join(bits, word == F.col("__w"), "left"), F.coalesce(F.expr(f"(__b & shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))) <> 0"), F.lit(False))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` may be in ``ids``: all that are, and few others as long as the bitmap isn't full."""
+    marked, hit = _marked_ids(rows, ids, column)
+    return marked.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` isn't in ``ids``; nulls stay. A broadcast bitmap of fixed size lets most rows pass where
     they are; only those whose bit is set are shuffled for the exact anti-join."""
-    bits = F.broadcast(id_bits(ids, column).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
-    h = F.xxhash64(column)
-    marked = rows.join(bits, F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6) == F.col("__w"), "left")
-    hit = F.coalesce(F.expr(f"(__b & shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))) <> 0"), F.lit(False))
-    maybe = marked.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns]).join(ids.select(column), column, "left_anti")
-    return marked.where(~hit).select(*[F.col(f"`{c}`") for c in rows.columns]).unionByName(maybe)
+    marked, hit = _marked_ids(rows, ids, column)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(~hit).select(*columns).unionByName(marked.where(hit).select(*columns).join(ids.select(column), column, "left_anti"))

@@ -6,35 +6,43 @@ densification). Four slots make a band: at a similarity of 0.75 a pair misses al
 
 Texts with the same set of shingles are one class first, so a bucket holds different sets only. Each bucket gives a
 star: its members are compared with its centre and not with one another. The centre is the member that shares most
-buckets (the original of a family of edited copies), so stars follow families. Buckets whose members lie in more than
-one component after that are opened again, with other centres and only for members outside the centre's component,
-until a round finds no open bucket or ``ROUNDS`` are over; buckets of up to ``SMALL`` members are compared in full from
-the start. Buckets still open then are compared in full too: those that share members form a group, whose members are
-cut into blocks of bounded size, and each pair of blocks counts all its common shingles by products of incidence
-matrices, leaving out pairs of blocks of one component or of sizes too unequal. Every candidate is confirmed on the full sets (100 * intersection >= 75 * union). Components come from
-alternating large and small stars, which need a logarithmic number of rounds and never gather a component.
+buckets (the original of a family of edited copies), so stars follow families; buckets of up to ``SMALL`` members are
+compared in full at once. Every candidate is confirmed on the full sets (100 * intersection >= 75 * union). Components
+come from alternating large and small stars, which need a logarithmic number of rounds and never gather a component.
+
+A bucket whose members still lie in several components is open, and stars say nothing about its other pairs. Open
+buckets are therefore compared exactly: components that share one form a group, a group's members are dealt into blocks
+of at most some ``BLOCK`` shingles (large components apart, the others by classes of size), and each pair of blocks that
+could hold a link counts all common shingles: as products of incidence matrices, whose equal columns are one weighted
+column, and one by one for rare shingles. Pairs of blocks of one component, or of sizes too unequal, are left out. No
+pair that shares a bucket goes unseen. This is quadratic in the blocks of a group, so in a corpus where a third of all
+documents share buckets without being similar to one another it costs what an exact join of that third costs.
 
 Null, empty and wordless texts have an empty set, and link with nothing. Rows with a null doc_id stand alone: their
 component_id is null and they are kept. Repeated rows all come back, with the same answer; rows that share a doc_id but
-not a text are answered text by text, and links of either count for the doc_id. Extra columns are ignored.
+not a text are answered text by text, and links of either count for the doc_id. Ties between centres go to the larger
+doc_id and do not change the result. A very long text is one set like any other. Extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import FILTER_WORDS, documents, dropped, id_bits, join_groups, stored, without_ids
+from chiffra.llm._common import FILTER_WORDS, documents, dropped, id_bits, join_groups, stored, with_ids, without_ids
 from chiffra.llm._text import Words, lists, mix, strings, windows
 
 WIDTH = 5
 SLOTS, PER_BAND = 256, 4
 BANDS = SLOTS // PER_BAND
 SMALL = 4
-#: Rounds of stars, the first included, and centres of an open bucket in each later one.
-ROUNDS, CENTRES = 3, 2
 #: Shingles of a block in the full comparison (a set counts as ``LEAST`` at least), and columns of an incidence matrix.
 BLOCK, LEAST, COLUMNS = 400_000, 200, 2048
+#: A shingle that so few pairs of a pair of blocks share is counted pair by pair.
+RARE = 64
+#: Pairs of one centre that share a copy of its set in the confirming join.
+PER_COPY = 500
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -128,33 +136,43 @@ def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.size("shingles") > 0)
 
 
+def _marked(edges: DataFrame, rows: int | None) -> tuple[DataFrame, tuple[int, int]]:
+    """``edges`` (u, v) in the shared folder, with their number and a checksum that the same job observes."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "stars", rows=rows)
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component: its smallest node) of the nodes of ``edges`` (a, b), by alternating large and small stars."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-    seen = mark(now)
+    now, seen = _marked(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", rows=seen[0])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = stored(small.select("e.*").where("u <> v").distinct(), "stars")
-        now_mark = mark(after)
+        after, mark = _marked(small.select("e.*").where("u <> v").distinct(), seen[0])
         dropped(now, large)
-        now = after
-        if now_mark == seen:
+        now, before, seen = after, seen, mark
+        if seen == before:
             break
-        seen = now_mark
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return stored(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "links")
+def _confirmed(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. ``pairs`` are (leaf, centre): a set is a leaf at most once in a
+    bucket, but the centre of any number of pairs. Centres of many pairs have their set copied, ``PER_COPY`` pairs or a
+    2000th of all pairs to a copy, so that no task meets them all."""
+    each = max(PER_COPY, total // 2000)
+    hot = pairs.groupBy("centre").count().where(F.col("count") > each).select(F.col("centre").alias("rep"), F.ceil(F.col("count") / each).cast("int").alias("copies"))
+    hot = F.broadcast(hot)  # fewer than 2,000 rows
+    dealt = pairs.join(hot.withColumnRenamed("rep", "centre"), "centre", "left").select("leaf", "centre", F.coalesce(F.pmod(F.xxhash64("leaf"), "copies"), F.lit(0)).cast("int").alias("copy"))
+    of_centre = sets.join(hot, "rep", "left").select(F.col("rep").alias("centre"), F.col("shingles").alias("sc"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies") - 1, F.lit(0)))).alias("copy"))
+    both = dealt.join(sets.select(F.col("rep").alias("leaf"), F.col("shingles").alias("sl")), "leaf").join(of_centre, ["centre", "copy"])
+    common = F.size(F.array_intersect("sl", "sc"))
+    return both.where(100 * common >= 75 * (F.size("sl") + F.size("sc") - common)).select(F.least("leaf", "centre").alias("a"), F.greatest("leaf", "centre").alias("b"))
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,57 +182,96 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
 
 
+def common_counts(fx: np.ndarray, rx: np.ndarray, fy: np.ndarray, ry: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many values each row of one side shares with each row of the other; values are distinct within a row."""
+    words, at = np.unique(np.concatenate([fx, fy]), return_inverse=True)
+    ax, ay = at[: len(fx)], at[len(fx) :]
+    times = np.bincount(ax, minlength=len(words)) * np.bincount(ay, minlength=len(words))
+    # Values that stand in the same rows are one column, which weighs as much as they are many.
+    mark = np.zeros(len(words), np.uint64)
+    np.add.at(mark, ax, mix(rx.astype(np.uint64), 31))
+    np.add.at(mark, ay, mix(ry.astype(np.uint64), 32))
+    shared = np.flatnonzero(times)
+    _, first, weight = np.unique(mark[shared], return_index=True, return_counts=True)
+    column, weight_of = np.full(len(words), -1), np.zeros(len(words), np.float32)
+    kept = shared[first]
+    weight_of[kept] = weight
+    out = np.zeros(shape, np.float32)
+    many, few = kept[times[kept] > RARE], kept[times[kept] <= RARE]
+    column[many] = np.arange(len(many))
+    cx, cy = column[ax], column[ay]
+    for lo in range(0, len(many), COLUMNS):
+        width = min(COLUMNS, len(many) - lo)
+        parts = []
+        for c, r, n in ((cx, rx, shape[0]), (cy, ry, shape[1])):
+            hit = (c >= lo) & (c < lo + width)
+            m = np.zeros((n, width), np.float32)
+            m[r[hit], c[hit] - lo] = 1
+            parts.append(m)
+        out += (parts[0] * weight_of[many[lo : lo + width]]) @ parts[1].T
+    if len(few):
+        column[:] = -1
+        column[few] = np.arange(len(few))
+        ix, iy = (np.flatnonzero(column[a] >= 0) for a in (ax, ay))
+        ix, iy = ix[np.argsort(column[ax[ix]], kind="stable")], iy[np.argsort(column[ay[iy]], kind="stable")]
+        ny = np.bincount(column[ay[iy]], minlength=len(few))
+        from_y = np.cumsum(ny) - ny
+        c = column[ax[ix]]
+        n = ny[c]
+        y = iy[np.repeat(from_y[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        np.add.at(out.reshape(-1), np.repeat(rx[ix], n) * shape[1] + ry[y], np.repeat(weight_of[few][c], n))
+    return out
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """The similar pairs (a, b) of different components between two blocks, or within one."""
     block, first, second = (table.column(c).to_numpy() for c in ("block", "x", "y"))
     sides = [table.filter(pa.array(block == b)) for b in (first[0], second[0])]
-    (fx, rx), (fy, ry) = (_flat(s.column("shingles")) for s in sides)
-    words, times = np.unique(fx, return_counts=True)
-    words = words[times > 1] if first[0] == second[0] else np.intersect1d(words, fy)
     rep, comp, size = ([s.column(c).to_numpy() for s in sides] for c in ("rep", "component", "n_shingles"))
-    common = np.zeros((len(rep[0]), len(rep[1])), np.float32)
-    cells = []
-    for flat, row in ((fx, rx), (fy, ry)):
-        at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
-        hit = np.flatnonzero(words[at] == flat) if len(words) else np.zeros(0, np.int64)
-        order = hit[np.argsort(at[hit], kind="stable")]
-        cells.append((at[order], row[order]))
-    for lo in range(0, len(words), COLUMNS):
-        parts = []
-        for (at, row), ids in zip(cells, rep, strict=True):
-            a, z = np.searchsorted(at, [lo, lo + COLUMNS])
-            m = np.zeros((len(ids), min(COLUMNS, len(words) - lo)), np.float32)
-            m[row[a:z], at[a:z] - lo] = 1
-            parts.append(m)
-        common += parts[0] @ parts[1].T
+    common = common_counts(*_flat(sides[0].column("shingles")), *_flat(sides[1].column("shingles")), (len(rep[0]), len(rep[1])))
     i, j = np.nonzero((175 * common >= 75 * (size[0][:, None] + size[1][None, :])) & (comp[0][:, None] != comp[1][None, :]))
     a, b = rep[0][i], rep[1][j]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _full_links(large: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """All similar pairs (a, b) of different components within open buckets; None where no bucket is open."""
-    named = large.select("bucket", "rep", "n_shingles").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    still = named.groupBy("bucket").agg(F.min("rep").alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "head")
-    inside = stored(named.join(still, "bucket").select("rep", "n_shingles", "component", "head"), "open")
-    if inside.isEmpty():
+def _open_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """All similar pairs (a, b) of different components within open buckets; None where no bucket is open. ``members`` are
+    (bucket, members, rep, n_shingles), ``comp`` (node, component)."""
+    named = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = stored(named, "members")
+    still = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "low", "n")
+    still = stored(still, "open")
+    total = still.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        dropped(named, still)
         return None
-    group = components(inside.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    rows = inside.select("rep", "n_shingles", "component").distinct().join(group, "rep")
-    # Members of a large component lie together, all others by size, so that many pairs of blocks need no comparison.
+    inside = stored(join_groups(named.select("bucket", "rep", "n_shingles", "component"), still, ["bucket"], "n", total).select("rep", "n_shingles", "component", "low").distinct(), "open")
+    group = components(inside.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("group"))
     weight = F.greatest("n_shingles", F.lit(LEAST))
-    held = F.sum(weight).over(Window.partitionBy("group", "component"))
-    rows = rows.withColumn("apart", F.when(held >= BLOCK, F.col("component")))
-    run = F.sum(weight).over(Window.partitionBy("group").orderBy("apart", "n_shingles", "rep").rowsBetween(Window.unboundedPreceding, 0))
-    rows = stored(rows.withColumn("block", F.floor(run / BLOCK).cast("long")).drop("apart"), "blocks")
-    blocks = rows.groupBy("group", "block").agg(*[f(c).alias(f"{n}_{k}") for c, n in (("n_shingles", "size"), ("component", "comp")) for f, k in ((F.min, "low"), (F.max, "high"))])
+    mine = inside.select("rep", "n_shingles", "component").distinct()
+    comps = mine.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight")).join(group, "component")
+    comps = stored(comps, "open-components", rows=total)
+    groups = comps.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("weight") < BLOCK, F.col("weight")).otherwise(0)).alias("rest"))
+    comps = join_groups(comps, groups, ["group"], "k", total).select("component", "n", "group", F.when(F.col("weight") >= BLOCK, F.col("component")).alias("apart"), F.greatest(F.lit(1), F.ceil(F.when(F.col("weight") >= BLOCK, F.col("weight")).otherwise(F.col("rest")) / BLOCK)).alias("parts"))
+    rows = join_groups(mine, comps, ["component"], "n", total)
+    # Sizes of similar sets differ by a factor of 4/3 at most, so by one class at most.
+    rows = rows.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / 75)) + 1e-9)).withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    rows = stored(rows.withColumn("block", F.xxhash64("group", "apart", "class", "part")).select("rep", "n_shingles", "component", "group", "apart", "class", "block"), "blocks")
+    blocks = rows.groupBy("group", "apart", "class", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     x, y = blocks.alias("p"), blocks.alias("q")
-    near = (100 * F.col("p.size_high") >= 75 * F.col("q.size_low")) & (100 * F.col("q.size_high") >= 75 * F.col("p.size_low"))
-    mixed = F.least("p.comp_low", "q.comp_low") < F.greatest("p.comp_high", "q.comp_high")
-    both = x.join(y, (F.col("p.group") == F.col("q.group")) & (F.col("p.block") <= F.col("q.block")) & near & mixed).select("p.group", F.col("p.block").alias("x"), F.col("q.block").alias("y"))
-    sent = both.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).join(rows, ["group", "block"]).join(sets, "rep")
-    found = sent.select("group", "x", "y", "block", "rep", "component", "n_shingles", "shingles").groupBy("group", "x", "y").applyInArrow(_compare, "a long, b long")
-    return stored(found.where("a < b").distinct(), "links")
+    near = F.abs(F.col("p.class") - F.col("q.class")) <= 1
+    mixed = F.least("p.low", "q.low") < F.greatest("p.high", "q.high")
+    both = x.join(y, (F.col("p.group") == F.col("q.group")) & (F.col("p.block") <= F.col("q.block")) & near & mixed).select(F.col("p.block").alias("x"), F.col("q.block").alias("y"))
+    sent = both.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))).join(rows, "block").join(sets, "rep")
+    found = sent.select("x", "y", "block", "rep", "component", "n_shingles", "shingles").groupBy("x", "y").applyInArrow(_compare, "a long, b long")
+    found = stored(found.where("a < b").distinct(), "links")
+    dropped(named, still, inside, comps, rows)
+    return found
+
+
+def _apt(x: Column, y: Column) -> Column:
+    """Sets whose sizes differ by more than a quarter can't be similar enough: such pairs are not formed."""
+    return 100 * F.least(x, y) >= 75 * F.greatest(x, y)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,51 +279,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = stored(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    total, different = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
 
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stored(rows.join(shared, "bucket"), "buckets")
-    weight = members.groupBy("rep").agg(F.sum("members").alias("weight"))
-    members = stored(members.join(weight, "rep"), "members")
-    sets = stored(candidate_sets(docs, weight.select("rep")), "shingles")
-
-    # Sets whose sizes differ by more than a quarter can't be similar enough: such pairs are not formed.
-    apt = lambda x, y: 100 * F.least(x, y) >= 75 * F.greatest(x, y)
+    shared = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    # Buckets of one member, nearly all, stop at a bitmap of the others and are not shuffled again.
+    members = join_groups(with_ids(rows, shared, "bucket"), shared, ["bucket"], "members", different * BANDS)
+    members = members.groupBy("rep").agg(F.any_value("n_shingles").alias("n_shingles"), F.sum("members").alias("weight"), F.collect_list(F.struct("bucket", "members")).alias("buckets"))
+    members = stored(members, "members")  # a set has ``BANDS`` buckets at most
+    sets = stored(candidate_sets(docs, members.select("rep")), "shingles")
+    members = members.select("rep", "n_shingles", "weight", F.inline("buckets"))
+
     small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rep", "n_shingles"))).alias("r"))
-    small = small.select("r", F.explode("r").alias("x")).select("x", F.explode("r").alias("y")).where((F.col("x.rep") < F.col("y.rep")) & apt(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    small = small.select("r", F.explode("r").alias("x")).select("x", F.explode("r").alias("y")).where((F.col("x.rep") < F.col("y.rep")) & _apt(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.rep").alias("leaf"), F.col("y.rep").alias("centre"))
     large = members.where(F.col("members") > SMALL)
-    centres = large.groupBy("bucket").agg(F.max_by(F.struct("rep", "n_shingles"), F.struct("weight", "rep")).alias("c"))
-    star = large.join(centres, "bucket").where((F.col("rep") != F.col("c.rep")) & apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-    tried = stored(small.unionByName(star).distinct(), "pairs")
-    links = _confirmed(tried, sets)
+    centres = large.groupBy("bucket").agg(F.max("members").alias("members"), F.max_by(F.struct("rep", "n_shingles"), F.struct("weight", "rep")).alias("c"))
+    star = join_groups(large.select("bucket", "rep", "n_shingles"), centres, ["bucket"], "members", different * BANDS)
+    star = star.where((F.col("rep") != F.col("c.rep")) & _apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.col("rep").alias("leaf"), F.col("c.rep").alias("centre"))
+    seen = Observation()
+    tried = stored(small.unionByName(star).distinct().observe(seen, F.count(F.lit(1)).alias("n")), "pairs")
+    links = stored(_confirmed(tried, sets, seen.get["n"]), "links")
     comp = stored(components(links), "components")
-    for k in range(1, ROUNDS):
-        # What is still open: large buckets with members in several components. Each gets a few other centres, drawn anew in
-        # every bucket, besides a second one by weight.
-        named = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        picks = [F.struct(F.xxhash64("rep", "bucket", F.lit(CENTRES * k + i)), "rep") for i in range(CENTRES)]
-        if k == 1:
-            picks[0] = F.struct(-F.col("weight"), "rep")
-        chosen = [F.min_by(F.struct("rep", "component", "n_shingles"), p).alias(f"c{i}") for i, p in enumerate(picks)]
-        first = named.groupBy("bucket").agg(*chosen, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        first = first.select("bucket", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("c"))
-        more = named.join(first, "bucket").where((F.col("component") != F.col("c.component")) & apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        more = stored(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = _confirmed(more, sets)
-        tried = tried.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = stored(components(links), "components")
-    found = _full_links(large, comp, sets)
+    found = _open_links(large.select("bucket", "rep", "n_shingles"), comp, sets)
     if found is not None and not found.isEmpty():
-        comp = stored(components(links.unionByName(found)), "components")
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
-    named = stored(named, "named")
-    dropped(members, sets)
-    answers = join_groups(full.select("doc_id", "d1", "d2", "n_shingles"), named, ["d1", "d2", "n_shingles"], "copies", total).drop("copies")
+        # Links between components join these; nodes that no star linked are components of their own.
+        named = comp.withColumnRenamed("component", "now")
+        ends = [found.join(named.withColumnRenamed("node", c), c, "left").select("a", "b", F.coalesce("now", c).alias("c")) for c in ("a", "b")]
+        new = ends[0].withColumnRenamed("c", "ca").join(ends[1].withColumnRenamed("c", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = stored(components(new).withColumnRenamed("node", "now").withColumnRenamed("component", "to"), "components")
+        alone = joined.join(comp, F.col("now") == F.col("node"), "left_anti").select(F.col("now").alias("node"), F.col("to").alias("component"))
+        before = comp
+        comp = stored(named.join(joined, "now", "left").select("node", F.coalesce("to", "now").alias("component")).unionByName(alone), "components")
+        dropped(before, joined)
+    answer = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
+    answer = stored(answer, "named")
+    dropped(classes, shared, members, sets, tried, links, comp, *([found] if found is not None else []))
+    answers = join_groups(full.select("doc_id", "d1", "d2", "n_shingles"), answer, ["d1", "d2", "n_shingles"], "copies", total).drop("copies")
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "d1", "d2", "n_shingles", F.col("doc_id").alias("component_id"))
     return answers.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -279,10 +327,10 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     left = without_ids(docs, stored(goes, "goes"), "doc_id")
     if again.isEmpty():
         return left
-    one = left.join(again, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    one = one.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return left.join(again, "doc_id", "left_anti").unionByName(one)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = with_ids(left, again, "doc_id").join(again, "doc_id", "left_semi")
+    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
+    return without_ids(left, again, "doc_id").unionByName(one)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,51 @@ def test_sparse_template_family(spark, monkeypatch):
     assert got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("n, pool, share", [(1500, 24, 0.6), (5000, 30, 0.55)])
+def test_shared_paragraphs(spark, n, pool, share):
+    """Documents are random subsets of a pool of paragraphs, in its order: many share buckets, few are similar, and every
+    link counts (its recall is 1)."""
+    rng = np.random.default_rng(n)
+    parts = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(pool)]
+    texts = [" ".join(parts[k] for k in range(pool) if x[k]) for x in rng.random((n, pool)) < share]
+    sets = [shingles(t) for t in texts]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((n, len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    size = m.sum(axis=1)
+    common = m @ m.T
+    near = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    want = np.arange(n)
+    while True:
+        low = np.where(near, want[None, :], n).min(axis=1, initial=n)
+        low = np.minimum(low, want)
+        if (low == want).all():
+            break
+        want = low
+    assert np.triu(near, 1).sum() > 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize("shape, words", [((1, 1), 3), ((60, 40), 50), ((200, 150), 4000)])
+def test_common_counts(shape, words):
+    rng = np.random.default_rng(words)
+    a, b = rng.random((shape[0], words)) < 0.1, rng.random((shape[1], words)) < 0.1
+    a[:, 1], b[:, 1], a[:, 2], b[:, 2] = True, True, a[:, 0], b[:, 0]
+    (rx, fx), (ry, fy) = np.nonzero(a), np.nonzero(b)
+    assert (neardup.common_counts(fx, rx, fy, ry, shape) == a.astype(int) @ b.T.astype(int)).all()
+
+
+def test_edge_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.near_duplicates(empty).collect() == []
+    rows = [(1, "x " * 200_000 + "y", 5, "en"), (2, "X " * 200_000 + "y", 6, "de"), (None, "x x x x x", 1, None)]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, bands int, component_id string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), None: (None, True)}
+
+
 def test_tables(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(spark, [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()])
