@@ -102,6 +102,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return marked.where("__hot").select(*out).unionByName(marked.where("__hot is null").select(*rows.columns).join(cold, keys, how).select(*out))
 
 
+#: Rows of one key that share a copy of its group in ``copied_join``.
+PER_COPY = 500
+
+
+def copied_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """Join rows to the one wide row of their group. A group of many of the ``total`` rows is copied, ``PER_COPY`` rows or a
+    2000th of all rows to a copy, and its rows are dealt to the copies by the hash of ``spread``, so no task meets them
+    all. What is broadcast is the number of copies of fewer than 2,000 keys."""
+    each = max(PER_COPY, total // 2000)
+    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > each).select(key, F.ceil(F.col("__n") / each).cast("int").alias("__copies")))
+    dealt = rows.join(hot, key, "left").select(*rows.columns, F.coalesce(F.pmod(F.xxhash64(spread), "__copies"), F.lit(0)).cast("int").alias("__copy"))
+    copies = groups.join(hot, key, "left").select(*groups.columns, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies") - 1, F.lit(0)))).alias("__copy"))
+    return dealt.join(copies, [key, "__copy"]).drop("__copy")
+
+
 #: Words of 64 bits in a bitmap of ids: 8 MB, whatever the input.
 FILTER_WORDS = 1 << 20
 
@@ -113,7 +128,7 @@ def id_bits(ids: DataFrame, column: str) -> DataFrame:
     return ids.select(word, F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
-def _marked_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
+def marked_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
     """``rows`` beside the word of the bitmap of ``ids`` that they fall on, and whether their bit is set."""
     bits = F.broadcast(id_bits(ids, column).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
     word = F.shiftright(F.xxhash64(column).bitwiseAND(64 * FILTER_WORDS - 1), 6)
@@ -122,13 +137,13 @@ def _marked_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame
 
 def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` may be in ``ids``: all that are, and few others as long as the bitmap isn't full."""
-    marked, hit = _marked_ids(rows, ids, column)
+    marked, hit = marked_ids(rows, ids, column)
     return marked.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` isn't in ``ids``; nulls stay. A broadcast bitmap of fixed size lets most rows pass where
     they are; only those whose bit is set are shuffled for the exact anti-join."""
-    marked, hit = _marked_ids(rows, ids, column)
+    marked, hit = marked_ids(rows, ids, column)
     columns = [F.col(f"`{c}`") for c in rows.columns]
     return marked.where(~hit).select(*columns).unionByName(marked.where(hit).select(*columns).join(ids.select(column), column, "left_anti"))

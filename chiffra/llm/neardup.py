@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import FILTER_WORDS, documents, dropped, id_bits, join_groups, stored, with_ids, without_ids
+from chiffra.llm._common import FILTER_WORDS, copied_join, documents, dropped, id_bits, join_groups, stored, with_ids, without_ids
 from chiffra.llm._text import Words, lists, mix, strings, windows
 
 WIDTH = 5
@@ -41,8 +41,6 @@ SMALL = 4
 BLOCK, LEAST, COLUMNS = 400_000, 200, 2048
 #: A shingle that so few pairs of a pair of blocks share is counted pair by pair.
 RARE = 64
-#: Pairs of one centre that share a copy of its set in the confirming join.
-PER_COPY = 500
 
 
 def shingle_sets(w: Words) -> list[np.ndarray]:
@@ -163,14 +161,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``pairs`` are (leaf, centre): a set is a leaf at most once in a
-    bucket, but the centre of any number of pairs. Centres of many pairs have their set copied, ``PER_COPY`` pairs or a
-    2000th of all pairs to a copy, so that no task meets them all."""
-    each = max(PER_COPY, total // 2000)
-    hot = pairs.groupBy("centre").count().where(F.col("count") > each).select(F.col("centre").alias("rep"), F.ceil(F.col("count") / each).cast("int").alias("copies"))
-    hot = F.broadcast(hot)  # fewer than 2,000 rows
-    dealt = pairs.join(hot.withColumnRenamed("rep", "centre"), "centre", "left").select("leaf", "centre", F.coalesce(F.pmod(F.xxhash64("leaf"), "copies"), F.lit(0)).cast("int").alias("copy"))
-    of_centre = sets.join(hot, "rep", "left").select(F.col("rep").alias("centre"), F.col("shingles").alias("sc"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies") - 1, F.lit(0)))).alias("copy"))
-    both = dealt.join(sets.select(F.col("rep").alias("leaf"), F.col("shingles").alias("sl")), "leaf").join(of_centre, ["centre", "copy"])
+    bucket, but the centre of any number of pairs."""
+    both = copied_join(pairs, sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("sc")), "centre", "leaf", total)
+    both = both.join(sets.select(F.col("rep").alias("leaf"), F.col("shingles").alias("sl")), "leaf")
     common = F.size(F.array_intersect("sl", "sc"))
     return both.where(100 * common >= 75 * (F.size("sl") + F.size("sc") - common)).select(F.least("leaf", "centre").alias("a"), F.greatest("leaf", "centre").alias("b"))
 
