@@ -93,7 +93,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, nam
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to the one row of their group. Groups with over a 2000th of all rows, so fewer than 2000, are
     broadcast; the others are shuffled, and none of those is large."""
-    limit = max(1000, total // 2000)
+    limit = max(200, total // 2000)
     hot = F.broadcast(groups.where(F.col(count) > limit).withColumn("__hot", F.lit(True)))
     cold = groups.where(F.col(count) <= limit)
     values = [c for c in groups.columns if c not in keys]
@@ -121,23 +121,23 @@ def copied_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, total
 FILTER_WORDS = 1 << 20
 
 
-def id_bits(ids: DataFrame, column: str) -> DataFrame:
+def id_bits(ids: DataFrame, column: str, words: int = FILTER_WORDS) -> DataFrame:
     """(w, b): the set words of a bitmap of fixed size over the hashes of a column."""
     h = F.xxhash64(column)
-    word = F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).alias("w")
+    word = F.shiftright(h.bitwiseAND(64 * words - 1), 6).alias("w")
     return ids.select(word, F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
-def marked_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
+def marked_ids(rows: DataFrame, ids: DataFrame, column: str, words: int = FILTER_WORDS) -> tuple[DataFrame, Column]:
     """``rows`` beside the word of the bitmap of ``ids`` that they fall on, and whether their bit is set."""
-    bits = F.broadcast(id_bits(ids, column).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
-    word = F.shiftright(F.xxhash64(column).bitwiseAND(64 * FILTER_WORDS - 1), 6)
+    bits = F.broadcast(id_bits(ids, column, words).select(F.col("w").alias("__w"), F.col("b").alias("__b")))
+    word = F.shiftright(F.xxhash64(column).bitwiseAND(64 * words - 1), 6)
     return rows.join(bits, word == F.col("__w"), "left"), F.coalesce(F.expr(f"(__b & shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))) <> 0"), F.lit(False))
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def with_ids(rows: DataFrame, ids: DataFrame, column: str, words: int = FILTER_WORDS) -> DataFrame:
     """``rows`` whose ``column`` may be in ``ids``: all that are, and few others as long as the bitmap isn't full."""
-    marked, hit = marked_ids(rows, ids, column)
+    marked, hit = marked_ids(rows, ids, column, words)
     return marked.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 

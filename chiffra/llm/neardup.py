@@ -39,6 +39,8 @@ BANDS = SLOTS // PER_BAND
 SMALL = 4
 #: Shingles of a block in the full comparison (a set counts as ``LEAST`` at least), and columns of an incidence matrix.
 BLOCK, LEAST, COLUMNS = 400_000, 200, 2048
+#: Words of 64 bits in the bitmap of shared buckets: 2 MB.
+BUCKET_WORDS = 1 << 18
 #: A shingle that so few pairs of a pair of blocks share is counted pair by pair.
 RARE = 64
 
@@ -277,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     # Buckets of one member, nearly all, stop at a bitmap of the others and are not shuffled again.
-    members = join_groups(with_ids(rows, shared, "bucket"), shared, ["bucket"], "members", different * BANDS)
+    members = join_groups(with_ids(rows, shared, "bucket", BUCKET_WORDS), shared, ["bucket"], "members", different * BANDS)
     members = members.groupBy("rep").agg(F.any_value("n_shingles").alias("n_shingles"), F.sum("members").alias("weight"), F.collect_list(F.struct("bucket", "members")).alias("buckets"))
     members = stored(members, "members")  # a set has ``BANDS`` buckets at most
     sets = stored(candidate_sets(docs, members.select("rep")), "shingles")
