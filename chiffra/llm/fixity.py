@@ -1,24 +1,30 @@
 """Operator 4, Merkle fixity audit of WARC replicas.
 
 Each page is one WARC resource record; its record bytes (header, blank line, body, two line ends) give length and
-SHA-256. Records in the order of (page_id, digest) get gapless ordinals and byte offsets. A tree of fan-out ``FANOUT``
-stands on them: a node's hash is the SHA-256 of its children's hashes in order, and its span is the offset range of its
-records. An audit compares two replicas' roots and then, level by level, joins only the children of nodes that differ;
-what is left at the lowest level are the damaged, missing and added records with their offset ranges.
-
-Ordinals and offsets come from sums over ordinal-free buckets of the order (ranges of page_id), so no task sees all
-records. Trees of replicas that differ in length are compared node by node as well: records are placed in a tree by
-their key's position in the reference replica's order, so a missing record leaves a hole and doesn't shift the rest.
-Null ids sort first; null URLs and bodies count as empty; repeated rows are told apart by a running number.
+SHA-256. Records in the order of (page_id, digest, copy) get gapless ordinals and byte offsets. A tree of fan-out
+``FANOUT`` stands on them: a node's hash is the SHA-256 of its children's hashes in order, and its span is the offset
+range of its records. An audit compares two replicas' roots and then, level by level, joins only the children of nodes
+that differ; what is left at the lowest level are the damaged, missing and added records with their offset ranges.
+
+Ordinals and offsets come from sums over ranges of the order, so no task sees all records. Trees of replicas that differ
+in length are compared node by node as well: a replica's record takes the ordinal of its partner in the reference, so a
+missing record leaves a hole and doesn't shift the rest. Partners are first the records of one page_id and one digest,
+one to one, and then, within a page_id, the records left over on both sides (in the order of their hashes), so that one
+spoiled copy of many is one report. Numbers within a page_id are taken in hash buckets, so a page_id with a third of all
+rows, or null page_ids, are spread over many tasks.
+
+Null ids sort first and are one page; null URLs and bodies count as empty; repeated rows are told apart by ``copy``, a
+running number among records of one page_id and digest. Bodies are hashed whole, however long. Extra columns are ignored,
+whatever their names. Empty tables have a root over nothing: against an empty replica every record is missing, and the
+other way round every record is added.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import documents, stored
+from chiffra.llm._common import documents, dropped, ranked, stored
 
 FANOUT = 64
-MOST_LEVELS = 12
 
 
 def record(url: Column, body: Column) -> Column:
@@ -33,10 +39,11 @@ def record(url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, copy, length, digest) of each row; ``copy`` numbers rows with one page_id."""
+    """(page_id, copy, length, digest) of each row; ``copy`` numbers, from 1, the rows of one page_id and digest."""
     rows = pages.select("page_id", record(F.col("url"), F.col("html")).alias("bytes")).select("page_id", F.octet_length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"))
-    nth = Window.partitionBy("page_id", "digest").orderBy("length")
-    return rows.withColumn("copy", F.row_number().over(nth).cast("long"))
+    # Equal records differ in nothing: a number that is written down once tells them apart from then on.
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "warc-records")
+    return ranked(rows, ["page_id", "digest"], [F.col("place")], rows.count(), "copy").select("page_id", (F.col("copy") + 1).cast("long").alias("copy"), "length", "digest")
 
 
 def placed(recs: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     ordinal, offset, length, digest."""
     level = leaves.select(F.col("ordinal").alias("node"), F.col("digest").alias("hash"), F.lit(1).cast("long").alias("records"), F.col("offset").alias("first_byte"), (F.col("offset") + F.col("length")).alias("end_byte"))
     out = [level]
-    while len(out) <= MOST_LEVELS:
+    while True:
         up = level.groupBy(F.expr(f"node div {fanout}").alias("up")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"),
             F.sum("records").alias("records"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
@@ -88,7 +95,8 @@ def audit(reference: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> Dat
         bad = diff.select(F.col("node").alias("parent"))
         if diff.isEmpty():
             break
-    names = reference.select("ordinal", "page_id", "copy").unionByName(replica.select("ordinal", "page_id", "copy")).join(bad, F.col("ordinal") == F.col("parent"), "left_semi").distinct()
+    sides = [t.select("ordinal", F.struct(F.lit(k).alias("side"), "page_id", "copy").alias("name")) for k, t in enumerate((reference, replica))]
+    names = sides[0].unionByName(sides[1]).join(bad, F.col("ordinal") == F.col("parent"), "left_semi").groupBy("ordinal").agg(F.min_by("name", "name.side").alias("name")).select("ordinal", "name.page_id", "name.copy")
     state = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "added").otherwise("damaged")
     return diff.withColumnRenamed("node", "ordinal").join(names, "ordinal").select("ordinal", "page_id", "copy", "first_byte", "end_byte", "expected", "actual", state.alias("state"))
 
@@ -102,20 +110,24 @@ def replica_of(pages: DataFrame, spoiled: int = 97) -> DataFrame:
 
 
 def audited(pages: DataFrame, other: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """(the reference's records with ordinals and offsets, the audit of ``other`` against it). Records are matched by
-    page_id and, among rows with one page_id, by their order; the replica's take the ordinals of their partners."""
-    def nth(recs: DataFrame) -> DataFrame:
-        return recs.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "copy")).cast("long"))
-
-    ref = stored(placed(nth(records(pages))), "warc")
-    rep = stored(nth(records(other)), "warc-replica")
-    known = ref.select(F.col("page_id").alias("p"), F.col("copy").alias("c"), "ordinal", "offset")
-    on = rep["page_id"].eqNullSafe(known["p"]) & (rep["copy"] == known["c"])
-    met = rep.join(known, on, "left")
+    """(the reference's records with ordinals and offsets, the audit of ``other`` against it)."""
+    ref = stored(placed(records(pages)), "warc")
+    rep = stored(records(other), "warc-replica")
+    place = ["ordinal", "offset"]
+    key = lambda t, n: t["page_id"].eqNullSafe(F.col(f"{n}.p")) & (t["copy"] == F.col(f"{n}.c")) & (t["digest"] == F.col(f"{n}.d"))
+    name = lambda t: t.select(F.col("page_id").alias("p"), F.col("copy").alias("c"), F.col("digest").alias("d"), *[c for c in place if c in t.columns])
+    met = rep.join(name(ref).alias("k"), key(rep, "k"), "left").select(*[rep[c] for c in rep.columns], *place)
+    # What has no equal on the other side, numbered within its page.
+    loose = [stored(t, "warc-loose") for t in (met.where("ordinal is null").drop(*place), ref.join(name(rep).alias("k"), key(ref, "k"), "left_anti"))]
+    mine, theirs = (ranked(t, ["page_id"], [F.col("digest"), F.col("copy")], t.count(), "nth") for t in loose)
+    theirs = theirs.select(F.col("page_id").alias("p"), F.col("nth").alias("n"), *place)
+    paired = stored(mine.join(theirs, mine["page_id"].eqNullSafe(theirs["p"]) & (mine["nth"] == theirs["n"]), "left").select(*rep.columns, *place), "warc-paired")
     size = ref.agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1, F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0))).first()
-    added = placed(met.where("ordinal is null").select(*rep.columns)).withColumn("ordinal", F.col("ordinal") + size[0]).withColumn("offset", F.col("offset") + size[1])
-    rep = stored(met.where("ordinal is not null").select(*rep.columns, "ordinal", "offset").unionByName(added.select(*rep.columns, "ordinal", "offset")), "warc-placed")
-    return ref, audit(ref, rep, fanout)
+    added = placed(paired.where("ordinal is null").drop(*place)).withColumn("ordinal", F.col("ordinal") + size[0]).withColumn("offset", F.col("offset") + size[1])
+    out = met.where("ordinal is not null").unionByName(paired.where("ordinal is not null")).unionByName(added.select(*rep.columns, *place))
+    out = stored(out, "warc-placed")
+    dropped(rep, *loose, paired)
+    return ref, audit(ref, out, fanout)
 
 
 def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +145,13 @@ def _sql() -> str:
 with p as (select page_id, url, coalesce(html, '') a, coalesce(('0x' || substr(md5(page_id::varchar), 1, 7))::bigint % 97, -1) mark from pages),
 q as (select *, case when mark = 0 then '~' || substr(a, 2) when mark = 1 and length(a) > 0 then substr(a, 1, length(a) - 1) else a end b from p),
 x as (select page_id, {rec('a')} ra, {rec('b')} rb from q),
-l as (select page_id, strlen(ra)::bigint len, sha256(ra) digest, row_number() over (partition by page_id order by sha256(ra)) copy from x),
-r as (select page_id, sha256(rb) digest, row_number() over (partition by page_id order by sha256(rb)) copy from x)
-select l.page_id, row_number() over o - 1 as ordinal, (sum(len) over (o rows between unbounded preceding and current row) - len)::bigint as "offset", len as "length", l.digest, case when l.digest = r.digest then 'intact' else 'damaged' end as state, r.digest replica_digest
-from l join r on l.page_id is not distinct from r.page_id and l.copy = r.copy window o as (order by l.page_id nulls first, l.digest, l.copy)"""
+l as (select page_id, strlen(ra)::bigint len, sha256(ra) digest, row_number() over (partition by page_id, sha256(ra)) copy from x),
+r as (select page_id, sha256(rb) digest, row_number() over (partition by page_id, sha256(rb)) copy from x),
+ll as (select page_id, digest, copy, row_number() over (partition by page_id order by digest, copy) k from l where not exists (select 1 from r where r.page_id is not distinct from l.page_id and r.digest = l.digest and r.copy = l.copy)),
+rr as (select page_id, digest, row_number() over (partition by page_id order by digest, copy) k from r where not exists (select 1 from l where r.page_id is not distinct from l.page_id and r.digest = l.digest and r.copy = l.copy)),
+b as (select ll.page_id, ll.digest, ll.copy, rr.digest actual from ll join rr on ll.page_id is not distinct from rr.page_id and ll.k = rr.k)
+select l.page_id, row_number() over o - 1 as ordinal, (sum(len) over (o rows between unbounded preceding and current row) - len)::bigint as "offset", len as "length", l.digest, case when actual is null then 'intact' else 'damaged' end as state, coalesce(actual, l.digest) replica_digest
+from l left join b on l.page_id is not distinct from b.page_id and l.digest = b.digest and l.copy = b.copy window o as (order by l.page_id nulls first, l.digest, l.copy)"""
 
 
 SQL = {"op4_fixity_audit": _sql()}

@@ -39,12 +39,29 @@ def test_finds_all_faults(spark):
     _, found = fixity.audited(spark.createDataFrame(rows, kind), spark.createDataFrame(spoiled, kind), fanout=5)
     got = {(r["page_id"], r["copy"], r["state"]) for r in found.collect()}
     assert {g for g in got if g[0] != 77} == {(0, 1, "damaged"), (499, 1, "damaged"), (3, 1, "missing"), (250, 1, "missing"), (900, 1, "added")}
-    assert {g[1:] for g in got if g[0] == 77} == {(1, "damaged"), (2, "added")}
+    assert {g[1:] for g in got if g[0] == 77} == {(1, "damaged"), (1, "added")}
     empty = spark.createDataFrame([], kind)
     assert fixity.audited(empty, empty)[1].count() == 0
     assert fixity.audited(spark.createDataFrame(rows[:3], kind), empty)[1].count() == 3
 
 
+def test_one_spoiled_copy_is_one_report(spark):
+    kind = "page_id long, url string, html string, digest string, copy int"
+    rows = [(5, "u", f"body {i}", "x", i) for i in range(8)] + [(None, "u", f"none {i % 3}", "x", 0) for i in range(90)]
+    other = [(p, u, "spoiled" if (p, b) == (5, "body 3") else b, d, c) for p, u, b, d, c in rows][:-1]
+    _, found = fixity.audited(spark.createDataFrame(rows, kind), spark.createDataFrame(other, kind), fanout=2)
+    assert sorted((str(r["page_id"]), r["state"]) for r in found.collect()) == [("5", "damaged"), ("None", "missing")]
+
+
+def test_small_fanout_reaches_the_root(spark):
+    df = spark.createDataFrame([(i, "u", str(i)) for i in range(9000)], "page_id long, url string, html string")
+    ref, _ = fixity.audited(df.limit(0), df.limit(0))
+    assert ref.count() == 0
+    ref = fixity.stored(fixity.placed(fixity.records(df)), "ref")
+    levels = fixity.tree(ref, 2)
+    assert len(levels) == 15 and levels[-1].count() == 1 and levels[-1].first()["records"] == 9000
+
+
 def test_query_reports_exactly_the_spoiled_records(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
