@@ -5,6 +5,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def place_of(docs: DataFrame) -> Column | None:
+    """File and row index of each row, which tell equal rows apart for good; None where ``docs`` isn't read from files."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        docs.select(place).schema  # noqa: B018 - resolves the columns
+    except AnalysisException:
+        return None
+    return place
+
+
 def buckets(n_rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
     return max(least, math.ceil(n_rows / per_bucket))
 

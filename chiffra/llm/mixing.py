@@ -1,16 +1,23 @@
 """Operator 8, mixing sources to target weights by Pfair scheduling.
 
 A source's rows, in an order drawn from their hashes, form blocks of ``block_rows`` rows. With target weight w its
-i-th block is released at floor((i - 1) / w) and due at ceil(i / w); each slot goes to the released block that is due
-earliest. As the weights sum to one this meets every deadline, so a source is never a whole block ahead of or behind
-its target. Weights are whole multiples of 2^-50, the precision of the numbers they come from, so this holds against the
-targets themselves at any length. The driver makes the schedule and every block looks up its slot in it. When a source
-has no blocks left, the others go on with their weights scaled up (a new phase); no row is left out or repeated.
-
-Default targets are the square roots of the sources' row counts. The driver holds one row per source and twelve
-bytes per block, so about 1.5 bytes per row; a plan of more than ``MOST_SENT`` blocks is joined by a shuffle. More than ``MOST_SOURCES`` sources are refused. Null is a source of its own. Sources without a target
-get the smallest target given; targets for absent sources are ignored. The last block of a source may be short.
-Repeated rows each get a place of their own. An empty table gives an empty result.
+i-th block is released at (i - 1) / w and due at i / w; each slot goes to the released block that is due earliest. As the
+weights sum to one, no deadline is missed, so a source is never a whole block ahead of or behind its target, at any
+length and for the targets themselves (weights are doubles, and time is compared to a billionth). Time is virtual: it
+runs faster by the share of the sources that a fluid mixture would have used up by then, so that the others go on with
+their weights scaled up, and the same bound holds against that mixture. ``phase`` counts those sources. No row is left
+out or repeated.
+
+The driver makes the schedule, with a heap of the sources, and every block looks up its slot in it. It holds about a
+hundred bytes a source and twelve a block. From ``MOST_BLOCKS`` blocks on, blocks have more rows instead, so that part
+is bounded; a plan of more than ``MOST_SENT`` blocks, which only as many sources can make, is joined by a shuffle.
+
+Default targets are the square roots of the sources' row counts. Null is a source of its own. Sources without a target
+get the smallest target given; targets for absent sources are ignored. The last block of a source may be short. Blocks
+due at the same time go by the source's name, null last. Repeated rows each get a place of their own; where ``docs`` is
+read from files, their place there spreads them over tasks. Texts are only carried along, null, empty or very long.
+Columns may have any names: they travel in one struct. An empty table gives an empty result. Which row gets which place
+in its source depends on the number of rows (it sets the number of hash buckets), not on partitions or executors.
 """
 
 import heapq
@@ -22,107 +29,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiffra.llm._common import documents, ranked, stored
+from chiffra.llm._common import documents, place_of, ranked, stored
 
 BLOCK_ROWS = 8
-RESOLUTION = 1 << 50
-MOST_SOURCES = 1024
+MOST_BLOCKS = 4_000_000
 #: Blocks in a row of the plan, and in a plan that is broadcast.
 PIECE, MOST_SENT = 1024, 8_000_000
 
 
-def units(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
-    """Weights as whole numbers of at least 1 that sum to ``resolution`` (largest remainders)."""
-    total = sum(weights)
-    exact = [max(1.0, w / total * resolution) for w in weights]
-    scale = resolution / sum(exact)
-    out = [max(1, math.floor(x * scale)) for x in exact]
-    order = sorted(range(len(out)), key=lambda j: (-(exact[j] * scale - out[j]), j))
-    k = 0
-    while (gap := resolution - sum(out)) != 0:
-        j = order[k % len(out)] if gap > 0 else max(range(len(out)), key=lambda j: out[j])
-        out[j] += 1 if gap > 0 else -1
-        k += 1
-    return out
-
-
-def pfair_slots(e: list[int], left: list[int]) -> list[array]:
-    """The slots of each source's blocks, earliest deadline first among those released, until a source has no blocks left."""
-    h, t = sum(e), 0
-    slots = [array("q") for _ in e]
-    later, ready = [(0, j) for j in range(len(e))], []
-    while True:
-        while later and later[0][0] <= t:
+def schedule(blocks: list[int], weights: list[float]) -> list[tuple[array, array]]:
+    """(slots, phases) of each source's blocks: earliest deadline first among those released."""
+    total = math.fsum(weights)
+    w = [x / total for x in weights]
+    out = [(array("q"), array("i")) for _ in blocks]
+    on = [j for j, n in enumerate(blocks) if n]
+    ends = sorted((blocks[j] / w[j], j) for j in on)  # of the fluid mixture, in virtual time
+    rest = [0.0] * (len(ends) + 1)
+    for k in range(len(ends) - 1, -1, -1):
+        rest[k] = rest[k + 1] + w[ends[k][1]]
+    later, ready, now, phase = [(0.0, j) for j in on], [], 0.0, 0
+    for t in range(sum(blocks)):
+        while later and (later[0][0] <= now * (1 + 1e-12) + 1e-9 or not ready and later[0][0] <= now + 1e-6):
             _, j = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(len(slots[j]) + 1) * h // e[j]), j))
-        due, j = heapq.heappop(ready)
-        assert t < due, "a deadline was missed"
-        slots[j].append(t)
-        t += 1
-        if len(slots[j]) == left[j]:
-            return slots
-        heapq.heappush(later, (len(slots[j]) * h // e[j], j))
-
-
-def phases(blocks: list[int], weights: list[float], resolution: int = RESOLUTION) -> list[dict]:
-    """For each phase and source in it: first block, blocks, the phase's first slot, its length and the slots in it."""
-    left, start, first, out, phase = list(blocks), 0, [0] * len(blocks), [], 0
-    while any(left):
-        on = [j for j, n in enumerate(left) if n]
-        slots = pfair_slots(units([weights[j] for j in on], max(resolution, 4 * len(on))), [left[j] for j in on])
-        h = sum(len(s) for s in slots)
-        for j, s in zip(on, slots, strict=True):
-            out.append({"phase": phase, "source": j, "first": first[j], "blocks": len(s), "start": start, "round": h, "slots": s})
-            first[j] += len(s)
-            left[j] -= len(s)
-        start += h
-        phase += 1
+            heapq.heappush(ready, ((len(out[j][0]) + 1) / w[j], j))
+        _, j = heapq.heappop(ready if ready else later)
+        slots, phases = out[j]
+        slots.append(t)
+        phases.append(phase)
+        if len(slots) < blocks[j]:
+            heapq.heappush(later, (len(slots) / w[j], j))
+        left = 1.0  # of this slot's service, for the fluid mixture to hand out
+        while phase < len(ends) and (ends[phase][0] - now) * rest[phase] <= left:
+            left -= (ends[phase][0] - now) * rest[phase]
+            now, phase = ends[phase][0], phase + 1
+        if phase < len(ends):
+            now += left / rest[phase]
     return out
 
 
-def _plan(spark: SparkSession, plan: list[dict], names: list[str | None]) -> DataFrame:
+def _plan(spark: SparkSession, plan: list[tuple[array, array]], names: list[str | None]) -> DataFrame:
     """(source, piece, phases, slots): the phase and slot of each block, ``PIECE`` blocks of a source a row."""
-    parts: dict[int, list[dict]] = {}
-    for p in plan:
-        parts.setdefault(p["source"], []).append(p)
     rows = []
-    for j, ps in parts.items():
-        slots = np.concatenate([np.frombuffer(p["slots"], np.int64) + p["start"] if p["blocks"] else np.zeros(0, np.int64) for p in ps])
-        phase = np.repeat(np.array([p["phase"] for p in ps], np.int32), [p["blocks"] for p in ps])
-        rows += [(names[j], k // PIECE, phase[k : k + PIECE], slots[k : k + PIECE]) for k in range(0, len(slots), PIECE)]
+    for name, (slots, phases) in zip(names, plan, strict=True):
+        s, p = np.frombuffer(slots, np.int64), np.frombuffer(phases, np.int32)
+        rows += [(name, k // PIECE, p[k : k + PIECE], s[k : k + PIECE]) for k in range(0, len(s), PIECE)]
     kinds = {"source": pa.string(), "piece": pa.int64(), "phases": pa.list_(pa.int32()), "slots": pa.list_(pa.int64())}
     return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())}), "source string, piece long, phases array<int>, slots array<long>")
 
 
-def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: str, block_rows: int, resolution: int) -> tuple[DataFrame, int]:
+def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: str, block_rows: int) -> tuple[DataFrame, int]:
     """The placed rows and the number of slots."""
-    spark = docs.sparkSession
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("source"))
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    counts = sorted(counts, key=lambda r: (r["source"] is None, r["source"] or ""))
+    place = place_of(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").cast("string").alias("source"), (F.lit(0) if place is None else place).alias("place"))
+    counts = sorted(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     given = targets or {r["source"]: math.sqrt(r["n"]) for r in counts}
     weights = [max(given.get(r["source"], min(given.values())), 1e-12) for r in counts]
-    blocks = [-(-r["n"] // block_rows) for r in counts]
-    table = _plan(spark, phases(blocks, weights, resolution), [r["source"] for r in counts])
     total = sum(r["n"] for r in counts)
-    nth = ranked(rows, ["source"], [F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2))], total, "nth").withColumn("block", F.expr(f"nth div {block_rows}"))
+    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
+    blocks = [-(-r["n"] // block_rows) for r in counts]
+    table = _plan(docs.sparkSession, schedule(blocks, weights), [r["source"] for r in counts])
+    order = [F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2)), F.col("place")]
+    nth = ranked(rows, ["source"], order, total, "nth").withColumn("block", F.expr(f"nth div {block_rows}"))
     on = nth["source"].eqNullSafe(table["source"]) & (F.expr(f"block div {PIECE}") == table["piece"])
     out = nth.join(F.broadcast(table) if sum(blocks) <= MOST_SENT else table, on)
     k = (F.col("block") % PIECE + 1).cast("int")
     return out.select("row", nth["source"], "block", (F.col("nth") % block_rows).cast("int").alias("block_row"), F.element_at("phases", k).alias("phase"), F.element_at("slots", k).alias("slot")), sum(blocks)
 
 
-def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row, source, block, block_row, phase, slot): ``row`` holds the columns of ``docs``; (slot, block_row) is the order."""
-    return _placed(docs, targets, source, block_rows, resolution)[0]
+    return _placed(docs, targets, source, block_rows)[0]
 
 
 def in_order(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture; (slot, block_row) is unique. Slots are gapless, so equal ranges of
     them are the partitions, and no sampling pass is needed to find their bounds."""
-    placed, slots = _placed(docs, targets, "source", BLOCK_ROWS, RESOLUTION)
+    placed, slots = _placed(docs, targets, "source", BLOCK_ROWS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.expr(f"cast(slot * {parts} div {max(1, slots)} as int)")
     return placed.repartitionById(parts, part).sortWithinPartitions("slot", "block_row").select("row.*")

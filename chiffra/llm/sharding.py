@@ -7,7 +7,10 @@ each shard takes of a class follows from the class's count alone; which groups t
 the class, which is computed in parallel. Where classes are single sizes, the loads are those of the plain algorithm.
 
 Null texts form one group of size 1 a row, apart from that of empty texts. A null doc_id is an ordinary value.
-Repeated rows go to the same shard, each in a slot of its own. An empty table gives an empty result.
+Repeated rows go to the same shard, each in a slot of its own. Of groups and shards that weigh the same, the order of the
+groups' digests and the lowest shard decide. A very long text is a group of its size, kept whole. An empty table gives
+an empty result; columns may have any names, since they travel in one struct. Slots depend on the rows and their number
+(it sets the number of hash buckets), not on partitions or executors, apart from equal rows, which may change places.
 """
 
 import heapq
@@ -70,7 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, written: bool = False
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"null")).alias("group"),
-            *place,
+            *(place or [F.monotonically_increasing_id().alias("__at")]),
         ),
         "shard-rows",
     )
@@ -88,7 +91,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, written: bool = False
     placed = placed.select("group", "copies", F.size(F.filter("upto", lambda c: c <= F.col("rank"))).alias("shard"))
     out = join_groups(rows, stored(placed, "shard-placed"), ["group"], "copies", total).drop("copies")
     if not written:
-        return ranked(out, ["shard"], [F.xxhash64("row"), F.col("group")], total, "slot")
+        # Equal rows differ in nothing but the number that the stored table gives them, which spreads them over buckets.
+        return ranked(out, ["shard"], [F.xxhash64("row"), F.col("group"), F.col("__at")], total, "slot").drop("__at")
     return ranked(out, ["shard"], [F.col(c) for c in place], total, "slot", F.struct("__file", F.expr("__at div 100000"))).drop(*place)
 
 

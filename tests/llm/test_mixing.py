@@ -1,5 +1,6 @@
 import math
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -7,51 +8,53 @@ import pytest
 from chiffra.llm import mixing
 
 
-def brute(blocks, weights, resolution):
-    """Slot by slot: the earliest deadline among the released blocks, phase by phase."""
-    left, out, done = list(blocks), [], [0] * len(blocks)
-    while any(left):
-        on = [j for j, n in enumerate(left) if n]
-        e = dict(zip(on, mixing.units([weights[j] for j in on], max(resolution, 4 * len(on)))))
-        h, placed, t = sum(e.values()), dict.fromkeys(on, 0), 0
-        while all(left[j] for j in on):
-            ready = [(-(-(placed[j] + 1) * h // e[j]), j) for j in on if placed[j] * h // e[j] <= t]
-            _, j = min(ready)
-            out.append((j, done[j]))
-            done[j] += 1
-            placed[j] += 1
-            left[j] -= 1
-            t += 1
-            assert all(abs(placed[i] - t * e[i] / h) < 1 for i in on)
+def brute(blocks, weights):
+    """Slot by slot, in exact fractions: among the blocks that are released in the fluid mixture, the one due earliest."""
+    w = [Fraction(x) / sum(map(Fraction, weights)) for x in weights]
+    placed, now, out = [0] * len(blocks), Fraction(0), []
+    for _ in range(sum(blocks)):
+        _, j = min((Fraction(placed[j] + 1) / w[j], j) for j in range(len(blocks)) if placed[j] < blocks[j] and Fraction(placed[j]) / w[j] <= now)
+        out.append((j, placed[j]))
+        placed[j] += 1
+        left = Fraction(1)
+        while on := [j for j in range(len(blocks)) if blocks[j] / w[j] > now]:
+            rate, step = sum(w[j] for j in on), min(blocks[j] / w[j] for j in on) - now
+            if step * rate > left:
+                now += left / rate
+                break
+            now, left = now + step, left - step * rate
+        assert all(abs(placed[j] - min(Fraction(blocks[j]), now * w[j])) < 1 for j in range(len(blocks)))
     return out
 
 
-@pytest.mark.parametrize("blocks,weights", [([5, 9, 40], [1, 1, 1]), ([300, 1, 20, 7], [5, 1, 2.5, 0.01]), ([7], [3]), ([2, 2], [0.999, 0.001])])
+@pytest.mark.parametrize("blocks,weights", [([5, 9, 40], [1, 1, 1]), ([300, 1, 20, 7], [5, 1, 2.5, 0.01]), ([7], [3]), ([2, 2], [0.999, 0.001]), ([0, 3, 5], [1, 2, 3]), ([4] * 30 + [90], [0.5] * 30 + [7])])
 def test_slots_are_those_of_the_plain_scheduler(blocks, weights):
-    want = brute(blocks, weights, 64)
-    got = {}
-    for p in mixing.phases(blocks, weights, 64):
-        e = len(p["slots"])
-        for k in range(p["blocks"]):
-            got[p["start"] + k // e * p["round"] + p["slots"][k % e]] = (p["source"], p["first"] + k)
-    assert [got[t] for t in range(sum(blocks))] == want
-
-
-def test_units_sum_up():
-    for w in ([1, 2, 3], [1e-9, 1, 1], [1] * 7):
-        u = mixing.units(w, 100)
-        assert sum(u) == 100 and min(u) >= 1
+    got = {t: (j, k) for j, (slots, _) in enumerate(mixing.schedule(blocks, weights)) for k, t in enumerate(slots)}
+    assert [got[t] for t in range(sum(blocks))] == brute(blocks, weights)
 
 
 @pytest.mark.parametrize("blocks,weights", [([90_000, 20_000, 3_000], [0.7512345, 0.2, 0.0487655]), ([60_000, 300], [0.9999, 0.0001]), ([40_000] + [900] * 60, [math.sqrt(1_000_000)] + [math.sqrt(20_000)] * 60)])
 def test_deviation_from_the_targets_themselves(blocks, weights):
-    first = [p for p in mixing.phases(blocks, weights) if p["phase"] == 0]
-    for p in first:
-        e = len(p["slots"])
-        s = np.array([k // e * p["round"] + p["slots"][k % e] for k in range(p["blocks"])], float)
-        w = weights[p["source"]] / sum(weights)
-        k = np.arange(len(s))
-        assert (np.abs(k - w * s) < 1).all() and (np.abs(k + 1 - w * (s + 1)) < 1).all()
+    for j, (slots, phases) in enumerate(mixing.schedule(blocks, weights)):
+        first = np.frombuffer(phases, np.int32) == 0
+        s = np.frombuffer(slots, np.int64)[first].astype(float)
+        w, k = weights[j] / sum(weights), np.arange(len(s))
+        assert (np.abs(k - w * s) < 1 + 1e-6).all() and (np.abs(k + 1 - w * (s + 1)) < 1 + 1e-6).all()
+
+
+def test_many_sources(spark):
+    """Five thousand sources, most of a row or two; every row has a place."""
+    rows = [(i, f"s{i % 5000}" if i < 8000 else "big") for i in range(12_000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert sorted(r["row"]["doc_id"] for r in out) == list(range(12_000))
+    assert sorted({r["slot"] for r in out}) == list(range(5000 + 500)) and len({(r["slot"], r["block_row"]) for r in out}) == 12_000
+
+
+def test_blocks_grow_instead_of_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 100)
+    rows = [(i, "ab"[i % 5 == 0]) for i in range(4000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert {r["slot"] for r in out} == set(range(100)) and len({(r["slot"], r["block_row"]) for r in out}) == 4000
 
 
 def test_rows(spark):
@@ -78,6 +81,6 @@ def test_query_matches_plain_scheduler(spark):
     out = mixing.op8_mixing(spark, sf).toPandas()
     n = out.groupby("source").size()
     names = sorted(n.index)
-    want = brute([math.ceil(n[s] / mixing.BLOCK_ROWS) for s in names], [math.sqrt(n[s]) for s in names], mixing.RESOLUTION)
+    want = brute([math.ceil(n[s] / mixing.BLOCK_ROWS) for s in names], [math.sqrt(n[s]) for s in names])
     got = out.groupby("slot")[["source", "block"]].first()
     assert [(s, b) for s, b in got.itertuples(index=False)] == [(names[j], b) for j, b in want]
