@@ -4,14 +4,16 @@ Model. P(w) = (c + 0.5) / (N + 0.5 (V + 1)), and for a word after context b
 P(w | b) = c(b, w) / (c(b) + mu) + mu / (c(b) + mu) * P(w): Dirichlet smoothing, a proper distribution over the known
 words and one unknown. A text is its words in lower case (A-Z) and one end; the context of its first token is a start.
 
-Trie. Level 1 lists the words by hash; a word's id is the number of training tokens whose words come before it, so ids
-are monotone, their differences are the counts and one Elias-Fano sequence holds both. Level 2 lists the contexts of a
-shard, monotone pointers to the ranges of their successors, and the successors' ids, each range raised by the last value
-of the range before (one monotone sequence); beside them stand the shares c(b, w) / (c(b) + mu) in 8 bits on a
-logarithmic scale, rounded down, so that quantised probabilities never sum to over one. A decade has
-``STEPS_PER_DECADE`` steps, or as many fewer as the smallest share of the largest context needs: none is lost. A shard is memory-mapped (from
-its bytes while scoring, from a file where a stored level is opened with ``PairLevel.mapped``); a query finds its
-context, then searches the context's range for the id relative to the range's base.
+Trie. Level 1 lists the words of a shard by hash; a word's id is the number of training tokens whose words come before
+it, so ids are monotone, their differences are the counts and one Elias-Fano sequence holds both. Level 2 lists the
+contexts of a shard, monotone pointers to the ranges of their successors, and the successors' ids, each range raised by
+the last value of the range before (one monotone sequence); beside them stand the shares c(b, w) / (c(b) + mu) in 16 bits
+on a logarithmic scale, rounded down, so that quantised probabilities never sum to over one; a decade has
+``STEPS_PER_DECADE`` steps, or as many fewer as the smallest share of the largest context needs, so none is lost and a
+probability is at most a 3,500th too low. A shard is memory-mapped (from its bytes while scoring, from a file where a
+stored level is opened with ``PairLevel.mapped``) and never unpacked: sequences are read through a directory of four
+bytes per 64 bits. A query finds its context, then the successor of its id relative to the context's base: the high bits
+of that sum name a run of elements, the low bits are compared within it. Words are looked up in level 1 the same way.
 
 Plan. Texts are cut into chunks of about 4 MB, kept once as local word numbers in a table bucketed by chunk. Distinct
 words of a chunk go to the shard of their hash range and come back with ids and counts; distinct word pairs go to the
@@ -19,8 +21,13 @@ shard of their place in id order and come back with their codes; a chunk then su
 pairs of chunks travel, as packed binaries. Pair shards are ranges of id(b) + c(b) * id(w) / N, which splits the range of
 a frequent context by its successors, so no shard grows with one word. The number of shards follows the tokens.
 
+The order is 2: an order of 3 has a message more for each distinct triple of a chunk (see the README for what that is).
+A frequent word or pair comes once from every chunk, so its shard holds a few bytes for each chunk. The driver holds a
+row a shard, one for every ``TOKENS_PER_SHARD`` tokens.
+
 Null and empty texts have one token, the end. A null doc_id is a training row. Repeated rows count as often as they occur
-and each is scored. Extra columns are ignored. Hashes have 64 bits.
+and each is scored. A text longer than a chunk is a chunk of its own. An empty table gives an empty result. Extra columns
+are ignored, whatever their names. Hashes have 64 bits; there are no ties.
 """
 
 import mmap
@@ -38,7 +45,7 @@ from chiffra.llm._text import Words, strings
 CHUNK = 4 << 20
 TOKENS_PER_SHARD = 2_000_000
 MU = 500.0
-STEPS_PER_DECADE = 32
+STEPS_PER_DECADE = 8192
 _END = np.uint64(0x5E5E5E5E5E5E5E5E)
 
 
@@ -59,31 +66,30 @@ def unpack(b: bytes) -> np.ndarray:
 
 def steps_for(count: int, mu: float) -> float:
     """Steps a decade for which one occurrence after a context of ``count`` still has a code."""
-    return min(float(STEPS_PER_DECADE), 253 / max(1.0, float(np.log10(count + mu))))
+    return min(float(STEPS_PER_DECADE), 65533 / max(1.0, float(np.log10(count + mu))))
 
 
 def quantise(share: np.ndarray, steps: float = STEPS_PER_DECADE) -> np.ndarray:
-    """8-bit codes of shares in (0, 1], rounded down; 0 stands for nothing."""
+    """16-bit codes of shares in (0, 1], rounded down; 0 stands for nothing."""
     with np.errstate(divide="ignore"):
-        code = 255 + np.floor(np.log10(share) * steps + 1e-9)
-    return np.where(share > 0, np.maximum(code, 0), 0).astype(np.uint8)
+        code = 65535 + np.floor(np.log10(share) * steps + 1e-9)
+    return np.where(share > 0, np.maximum(code, 0), 0).astype("<u2")
 
 
 def shares(steps: float = STEPS_PER_DECADE) -> np.ndarray:
     """The share that each code stands for."""
-    return np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) / steps)])
-
-
-_SHARES = shares()
+    return np.concatenate([[0.0], 10.0 ** ((np.arange(1, 65536) - 65535) / steps)])
 
 
 class EliasFano:
-    """A monotone sequence: ``low`` bits packed, ``high`` parts in unary. ``from_bytes`` reads any buffer, mapped or not."""
+    """A monotone sequence: ``low`` bits packed, ``high`` parts in unary. ``from_bytes`` reads any buffer, mapped or not;
+    beside it stands a directory of the ones before each 64-bit word of ``high``."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n] if n else np.zeros(0, np.int64)
-        self._upper = (ones - np.arange(n)).astype(np.uint64) << np.uint64(bits)
+        self._words = np.ndarray((len(high) // 8,), "<u8", high)
+        self._ones = np.zeros(len(self._words) + 1, np.uint32 if n < 1 << 32 else np.uint64)
+        np.cumsum(np.bitwise_count(self._words), out=self._ones[1:])
         self._view = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,)) if n and bits else None
 
     @classmethod
@@ -102,7 +108,7 @@ class EliasFano:
                 first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
                 words[where[first]] |= np.bitwise_or.reduceat(what, first)
             low = words.view(np.uint8)
-        marks = np.zeros((int(v[-1] >> np.uint64(bits)) + n + 8) // 8 * 8, bool)
+        marks = np.zeros((int(v[-1] >> np.uint64(bits)) + n + 64) // 64 * 64, bool)
         marks[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = True
         return cls(n, bits, low, np.packbits(marks, bitorder="little"))
 
@@ -114,23 +120,107 @@ class EliasFano:
         n, bits, a, b = (int(x) for x in np.frombuffer(data[:32].tobytes(), "<u8"))
         return cls(n, bits, data[32 : 32 + a], data[32 + a : 32 + a + b]), 32 + a + b
 
+    def _within(self, word: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the one (or, flipped, the zero) of each rank, from 0, in the words of the given numbers."""
+        w = self._words[word] ^ np.uint64(0xFFFFFFFFFFFFFFFF if flip else 0)
+        rank, place = rank.astype(np.int64), word.astype(np.int64) * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            below = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
+            over = rank >= below
+            rank -= np.where(over, below, 0)
+            place += np.where(over, width, 0)
+            w >>= np.where(over, np.uint64(width), np.uint64(0))
+        return place
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), np.uint64)
+        pos = i.astype(np.uint64) * np.uint64(self.bits)
+        return (self._view[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7))) & np.uint64((1 << self.bits) - 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        out = self._upper[i]
-        if self.bits:
-            pos = i.astype(np.uint64) * np.uint64(self.bits)
-            out = out | ((self._view[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7))) & np.uint64((1 << self.bits) - 1))
-        return out
+        """The elements of the given numbers."""
+        i = np.asarray(i, np.int64)
+        word = np.searchsorted(self._ones, i.astype(self._ones.dtype), "right") - 1
+        high = self._within(word, i - self._ones[word].astype(np.int64), False) - i
+        return (high.astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
+
+    def _start(self, high: np.ndarray) -> np.ndarray:
+        """The number of the first element whose high part is at least ``high``."""
+        zeros = np.arange(len(self._ones), dtype=np.int64) * 64 - self._ones.astype(np.int64)
+        want = high.astype(np.int64) - 1  # it follows this zero
+        out = np.full(len(want), self.n, np.int64)
+        inside = (want >= 0) & (want < zeros[-1])
+        word = np.searchsorted(zeros, want[inside], "right") - 1
+        out[inside] = self._within(word, want[inside] - zeros[word], True) + 1 - high[inside].astype(np.int64)
+        out[want < 0] = 0
+        return np.minimum(out, self.n)
+
+    def successor(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the first element that is at least ``v``, whether it equals it)"""
+        v = np.asarray(v, np.uint64)
+        high, part = v >> np.uint64(self.bits), v & np.uint64((1 << self.bits) - 1)
+        lo, end = self._start(high), self._start(high + np.uint64(1))
+        hi = end.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            less = self._low(mid) < part[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        inside = np.flatnonzero(lo < end)
+        equal = np.zeros(len(v), bool)
+        equal[inside] = self._low(lo[inside]) == part[inside]
+        return lo, equal
 
     def all(self) -> np.ndarray:
         return self.get(np.arange(self.n))
 
 
+def mapped(blob: bytes) -> np.ndarray:
+    """``blob`` in mapped memory without a file: executors keep nothing on their own disks."""
+    room = mmap.mmap(-1, max(1, len(blob)))
+    room.write(blob)
+    return np.frombuffer(room, np.uint8)
+
+
+def _sequences(data: np.ndarray, n: int) -> tuple[list[EliasFano], np.ndarray]:
+    """The first ``n`` sequences in ``data``, and what follows them."""
+    out = []
+    for _ in range(n):
+        s, size = EliasFano.from_bytes(data)
+        out.append(s)
+        data = data[size:]
+    return out, data
+
+
+class WordLevel:
+    """Words of a hash range and, one more than words, their ids within it."""
+
+    def __init__(self, data: np.ndarray):
+        (self.words, self.ids), _ = _sequences(data, 2)
+
+    @staticmethod
+    def encode(words: np.ndarray, counts: np.ndarray) -> bytes:
+        """From words in ascending order."""
+        return EliasFano.of(words).to_bytes() + EliasFano.of(np.concatenate([[0], np.cumsum(counts)])).to_bytes()
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, count) of each word; of one that isn't known, the id at which it would stand, and 0."""
+        at, known = self.words.successor(words) if self.words.n else (np.zeros(len(words), np.int64), np.zeros(len(words), bool))
+        ids = self.ids.get(at)
+        counts = np.zeros(len(words), np.uint64)
+        counts[known] = self.ids.get(at[known] + 1) - ids[known]
+        return ids, counts
+
+
 class PairLevel:
     """Contexts, pointers, successors and codes of one shard."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
-        self._ids, self._from = contexts.all(), pointers.all().astype(np.int64)
+    def __init__(self, data: np.ndarray):
+        (self.contexts, self.pointers, self.successors), codes = _sequences(data, 3)
+        self.codes = np.ndarray((self.successors.n,), "<u2", codes)
 
     @staticmethod
     def encode(b: np.ndarray, w: np.ndarray, codes: np.ndarray) -> bytes:
@@ -140,43 +230,33 @@ class PairLevel:
         lift = np.concatenate([[np.uint64(0)], np.cumsum(w[last])[:-1].astype(np.uint64)]) if len(b) else w
         raised = w + np.repeat(lift, np.diff(np.append(head, len(b)))) if len(b) else w
         parts = [EliasFano.of(b[head]).to_bytes(), EliasFano.of(np.append(head, len(b))).to_bytes(), EliasFano.of(raised).to_bytes()]
-        return b"".join(parts) + codes.tobytes()
+        return b"".join(parts) + codes.astype("<u2").tobytes()
 
     @classmethod
     def mapped(cls, path: str) -> "PairLevel":
-        return cls.over(np.memmap(path, np.uint8, "r"))
-
-    @classmethod
-    def over(cls, data: np.ndarray) -> "PairLevel":
-        at, seqs = 0, []
-        for _ in range(3):
-            s, size = EliasFano.from_bytes(data[at:])
-            seqs.append(s)
-            at += size
-        return cls(*seqs, data[at:])
+        return cls(np.memmap(path, np.uint8, "r"))
 
     def find(self, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The codes of pairs, 0 for those not seen."""
-        out = np.zeros(len(b), np.uint8)
-        if not self.contexts.n:
+        """The codes of pairs, in runs of one context, 0 for those not seen."""
+        out = np.zeros(len(b), "<u2")
+        if not self.contexts.n or not len(b):
             return out
-        k = np.searchsorted(self._ids, b)
-        k[k == len(self._ids)] = 0
-        known = np.flatnonzero(self._ids[k] == b)
-        k = k[known]
-        lo, end = self._from[k], self._from[k + 1]
-        base = np.where(lo > 0, self.successors.get(np.maximum(lo - 1, 0)), np.uint64(0))
-        want, hi = w[known] + base, end.copy()
-        live = np.arange(len(known))
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.successors.get(mid) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        at = np.minimum(lo, self.successors.n - 1)
-        hit = (lo < end) & (self.successors.get(at) == want)
-        out[known[hit]] = self.codes[at[hit]]
+        head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        k, known = self.contexts.successor(b[head])
+        head_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(b))))
+        lo, end, base = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64), np.zeros(len(head), np.uint64)
+        lo[known], end[known] = self.pointers.get(k[known]), self.pointers.get(k[known] + 1)
+        inner = lo > 0
+        base[inner] = self.successors.get(lo[inner] - 1)
+        ask = np.flatnonzero(known[head_of])
+        of = head_of[ask]
+        at, hit = self.successors.successor(w[ask] + base[of])
+        # A value may close one range and open the next: the raised id 0 equals the last of the range before.
+        late = np.flatnonzero(hit & (at < lo[of]))
+        at[late] = lo[of[late]]
+        hit[late] = self.successors.get(at[late]) == (w[ask] + base[of])[late]
+        hit &= (at >= lo[of]) & (at < end[of])
+        out[ask[hit]] = self.codes[at[hit]]
         return out
 
 
@@ -227,20 +307,20 @@ _REPLY_NAMES = ["kind", "shard", "chunk", "a", "b", "n", "m"]
 
 
 def _word_shard(table: pa.Table) -> pa.Table:
-    """Counts of a hash range: a "word" reply to each chunk (ids within the shard, counts) and the shard's level 1."""
+    """Counts of a hash range: the shard's level 1, and a "word" reply to each chunk (ids within the shard, counts)."""
     rows = table.to_pylist()
     parts = [unpack(r["words"]) for r in rows]
     words, back = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.bincount(back, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(words)).astype(np.uint64)
-    ids = np.concatenate([[np.uint64(0)], np.cumsum(counts)[:-1].astype(np.uint64)])
+    counts = np.bincount(back, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(words)).astype(np.int64)
+    known = counts > 0
+    blob = WordLevel.encode(words[known], counts[known])
+    ids, counts = WordLevel(mapped(blob)).find(words)
     shard, at, out = rows[0]["shard"], 0, []
     for r, p in zip(rows, parts, strict=True):
         mine = back[at : at + len(p)]
         at += len(p)
         out.append(["word", shard, r["chunk"], pack(ids[mine]), pack(counts[mine]), 0, 0])
-    known = counts > 0
-    level = EliasFano.of(words[known] - (words[0] if len(words) else 0)).to_bytes()
-    out.append(["level1", shard, -1, level, EliasFano.of(ids[known]).to_bytes(), int(counts.sum()), int(known.sum())])
+    out.append(["level1", shard, -1, blob, None, int(counts.sum()), int(known.sum())])
     return pa.Table.from_batches([_binary(out, _REPLY_NAMES, _REPLY_TYPES)])
 
 
@@ -313,10 +393,8 @@ def _pair_shard(mu: float, steps: float):
         kept = count > 0
         codes = quantise(count[kept] / (t1[kept] + mu), steps)
         blob = PairLevel.encode(b1[kept], w1[kept], codes)
-        room = mmap.mmap(-1, len(blob))  # mapped memory without a file: executors keep nothing on their own disks
-        room.write(blob)
-        found = PairLevel.over(np.frombuffer(room, np.uint8)).find(b1, w1)
-        back = np.empty(len(b), np.uint8)
+        found = PairLevel(mapped(blob)).find(b1, w1)
+        back = np.empty(len(b), "<u2")
         back[order] = np.repeat(found, np.diff(np.append(head, len(b))))
         shard, at, out = rows[0]["shard"], 0, []
         for r, n in zip(rows, runs, strict=True):
@@ -343,7 +421,7 @@ def _score(model: dict):
             share = np.zeros(len(k.tokens))
             if len(k.pairs):
                 back = sorted((r for r in replies if r["kind"] == "pair"), key=lambda r: r["shard"])
-                codes = np.frombuffer(b"".join(r["a"] for r in back), np.uint8)
+                codes = np.frombuffer(b"".join(r["a"] for r in back), "<u2")
                 share[k.seen] = share_of[codes][k.pair_of]
             rest = (mu / (k.b_counts.astype(np.float64) + mu))[k.before]
             p = np.log10(share + rest * single[k.tokens])
@@ -363,7 +441,9 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     path = f"{_common.shared_dir(spark)}/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
     _common._written.append((spark, path))
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the catalogue's entry alone; the files stay, and ``out`` knows them and their buckets
+    return out
 
 
 def train_and_score(docs: DataFrame, held_out, mu: float = MU, tokens_per_shard: int = TOKENS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
