@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chiffra.functions import numbers as N
 from chiffra.operators import evaluation as E
 from chiffra.operators import guard as G
 from chiffra.operators import journal as J
@@ -204,29 +205,76 @@ def multi_edition_codes(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("code")).agg(F.countDistinct(F.year("o_orderdate")).alias("n_editions"), F.min("o_orderkey").alias("first_key")).where("n_editions >= 2")
 
 
-# Statements in French about the cells: the true value, and in every third a number that no cell has.
-def statements(spark, sf):
-    from chiffra.functions import numbers as N
-
-    c = cells(spark, sf).withColumn("row_label", F.regexp_replace("row_label", "^[0-9]-", ""))
-    right, wrong = N.formatted(F.col("value"), 0), N.formatted(F.col("value") + 1234567.0, 0)
-    text = F.concat(F.lit("Le montant de « "), "row_label", F.lit(" » atteint "), right, F.lit(" en "), (F.col("year") + 20).cast("string"), F.when(F.col("value_id") % 3 == 0, F.concat(F.lit(", contre "), wrong, F.lit(" auparavant."))).otherwise(F.lit(".")))
-    s = c.select(F.col("value_id").alias("statement_id"), text.alias("text"))
-    auth = c.select(right.alias("writing"), F.col("row_label").alias("source"), F.col("value_id").alias("priority"))
-    return s, auth
+# Statements about parts: the retail price of each, and the unit price at which its first line was sold, in the same
+# sentence. Prices of the catalogue are authorised within a brand; a line's price mostly isn't one of them.
+_PRICES = """line as (select l_partkey pk, round(arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)), 0) sold from lineitem group by 1),
+base as (select p_partkey pk, p_name nm, p_brand brand, round(p_retailprice, 0) price, sold, sold between 2010 and 2035 yr, sold between 2010 and 2035 or exists (select 1 from part x where round(x.p_retailprice, 0) = sold) known from part join line on pk = p_partkey)"""
+_FR0 = lambda x: f"replace(format('{{:,.0f}}', {x}), ',', ' ')"
 
 
-@query("literal_guard", f"with {_CELLS} select id statement_id, case when id % 3 = 0 then 'reformulated' else 'kept' end as action, case when id % 3 = 0 then 2 else 1 end::bigint n_numbers, 1::bigint n_kept from cells")
+def statements(spark, sf):
+    """(statements, authorised values)"""
+    first = F.min_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber"))
+    line = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.round(first, 0).alias("sold"))
+    parts = table(spark, sf, "part")
+    price = N.formatted(F.round("p_retailprice", 0), 0)
+    text = F.concat(F.lit("Le prix de « "), "p_name", F.lit(" » est de "), price, F.lit(" en 2020, contre "), N.formatted(F.col("sold"), 0), F.lit(" à la vente ; le tableau 3 le rappelle."))
+    return parts.join(line, "p_partkey").select(F.col("p_partkey").alias("statement_id"), text.alias("text")), parts.select(price.alias("writing"), F.col("p_name").alias("source"), F.col("p_partkey").alias("priority"))
+
+
+@query("literal_guard", f"""with {_PRICES}
+select pk statement_id, case when known then 'kept' else 'reformulated' end as action, case when yr then 1 else 2 end::bigint n_numbers, case when known and not yr then 2 else 1 end::bigint n_kept,
+'Le prix de « ' || nm || ' » est de ' || {_FR0('price')} || ' en 2020, ' || case when known then 'contre ' || {_FR0('sold')} || ' à la vente ; ' else '' end || 'le tableau 3 le rappelle.' as text from base""")
 def literal_guard(spark, sf):
+    """Statements whose second price stands in no catalogue lose the clause that holds it, and keep the rest. A price from
+    2 010 to 2 035 reads as a year and is no value."""
     s, auth = statements(spark, sf)
-    return G.guarded(s, auth).select("statement_id", "action", "n_numbers", "n_kept")
+    return G.guarded(s, auth).select("statement_id", "action", "n_numbers", "n_kept", "text")
 
 
-@query("literal_guard_sources", f"with {_CELLS} select id statement_id, regexp_replace(row_label, '^[0-9]-', '') source, case when id % 3 = 0 then 1 else 0 end::bigint n_bad from cells")
+@query("literal_guard_sources", f"""with {_PRICES}
+select pk statement_id, base.nm as source, case when known then 0 else 1 end n_bad from base""")
 def literal_guard_sources(spark, sf):
+    """The source of the first price is the part that the statement has just quoted, whichever else has that price."""
     s, auth = statements(spark, sf)
     n = G.sourced(G.found_numbers(s), G.index_of(auth))
-    return n.groupBy("statement_id").agg(F.max("source").alias("source"), F.count_if(F.col("source").isNull()).alias("n_bad"))
+    return n.groupBy("statement_id").agg(F.min_by("source", "start").alias("source"), F.count_if(F.col("source").isNull()).cast("int").alias("n_bad"))
+
+
+@query("guard_audit", f"""with {_PRICES}, b as (select brand, known, case when yr then 1 else 2 end cited_, case when known and not yr then 2 else 1 end kept_ from base)
+select brand, count(*) n, count(*) filter (known) kept, count(*) filter (not known) reformulated, 0::bigint deleted, sum(cited_)::bigint cited, sum(kept_)::bigint retained,
+round(sum(kept_) / sum(cited_)::double, 4) coverage, 1.0::double statement_rate from b group by 1""")
+def guard_audit(spark, sf):
+    """Statements by action, values cited and kept, and the rates, by brand."""
+    s, auth = statements(spark, sf)
+    g = G.guarded(s, auth).join(table(spark, sf, "part").select(F.col("p_partkey").alias("statement_id"), F.col("p_brand").alias("brand")), "statement_id")
+    return G.audited(g, ["brand"])
+
+
+@query("deviation_typology", """with g as (select distinct o_orderpriority k, round(o_totalprice / 5000, 0) v from orders where o_orderkey % 10 = 1), a as (select distinct o_orderpriority k, round(o_totalprice / 5000, 1) v from orders where o_orderkey % 1000 = 3),
+e as (select distinct o_orderpriority k, round(o_totalprice / 5000, 0) v from orders where o_orderkey % 100 = 2),
+r as (select *, row_number() over (partition by k order by v) n from a), few as (select k, v from r where n <= 6),
+pairs as (select x.k, unnest([y.v - x.v, x.v + y.v, 100 * (y.v - x.v) / nullif(x.v, 0), 100 * (y.v - x.v) / nullif(y.v, 0), 100 * x.v / nullif(y.v, 0), 100 * y.v / nullif(x.v, 0)]) z from few x join few y on x.k = y.k and x.v < y.v)
+select k, v, case when exists (select 1 from a where a.k = g.k and a.v <> g.v and abs(a.v - g.v) <= 0.5 + 1e-9) then 'rounding' when exists (select 1 from e where e.k = g.k and e.v = g.v) then 'other year'
+when exists (select 1 from pairs p where p.k = g.k and abs(p.z - g.v) <= 0.5 + 1e-9) then 'computed' else 'invention' end kind from g""")
+def deviation_typology(spark, sf):
+    """Values that nothing supports, by the likeliest origin; computed ones over the six smallest authorised values."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("k"), "o_orderkey", (F.col("o_totalprice") / 5000).alias("v"))
+    of = lambda where, dec: o.where(where).select("k", F.round("v", dec).alias("v")).distinct().withColumn("writing", N.formatted(F.col("v"), dec))
+    gaps = of("o_orderkey % 10 = 1", 0)
+    kinds = G.deviation_kinds(gaps, of("o_orderkey % 1000 = 3", 1), of("o_orderkey % 100 = 2", 0), "k", 6)
+    return gaps.join(kinds, ["k", "writing"]).select("k", "v", "kind")
+
+
+@query("false_rejects", "with t as (select p_partkey k, round(p_retailprice, 0)::bigint v from part), s as (select k, v, case when k % 3 = 0 then v else v + 1 end w from t) select k, v = w and (k % 9 <> 0 or v >= 1000) false_reject from s")
+def false_rejects(spark, sf):
+    """A rejected price is looked for on its page in other spellings: grouped, decimal, or broken over two lines."""
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 0).cast("long").alias("v"))
+    on_page = F.when(F.col("k") % 3 == 0, F.col("v")).otherwise(F.col("v") + 1)
+    spelt = F.when(F.col("k") % 2 == 0, N.formatted(on_page.cast("double"), 0)).otherwise(F.concat(on_page.cast("string"), F.lit(",0")))
+    broken = F.concat(F.left(on_page.cast("string"), F.lit(2)), F.lit("\n"), F.substr(on_page.cast("string"), F.lit(3)))
+    page = t.select("k", F.concat(F.lit("Prix : "), F.when(F.col("k") % 9 == 0, broken).otherwise(spelt), F.lit(" francs")).alias("text"))
+    return G.false_rejects(t.select("k", F.col("v").cast("string").alias("writing")), page, "k").select("k", "false_reject")
 
 
 @query("tumbling_counts", "select date_trunc('hour', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")

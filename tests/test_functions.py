@@ -33,12 +33,15 @@ def test_rounding_and_format(spark):
     assert one(spark, "7,85 %", N.decimals) == 2 and one(spark, "12", N.decimals) == 0
 
 
-def test_scanner():
-    w = lambda t: [x[0] for x in N.scan(t)]
+def test_scanner(spark):
+    w = lambda t: [x["writing"] for x in one(spark, t, lambda c: N.occurrences(c, (2010, 2035))) or []]
     assert w("En 2024, 12 500 PME (7,8 %) selon le tableau 3, au T2 et la 2e place, page 14.") == ["12 500", "7,8"]
     assert w("de 2022-2024 soit 2023 %") == ["2023"]
     assert w("SND30 et T3_2024") == [] and w(None) == [] and w("") == []
     assert w("443 524 contre 393 175") == ["443 524", "393 175"]
+    t = "Le total de 12 500 recule de -7,8 % sur 3 ans"
+    found = one(spark, t, lambda c: N.occurrences(c, (2010, 2035)))
+    assert [(t[x["start"] : x["end"]], x["percent"]) for x in found] == [("12 500", False), ("-7,8 %", True), ("3", False)]
 
 
 def test_text(spark):
@@ -64,7 +67,11 @@ def test_evaluation(spark):
 
 def test_guard(spark):
     t = "Le total atteint 12 500, soit 99 de plus."
-    assert G.without(t, [t.index("99")]) == "Le total atteint 12 500."
+    cut = lambda t, *parts: one(spark, t, lambda c: G.without_clauses(c, F.array(*[F.lit(t.index(p)) for p in parts])))
+    assert cut(t, "99") == "Le total atteint 12 500."
+    assert cut("Le stock atteint 12 500 en tout (99 de plus)", "99") == "Le stock atteint 12 500 en tout."
+    assert cut("il passe à 12 et il en reste 7, 5 de moins", "7", "5") == "Il passe à 12."
+    assert cut("il passe à 12", "12") == ""
     s = spark.createDataFrame([(1, "Le stock atteint 12 500 PME en 2024."), (2, "Le stock de PME du pays atteint 12 500, contre 25 000 avant."), (3, "Il y en a 77 777."), (4, "Rien à signaler."), (5, None)], "statement_id long, text string")
     auth = spark.createDataFrame([("12 500", "Total", 1)], "writing string, source string, priority int")
     got = {r["statement_id"]: (r["action"], r["text"], r["n_kept"]) for r in G.guarded(s, auth).collect()}
@@ -79,9 +86,30 @@ def test_sources_follow_the_sentence(spark):
     assert got == {1: "Douala", 2: "Total", 3: "Yaoundé"}
 
 
-def test_gap_kinds():
-    assert G.gap_kind("7,5", ["7,46"], []) == "rounding"
-    assert G.gap_kind("393 175", ["12"], ["393 175"]) == "other year"
-    assert G.gap_kind("30", ["10", "20"], []) == "computed"
-    assert G.gap_kind("31 337", ["10", "20"], []) == "invention"
-    assert G.gap_kind("abc", [], []) == "invention"
+def test_years_named_with_a_source(spark):
+    auth = spark.createDataFrame([("7,5", "Total", 1, 2019), ("7,5", "Total", 2, 2021)], "writing string, source string, priority int, ref_year int")
+    s = spark.createDataFrame([(1, "Depuis 2021, la hausse est de 7,5 %.")], "statement_id long, text string")
+    index = G.index_of(auth).withColumn("source", F.concat("source", F.lit(" "), F.col("ref_year").cast("string")))
+    assert G.sourced(G.found_numbers(s), index).first()["source"] == "Total 2021"
+
+
+def test_deviation_kinds(spark):
+    w = lambda *xs: spark.createDataFrame([(1, x) for x in xs], "statement_id long, writing string")
+    kind = lambda x, known, past, most=250: G.deviation_kinds(w(x), w(*known), w(*past), most=most).first()["kind"]
+    assert kind("7,5", ["7,46"], ["1"]) == "rounding"
+    assert kind("393 175", ["12"], ["393 175"]) == "other year"
+    assert kind("30", ["10", "20"], ["1"]) == "computed" and kind("50", ["10", "20"], ["1"]) == "computed"
+    assert kind("31 337", ["10", "20"], ["1"]) == "invention" and kind("abc", ["1"], ["1"]) == "invention"
+    known = [str(x) for x in range(1000, 1300)] + ["500 000"]
+    assert kind("501 299", known, ["1"], most=250) == "invention" and kind("501 299", known, ["1"], most=None) == "computed"
+
+
+def test_false_rejects(spark):
+    gaps = spark.createDataFrame([(1, "1181"), (2, "2 500"), (3, "77"), (4, "4321")], "statement_id long, writing string")
+    pages = spark.createDataFrame([(1, "soit 1 181 PME"), (2, "soit 2.500 PME"), (3, "soit 770 PME"), (4, "soit 43\n21 PME")], "statement_id long, text string")
+    assert {r["statement_id"]: r["false_reject"] for r in G.false_rejects(gaps, pages).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_keys_and_lenient_numbers(spark):
+    assert one(spark, " Créations\n d’Été ", N.key_of) == "creations d'ete"
+    assert [one(spark, x, N.lenient) for x in ("env. 1 204 PME", "7,5 %", "n.d.")] == [1204.0, 7.5, None]
