@@ -30,13 +30,18 @@ def normalised_sql(x: str) -> str:
     return f"replace(replace(replace(lower(translate({x}, '{ACCENTED}', '{PLAIN}')), '’', ''''), 'œ', 'oe'), 'æ', 'ae')"
 
 
+def singular(w: Column) -> Column:
+    """A simple plural in the singular."""
+    plural = (F.length(w) > 4) & w.rlike("[sx]$") & ~w.rlike("(ss|us|is)$")
+    return F.when(plural, F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+
+
 def tokens(c: Column, keep_numbers: bool = True) -> Column:
     """Tokens for matching: no function words, simple plurals in the singular."""
     words = F.filter(F.regexp_extract_all(normalised(c), F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(STOP_WORDS))
     if not keep_numbers:
         words = F.filter(words, lambda w: ~w.rlike("^[0-9]+$"))
-    plural = lambda w: (F.length(w) > 4) & w.rlike("[sx]$") & ~w.rlike("(ss|us|is)$")
-    return F.transform(words, lambda w: F.when(plural(w), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return F.transform(words, lambda w: singular(w))
 
 
 def tokens_sql(x: str, keep_numbers: bool = True) -> str:

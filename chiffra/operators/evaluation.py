@@ -97,14 +97,49 @@ def kappa(pairs: DataFrame) -> DataFrame:
     return total.crossJoin(chance).select(F.col("t").alias("n"), po.alias("observed"), ((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"))
 
 
+def inversions(ranked: DataFrame) -> DataFrame:
+    """(n): pairs in which the row that comes first by (x, y) has the larger y. Ranks of y are taken bit by bit: rows that
+    agree in all higher bits and differ in this one are counted by a running sum, so there are as many passes as bits and
+    no pair is formed."""
+    by_y = ranked.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    rank = by_y.withColumn("r", F.row_number().over(Window.orderBy("y")).cast("long") - 1).select("y", "r")  # the values of one ranking
+    levels = F.sequence(F.lit(0), F.lit(31))
+    bits = ranked.join(rank, "y").withColumn("level", F.explode(levels)).withColumn("group", F.expr("shiftright(r, level + 1)")).withColumn("bit", F.expr("shiftright(r, level) & 1"))
+    before = Window.partitionBy("level", "group").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1)
+    return bits.withColumn("ones", F.coalesce(F.sum("bit").over(before), F.lit(0))).agg(F.coalesce(F.sum(F.when(F.col("bit") == 0, F.col("ones"))), F.lit(0)).alias("n"))
+
+
 def kendall(pairs: DataFrame) -> DataFrame:
-    """Kendall's tau-b of few ranked items (id, x, y), by comparing each two."""
-    a, b = pairs.alias("a"), pairs.alias("b")
-    p = a.join(b, F.col("a.id") < F.col("b.id")).select(F.signum(F.col("a.x") - F.col("b.x")).alias("sx"), F.signum(F.col("a.y") - F.col("b.y")).alias("sy"))
-    return p.agg(
-        F.sum(F.when(F.col("sx") * F.col("sy") > 0, 1).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("sx") * F.col("sy") < 0, 1).otherwise(0)).alias("discordant"),
-        (F.sum(F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(F.sum(F.abs("sx")) * F.sum(F.abs("sy"))), F.lit(0.0))).alias("tau"),
-    )
+    """Kendall's tau-b of ranked items (id, x, y), by counting inversions."""
+    tied = lambda *c: pairs.groupBy(*c).agg(F.count(F.lit(1)).alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0)).alias("_".join(["t", *c])))
+    all_ = pairs.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("all"))
+    c = all_.crossJoin(tied("x")).crossJoin(tied("y")).crossJoin(tied("x", "y")).crossJoin(inversions(pairs.select("x", "y")).withColumnRenamed("n", "discordant"))  # one row each
+    c = c.withColumn("concordant", F.col("all") - F.col("t_x") - F.col("t_y") + F.col("t_x_y") - F.col("discordant"))
+    tau = (F.col("concordant") - F.col("discordant")) / F.nullif(F.sqrt((F.col("all") - F.col("t_x")) * (F.col("all") - F.col("t_y"))), F.lit(0.0))
+    return c.select(F.col("concordant").cast("long").alias("concordant"), F.col("discordant").cast("long").alias("discordant"), tau.alias("tau"))
+
+
+def relevant(hits: DataFrame, want: DataFrame) -> DataFrame:
+    """``hits`` (qid, file, page, page_end, …) of questions with relevant pages (qid, file, pages), and ``rel``: whether the hit
+    covers a relevant page of its file. Files meet by equality; the interval is looked up in the pages of one file."""
+    asked = hits.join(want.select("qid").distinct(), "qid", "left_semi")
+    j = asked.join(want, ["qid", "file"], "left")
+    return j.withColumn("rel", F.coalesce(F.exists("pages", lambda p: p.between(F.col("page"), F.col("page_end"))), F.lit(False))).drop("pages")
+
+
+def ideal_gain(n: Column, k: int = 5) -> Column:
+    """The gain of a ranking whose first places are all relevant, of ``n`` relevant pages (1 at least)."""
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+
+
+def configuration_means(judged: DataFrame, want: DataFrame, k: int = 5) -> DataFrame:
+    """(config, n, success_1, success_5, mrr, ndcg_5): means over questions of rows (config, qid, rank, rel)."""
+    n = want.groupBy("qid").agg(F.sum(F.size("pages")).alias("pages"))
+    top = lambda c, at: F.max(F.when(F.col("rel") & (F.col("rank") <= at), c).otherwise(0.0))
+    gain = F.sum(F.when(F.col("rel") & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
+    per = judged.groupBy("config", "qid").agg(top(1.0, 1).alias("s1"), top(1.0, k).alias("s5"), F.coalesce(F.max(F.when(F.col("rel"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"), gain.alias("dcg")).join(n, "qid")
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    return per.groupBy("config").agg(F.count(F.lit(1)).alias("n"), mean("s1", "success_1"), mean("s5", "success_5"), mean("rr", "mrr"), mean(F.col("dcg") / ideal_gain(F.col("pages"), k), "ndcg_5"))
 
 
 def verdict(c: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
+from chiffra.sources.index import Bm25Index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,35 +24,88 @@ def question_terms(questions: DataFrame, key: str = "item_id", text: str = "text
     return questions.select(F.col(key).alias("qid"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def bm25(passages: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) for passages (id, text) and weighted terms (qid, term, weight).
+def bm25(index: Bm25Index, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) for weighted terms (qid, term, weight), from a stored index.
 
-    Statistics come from all passages; ``allowed`` (id) restricts what is scored. Only postings of the questions'
-    terms are kept beyond the document frequencies, so what moves grows with the matches."""
-    tok = passages.select("id", T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-    stats = tok.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tok.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    Statistics come from all passages; ``allowed`` (id) restricts what is scored. Postings lie in buckets by id, so that
+    the sums need no shuffle, and ``top_k`` cuts each bucket to its best before anything travels. Joins pick their own
+    form by size: neither the questions nor the passages are taken to be few."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(stats)).withColumn("raw", raw)
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    wanted = F.broadcast(terms.select("term").distinct())
-    idf = idf.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    scope = tok if allowed is None else tok.join(allowed, "id", "left_semi")
-    tf = scope.select("id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
+    wanted = wanted.select("qid", "term", "weight", "avgdl", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"))
+    postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(F.broadcast(idf), "term").withColumn("part", part).join(F.broadcast(terms), "term")
-    return hits.groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
-
-
-def expanded(terms: DataFrame, families: DataFrame, weight: float = 0.3, most: int = 4) -> DataFrame:
-    """Add up to ``most`` new terms per synonym family (family, pos, term) that a question touches, at ``weight``."""
-    touched = terms.join(F.broadcast(families), "term").select("qid", "family").distinct()
-    extra = touched.join(F.broadcast(families), "family").join(terms.select("qid", "term"), ["qid", "term"], "left_anti")
-    first = Window.partitionBy("qid", "term").orderBy("family", "pos")
-    extra = extra.withColumn("n", F.row_number().over(first)).where("n = 1")
-    nth = Window.partitionBy("qid", "family").orderBy("pos")
+    hits = postings.join(wanted, "term").select("qid", "id", (F.col("weight") * part).alias("part"))
+    return hits.groupBy("qid", "id").agg(F.sum("part").alias("score")).where("score > 0")
+
+
+def expanded(terms: DataFrame, families: DataFrame, weight: float = 0.3, most: int = 4, questions: DataFrame | None = None) -> DataFrame:
+    """Add up to ``most`` new terms per synonym family (family, pos, term) that a question touches, at ``weight``.
+
+    A one-word synonym touches a question that has its token. One of several words touches a question (qid, text) in which
+    the words stand as a phrase; its tokens are added one by one. A token is added once, by the first family that has it."""
+    f = families.withColumn("phrase", F.regexp_replace(F.replace(T.normalised(F.col("term")), F.lit("_"), F.lit(" ")), r"\s+", " "))
+    tok = f.select("family", "pos", F.posexplode(T.tokens(F.col("phrase"))).alias("at", "token"), F.contains("phrase", F.lit(" ")).alias("several"))
+    touched = terms.join(tok.where(~F.col("several")), F.col("term") == F.col("token")).select("qid", "family").distinct()
+    if questions is not None:
+        # A phrase is looked up by its first word, then compared as a whole.
+        words = F.regexp_extract_all(T.normalised(F.col("text")), F.lit(r"[^\s]+"), 0)
+        q = questions.select("qid", F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("q"), F.explode(F.array_distinct(words)).alias("head"))
+        phrases = f.where(F.contains("phrase", F.lit(" "))).select("family", "phrase", F.substring_index("phrase", " ", 1).alias("head"))
+        said = q.join(phrases, "head").where(F.contains("q", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("qid", "family")
+        touched = touched.unionByName(said).distinct()
+    extra = touched.join(tok, "family").join(terms.select("qid", F.col("term").alias("token")), ["qid", "token"], "left_anti")
+    extra = extra.groupBy("qid", "token").agg(F.min(F.struct("family", "pos", "at")).alias("p")).select("qid", "token", "p.*")
+    nth = Window.partitionBy("qid", "family").orderBy("pos", "at")
     extra = extra.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= most)
-    return terms.unionByName(extra.select("qid", "term", F.lit(weight).alias("weight")))
+    return terms.unionByName(extra.select("qid", F.col("token").alias("term"), F.lit(weight).alias("weight")))
+
+
+def search(index: Bm25Index, vectors: DataFrame | None, terms: DataFrame, queries: DataFrame | None, mode: str = "hybrid", allowed: DataFrame | None = None, channel: int = 50, k: int = 60, top_n: int = 5) -> DataFrame:
+    """(qid, id, score, rank, rank_lexical, rank_dense): the ``top_n`` of one mode. ``lexical`` ranks by BM25, ``dense`` by inner
+    product, ``hybrid`` fuses the best ``channel`` of each by reciprocal ranks; all are restricted before ranking."""
+    none = F.lit(None).cast("int")
+    lexical = None if mode == "dense" else top_k(bm25(index, terms, allowed), channel, "qid", "id")
+    dense = None if mode == "lexical" else dense_top_k(vectors if allowed is None else vectors.join(allowed, "id", "left_semi"), queries, channel)
+    if mode == "lexical":
+        return lexical.where(F.col("rank") <= top_n).select("qid", "id", "score", "rank", F.col("rank").alias("rank_lexical"), none.alias("rank_dense"))
+    if mode == "dense":
+        return dense.where(F.col("rank") <= top_n).select("qid", "id", "score", "rank", none.alias("rank_lexical"), F.col("rank").alias("rank_dense"))
+    return rrf([lexical, dense], k, top_n).withColumnsRenamed({"rank_0": "rank_lexical", "rank_1": "rank_dense"})
+
+
+def excerpts(hits: DataFrame, texts: DataFrame, questions: DataFrame, most: int = 420, sentences: int = 4) -> DataFrame:
+    """``hits`` (qid, id, …) with ``excerpt``: up to four sentences from the one before that which shares most words with the
+    question, cut at ``most`` characters. ``texts`` are (id, text), ``questions`` (qid, words: a token set)."""
+    cut = F.split("text", r"(?<=[.;!?])\s+|\n")
+    rows = hits.join(texts, "id").withColumn("s", cut).join(questions, "qid")
+    rows = rows.withColumn("shared", F.transform("s", lambda x: F.size(F.array_intersect(T.token_set(x), F.col("words")))))
+    best = F.array_position("shared", F.array_max("shared")).cast("int")  # the first of the best
+    text = F.trim(F.array_join(F.slice("s", F.greatest(F.lit(1), best - 1), F.lit(sentences)), " "))
+    return rows.select(*hits.columns, F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text).alias("excerpt"))
+
+
+def thresholds_for(encoder: str, by_encoder: dict[str, float], default: float) -> float:
+    """The calibrated threshold of an encoder, else the default: signals of different encoders do not compare."""
+    return by_encoder.get(encoder, default)
+
+
+def suggestions(refused: DataFrame, titles: DataFrame, signals: DataFrame, threshold: float, tried: int = 15, shown: int = 3) -> DataFrame:
+    """(qid, position, title): for refused questions (qid, words, years) up to three titles that share most words with them,
+    half a word more for a year in common, and whose own signal passes the threshold. ``titles`` are (title_id, title, words,
+    years), ``signals`` (title_id, signal). Titles and questions meet on their words; the best ``tried`` are considered."""
+    t = titles.select("title_id", "title", F.col("years").alias("ty"), F.explode("words").alias("w"))
+    q = refused.select("qid", "years", F.explode("words").alias("w"))
+    near = q.join(t, "w").groupBy("qid", "title_id").agg(F.count(F.lit(1)).alias("common"), F.first("title").alias("title"), F.first(F.arrays_overlap("years", "ty")).alias("same_year"))
+    order = Window.partitionBy("qid").orderBy((F.col("common") + F.when(F.col("same_year"), 0.5).otherwise(0.0)).desc(), "title_id")
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= tried).join(signals, "title_id").where(F.col("signal") >= threshold)
+    clean = best.withColumn("title", F.trim(F.regexp_replace("title", r"\s*\(en ?%\)\s*", " "))).groupBy("qid", "title").agg(F.min("n").alias("n"))
+    out = clean.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("n")))
+    return out.where(F.col("position") <= shown).select("qid", "position", "title")
+
+
+#: Fixed value: a model's answer that says it has none.
+NO_ANSWER = r"(?i)ne (r[ée]pondent|permettent|contiennent|fournissent|mentionnent) pas|pas d'information|aucune information|ne sais pas|impossible de r[ée]pondre"
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:

@@ -82,16 +82,77 @@ def main_rows(spark, sf):
     return O.main_row(c, ["indicator", "year"], "want").select("indicator", "year", "row")
 
 
-@query("consultation", f"with {PR.ALLOWED}, {PR.bm25_ctes('where id in (select id from allowed)')}, s as (select qid, max(score) s from scores group by qid) select r.qid, r.id, r.rank::int rank, substr(d.text, 1, 420) excerpt from ranked r join s using (qid) join documents d on d.doc_id = r.id where rank <= 5 and round(s, 6) >= 30 union all select item_id, null, null, null from benchmark left join s on qid = item_id where coalesce(round(s, 6), 0) < 30")
-def consultation(spark, sf):
-    """Authorised passages, signal, refusal under 30, else the five best with an excerpt: the service in one job."""
+#: Refusal thresholds by encoder: what the lexical signal was calibrated to, and the default.
+THRESHOLDS, DEFAULT_THRESHOLD = {"lexical": 30.0}, 25.0
+_SIG = f"{PR.hybrid_ctes()}, pbest as (select qid, max(score) s from (select qid, id, sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score from tf join idf using (term) join q using (term) group by 1, 2) where score > 0 group by qid), sig as (select item_id qid, round(coalesce(s, 0), 6) signal, coalesce(round(s, 6), 0) < 30 refused from benchmark left join pbest on qid = item_id)"
+_SENT = r"string_split(regexp_replace(regexp_replace(d.text, '([.;!?])\s+', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))"
+
+
+def decided(spark, sf):
+    """(qid, signal, refused): the best lexical score of the question itself, without expansion, against the threshold."""
     hits = PR.lexical(spark, sf, True)
     best = hits.groupBy("qid").agg(F.round(F.max("score"), 6).alias("signal"))
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left")
-    decided = R.refusal(q, 30.0)
-    shown = R.top_k(hits, 5, "qid", "id").join(F.broadcast(decided.where("not refused").select("qid")), "qid").join(passages(spark, sf), "id")
-    refused = decided.where("refused").select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("excerpt"))
-    return shown.select("qid", "id", "rank", F.substr("text", F.lit(1), F.lit(420)).alias("excerpt")).unionByName(refused)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
+    return R.refusal(q, R.thresholds_for("lexical", THRESHOLDS, DEFAULT_THRESHOLD))
+
+
+def shown(spark, sf):
+    """(qid, id, rank) of the hybrid search for the questions that are not refused."""
+    return PR.hybrid_topk(spark, sf).select("qid", "id", "rank").join(decided(spark, sf).where("not refused").select("qid"), "qid", "left_semi")
+
+
+@query("consultation", rf"""with {_SIG}, hit as (select h.qid, h.id, h.rank, {_SENT} s from hybrid h join sig using (qid) join documents d on d.doc_id = h.id where rank <= 5 and not refused),
+qs as (select item_id qid, {T.token_set_sql('text')} words from benchmark),
+o as (select hit.*, list_transform(s, lambda x: len(list_intersect(words, {T.token_set_sql('x')}))) n from hit join qs using (qid)),
+e as (select qid, id, rank, trim(array_to_string(list_slice(s, greatest(1, list_position(n, list_max(n)) - 1), greatest(1, list_position(n, list_max(n)) - 1) + 3), ' ')) t from o)
+select qid, id, rank::int rank, case when length(t) > 420 then left(t, 420) || '…' else t end excerpt from e union all select qid, null, null, null from sig where refused""")
+def consultation(spark, sf):
+    """The service: authorised passages, signal, refusal under the encoder's threshold, else five hybrid hits, each with an
+    excerpt around the sentence that shares most words with the question."""
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("words"))
+    hits = R.excerpts(shown(spark, sf), passages(spark, sf), words)
+    refused = decided(spark, sf).where("refused").select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("excerpt"))
+    return hits.unionByName(refused)
+
+
+@query("consultation_suggestions", rf"""with {_SIG}, w as (select item_id tid, text title, unnest({T.token_set_sql('text')}) w from benchmark),
+near as (select a.tid qid, b.tid, any_value(b.title) title, count(*) common from w a join w b using (w) join sig on sig.qid = a.tid and refused where a.tid <> b.tid group by 1, 2),
+best as (select *, row_number() over (partition by qid order by common desc, tid) n from near),
+ok as (select best.qid, best.n, trim(regexp_replace(title, '\s*\(en ?%\)\s*', ' ', 'g')) title from best join sig s on s.qid = best.tid where n <= 15 and s.signal >= 30),
+one as (select qid, title, min(n) n from ok group by 1, 2)
+select qid, row_number() over (partition by qid order by n)::int as "position", md5(title) digest from one qualify "position" <= 3""")
+def consultation_suggestions(spark, sf):
+    """For refused questions, other questions near to them that would be answered."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"), T.token_set(F.col("text")).alias("words"), F.regexp_extract_all("text", F.lit(r"\b20\d\d\b"), 0).alias("years"))
+    d = decided(spark, sf)
+    refused = d.where("refused").join(b.select(F.col("title_id").alias("qid"), "words", "years"), "qid")
+    out = R.suggestions(refused, b, d.select(F.col("qid").alias("title_id"), "signal"), THRESHOLDS["lexical"])
+    return out.select("qid", "position", F.md5(F.col("title").cast("binary")).alias("digest"))
+
+
+@query("consultation_journal", rf"""with {_SIG}, h as (select qid, '[' || string_agg('{{"passage_id":' || id || ',"rank":' || rank || '}}', ',' order by rank) || ']' sources from hybrid where rank <= 5 and qid in (select qid from sig where not refused) group by 1)
+select qid, '{{"question":' || qid || ',"mode":"hybrid"}}' as entry, coalesce(sources, '[]') sources, case when refused then 'no passage is near enough' end abstention from sig left join h using (qid)""")
+def consultation_journal(spark, sf):
+    """The journal's rows of all questions: entry and sources as JSON, and why nothing was answered."""
+    src = shown(spark, sf).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("h"))
+    src = src.select("qid", F.to_json(F.transform("h", lambda x: F.struct(x["id"].alias("passage_id"), x["rank"].alias("rank")))).alias("sources"))
+    j = decided(spark, sf).join(src, "qid", "left")
+    entry = F.to_json(F.struct(F.col("qid").alias("question"), F.lit("hybrid").alias("mode")))
+    return j.select("qid", entry.alias("entry"), F.coalesce("sources", F.lit("[]")).alias("sources"), F.when(F.col("refused"), "no passage is near enough").alias("abstention"))
+
+
+@query("extractive_answers")
+def extractive_answers(spark, sf):
+    """Two sentences of the three best passages as an answer, in front of the guard with the numbers of all five as authorised
+    values: what the guard does with each. Its SQL twin would be that of the guard; unit tests hold it."""
+    hits, q = shown(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("words"))
+    texts = hits.join(passages(spark, sf), "id")
+    s = texts.where("rank <= 3").select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).join(q, "qid")
+    s = s.withColumn("n", F.size(F.array_intersect("words", T.token_set(F.col("sentence"))))).where("n > 0")
+    s = s.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("n").desc(), "rank", "pos"))).where("k <= 2").withColumn("statement_id", F.col("qid") * 2 + F.col("k") - 1)
+    numbers = G.found_numbers(texts.select("qid", "text"), "qid").select("writing", F.col("qid").cast("string").alias("source"), F.lit(1).alias("priority"))
+    out = G.guarded(s.select("statement_id", F.col("sentence").alias("text")), numbers)
+    return out.select(F.floor(F.col("statement_id") / 2).alias("qid"), (F.col("statement_id") % 2).cast("int").alias("position"), "action", "n_numbers", "n_kept")
 
 
 @query("passage_search", "select doc_id, source, lang from documents where text ilike '%tion the%' order by doc_id limit 300")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chiffra.functions import text as T
 from chiffra.operators import evaluation as E
 from chiffra.operators import retrieval as R
+from chiffra.sources import index as IX
 from chiffra.plans.base import authorised, passages, query, r6, table
 
 ALLOWED = "allowed as (select doc_id id from documents where doc_id not in (select doc_id from labels where toxic = 1))"
@@ -27,8 +28,13 @@ scores as (select qid, id, sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.7
 ranked as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) rank from scores where score > 0)"""
 
 
+def index(spark, sf):
+    """The stored index of the documents, built at its first use."""
+    return IX.session_index(passages(spark, sf), f"{sf}/documents")
+
+
 def lexical(spark, sf, allowed=False, terms=None):
-    return R.bm25(passages(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), authorised(spark, sf) if allowed else None)
+    return R.bm25(index(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), authorised(spark, sf) if allowed else None)
 
 
 OUT = "select qid, id, rank::int rank, round(score, 6) score from ranked where rank <= "
@@ -44,8 +50,8 @@ def bm25_authorised_topk(spark, sf):
     return R.top_k(lexical(spark, sf, True), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
 
 
-#: A lexicon for the driver tables: each family a list of synonyms.
-LEXICON = [["the", "that", "with"], ["onen", "eren", "thin"], ["enen", "erea", "anti", "hein", "tion", "bleed"], ["quelle", "leaux", "ment"]]
+#: A lexicon for the driver tables: each family a list of synonyms, the last of them a phrase of several words.
+LEXICON = [["the", "that", "with"], ["onen", "eren", "thin"], ["enen", "erea", "anti", "hein", "tion", "bleed"], ["quelle", "leaux", "ment"], ["shin on", "in the", "thand onen"]]
 
 
 def families(spark):
@@ -54,17 +60,26 @@ def families(spark):
 
 
 _FAM = ", fam(family, pos, term) as (values " + ", ".join(f"({f}, {p}, '{w}')" for f, ws in enumerate(LEXICON) for p, w in enumerate(ws)) + ")"
-_EXPAND = _FAM + """, touched as (select distinct qid, family from q join fam using (term)),
-extra0 as (select t.qid, f.family, f.pos, f.term from touched t join fam f using (family) where not exists (select 1 from q where q.qid = t.qid and q.term = f.term)),
-extra1 as (select * from extra0 qualify row_number() over (partition by qid, term order by family, pos) = 1),
-extra as (select * from extra1 qualify row_number() over (partition by qid, family order by pos) <= 4),
+_EXPAND = _FAM + f""", ftok as (select family, pos, contains(term, ' ') several, unnest({T.tokens_sql('term')}) token, generate_subscripts({T.tokens_sql('term')}, 1) att from fam),
+said as (select item_id qid, family from benchmark, fam where contains(term, ' ') and contains(' ' || array_to_string(regexp_extract_all({T.normalised_sql('text')}, '\\S+'), ' ') || ' ', ' ' || term || ' ')),
+touched as (select qid, family from q join ftok on token = term and not several union select qid, family from said),
+extra0 as (select t.qid, f.family, f.pos, f.att, f.token term from touched t join ftok f using (family) where not exists (select 1 from q where q.qid = t.qid and q.term = f.token)),
+extra1 as (select * from extra0 qualify row_number() over (partition by qid, term order by family, pos, att) = 1),
+extra as (select * from extra1 qualify row_number() over (partition by qid, family order by pos, att) <= 4),
 terms as (select qid, term, weight from q union all select qid, term, 0.3 from extra)"""
 
 
+def questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def expanded_terms(spark, sf):
+    return R.expanded(R.question_terms(table(spark, sf, "benchmark")), families(spark), questions=questions(spark, sf))
+
+
 @query("bm25_weighted_expansion", f"with {bm25_ctes(terms=_EXPAND)} {OUT} 5")
 def bm25_weighted_expansion(spark, sf):
-    terms = R.expanded(R.question_terms(table(spark, sf, "benchmark")), families(spark))
-    return R.top_k(lexical(spark, sf, terms=terms), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
+    return R.top_k(lexical(spark, sf, terms=expanded_terms(spark, sf)), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
 
 
 def vectors(spark, sf):
@@ -136,14 +151,22 @@ def rrf_k_ablation(spark, sf):
 
 
 # Signals: the best lexical score; a question is outside the corpus if no document holds its text.
-_GOLD = "gold as (select item_id qid, doc_id id from benchmark b join documents d on contains(d.text, substr(b.text, 11, 60)))"
+_GOLD = "gold as (select item_id qid, doc_id id from benchmark b join documents d on b.text <> '' and contains(d.text, b.text))"
 _SIGNALS = f"{_GOLD}, {bm25_ctes()}, signals as (select item_id qid, coalesce(round(s, 6), 0) signal, item_id not in (select qid from gold) outside from benchmark left join (select qid, max(score) s from scores where score > 0 group by qid) on qid = item_id)"
 
 
 def gold(spark, sf):
-    """(qid, id): documents that hold the question's text. Each text meets the questions as one broadcast condition."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substr("text", F.lit(11), F.lit(60)).alias("probe"))
-    return passages(spark, sf).join(F.broadcast(q), F.contains("text", "probe")).select("qid", "id")
+    """(qid, id): documents that hold the question's whole text. A document that does has the rarest of the question's inner
+    words, so the postings of that word alone are compared; a question without inner words meets all documents."""
+    ix, q = index(spark, sf), questions(spark, sf).where("text <> ''")
+    words = F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)
+    inner = q.select("qid", F.explode_outer(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("w"))
+    inner = inner.withColumn("term", F.when(~F.col("w").isin(T.STOP_WORDS), T.singular(F.col("w")))).join(ix.terms, "term", "left")
+    rare = inner.groupBy("qid").agg(F.min_by("term", F.when(F.col("term").isNotNull(), F.struct(F.coalesce("df", F.lit(0.0)), "term"))).alias("term"))
+    maybe = rare.where("term is not null").join(ix.postings.select("id", "term"), "term").select("qid", "id")
+    held = maybe.join(q, "qid").join(passages(spark, sf).withColumnRenamed("text", "passage"), "id").where(F.contains("passage", F.col("text"))).select("qid", "id")
+    short = rare.where("term is null").join(q, "qid").select("qid", "text")
+    return held.unionByName(passages(spark, sf).withColumnRenamed("text", "passage").join(short, F.contains("passage", F.col("text"))).select("qid", "id"))
 
 
 def signals(spark, sf):
@@ -308,3 +331,91 @@ def best_sentences(spark, sf):
     s = top.select("qid", "id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).join(F.broadcast(qs), "qid")
     s = s.withColumn("overlap", F.size(F.array_intersect("qset", T.token_set(F.col("sent"))))).where("overlap > 0").withColumn("pos", F.col("pos") + 1)
     return s.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "id", "pos"))).where("n <= 2").select("qid", "id", "pos", "overlap")
+
+
+# Hybrid search: BM25 with expansion over documents, and vectors of the same ids; a question's vector is that of its number.
+_QVEC = "qv as (select b.item_id qid, e.embedding v from benchmark b join embeddings e on e.vec_id = b.item_id)"
+_DENSE_Q = """dpairs as (select qid, e.vec_id id, round(list_inner_product(v::double[], e.embedding::double[]), 9) score from qv, embeddings e where e.vec_id in (select id from allowed)),
+drank as (select *, row_number() over (partition by qid order by score desc, id) rank from dpairs)"""
+
+
+def question_vectors(spark, sf):
+    v = vectors(spark, sf).select(F.col("id").alias("qid"), "v")
+    return questions(spark, sf).select("qid").join(v, "qid")
+
+
+def hybrid_ctes(terms=_EXPAND, k="60"):
+    return f"""{ALLOWED}, {bm25_ctes('where id in (select id from allowed)', terms)}, {_QVEC}, {_DENSE_Q},
+fused as (select qid, id, sum(1.0::double / ({k} + rank)) score, max(lr) rank_lexical, max(dr) rank_dense from (select qid, id, rank, rank lr, null dr from ranked where rank <= 50 union all select qid, id, rank, null, rank from drank where rank <= 50) group by 1, 2),
+hybrid as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) rank from fused)"""
+
+
+@query("hybrid_topk", f"with {hybrid_ctes()} select qid, id, rank::int rank, round(score, 6) score, rank_lexical::int rank_lexical, rank_dense::int rank_dense from hybrid where rank <= 5")
+def hybrid_topk(spark, sf):
+    """The search itself: authorised passages, the 50 best by BM25 with expansion and by vectors, fused by reciprocal ranks."""
+    out = R.search(index(spark, sf), vectors(spark, sf).select("id", "v"), expanded_terms(spark, sf), question_vectors(spark, sf), "hybrid", authorised(spark, sf))
+    return out.select("qid", "id", "rank", r6("score", "score"), "rank_lexical", "rank_dense")
+
+
+#: Configurations of the evaluation: name, mode, constant of the fusion, expansion.
+CONFIGURATIONS = [("lexical", "lexical", 60, True), ("dense", "dense", 60, True), *((f"hybrid_k{k}", "hybrid", k, True) for k in (20, 60, 100)), ("hybrid_plain", "hybrid", 60, False), ("lexical_plain", "lexical", 60, False)]
+
+
+def configuration_hits(spark, sf):
+    """(config, qid, id, rank) of the ten best in each configuration. Each channel is ranked once."""
+    allowed, ix, v = authorised(spark, sf), index(spark, sf), vectors(spark, sf).select("id", "v")
+    plain, more = R.question_terms(table(spark, sf, "benchmark")), expanded_terms(spark, sf)
+    lex = {x: R.top_k(R.bm25(ix, more if x else plain, allowed), 50, "qid", "id").select("qid", "id", "rank") for x in (True, False)}
+    dense_ = R.dense_top_k(v.join(allowed, "id", "left_semi"), question_vectors(spark, sf), 50).select("qid", "id", "rank")
+    out = None
+    for name, mode, k, more_ in CONFIGURATIONS:
+        hits = lex[more_] if mode == "lexical" else dense_ if mode == "dense" else R.rrf([lex[more_], dense_], k, 10)
+        hits = hits.where("rank <= 10").select(F.lit(name).alias("config"), "qid", "id", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _configuration_sql():
+    lex = "select '{}' config, qid, id, rank from {} where rank <= 10"
+    hyb = "select '{}' config, qid, id, row_number() over (partition by qid order by round(score, 9) desc, id) rank from (select qid, id, sum(1.0::double / ({} + rank)) score from (select qid, id, rank from {} where rank <= 50 union all select qid, id, rank from drank where rank <= 50) group by 1, 2) qualify rank <= 10"
+    plain = """pscores as (select qid, id, sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score from tf join idf using (term) join q using (term) group by 1, 2),
+pranked as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) rank from pscores where score > 0)"""
+    parts = [lex.format(n, "ranked" if x else "pranked") if m == "lexical" else lex.format(n, "drank") if m == "dense" else hyb.format(n, k, "ranked" if x else "pranked") for n, m, k, x in CONFIGURATIONS]
+    return f"{_GOLD}, {ALLOWED}, {bm25_ctes('where id in (select id from allowed)', _EXPAND)}, {plain}, {_QVEC}, {_DENSE_Q}, hits as ({' union all '.join(parts)})"
+
+
+# A question's relevant pages are those of documents that hold it; documents of one source follow one another, ten to a file,
+# as its pages. A passage covers its page and the next; it is relevant if it covers a relevant page of the same file.
+_PAGES = "pages_ as (select doc_id id, doc_id // 10 as file_, (doc_id % 10)::int pg from documents), want as (select distinct qid, file_, pg wanted from gold join pages_ using (id)), np as (select qid, count(*) n from want group by 1)"
+
+
+def relevant_pages(spark, sf):
+    p = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("file"), (F.col("doc_id") % 10).cast("int").alias("page"))
+    return p, gold(spark, sf).join(p, "id").groupBy("qid", "file").agg(F.collect_set("page").alias("pages"))
+
+
+@query("evaluation_configurations", f"""with {_configuration_sql()}, {_PAGES},
+j as (select config, h.qid, rank, exists (select 1 from want w where w.qid = h.qid and w.file_ = p.file_ and w.wanted between p.pg and p.pg + 1) rel from hits h join pages_ p using (id) where h.qid in (select qid from np)),
+m as (select config, qid, max(case when rel and rank <= 1 then 1.0 else 0.0 end) s1, max(case when rel and rank <= 5 then 1.0 else 0.0 end) s5, coalesce(max(case when rel then 1.0::double / rank end), 0) rr, sum(case when rel and rank <= 5 then 1 / log2(rank + 1) else 0 end) / (select sum(1 / log2(i + 1)) from (select unnest(range(1, 6)) i) where i <= greatest(1, np.n)) ndcg from j join np using (qid) group by config, qid, np.n)
+select config, count(*) n, round(avg(s1), 4)::double success_1, round(avg(s5), 4)::double success_5, round(avg(rr), 4) mrr, round(avg(ndcg), 4) ndcg_5 from m group by 1""")
+def evaluation_configurations(spark, sf):
+    """Seven configurations by page-interval relevance: means of success at 1 and 5, reciprocal rank and nDCG."""
+    pages, want = relevant_pages(spark, sf)
+    j = E.relevant(configuration_hits(spark, sf).join(pages, "id").withColumn("page_end", F.col("page") + 1), want)
+    return E.configuration_means(j, want)
+
+
+@query("evaluation_tests", f"""with {_configuration_sql()}, {_PAGES},
+j as (select config, h.qid, rank, exists (select 1 from want w where w.qid = h.qid and w.file_ = p.file_ and w.wanted between p.pg and p.pg + 1) rel from hits h join pages_ p using (id) where h.qid in (select qid from np)),
+m as (select config, qid, max(case when rel and rank <= 5 then 1.0 else 0.0 end)::double s5, coalesce(max(case when rel then 1.0::double / rank end), 0) rr from j group by 1, 2),
+p as (select b.config other, metric, case metric when 's5' then a.s5 - b.s5 else a.rr - b.rr end d from m a join m b on a.qid = b.qid and a.config = 'hybrid_k60' and b.config in ('lexical', 'dense'), (select unnest(['s5', 'rr']) metric))
+select other, metric, count(*) filter (round(d, 12) > 1e-12) win, count(*) filter (round(d, 12) < -1e-12) loss, count(*) filter (abs(round(d, 12)) <= 1e-12) tie from p group by 1, 2""")
+def evaluation_tests(spark, sf):
+    """The hybrid search against each channel alone, on two measures: wins, losses and ties of the paired questions."""
+    pages, want = relevant_pages(spark, sf)
+    j = E.relevant(configuration_hits(spark, sf).where("config in ('hybrid_k60', 'lexical', 'dense')").join(pages, "id").withColumn("page_end", F.col("page") + 1), want)
+    m = j.groupBy("config", "qid").agg(F.max(F.when(F.col("rel") & (F.col("rank") <= 5), 1.0).otherwise(0.0)).alias("s5"), F.coalesce(F.max(F.when(F.col("rel"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
+    long = m.select("config", "qid", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("x")) for n in ("s5", "rr")])))
+    a = long.where("config = 'hybrid_k60'").select("qid", "metric", F.col("x").alias("a"))
+    pairs = a.join(long.where("config <> 'hybrid_k60'").select(F.col("config").alias("other"), "qid", "metric", F.col("x").alias("b")), ["qid", "metric"])
+    return E.wilcoxon(pairs, ["other", "metric"]).select("other", "metric", "win", "loss", "tie")
