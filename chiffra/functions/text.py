@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters U+00C0 to U+017F that decompose into a base letter and marks, by rule.
@@ -113,3 +113,22 @@ def slug(c: Column, n: int = 6) -> Column:
     dull = ["des", "les", "par", "selon", "evolution", "repartition"]
     words = F.array_distinct(F.filter(F.regexp_extract_all(bare_title(c), F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 2) & ~w.isin(dull)))
     return F.coalesce(F.nullif(F.array_join(F.slice(words, 1, n), "-"), F.lit("")), F.lit("indicateur"))
+
+
+def dominant_year(docs: DataFrame, key: str, text: str, announced: int = 5) -> DataFrame:
+    """(key, year, weight): the year that a text names most, a mention after "exercice" counting ``announced`` more; the latest
+    on ties."""
+    years = lambda pattern, group, weight: docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), group)).alias("year"), F.lit(weight).alias("w"))
+    y = years(r"\b((19|20)\d{2})\b", 1, 1).unionByName(years(r"(?i)exercice\s+((19|20)\d{2})\b", 1, announced))
+    y = y.groupBy(key, F.col("year").cast("int").alias("year")).agg(F.sum("w").alias("weight"))
+    return y.groupBy(key).agg(F.max_by(F.struct("year", "weight"), F.struct("weight", "year")).alias("b")).select(key, "b.year", "b.weight")
+
+
+def informativeness(c: Column, function_words: list[str] = STOP_WORDS) -> Column:
+    """Between 0.15 and 1: how much a text is prose (by its share of function words, from 0.20 to 0.42) or data (by its share of
+    numbers of three digits and more, from 0.05 to 0.18); forms and tables of contents are neither."""
+    words = F.regexp_extract_all(normalised(c), F.lit("[a-z0-9]+"), 0)
+    share = lambda f: F.size(F.filter(words, f)) / F.nullif(F.size(words), F.lit(0))
+    ramp = lambda x, low, high: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low)))
+    prose, data = ramp(share(lambda w: w.isin(function_words)), 0.20, 0.42), ramp(share(lambda w: w.rlike("^[0-9]{3,}$")), 0.05, 0.18)
+    return F.when(F.size(words) == 0, 0.15).otherwise(F.greatest(F.lit(0.15), prose, data))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,39 +29,53 @@ def html_lines(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.split(t, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("length(line) > 0")
 
 
-def token_windows(lines: DataFrame, by: str, least: int = 400, most: int = 800, overlap: float = 0.15) -> DataFrame:
-    """(by, window_no, first_line, end_line, n_tokens): lines packed greedily into windows of at most ``most`` tokens.
-
-    A window closes when the next line would overflow it; the next one starts again with the last lines that make up
-    ``overlap`` of it. A tail shorter than ``least`` joins the window before if both fit. A line longer than ``most`` is a
-    window of its own. The scan is sequential within a document, so documents are processed one batch at a time; only line
-    numbers and token counts travel."""
-    counts = lines.select(by, "line_no", T.token_count(F.col("line")).alias("n"))
-
-    def pack(_, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        key, no, n = rows[by].iloc[0], rows["line_no"].tolist(), rows["n"].tolist()
-        out, at = [], 0
-        while at < len(n):
-            end, total = at, 0
-            while end < len(n) and (end == at or total + n[end] <= most):
-                total += n[end]
-                end += 1
-            if out and end == len(n) and total < least and out[-1][4] + sum(n[out[-1][3] : end]) <= most:
-                first, tokens = out[-1][2], out[-1][4] + sum(n[out[-1][3] : end])
-                out[-1] = [key, out[-1][1], first, end, tokens]
-                break
-            out.append([key, len(out), at, end, total])
-            if end == len(n):
+def _packed_lines(n: list[int], least: int, most: int, overlap: float) -> list[tuple[int, int, int]]:
+    """(first line, end line, tokens) of the windows over lines of ``n`` tokens each."""
+    out, at = [], 0
+    while at < len(n):
+        end, total = at, 0
+        while end < len(n) and (end == at or total + n[end] <= most):
+            total += n[end]
+            end += 1
+        if out and end == len(n) and total < least:
+            first, last, tokens = out[-1]
+            if tokens + sum(n[last:end]) <= most:
+                out[-1] = (first, end, tokens + sum(n[last:end]))
                 break
-            back, held = end, 0
-            while back > at + 1 and held + n[back - 1] <= overlap * total:
-                back -= 1
-                held += n[back]
-            at = back
-        return pd.DataFrame([[k, w, no[a], no[z - 1] + 1, t] for k, w, a, z, t in out], columns=[by, "window_no", "first_line", "end_line", "n_tokens"])
-
-    return counts.groupBy(by).applyInPandas(pack, f"{by} long, window_no int, first_line int, end_line int, n_tokens long")
+        out.append((at, end, total))
+        if end == len(n):
+            break
+        back, held = end, 0
+        while back > at + 1 and held + n[back - 1] <= overlap * total:
+            back -= 1
+            held += n[back]
+        at = back
+    return out
+
+
+def windows_of_counts(docs: DataFrame, by: str, least: int = 400, most: int = 800, overlap: float = 0.15) -> DataFrame:
+    """(by, window_no, first_line, end_line, n_tokens) of documents (by, counts: the tokens of each line, in order).
+
+    Lines are packed greedily into windows of at most ``most`` tokens. A window closes when the next line would overflow it;
+    the next one starts again with the last lines that make up ``overlap`` of it. A tail shorter than ``least`` joins the
+    window before if both fit. A line longer than ``most`` is a window of its own. The scan is sequential within a document;
+    documents stay where they are, and batches of their counts pass through one kernel."""
+
+    def pack(batches):
+        for batch in batches:
+            keys, rows = batch.column(0), [(k, i, w) for k, c in enumerate(batch.column(1).to_pylist()) for i, w in enumerate(_packed_lines(c or [], least, most, overlap))]
+            take = keys.take(pa.array([r[0] for r in rows], pa.int64()))
+            ints = [pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[2][k] for r in rows], pa.int32()) for k in (0, 1)), pa.array([r[2][2] for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([take, *ints], [by, "window_no", "first_line", "end_line", "n_tokens"])
+
+    kind = docs.schema[by].dataType.simpleString()
+    return docs.select(by, "counts").mapInArrow(pack, f"{by} {kind}, window_no int, first_line int, end_line int, n_tokens long")
+
+
+def token_windows(lines: DataFrame, by: str, least: int = 400, most: int = 800, overlap: float = 0.15) -> DataFrame:
+    """``windows_of_counts`` for lines (by, line_no, line); line numbers of the result are places in the order of line_no."""
+    counts = lines.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", T.token_count(F.col("line")).cast("int").alias("n")))), lambda x: x["n"]).alias("counts"))
+    return windows_of_counts(counts, by, least, most, overlap)
 
 
 def gap_clusters(df: DataFrame, keys: list[str], x: str, tie: str, gap: float) -> DataFrame:

@@ -30,8 +30,14 @@ def encoded(rows: DataFrame, config: dict) -> DataFrame:
     return out.withColumn("config_hash", F.lit(config_hash(config))).withColumn("status", F.coalesce(F.col("status") if "status" in rows.columns else F.lit(None), F.lit("to read")))
 
 
-def append(rows: DataFrame, path: str, config: dict) -> None:
-    encoded(rows, config).write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, config: dict, began: float | None = None) -> None:
+    """Append rows to the journal. Rows without a ``prod_id`` get one that no other row has, all get the time of writing and,
+    where it is known when their making ``began`` (seconds of the epoch), how long it took."""
+    out = encoded(rows, config)
+    if "prod_id" not in out.columns:
+        out = out.withColumn("prod_id", F.xxhash64(F.uuid()))
+    took = F.lit(None).cast("double") if began is None else F.round(F.unix_millis(F.current_timestamp()) / 1000 - F.lit(began), 3)
+    out.withColumn("written_at", F.current_timestamp()).withColumn("duration_s", took).write.mode("append").parquet(path)
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from chiffra.functions import text as T
 from chiffra.sources.index import Bm25Index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of questions that are broadcast, at some 50 bytes each.
+MOST_SENT = 500_000
 
 
 def top_k(scored: DataFrame, k: int, by: str, key: str, score: str = "score") -> DataFrame:
@@ -28,11 +30,14 @@ def bm25(index: Bm25Index, terms: DataFrame, allowed: DataFrame | None = None) -
     """(qid, id, score) for weighted terms (qid, term, weight), from a stored index.
 
     Statistics come from all passages; ``allowed`` (id) restricts what is scored. Postings lie in buckets by id, so that
-    the sums need no shuffle, and ``top_k`` cuts each bucket to its best before anything travels. Joins pick their own
-    form by size: neither the questions nor the passages are taken to be few."""
+    the sums need no shuffle, and ``top_k`` cuts each bucket to its best before anything travels. That holds as long as the
+    questions' terms can be sent to every bucket: they are counted, and beyond ``MOST_SENT`` the postings are shuffled
+    by term instead."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     wanted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     wanted = wanted.select("qid", "term", "weight", "avgdl", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"))
+    few = terms.count() <= MOST_SENT
+    wanted = F.broadcast(wanted) if few else wanted.hint("merge")
     postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = postings.join(wanted, "term").select("qid", "id", (F.col("weight") * part).alias("part"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chiffra.functions import numbers as N
+
 LEVEL = r"(?i)^\s*(effectifs?|nombres?|valeurs?|montants?)\s*$"
 
 
@@ -52,6 +54,21 @@ def cross_edition(current: DataFrame, previous: DataFrame, keys: list[str], dec:
     return out.withColumn("var_abs", a).withColumn("var_rel", r)
 
 
+def variations_of_writings(cells: DataFrame, keys: list[str], dec_pct: int = 1) -> DataFrame:
+    """Each cell (keys, year, value, writing, value_id) against every earlier year of its series. The absolute change has as
+    many decimals as the longer of the two writings; both changes come with their own writing."""
+    w = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.collect_list(F.struct(F.col("year").alias("ref_year"), F.col("value").alias("ref"), F.col("writing").alias("ref_writing"), F.col("value_id").alias("ref_id")))
+    v = cells.withColumn("__p", past.over(w)).select("*", F.inline("__p")).drop("__p")
+    v = v.withColumn("decimals", F.greatest(N.decimals(F.col("writing")), N.decimals(F.col("ref_writing"))))
+    scale = F.pow(F.lit(10.0), F.col("decimals").cast("double"))
+    v = v.withColumn("var_abs", F.round(F.round((F.col("value") - F.col("ref")) * scale, 6), 0) / scale)
+    v = v.withColumn("var_rel", F.round(100 * (F.col("value") - F.col("ref")) / F.nullif("ref", F.lit(0.0)), dec_pct))
+    text = F.translate(F.call_function("format_number", F.abs("var_abs"), F.col("decimals")), ",.", " ,")
+    signed = F.when((F.col("var_abs") < 0) & text.rlike("[1-9]"), F.concat(F.lit("-"), text)).otherwise(text)
+    return v.withColumn("abs_text", signed).withColumn("rel_text", N.formatted(F.col("var_rel"), dec_pct))
+
+
 def successive(cells: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
     """Relative change in per cent from the value before; rows after a zero or at the start have none."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -67,30 +84,29 @@ def trend(changes: DataFrame, keys: list[str], order: str = "year", n: int = 3)
     return c.withColumn("trend", label)
 
 
-def saliency(changes: DataFrame, keys: list[str], order: str = "year", least: int = 3) -> DataFrame:
-    """|change| over the standard deviation of the changes before it, or |change| with too short or flat a history."""
+def saliency(changes: DataFrame, keys: list[str], order: str = "year", least: int = 3, bonus: Column | None = None) -> DataFrame:
+    """|change| over the standard deviation of the changes before it, or |change| with too short or flat a history, and a
+    bonus, as for a documented objective. The history ends before the row, so it never holds the change itself."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     c = changes.where("change is not null").withColumn("n_history", F.count("change").over(w)).withColumn("sd", F.stddev_pop("change").over(w))
     use = (F.col("n_history") >= least) & (F.col("sd") > 0)
-    return c.withColumn("score", F.when(use, F.abs("change") / F.col("sd")).otherwise(F.abs("change"))).withColumn("base", F.when(use, "sd").otherwise("change"))
-
+    return c.withColumn("score", F.when(use, F.abs("change") / F.col("sd")).otherwise(F.abs("change")) + (F.lit(0.0) if bonus is None else bonus)).withColumn("base", F.when(use, "sd").otherwise("change"))
 
-def ordered_dedup(candidates: DataFrame, key1: str, key2: str, most: int) -> DataFrame:
-    """Rows (rank first) such that none shares ``key1`` or ``key2`` with a row taken before; at most ``most``.
 
-    What is taken depends on what was taken, so this runs in order over one bounded list: candidates are the few
-    evolutions of one report, and the caller's ranking bounds them."""
+def ordered_dedup(candidates: DataFrame, by: str, key1: str, key2: str, most: int) -> DataFrame:
+    """Rows of each list (by), in order of ``rank``, such that none shares ``key1`` or ``key2`` with a row taken before; at most
+    ``most`` a list. What is taken depends on what was taken, so each list is scanned in order, as one array: a list is
+    the evolutions of one report."""
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col(key1).alias("a"), F.col(key2).alias("b"))))
+    a_type, b_type = candidates.schema[key1].dataType.simpleString(), candidates.schema[key2].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{a_type}>").alias("a"), F.array().cast(f"array<{b_type}>").alias("b"), F.array().cast("array<int>").alias("ranks"))
 
-    def take(rows):
-        seen1, seen2, out = set(), set(), []
-        for r in rows.sort_values("rank").itertuples():
-            if getattr(r, key1) not in seen1 and getattr(r, key2) not in seen2:
-                seen1.add(getattr(r, key1))
-                seen2.add(getattr(r, key2))
-                out.append(r.Index)
-        return rows.loc[out[:most]]
+    def take(s: Column, x: Column) -> Column:
+        new = ~F.array_contains(s["a"], x["a"]) & ~F.array_contains(s["b"], x["b"]) & (F.size(s["ranks"]) < most)
+        return F.when(F.coalesce(new, F.lit(True)), F.struct(F.concat(s["a"], F.array(x["a"])).alias("a"), F.concat(s["b"], F.array(x["b"])).alias("b"), F.concat(s["ranks"], F.array(x["rank"])).alias("ranks"))).otherwise(s)
 
-    return candidates.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda k, rows: take(rows).drop(columns="__one"), candidates.schema)
+    taken = candidates.groupBy(by).agg(F.aggregate(items, start, take)["ranks"].alias("r")).select(by, F.explode("r").alias("rank"))
+    return candidates.join(taken, [by, "rank"], "left_semi")
 
 
 def incoherent_totals(totals: DataFrame) -> DataFrame:

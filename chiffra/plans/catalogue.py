@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from chiffra.plans import figures, more, notes, retrieval, texts  # noqa: F401
+from chiffra.plans import assembly, figures, layout, more, notes, retrieval, texts  # noqa: F401
 from chiffra.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import numbers as N
+from chiffra.functions import text as T
 from chiffra.operators import evaluation as E
 from chiffra.operators import guard as G
 from chiffra.operators import journal as J
@@ -81,10 +82,11 @@ def top_evolutions(spark, sf):
 
 @query("report_evolutions")
 def report_evolutions(spark, sf):
-    """One report's list: by score, no two of the same month or the same rounded change."""
-    s = S.saliency(month_changes(spark, sf), ["p"], "month").select("p", "month", F.round("change", 0).alias("rounded"), "score")
-    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 6).desc(), "p", "month")))  # a few hundred months of one report
-    return S.ordered_dedup(s, "month", "rounded", 7)
+    """Each region's list of evolutions: by score, no two of the same month or the same rounded change. What is taken depends
+    on what was taken; lists are those of single reports, and any number of reports is processed at once."""
+    s = S.saliency(month_changes(spark, sf), ["p"], "month").select(F.col("p").alias("report"), "month", F.round("change", 0).alias("rounded"), "score")
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("report").orderBy(F.round("score", 6).desc(), "month")))
+    return S.ordered_dedup(s, "report", "month", "rounded", 7)
 
 
 @query("total_reconciliation", """with l as (select l_orderkey k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 0) v from lineitem group by 1), t as (select year(o_orderdate)::int as year_, round(o_totalprice / 1000, 0) total, round(coalesce(v, 0) / 1000, 0) ref from orders left join l on k = o_orderkey)
@@ -96,17 +98,18 @@ def total_reconciliation(spark, sf):
     return S.incoherent_totals(t).select(F.col("name").alias("year"), "total", "n_refs")
 
 
-@query("pairing_top2", """with f as (select p_size ed, p_brand b, p_type t, round(avg(p_retailprice), 1) v from part group by all),
-charts as (select ed, row_number() over (partition by ed order by b)::int chart, list_distinct(list(v)) vals from f group by ed, b), tabs as (select ed, row_number() over (partition by ed order by split_part(t, ' ', 1))::int tab, list_distinct(list(v)) vals from f group by ed, split_part(t, ' ', 1)),
-s as (select c.ed, chart, tab, round(0.5 * len(list_filter(c.vals, lambda v: list_contains(t.vals, v) or list_contains(list_transform(t.vals, lambda x: round_even(x, 0)), v))) / len(c.vals)::double, 9) score from charts c join tabs t on c.ed = t.ed),
-r as (select *, row_number() over (partition by ed, chart order by score desc, tab desc) n from s)
+@query("pairing_top2", f"""with f as (select p_size ed, p_brand b, p_type t, p_name nm, round(avg(p_retailprice), 1) v from part group by all),
+charts as (select ed, row_number() over (partition by ed order by b)::int chart, {T.token_set_sql("'Prix ' || min(nm)")} ws, list_distinct(list(v)) vals from f group by ed, b), tabs as (select ed, row_number() over (partition by ed order by split_part(t, ' ', 1))::int tab, {T.token_set_sql("'Prix ' || min(nm)")} ws, list_distinct(list(v)) vals from f group by ed, split_part(t, ' ', 1)),
+s0 as (select c.ed, chart, tab, {T.jaccard_sql('c.ws', 't.ws')} si, len(list_filter(c.vals, lambda v: list_contains(t.vals, v) or list_contains(list_transform(t.vals, lambda x: round_even(x, 0)), v))) / len(c.vals)::double sv from charts c join tabs t on c.ed = t.ed),
+s as (select *, round(0.5 * si + 0.5 * sv, 9) score from s0), r as (select *, row_number() over (partition by ed, chart order by score desc, si desc, sv desc, tab desc) n from s)
 select ed edition, chart, max(tab) filter (n = 1) as "table", max(tab) filter (n = 2) table_2, round(max(score) filter (n = 1), 6) score, case when max(score) filter (n = 1) >= 0.35 then 'candidate' else 'to check' end status from r where n <= 2 group by 1, 2""")
 def pairing_top2(spark, sf):
-    """Charts are prices by brand, tables prices by kind, within a size; titles play no part here."""
-    f = table(spark, sf, "part").groupBy(F.col("p_size").alias("edition"), "p_brand", "p_type").agg(F.round(F.avg("p_retailprice"), 1).alias("v"))
+    """Charts are prices by brand, tables prices by kind, within a size; each is titled by the first name that it holds."""
+    f = table(spark, sf, "part").groupBy(F.col("p_size").alias("edition"), "p_brand", "p_type", "p_name").agg(F.round(F.avg("p_retailprice"), 1).alias("v"))
     ed = Window.partitionBy("edition")
-    charts = f.groupBy("edition", "p_brand").agg(F.array_distinct(F.collect_list("v")).alias("values")).withColumn("chart", F.row_number().over(ed.orderBy("p_brand"))).withColumn("title", F.lit(""))
-    tabs = f.groupBy("edition", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.array_distinct(F.collect_list("v")).alias("values")).withColumn("table", F.row_number().over(ed.orderBy("kind"))).withColumn("title", F.lit(""))
+    title = F.concat(F.lit("Prix "), F.min("p_name")).alias("title")
+    charts = f.groupBy("edition", "p_brand").agg(F.array_distinct(F.collect_list("v")).alias("values"), title).withColumn("chart", F.row_number().over(ed.orderBy("p_brand")))
+    tabs = f.groupBy("edition", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.array_distinct(F.collect_list("v")).alias("values"), title).withColumn("table", F.row_number().over(ed.orderBy("kind")))
     exact = P.propose(charts, tabs)
     return exact.select("edition", "chart", "table", "table_2", r6("score", "score"), "status")
 

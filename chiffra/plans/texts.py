@@ -105,8 +105,8 @@ def html_lines(spark, sf):
 @query("token_windows")
 def token_windows(spark, sf):
     """Greedy windows of 400 to 800 tokens with 15 % overlap, by document."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return I.token_windows(lines, "doc_id", 400, 800, 0.15)
+    d = table(spark, sf, "documents")
+    return I.windows_of_counts(d.select("doc_id", F.transform(F.split("text", "\n"), lambda x: T.token_count(x).cast("int")).alias("counts")), "doc_id", 400, 800, 0.15)
 
 
 @query("fixed_windows", """with w as (select doc_id, regexp_extract_all(text, '[^ \t\n\r\v\f]+') w from documents), i as (select doc_id, w, unnest(range(greatest(1, ((len(w) - 40 + 139) // 140))::bigint)) n from w where len(w) > 0)
@@ -167,21 +167,6 @@ def title_jaccard(spark, sf):
     return I.similar_titles(p, 0.5).select("a", "b", r6("sim", "sim"))
 
 
-@query("informativeness", r"select doc_id, round(0.5 * len(list_distinct(w)) / len(w)::double + 0.5 * (1 - len(regexp_replace(text, '[^0-9#*$%&|<>]', '', 'g')) / len(text)::double), 6) score from (select doc_id, text, regexp_extract_all(text, '[^ \t\n\r]+') w from documents) where len(w) > 0")
-def informativeness(spark, sf):
-    """Half word variety, half the share of characters that are neither digits nor symbols."""
-    w = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), 0).alias("w")).where("size(w) > 0")
-    odd = F.length(F.regexp_replace("text", "[^0-9#*$%&|<>]", "")) / F.length("text")
-    return w.select("doc_id", r6(0.5 * F.size(F.array_distinct("w")) / F.size("w") + 0.5 * (1 - odd), "score"))
-
-
-@query("dominant_year", r"with y as (select doc_id, unnest(regexp_extract_all(text, '\b[0-9]{4}\b')) y from documents) select doc_id, y as \"year\", count(*) n from y group by 1, 2 qualify row_number() over (partition by doc_id order by count(*) desc, y desc) = 1".replace('\\"', '"'))
-def dominant_year(spark, sf):
-    """The year named most often in a document; the latest on ties."""
-    y = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{4}\b"), 0)).alias("year"))
-    return y.groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max_by(F.struct("year", "n"), F.struct("n", "year")).alias("b")).select("doc_id", "b.year", "b.n")
-
-
 @query("rouge_l")
 def rouge_l(spark, sf):
     """ROUGE-L of each turn against the turn before it."""

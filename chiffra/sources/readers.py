@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from chiffra.functions import text as T
 
@@ -19,6 +22,66 @@ VARIATIONS = "code_indicateur string, exercice int, exercice_ref int, ligne stri
 PRODUCTIONS = "prod_id long, type string, entree string, sortie string, sources_json string, valeurs_ecartees_json string, abstentions_json string, modele string, config_hash string, duree_s double, horodatage timestamp, statut_validation string, valide_par string"
 
 
+#: The declared tables, by name.
+TABLES = {"documents": DOCUMENTS, "passages": PASSAGES, "valeurs": VALUES, "appariement": PAIRINGS, "variations": VARIATIONS, "productions": PRODUCTIONS}
+
+
+def declared_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A declared table from its Parquet: columns that the files lack are null, others are cast, more are left out."""
+    have = spark.read.parquet(f"{folder}/{name}")
+    want = T_.StructType.fromDDL(TABLES[name])
+    return have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
+
+
+def workbook(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, sheet, row, col, text) of the cells of XLSX files: a workbook is a ZIP of XML parts, which one task reads per file.
+    Rows and columns count from 1; numbers keep their writing, formulas give their stored value, empty cells are left out."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    def name(tag: str) -> str:
+        return tag.rpartition("}")[2]
+
+    def text_of(node) -> str:
+        return "".join(t.text or "" for t in node.iter() if name(t.tag) == "t")
+
+    def column(ref: str) -> int:
+        n = 0
+        for c in re.match("[A-Z]+", ref)[0]:
+            n = 26 * n + ord(c) - 64
+        return n
+
+    def cells(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                z = zipfile.ZipFile(io.BytesIO(content))
+                part = lambda p: ElementTree.fromstring(z.read(p))  # noqa: B023, E731
+                shared = [text_of(si) for si in part("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
+                targets = {r.get("Id"): r.get("Target") for r in part("xl/_rels/workbook.xml.rels")}
+                for sheet in (x for x in part("xl/workbook.xml").iter() if name(x.tag) == "sheet"):
+                    target = targets[next(v for k, v in sheet.attrib.items() if name(k) == "id" and k != "sheetId" and "}" in k)].lstrip("/")
+                    for c in (x for x in part(target if target.startswith("xl/") else f"xl/{target}").iter() if name(x.tag) == "c"):
+                        value = next((x.text or "" for x in c if name(x.tag) == "v"), None)
+                        kind = c.get("t")
+                        value = text_of(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value is not None else value
+                        if value:
+                            rows.append((path, sheet.get("name"), int(re.search(r"\d+", c.get("r"))[0]), column(c.get("r")), value))
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "text"])
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInPandas(cells, "path string, sheet string, row int, col int, text string")
+
+
+def sheet_rows(cells: DataFrame, sheet: str) -> DataFrame:
+    """(path, row, cells: header -> text) of a sheet whose first row names its columns."""
+    of = cells.where(F.col("sheet") == sheet)
+    head = of.where("row = 1").select("path", "col", F.col("text").alias("head"))
+    return of.where("row > 1").join(head, ["path", "col"]).groupBy("path", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("head", "text")))).alias("cells"))
+
+
 def publications(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, file, length, sha256, content) of binary files; Spark lists and reads them on any store."""
     b = spark.read.format("binaryFile").load(pattern)
@@ -82,6 +145,31 @@ def missing_from_cache(texts: DataFrame, cache: DataFrame, text: str = "text") -
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
+def encoded_with_cache(texts: DataFrame, path: str, encode, text: str = "text") -> DataFrame:
+    """``texts`` with their vectors ``v``: what the cache at ``path`` (key, v) lacks is encoded (``encode``: (id, text) to (id, v)),
+    appended to it, and all vectors are read back from it."""
+    spark = texts.sparkSession
+    schema = "key string, v array<double>"
+    try:
+        cache = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # no cache yet
+        cache = spark.createDataFrame([], schema)
+    new = missing_from_cache(texts, cache, text)
+    encode(new.select(F.col("key").alias("id"), F.col(text).alias("text"))).select(F.col("id").alias("key"), F.col("v").cast("array<double>").alias("v")).write.mode("append").parquet(path)
+    stored = spark.read.schema(schema).parquet(path).groupBy("key").agg(F.any_value("v").alias("v"))
+    return texts.withColumn("__key", F.sha2(F.col(text), 256)).join(stored.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+
+
+def answer_key(url, model, temperature, seed, system, prompt):
+    """The key under which a model's answer is kept: the hash of all that decides it."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in (url, model, temperature, seed, system, prompt)])), 256)
+
+
+def answered(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with a kept answer, requests without one); both have ``key``, the cache (key, answer)."""
+    return requests.join(cache.groupBy("key").agg(F.any_value("answer").alias("answer")), "key"), requests.join(cache.select("key"), "key", "left_anti")
+
+
 #: How a publication shows its type.
 _KINDS = (("annuaire", r"(?i)annuaire statistique"), ("rapport_analyse", r"(?i)rapport d['’]analyse"), ("note_conjoncture", r"(?i)note de conjoncture|bulletin"))
 

@@ -8,9 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BOM = "\ufeff"
+
+
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Semicolon CSV with a header, nulls empty; one file per partition."""
-    df.write.mode(mode).option("sep", ";").option("header", True).option("nullValue", "").csv(path)
+    """Semicolon CSV with a header and a byte-order mark, nulls empty; one file per partition, each opening with the mark."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, BOM + first).write.mode(mode).option("sep", ";").option("header", True).option("nullValue", "").option("encoding", "UTF-8").csv(path)
+
+
+def html(sections: DataFrame) -> DataFrame:
+    """(note_id, html) from (note_id, position, title, text): headings and paragraphs in order, marks escaped."""
+    def safe(c):
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(mark), F.lit(name))
+        return c
+
+    part = F.concat(F.lit("<h2>"), safe(F.col("title")), F.lit("</h2><p>"), safe(F.col("text")), F.lit("</p>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("p")))), lambda s: s["p"]), "")
+    return sections.groupBy("note_id").agg(F.concat(F.lit('<!doctype html><meta charset="utf-8">'), body).alias("html"))
 
 
 def union_of_columns(*dfs: DataFrame) -> DataFrame:

@@ -1,10 +1,19 @@
+import re
+import time
+import zipfile
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from chiffra.operators import assembly as A
+from chiffra.operators import evaluation as E
 from chiffra.operators import ingestion as I
 from chiffra.operators import journal as J
+from chiffra.operators import notes as NO
 from chiffra.operators import pairing as P
 from chiffra.operators import retrieval as R
 from chiffra.operators import series as S
+from chiffra.sources import index as IX
 from chiffra.sources import readers, writers
 from chiffra.streaming import journal as SJ
 
@@ -25,9 +34,10 @@ def test_trend_and_saliency(spark):
 
 
 def test_ordered_dedup(spark):
-    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "x"), (5, "d", "z")]
-    got = [r["rank"] for r in S.ordered_dedup(spark.createDataFrame(rows, "rank int, k1 string, k2 string"), "k1", "k2", 3).orderBy("rank").collect()]
-    assert got == [1, 3, 5]
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "x"), (5, "d", "z"), (6, "e", "w")]
+    both = [(n, *r) for n in ("one", "two") for r in rows[: 6 if n == "one" else 2]]
+    got = S.ordered_dedup(spark.createDataFrame(both, "report string, rank int, k1 string, k2 string"), "report", "k1", "k2", 3).collect()
+    assert sorted((r["report"], r["rank"]) for r in got) == [("one", 1), ("one", 3), ("one", 5), ("two", 1)]
 
 
 def test_rrf(spark):
@@ -37,11 +47,117 @@ def test_rrf(spark):
     assert [r["id"] for r in got] == [2, 1, 3] and abs(got[0]["score"] - (1 / 62 + 1 / 61)) < 1e-12
 
 
-def test_internal_documents_never_return(spark):
-    p = spark.createDataFrame([(1, "zorglubium rare"), (2, "autre texte rare"), (3, "sans rapport"), (4, "encore un autre"), (5, "cinq")], "id long, text string")
+def test_internal_documents_never_return(spark, tmp_path):
+    p = spark.createDataFrame([(1, "zorglubium rare"), (2, "autre texte rare"), (3, "sans rapport"), (4, "encore un autre"), (5, "cinq"), (6, None), (7, "")], "id long, text string")
+    ix = IX.save_bm25(p, str(tmp_path / "ix"), 3)
     t = R.question_terms(spark.createDataFrame([(7, "zorglubium rare")], "item_id long, text string"))
-    assert {r["id"] for r in R.bm25(p, t).collect()} == {1, 2}
-    assert {r["id"] for r in R.bm25(p, t, p.where("id <> 1").select("id")).collect()} == {2}
+    assert {r["id"] for r in R.bm25(ix, t).collect()} == {1, 2}
+    assert {r["id"] for r in R.bm25(ix, t, p.where("id <> 1").select("id")).collect()} == {2}
+    again = IX.load_bm25(spark, str(tmp_path / "ix"))
+    assert {(r["id"], r["score"]) for r in R.bm25(again, t).collect()} == {(r["id"], r["score"]) for r in R.bm25(ix, t).collect()}
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("chiffra_postings")]
+
+
+def test_scores_are_summed_up_where_postings_lie(spark):
+    from chiffra.plans.catalogue import QUERIES
+
+    plan = QUERIES["bm25_topk"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and not re.search(r"hashpartitioning\(qid#\d+L?, id#", plan)
+
+
+def test_modes_of_search(spark, tmp_path):
+    p = spark.createDataFrame([(1, "stock rare"), (2, "stock commun"), (3, "autre"), (4, "encore autre")], "id long, text string")
+    ix = IX.save_bm25(p, str(tmp_path / "ix"), 2)
+    v = IX.save_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0])], "id long, v array<double>"), str(tmp_path / "v"))
+    t, q = R.question_terms(spark.createDataFrame([(9, "rare")], "item_id long, text string")), spark.createDataFrame([(9, [0.0, 1.0])], "qid long, v array<double>")
+    got = {m: [(r["id"], r["rank_lexical"], r["rank_dense"]) for r in R.search(ix, v, t, q, m).orderBy("rank").collect()] for m in ("lexical", "dense", "hybrid")}
+    assert got["lexical"] == [(1, 1, None)] and got["dense"] == [(2, None, 1), (3, None, 2), (1, None, 3)]
+    assert got["hybrid"][0] == (1, 1, 3) and {x[0] for x in got["hybrid"]} == {1, 2, 3}
+    assert R.search(ix, v, t, q, "hybrid", spark.createDataFrame([(2,)], "id long")).select("id").collect()[0]["id"] == 2
+
+
+def test_phrases_of_the_lexicon(spark):
+    f = spark.createDataFrame([(0, 0, "valeur ajoutée"), (0, 1, "va"), (1, 0, "PME"), (1, 1, "petite_entreprise")], "family int, pos int, term string")
+    q = spark.createDataFrame([(1, "La valeur  ajoutée des PME"), (2, "La valeur est ajoutée")], "qid long, text string")
+    t = R.question_terms(q.withColumnRenamed("qid", "item_id"))
+    got = {(r["qid"], r["term"]) for r in R.expanded(t, f, questions=q).where("weight < 1").collect()}
+    assert got == {(1, "va"), (1, "petite"), (1, "entreprise")}
+
+
+def test_excerpts_and_suggestions(spark):
+    text = "Rien ici. Autre chose encore. Le stock des entreprises monte. Fin du texte. Suite du texte. Encore une."
+    q = spark.createDataFrame([(1, ["stock", "entreprise"])], "qid long, words array<string>")
+    hit = spark.createDataFrame([(1, 7, 1)], "qid long, id long, rank int")
+    e = lambda most: R.excerpts(hit, spark.createDataFrame([(7, text)], "id long, text string"), q, most).first()["excerpt"]
+    assert e(420) == "Autre chose encore. Le stock des entreprises monte. Fin du texte. Suite du texte." and e(10) == "Autre chos…"
+    titles = spark.createDataFrame([(1, "Stock 2023 (en %)", ["stock"], ["2023"]), (2, "Stock 2024", ["stock"], ["2024"]), (3, "Stock faible", ["stock"], [])], "title_id long, title string, words array<string>, years array<string>")
+    refused = spark.createDataFrame([(5, ["stock", "region"], ["2024"])], "qid long, words array<string>, years array<string>")
+    signals = spark.createDataFrame([(1, 9.0), (2, 9.0), (3, 1.0)], "title_id long, signal double")
+    assert [r["title"] for r in R.suggestions(refused, titles, signals, 5.0).orderBy("position").collect()] == ["Stock 2024", "Stock 2023"]
+    assert R.thresholds_for("tfidf", {"tfidf": 0.4}, 0.5) == 0.4 and R.thresholds_for("x", {}, 0.5) == 0.5
+    no = spark.createDataFrame([("Les extraits ne permettent pas de répondre",), ("Oui, 12.",)], "t string")
+    assert [r[0] for r in no.select(F.col("t").rlike(R.NO_ANSWER)).collect()] == [True, False]
+
+
+def test_kendall_by_inversions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 9, 60), rng.integers(0, 7, 60)))]
+    got = E.kendall(spark.createDataFrame(rows, "id int, x double, y double")).first()
+    signs = [(np.sign(a[1] - b[1]), np.sign(a[2] - b[2])) for i, a in enumerate(rows) for b in rows[:i]]
+    con, dis = sum(x * y > 0 for x, y in signs), sum(x * y < 0 for x, y in signs)
+    assert (got["concordant"], got["discordant"]) == (con, dis)
+    assert abs(got["tau"] - (con - dis) / (sum(x != 0 for x, _ in signs) * sum(y != 0 for _, y in signs)) ** 0.5) < 1e-9
+
+
+def test_workbooks(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="urn:r"><sheets><sheet name="grille" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="urn:p"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>note</t></si><si><r><t>lec</t></r><r><t>teur</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>12.5</v></c><c r="AB2" t="inlineStr"><is><t>Ab</t></is></c><c r="AC2"/></row></sheetData></worksheet>')
+    cells = readers.workbook(spark, str(tmp_path / "w.xlsx"))
+    assert {(r["row"], r["col"], r["text"]) for r in cells.collect()} == {(1, 1, "note"), (1, 28, "lecteur"), (2, 1, "12.5"), (2, 28, "Ab")}
+    assert readers.sheet_rows(cells, "grille").first()["cells"] == {"note": "12.5", "lecteur": "Ab"}
+
+
+def test_caches(spark, tmp_path):
+    seen = []
+
+    def encode(df):
+        seen.append(df.count())
+        return df.select("id", F.array(F.length("text").cast("double")).alias("v"))
+
+    path = str(tmp_path / "cache")
+    one, two = (spark.createDataFrame([(x,) for x in xs], "text string") for xs in (["a", "bb", "bb"], ["bb", "ccc"]))
+    assert sorted(r["v"][0] for r in readers.encoded_with_cache(one, path, encode).collect()) == [1.0, 2.0, 2.0]
+    assert sorted(r["v"][0] for r in readers.encoded_with_cache(two, path, encode).collect()) == [2.0, 3.0] and seen[0] == 2 and seen[-1] == 1
+    r = spark.createDataFrame([("u", "m", 0.0, 1, "s", "p"), ("u", "m", 0.0, 2, "s", "p")], "url string, model string, temperature double, seed int, system string, prompt string")
+    r = r.withColumn("key", readers.answer_key(*[F.col(c) for c in r.columns]))
+    met, unmet = readers.answered(r, r.where("seed = 1").select("key", F.lit("yes").alias("answer")))
+    assert met.first()["answer"] == "yes" and [x["seed"] for x in unmet.collect()] == [2]
+
+
+def test_declared_tables(spark, tmp_path):
+    spark.createDataFrame([("a", "2024", "x")], "doc_id string, exercice string, more string").write.parquet(str(tmp_path / "documents"))
+    t = readers.declared_table(spark, str(tmp_path), "documents")
+    assert t.first()["exercice"] == 2024 and t.first()["titre"] is None and "more" not in t.columns and t.columns[0] == "doc_id"
+
+
+def test_context_and_checks(spark):
+    v = spark.createDataFrame([("i", 2024, "Total", 2024, "12", 1), ("i", 2024, "A", None, "3", 2)], "code string, edition int, row string, year int, writing string, value_id int")
+    d = spark.createDataFrame([("i", 2024, "Total", 2023, "7,5")], "code string, edition int, row string, ref_year int, change string")
+    m = spark.createDataFrame([("j", 2024, 2023, "Un modèle")], "code string, edition int, from_edition int, text string")
+    got = {r["code"]: r["text"] for r in A.context(v, d, m, ["code", "edition"]).collect()}
+    assert got == {"i": "Valeurs\n- Total | 2024 = 12\n- A | sans année = 3\n\nVariations\n- Total depuis 2023 : 7,5", "j": "Modèles\n- Un modèle"}
+    t = spark.createDataFrame([("le stock",), ("les UPA",), ("la VA",)], "t string")
+    assert [r[0] for r in t.select(A.contracted(F.col("t"))).collect()] == ["du stock", "des UPA", "de la VA"]
+    t = spark.createDataFrame([("CHAPITRE II : LE STOCK", "2.1. Stock"), ("Annexe", "Autre")], "c string, s string")
+    assert [tuple(r) for r in t.select(A.chapter_title(F.col("c")), A.section_title(F.col("s"))).collect()] == [("Chapitre II — Le stock", "Stock"), ("Annexe", "Autre")]
+    t = spark.createDataFrame([("Total",), ("Total général / Total",), ("Yaoundé / Total",), ("Totaux",)], "t string")
+    assert [r[0] for r in t.select(NO.is_grand_total(F.col("t"))).collect()] == [True, True, False, False]
+    t = spark.createDataFrame([("Yaoundé",), ("Nord-Ouest",), ("Commerce",)], "t string")
+    assert [r[0] for r in t.select(NO.is_place(F.col("t"))).collect()] == [True, True, False]
 
 
 def test_thresholds(spark):
@@ -103,6 +219,10 @@ def test_journal(spark, tmp_path):
     J.append(rows, str(tmp_path / "j"), {"a": 1})
     got = spark.read.parquet(str(tmp_path / "j")).first()
     assert got["entry"] == '{"q":"x"}' and got["sources"] == "[1,2]" and got["config_hash"] == J.config_hash({"a": 1}) and got["status"] == "to read"
+    assert got["written_at"] is not None and got["duration_s"] is None
+    J.append(spark.createDataFrame([("a",), ("b",)], "kind string"), str(tmp_path / "k"), {}, began=time.time() - 5)
+    new = spark.read.parquet(str(tmp_path / "k")).collect()
+    assert len({r["prod_id"] for r in new}) == 2 and all(4 < r["duration_s"] < 100 for r in new)
     d = spark.createDataFrame([(1, "valid", 2), (1, "rejected", 1)], "prod_id long, status string, at int")
     assert J.with_validation(spark.read.parquet(str(tmp_path / "j")), d).first()["status"] == "valid"
     assert J.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
@@ -129,6 +249,9 @@ def test_readers_and_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x;y")], "a int, b string")
     writers.csv(df, str(tmp_path / "out"))
     assert {tuple(r) for r in readers.csv(spark, str(tmp_path / "out")).collect()} == {("1", None), ("2", "x;y")}
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in (tmp_path / "out").glob("*.csv"))
+    page = writers.html(spark.createDataFrame([(1, 1, "A & B", "x < y")], "note_id int, position int, title string, text string")).first()
+    assert page["html"].endswith("<h2>A &amp; B</h2><p>x &lt; y</p>")
     good, bad = readers.valid(df, {"b missing": F.col("b").isNotNull()})
     assert good.count() == 1 and bad.first()["motif"] == "b missing"
     d = spark.createDataFrame([("2m59.56s",), ("1h3m",), ("350ms",), ("x",)], "t string").select(readers.duration(F.col("t"))).collect()

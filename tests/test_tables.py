@@ -54,7 +54,7 @@ def test_packed(spark):
 def test_encoder(spark):
     texts = ["stock des entreprises par région", "stock des entreprises par région", "exportations agricoles du pays", "emplois des entreprises", "exportations de cacao du pays", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    v = {r["id"]: r["v"] for r in EN.Encoder(dims=3, least_docs=1).fit(docs).encode(docs).collect()}
+    v = {r["id"]: r["v"] for r in EN.Encoder(dims=3).fit(docs).encode(docs).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
     assert abs(dot(0, 1) - 1) < 1e-6 and dot(2, 4) > dot(0, 4) and not any(v[5])
     c = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
