@@ -1,8 +1,9 @@
-"""Operator 2, LM scoring: a bigram model in an Elias-Fano trie, sharded by key ranges.
+"""Operator 2, LM scoring: an n-gram model in an Elias-Fano trie, sharded by key ranges.
 
-Model. P(w) = (c + 0.5) / (N + 0.5 (V + 1)), and for a word after context b
-P(w | b) = c(b, w) / (c(b) + mu) + mu / (c(b) + mu) * P(w): Dirichlet smoothing, a proper distribution over the known
-words and one unknown. A text is its words in lower case (A-Z) and one end; the context of its first token is a start.
+Model. P(w) = (c + 0.5) / (N + 0.5 (V + 1)), and for a word after a context of one word more, order by order,
+P(w | context) = c(context, w) / (c(context) + mu) + mu / (c(context) + mu) * P(w | shorter context): Dirichlet
+smoothing, a proper distribution over the known words and one unknown. A text is its words in lower case (A-Z) and one
+end; before its first token stands a start, with which longer contexts begin too.
 
 Trie. Level 1 lists the words of a shard by hash; a word's id is the number of training tokens whose words come before
 it, so ids are monotone, their differences are the counts and one Elias-Fano sequence holds both. Level 2 lists the
@@ -15,15 +16,18 @@ stored level is opened with ``PairLevel.mapped``) and never unpacked: sequences
 bytes per 64 bits. A query finds its context, then the successor of its id relative to the context's base: the high bits
 of that sum name a run of elements, the low bits are compared within it. Words are looked up in level 1 the same way.
 
+A node's id is the number of training occurrences of its level that come before it, as a word's is, so the next level
+treats n-grams as contexts in the same way: each order is one more level of the same form.
+
 Plan. Texts are cut into chunks of about 4 MB, kept once as local word numbers in a table bucketed by chunk. Distinct
-words of a chunk go to the shard of their hash range and come back with ids and counts; distinct word pairs go to the
-shard of their place in id order and come back with their codes; a chunk then sums its texts. Only distinct words and
-pairs of chunks travel, as packed binaries. Pair shards are ranges of id(b) + c(b) * id(w) / N, which splits the range of
-a frequent context by its successors, so no shard grows with one word. The number of shards follows the tokens.
+words of a chunk go to the shard of their hash range and come back with ids and counts; then, level by level, distinct
+n-grams go to the shard of their place in id order and come back with their codes (and with ids and counts, where a
+longer order needs them); a chunk then sums its texts. Only distinct words and n-grams of chunks travel, as packed
+binaries. Shards are ranges of id(context) + c(context) * id(w) / N, which splits the range of a frequent context by its
+successors, so no shard grows with one word. The number of shards follows the tokens.
 
-The order is 2: an order of 3 has a message more for each distinct triple of a chunk (see the README for what that is).
-A frequent word or pair comes once from every chunk, so its shard holds a few bytes for each chunk. The driver holds a
-row a shard, one for every ``TOKENS_PER_SHARD`` tokens.
+``order`` is 2 by default (the README has the figures of 3). A frequent word or n-gram comes once from every chunk, so its
+shard holds a few bytes for each chunk. The driver holds a row a shard, one for every ``TOKENS_PER_SHARD`` tokens.
 
 Null and empty texts have one token, the end. A null doc_id is a training row. Repeated rows count as often as they occur
 and each is scored. A text longer than a chunk is a chunk of its own. An empty table gives an empty result. Extra columns
@@ -44,7 +48,9 @@ from chiffra.llm._text import Words, strings
 
 CHUNK = 4 << 20
 TOKENS_PER_SHARD = 2_000_000
-MU = 500.0
+ORDER = 2
+#: Strength of the shorter context, by order from 2 on (the last one holds for all beyond).
+MU = (500.0, 20.0)
 STEPS_PER_DECADE = 8192
 _END = np.uint64(0x5E5E5E5E5E5E5E5E)
 
@@ -236,11 +242,11 @@ class PairLevel:
     def mapped(cls, path: str) -> "PairLevel":
         return cls(np.memmap(path, np.uint8, "r"))
 
-    def find(self, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The codes of pairs, in runs of one context, 0 for those not seen."""
-        out = np.zeros(len(b), "<u2")
+    def find(self, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, number) of pairs, which come in runs of one context; 0 and -1 for those not seen."""
+        out, number = np.zeros(len(b), "<u2"), np.full(len(b), -1, np.int64)
         if not self.contexts.n or not len(b):
-            return out
+            return out, number
         head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         k, known = self.contexts.successor(b[head])
         head_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(b))))
@@ -257,7 +263,8 @@ class PairLevel:
         hit[late] = self.successors.get(at[late]) == (w[ask] + base[of])[late]
         hit &= (at >= lo[of]) & (at < end[of])
         out[ask[hit]] = self.codes[at[hit]]
-        return out
+        number[ask[hit]] = at[hit]
+        return out, number
 
 
 def _binary(rows: list[list], names: list[str], types: list) -> pa.RecordBatch:
@@ -301,13 +308,14 @@ def _send_words(shards: int):
     return send
 
 
-_REPLY_SCHEMA = "kind string, shard long, chunk long, a binary, b binary, n long, m long"
-_REPLY_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-_REPLY_NAMES = ["kind", "shard", "chunk", "a", "b", "n", "m"]
+_REPLY_SCHEMA = "kind string, shard long, chunk long, a binary, b binary, c binary, n long, m long"
+_REPLY_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_REPLY_NAMES = ["kind", "shard", "chunk", "a", "b", "c", "n", "m"]
+_BACK = ["kind", "shard", "chunk", "a", "b", "c"]
 
 
 def _word_shard(table: pa.Table) -> pa.Table:
-    """Counts of a hash range: the shard's level 1, and a "word" reply to each chunk (ids within the shard, counts)."""
+    """Counts of a hash range: the shard's level 1, and a reply of level 1 to each chunk (ids within the shard, counts)."""
     rows = table.to_pylist()
     parts = [unpack(r["words"]) for r in rows]
     words, back = np.unique(np.concatenate(parts), return_inverse=True)
@@ -319,66 +327,94 @@ def _word_shard(table: pa.Table) -> pa.Table:
     for r, p in zip(rows, parts, strict=True):
         mine = back[at : at + len(p)]
         at += len(p)
-        out.append(["word", shard, r["chunk"], pack(ids[mine]), pack(counts[mine]), 0, 0])
-    out.append(["level1", shard, -1, blob, None, int(counts.sum()), int(known.sum())])
+        out.append(["1", shard, r["chunk"], None, pack(ids[mine]), pack(counts[mine]), 0, 0])
+    out.append(["level1", shard, -1, blob, None, None, int(counts.sum()), int(known.sum())])
     return pa.Table.from_batches([_binary(out, _REPLY_NAMES, _REPLY_TYPES)])
 
 
-class _Known:
-    """What a chunk knows once its words' ids and counts are back."""
+class _Level:
+    """The distinct n-grams of a chunk at one level: ``seen`` tokens end one whose context and word are known, ``of`` is its
+    number; ``contexts`` and ``words`` are the local numbers of its parts, in the order of their ids."""
+
+    def __init__(self, context: np.ndarray, context_ids: np.ndarray, context_counts: np.ndarray, tokens: np.ndarray, known: np.ndarray):
+        self.context, self.context_ids, self.context_counts = context, context_ids, context_counts
+        wide = np.int64(len(known) + 1)
+        self.seen = (context >= 0) & known[tokens]
+        self.seen[self.seen] = context_counts[context[self.seen]] > 0
+        grams, self.of = np.unique(context[self.seen] * wide + tokens[self.seen], return_inverse=True)
+        self.contexts, self.words = grams // wide, grams % wide
+
+    def rest(self, mu: float) -> np.ndarray:
+        """The weight of the shorter context for each token: 1 where this one isn't known."""
+        out = np.ones(len(self.context))
+        on = self.context >= 0
+        out[on] = (mu / (self.context_counts.astype(np.float64) + mu))[self.context[on]]
+        return out
+
 
-    def __init__(self, row: dict, replies: list[dict], model: dict):
-        back = sorted((r for r in replies if r["kind"] == "word"), key=lambda r: r["shard"])
-        start = model["starts"]
-        self.ids = np.concatenate([unpack(r["a"]) + start[r["shard"]] for r in back])
-        self.counts = np.concatenate([unpack(r["b"]) for r in back])
+class _Known:
+    """What a chunk knows from the replies of the levels below ``level``: all n-grams up to that level, and where their levels
+    have answered, ids, counts and codes."""
+
+    def __init__(self, row: dict, replies: list[dict], model: dict, level: int):
+        back: dict[str, list[dict]] = {}
+        for r in sorted(replies, key=lambda r: r["shard"]):
+            back.setdefault(r["kind"], []).append(r)
+        nodes = lambda k: [np.concatenate([unpack(r[c]) + (model["starts"][k][r["shard"]] if c == "b" else np.uint64(0)) for r in back[str(k)]]) if back.get(str(k)) else np.zeros(0, np.uint64) for c in "bc"]
+        self.ids, self.counts = nodes(1)
         self.tokens = unpack(row["tokens"]).astype(np.int64)
         self.lengths = unpack(row["lengths"]).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        u = len(self.ids)  # stands for the start, after all words
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first] = u
-        self.before = before
-        self.b_ids, self.b_counts = np.append(self.ids, np.uint64(model["n"])), np.append(self.counts, np.uint64(model["docs"]))
-        # Distinct pairs of known words, in the order of (id of b, id of w), which is that of local numbers.
-        self.seen = (self.b_counts[before] > 0) & (self.counts[self.tokens] > 0)
-        self.pairs, self.pair_of = np.unique(before[self.seen] * np.int64(u + 1) + self.tokens[self.seen], return_inverse=True)
-        self.pb, self.pw = self.pairs // (u + 1), self.pairs % (u + 1)
-
-    def shards(self, model: dict) -> np.ndarray:
-        """The shard of each pair, ascending."""
-        n, all_ = float(model["n"]), float(model["n"] + model["docs"])
-        place = self.b_ids[self.pb].astype(np.float64) + self.b_counts[self.pb].astype(np.float64) * (self.ids[self.pw].astype(np.float64) / n)
-        return np.minimum(place / all_ * model["shards"], model["shards"] - 1).astype(np.int64)
-
-
-def _send_pairs(model: dict):
+        known = self.counts > 0
+        context = np.concatenate([[0], self.tokens[:-1]])
+        context[self.first] = len(self.ids)  # the start, after all words
+        ids, counts = np.append(self.ids, np.uint64(model["n"])), np.append(self.counts, np.uint64(model["docs"]))
+        self.levels, self.codes = {}, {}
+        for k in range(2, level + 1):
+            at = self.levels[k] = _Level(context, ids, counts, self.tokens, known)
+            if str(k) in back or k < level:
+                self.codes[k] = np.frombuffer(b"".join(r["a"] for r in back.get(str(k), [])), "<u2")
+            if k < level:
+                ids, counts = nodes(k)
+                node = np.full(len(self.tokens), -1, np.int64)
+                node[at.seen] = at.of
+                context = np.concatenate([[-1], node[:-1]])
+                context[self.first] = -1
+
+    def shards(self, k: int, model: dict) -> np.ndarray:
+        """The shard of each n-gram of a level, ascending."""
+        at, n = self.levels[k], float(model["n"])
+        place = at.context_ids[at.contexts].astype(np.float64) + at.context_counts[at.contexts].astype(np.float64) * (self.ids[at.words].astype(np.float64) / n)
+        return np.minimum(place / float(model["occurrences"][k]) * model["shards"], model["shards"] - 1).astype(np.int64)
+
+
+def _send_grams(k: int, model: dict):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         replies = right.to_pylist()
         for row in left.to_pylist():
-            k = _Known(row, replies, model)
-            if not len(k.pairs):
+            known = _Known(row, replies, model, k)
+            at = known.levels[k]
+            if not len(at.words):
                 continue
-            times = np.bincount(k.pair_of, weights=_training(row)[k.seen], minlength=len(k.pairs)).astype(np.uint64)
-            shard = k.shards(model)
+            times = np.bincount(at.of, weights=_training(row)[at.seen], minlength=len(at.words)).astype(np.uint64)
+            shard = known.shards(k, model)
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             for a, z in zip(cut, np.append(cut[1:], len(shard)), strict=True):
-                b = k.pb[a:z]
+                b = at.contexts[a:z]
                 head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                out.append([int(shard[a]), row["chunk"], pack(k.b_ids[b[head]]), pack(k.b_counts[b[head]]), pack(np.diff(np.append(head, z - a))), pack(k.ids[k.pw[a:z]]), pack(times[a:z])])
+                out.append([int(shard[a]), row["chunk"], pack(at.context_ids[b[head]]), pack(at.context_counts[b[head]]), pack(np.diff(np.append(head, z - a))), pack(known.ids[at.words[a:z]]), pack(times[a:z])])
         return pa.Table.from_batches([_binary(out, ["shard", "chunk", "contexts", "totals", "runs", "words", "times"], [pa.int64(), pa.int64(), *[pa.binary()] * 5])])
 
     return send
 
 
-_PAIR_SCHEMA = "shard long, chunk long, contexts binary, totals binary, runs binary, words binary, times binary"
+_GRAM_SCHEMA = "shard long, chunk long, contexts binary, totals binary, runs binary, words binary, times binary"
 
 
-def _pair_shard(mu: float, steps: float):
+def _gram_shard(k: int, mu: float, steps: float, last: bool = True):
     def serve(table: pa.Table) -> pa.Table:
-        """Level 2 of a range of pairs, and a "pair" reply of codes to each chunk."""
+        """A level of a range of n-grams, and a reply of codes to each chunk; of ids and counts too, unless it is the last."""
         rows = table.to_pylist()
         runs = [unpack(r["runs"]).astype(np.int64) for r in rows]
         b = np.concatenate([np.repeat(unpack(r["contexts"]), n) for r, n in zip(rows, runs, strict=True)])
@@ -391,17 +427,22 @@ def _pair_shard(mu: float, steps: float):
         count = np.add.reduceat(times[order], head)
         b1, w1, t1 = sb[head], sw[head], total[order][head]
         kept = count > 0
-        codes = quantise(count[kept] / (t1[kept] + mu), steps)
-        blob = PairLevel.encode(b1[kept], w1[kept], codes)
-        found = PairLevel(mapped(blob)).find(b1, w1)
+        blob = PairLevel.encode(b1[kept], w1[kept], quantise(count[kept] / (t1[kept] + mu), steps))
+        found, number = PairLevel(mapped(blob)).find(b1, w1)
+        spread = lambda x: np.repeat(x, np.diff(np.append(head, len(b))))
         back = np.empty(len(b), "<u2")
-        back[order] = np.repeat(found, np.diff(np.append(head, len(b))))
+        back[order] = spread(found)
+        if not last:
+            before = np.concatenate([[0], np.cumsum(count[kept])]).astype(np.uint64)
+            ids, counts = np.empty(len(b), np.uint64), np.empty(len(b), np.uint64)
+            ids[order], counts[order] = spread(before[np.maximum(number, 0)]), spread(np.where(number >= 0, count, 0).astype(np.uint64))
         shard, at, out = rows[0]["shard"], 0, []
         for r, n in zip(rows, runs, strict=True):
-            size = int(n.sum())
-            out.append(["pair", shard, r["chunk"], back[at : at + size].tobytes(), None, size, 0])
-            at += size
-        out.append(["level2", shard, -1, blob, np.array([steps]).tobytes(), int(kept.sum()), int(count.sum())])
+            z = at + int(n.sum())
+            nodes = [None, None] if last else [pack(ids[at:z]), pack(counts[at:z])]
+            out.append([str(k), shard, r["chunk"], back[at:z].tobytes(), *nodes, z - at, 0])
+            at = z
+        out.append([f"level{k}", shard, -1, blob, np.array([steps]).tobytes(), None, int(count.sum()), int(kept.sum())])
         return pa.Table.from_batches([_binary(out, _REPLY_NAMES, _REPLY_TYPES)])
 
     return serve
@@ -411,23 +452,23 @@ _SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, bas
 
 
 def _score(model: dict):
-    mu, n, v, share_of = model["mu"], model["n"], model["v"], shares(model["steps"])
+    n, v, top = model["n"], model["v"], model["order"]
+    share_of = {k: shares(model["steps"][k]) for k in range(2, top + 1)}
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         replies, parts = right.to_pylist(), []
         for row in left.to_pylist():
-            k = _Known(row, replies, model)
-            single = (k.counts.astype(np.float64) + 0.5) / (n + 0.5 * (v + 1))
-            share = np.zeros(len(k.tokens))
-            if len(k.pairs):
-                back = sorted((r for r in replies if r["kind"] == "pair"), key=lambda r: r["shard"])
-                codes = np.frombuffer(b"".join(r["a"] for r in back), "<u2")
-                share[k.seen] = share_of[codes][k.pair_of]
-            rest = (mu / (k.b_counts.astype(np.float64) + mu))[k.before]
-            p = np.log10(share + rest * single[k.tokens])
-            total = lambda x: np.add.reduceat(x, k.first)  # noqa: B023, E731
+            known = _Known(row, replies, model, top)
+            single = (known.counts.astype(np.float64) + 0.5) / (n + 0.5 * (v + 1))
+            p = single[known.tokens]
+            for k, at in known.levels.items():
+                share = np.zeros(len(p))
+                if len(at.words):
+                    share[at.seen] = share_of[k][known.codes[k]][at.of]
+                p = share + at.rest(model["mu"][k]) * p
+            total = lambda x: np.add.reduceat(x, known.first)  # noqa: B023, E731
             parts.append(pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(k.lengths), pa.array(total((k.counts > 0)[k.tokens].astype(np.int64))), pa.array(total(np.log10(single)[k.tokens])), pa.array(total(p))],
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(known.lengths), pa.array(total((known.counts > 0)[known.tokens].astype(np.int64))), pa.array(total(np.log10(single)[known.tokens])), pa.array(total(np.log10(p)))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             ))
         return pa.Table.from_batches(parts) if parts else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
@@ -446,38 +487,54 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def train_and_score(docs: DataFrame, held_out, mu: float = MU, tokens_per_shard: int = TOKENS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
+def train_and_score(docs: DataFrame, held_out, mu: float | tuple = MU, tokens_per_shard: int = TOKENS_PER_SHARD, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(scores, levels): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learning from the rows for which the Column ``held_out`` is false; and the model's trie levels
-    (kind, shard, a, b: the encoded sequences; for level 2, b is the steps a decade of its codes)."""
+    (kind, shard, a, b: the encoded sequences; from level 2 on, b is the steps a decade of its codes)."""
     spark = docs.sparkSession
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.count_if(~held_out)).first()
     if not size[1]:
         return spark.createDataFrame([], _SCORE_SCHEMA.replace("n_known long", "n_known long, train_tokens long")), spark.createDataFrame([], _REPLY_SCHEMA)
+    mus = mu if isinstance(mu, tuple) else (mu,)
     n_buckets = max(12, -(-size[0] // (4 * CHUNK)))
     chunks = _bucketed(docs.select("doc_id", held_out.alias("held"), "text").mapInArrow(_chunks, _CHUNK_SCHEMA), n_buckets)
     told = chunks.agg(F.sum("n_tokens").alias("tokens")).first()
     shards = max(24, -(-told["tokens"] // tokens_per_shard))
 
+    def starts(side: DataFrame, k: int) -> tuple[np.ndarray, list]:
+        """The id at which each shard of a level begins, and the level's rows (shard, n: occurrences, m: nodes)."""
+        level = side.where(F.col("kind") == f"level{k}").select("shard", "n", "m").orderBy("shard").collect()
+        out, run = np.zeros(shards, np.uint64), 0
+        for r in level:
+            out[r["shard"]] = run
+            run += r["n"]
+        return out, level
+
     sent = chunks.select("chunk", "held", "lengths", "words", "tokens").mapInArrow(_send_words(shards), "shard long, chunk long, words binary, counts binary")
-    word_side = stored(sent.groupBy("shard").applyInArrow(_word_shard, _REPLY_SCHEMA), "lm-words")
-    level = word_side.where("kind = 'level1'").select("shard", "n", "m").orderBy("shard").collect()
-    starts, run = np.zeros(shards, np.uint64), 0
-    for r in level:
-        starts[r["shard"]] = run
-        run += r["n"]
-    model = {"starts": starts, "n": run, "v": sum(r["m"] for r in level), "docs": size[2], "shards": shards, "mu": mu}
+    side = stored(sent.groupBy("shard").applyInArrow(_word_shard, _REPLY_SCHEMA), "lm-words")
+    at, level = starts(side, 1)
+    n = sum(r["n"] for r in level)
+    model = {"starts": {1: at}, "n": n, "v": sum(r["m"] for r in level), "docs": size[2], "shards": shards, "order": order, "occurrences": {2: n + size[2]}, "mu": {}, "steps": {}}
     # A context counts at most what its shard holds, and the start as many as there are texts.
-    model["steps"] = steps_for(max([size[2], *(r["n"] for r in level)]), mu)
-
+    largest = max([size[2], *(r["n"] for r in level)])
     left = chunks.select("chunk", "doc_ids", "held", "lengths", "tokens").groupBy("chunk")
-    word_back = word_side.where("kind = 'word'").select("kind", "shard", "chunk", "a", "b")
-    pairs = left.cogroup(word_back.groupBy("chunk")).applyInArrow(_send_pairs(model), _PAIR_SCHEMA)
-    pair_side = stored(pairs.groupBy("shard").applyInArrow(_pair_shard(mu, model["steps"]), _REPLY_SCHEMA), "lm-pairs")
-    back = word_back.unionByName(pair_side.where("kind = 'pair'").select("kind", "shard", "chunk", "a", "b"))
+    sides, back = [side], side.where("kind = '1'").select(*_BACK)
+    for k in range(2, order + 1):
+        model["mu"][k] = float(mus[min(k - 2, len(mus) - 1)])
+        model["steps"][k] = steps_for(largest, model["mu"][k])
+        grams = left.cogroup(back.groupBy("chunk")).applyInArrow(_send_grams(k, dict(model)), _GRAM_SCHEMA)
+        side = stored(grams.groupBy("shard").applyInArrow(_gram_shard(k, model["mu"][k], model["steps"][k], k == order), _REPLY_SCHEMA), f"lm-level{k}")
+        if k < order:
+            model["starts"][k], level = starts(side, k)
+            model["occurrences"][k + 1] = max(1, sum(r["n"] for r in level))
+            largest = max([1, *(r["n"] for r in level)])
+        sides.append(side)
+        back = back.unionByName(side.where(F.col("kind") == str(k)).select(*_BACK))
     scores = left.cogroup(back.groupBy("chunk")).applyInArrow(_score(model), _SCORE_SCHEMA)
-    levels = word_side.unionByName(pair_side).where("kind like 'level%'")
-    return scores.withColumn("train_tokens", F.lit(run).cast("long")), levels
+    levels = sides[0]
+    for x in sides[1:]:
+        levels = levels.unionByName(x)
+    return scores.withColumn("train_tokens", F.lit(n).cast("long")), levels.where("kind like 'level%'")
 
 
 def is_held_out():

@@ -274,12 +274,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = stored(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    total, different = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
 
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    held = Observation()
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").observe(held, F.coalesce(F.sum("members"), F.lit(0)).alias("n"))
+    shared = stored(shared, "shared")
+    places = held.get["n"]  # of sets in buckets that others share
     # Buckets of one member, nearly all, stop at a bitmap of the others and are not shuffled again.
-    members = join_groups(with_ids(rows, shared, "bucket", BUCKET_WORDS), shared, ["bucket"], "members", different * BANDS)
+    members = join_groups(with_ids(rows, shared, "bucket", BUCKET_WORDS), shared, ["bucket"], "members", places)
     members = members.groupBy("rep").agg(F.any_value("n_shingles").alias("n_shingles"), F.sum("members").alias("weight"), F.collect_list(F.struct("bucket", "members")).alias("buckets"))
     members = stored(members, "members")  # a set has ``BANDS`` buckets at most
     sets = stored(candidate_sets(docs, members.select("rep")), "shingles")
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small = small.select("r", F.explode("r").alias("x")).select("x", F.explode("r").alias("y")).where((F.col("x.rep") < F.col("y.rep")) & _apt(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.rep").alias("leaf"), F.col("y.rep").alias("centre"))
     large = members.where(F.col("members") > SMALL)
     centres = large.groupBy("bucket").agg(F.max("members").alias("members"), F.max_by(F.struct("rep", "n_shingles"), F.struct("weight", "rep")).alias("c"))
-    star = join_groups(large.select("bucket", "rep", "n_shingles"), centres, ["bucket"], "members", different * BANDS)
+    star = join_groups(large.select("bucket", "rep", "n_shingles"), centres, ["bucket"], "members", places)
     star = star.where((F.col("rep") != F.col("c.rep")) & _apt(F.col("n_shingles"), F.col("c.n_shingles"))).select(F.col("rep").alias("leaf"), F.col("c.rep").alias("centre"))
     seen = Observation()
     tried = stored(small.unionByName(star).distinct().observe(seen, F.count(F.lit(1)).alias("n")), "pairs")
