@@ -50,7 +50,7 @@ CHUNK = 4 << 20
 TOKENS_PER_SHARD = 2_000_000
 ORDER = 2
 #: Strength of the shorter context, by order from 2 on (the last one holds for all beyond).
-MU = (500.0, 20.0)
+MU = (500.0, 5.0)
 STEPS_PER_DECADE = 8192
 _END = np.uint64(0x5E5E5E5E5E5E5E5E)
 
