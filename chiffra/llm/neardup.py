@@ -136,27 +136,27 @@ def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.size("shingles") > 0)
 
 
-def _marked(edges: DataFrame, rows: int | None) -> tuple[DataFrame, tuple[int, int]]:
-    """``edges`` (u, v) in the shared folder, with their number and a checksum that the same job observes."""
-    seen = Observation()
-    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "stars", rows=rows)
-    return out, (seen.get["n"], seen.get["x"])
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component: its smallest node) of the nodes of ``edges`` (a, b), by alternating large and small stars."""
-    now, seen = _marked(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None)
-    while seen[0]:
+    """(node, component: its smallest node) of the nodes of ``edges`` (a, b), by alternating large and small stars. They are
+    done when no node with a smaller neighbour has another one: what is left then are stars around the smallest nodes."""
+    size = Observation()
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = stored(now.observe(size, F.count(F.lit(1)).alias("n")), "stars")
+    rows = size.get["n"]
+    while rows:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", rows=seen[0])
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        open_ = Observation()
+        low = low.observe(open_, F.count_if((F.col("n") > 1) & (F.col("m") < F.col("u"))).alias("n")).select("u", F.least("u", "m").alias("m"))
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", rows=rows)
+        if not open_.get["n"]:
+            dropped(large)
+            break
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after, mark = _marked(small.select("e.*").where("u <> v").distinct(), seen[0])
+        after = stored(small.select("e.*").where("u <> v").distinct(), "stars", rows=rows)
         dropped(now, large)
-        now, before, seen = after, seen, mark
-        if seen == before:
-            break
+        now = after
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
