@@ -9,7 +9,8 @@ It is fitted on at most ``fit_rows`` labelled documents (those of smallest hash
 the counts and the verdicts cover every row and every text whole. Without usable labels, or without a rule that is
 precise enough, the list is empty and keeps all. Null or empty texts have counts of 0 and fail the base rule (fewer
 than ten words). Labels with a null quality are left out; a doc_id labelled twice counts once, as bad if either is, and on several rows once.
-Columns of the input may have any names: they travel in one struct.
+Columns of the input may have any names: they travel in one struct. Texts are read whole, however long. An empty table gives
+an empty result. Of conditions with equal gain the first count and the lowest threshold win.
 """
 
 import numpy as np

@@ -9,7 +9,9 @@ position by byte position; a few words that are longer than the rest are finishe
 Words are runs of non-white bytes (20, 09-0D); the vocabulary is a byte-level file whose path is a parameter, read on
 the driver and sent to the executors as a few arrays (its size is that of the vocabulary, whatever the input). Pieces
 marked as following a blank open words, the others continue them, and every single byte may do either, so any word can
-be cut. Null and empty texts have no words and no tokens. Every row comes back, repeated rows too.
+be cut. The vocabulary is a file on the driver's own disk. Null and empty texts have no words and no tokens; very long
+texts and words are read whole. Every row comes back, repeated rows too; an empty table gives an empty result. Counts are
+unique, so there are no ties. Columns may have any names: they travel in one struct.
 """
 
 import json
