@@ -113,39 +113,57 @@ def suggestions(refused: DataFrame, titles: DataFrame, signals: DataFrame, thres
 NO_ANSWER = r"(?i)ne (r[ée]pondent|permettent|contiennent|fournissent|mentionnent) pas|pas d'information|aucune information|ne sais pas|impossible de r[ée]pondre"
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+#: Bytes of query vectors that are sent out at once, and queries that meet a batch of vectors as one matrix product.
+SENT_BYTES, PRODUCT = 64 << 20, 1024
+
+
+def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best ``k`` of each row of ``scores`` (queries by vectors), ties by key."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        q, v = np.nonzero(scores >= least[:, None])
+    else:
+        q, v = (x.reshape(-1) for x in np.indices(scores.shape))
+    order = np.lexsort((keys[v], -scores[q, v], q))
+    q, v = q[order], v[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    q, v = q[nth < k], v[nth < k]
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(keys[v], pa.int64()), pa.array(scores[q, v], pa.float64())], ["qid", "id", "score"])
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(qid, id, score, rank): the best ``k`` inner products of each query (qid, v) over vectors (id, v).
 
-    Queries go out in blocks of bounded size; each batch of vectors meets a block as one matrix product and sends on its
-    own best ``k`` per query only, so the shuffle holds at most k rows per query and batch."""
+    Queries go out in blocks of bounded size, and the vectors are read once a block. Each batch of vectors meets ``PRODUCT``
+    queries at a time as one matrix product and sends on its own best ``k`` per query only, so the shuffle holds at most
+    k rows per query and batch."""
     spark, out = vectors.sparkSession, None
 
     def blocks():
-        now = []
+        now, size = [], 0
         for r in queries.toLocalIterator():
             now.append((r["qid"], r["v"]))
-            if len(now) == block:
+            size += 8 * len(r["v"])
+            if size >= sent_bytes:
                 yield now
-                now = []
+                now, size = [], 0
         if now:
             yield now
 
     for part in blocks():
-        sent = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64)))
+        sent = spark.sparkContext.broadcast((np.array([q for q, _ in part], np.int64), np.array([v for _, v in part], np.float64)))
 
         def search(batches, sent=sent):
             ids, q = sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = np.round(q @ x.T, 9)
-                key = np.array(batch.column(0).to_pylist())
-                for i, row in enumerate(scores):
-                    best = np.lexsort((key, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(best), pa.int64()), pa.array(key[best], pa.int64()), pa.array(row[best], pa.float64())], ["qid", "id", "score"])
-
-        found = vectors.select("id", "v").mapInArrow(search, "qid long, id long, score double")
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                for lo in range(0, len(ids), PRODUCT):
+                    yield _best(ids[lo : lo + PRODUCT], keys, np.round(q[lo : lo + PRODUCT] @ x.T, 9), k)
+
+        found = vectors.where("v is not null").select("id", "v").mapInArrow(search, "qid long, id long, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "qid long, id long, score double")

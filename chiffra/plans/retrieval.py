@@ -244,7 +244,7 @@ def judged(spark, sf):
 @query("retrieval_metrics", f"""with {_REL} select qid, max(case when rank <= 1 and rel then 1.0 else 0.0 end)::double success_1, max(case when rank <= 5 and rel then 1.0 else 0.0 end)::double success_k,
 coalesce(max(case when rel then 1.0::double / rank end), 0) rr, round(sum(case when rel and rank <= 5 then 1 / log2(rank + 1) else 0 end), 6) dcg from judged join ng using (qid) group by qid""")
 def retrieval_metrics(spark, sf):
-    j = judged(spark, sf).join(F.broadcast(gold(spark, sf).select("qid").distinct()), "qid")
+    j = judged(spark, sf).join(gold(spark, sf).select("qid").distinct(), "qid", "left_semi")
     return j.groupBy("qid").agg(*R.ranking_metrics(j)).withColumn("dcg", F.round("dcg", 6))
 
 
@@ -328,7 +328,7 @@ def best_sentences(spark, sf):
 
     top = R.top_k(lexical(spark, sf), 3, "qid", "id").join(passages(spark, sf), "id")
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("qset"))
-    s = top.select("qid", "id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).join(F.broadcast(qs), "qid")
+    s = top.select("qid", "id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).join(qs, "qid")
     s = s.withColumn("overlap", F.size(F.array_intersect("qset", T.token_set(F.col("sent"))))).where("overlap > 0").withColumn("pos", F.col("pos") + 1)
     return s.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("overlap").desc(), "id", "pos"))).where("n <= 2").select("qid", "id", "pos", "overlap")
 

@@ -90,7 +90,7 @@ def publications(spark: SparkSession, pattern: str) -> DataFrame:
 
 def matched(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files with their registry entry, files without one), by file name."""
-    return files.join(F.broadcast(registry), files["file"] == registry["fichier"]), files.join(registry, files["file"] == registry["fichier"], "left_anti")
+    return files.join(registry, files["file"] == registry["fichier"]), files.join(registry, files["file"] == registry["fichier"], "left_anti")
 
 
 def _text(spark: SparkSession, path: str) -> str:

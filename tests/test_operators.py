@@ -76,6 +76,16 @@ def test_modes_of_search(spark, tmp_path):
     assert R.search(ix, v, t, q, "hybrid", spark.createDataFrame([(2,)], "id long")).select("id").collect()[0]["id"] == 2
 
 
+def test_dense_search_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 20)], "qid long, v array<double>")
+    got = {(r["qid"], r["rank"]): r["id"] for r in R.dense_top_k(v, q, 7, sent_bytes=150).collect()}
+    scores = np.round(x @ x.T, 9)
+    assert got == {(i, n + 1): j for i in range(0, 300, 20) for n, j in enumerate(sorted(range(300), key=lambda j: (-scores[i, j], j))[:7])}
+
+
 def test_phrases_of_the_lexicon(spark):
     f = spark.createDataFrame([(0, 0, "valeur ajoutée"), (0, 1, "va"), (1, 0, "PME"), (1, 1, "petite_entreprise")], "family int, pos int, term string")
     q = spark.createDataFrame([(1, "La valeur  ajoutée des PME"), (2, "La valeur est ajoutée")], "qid long, text string")
