@@ -89,3 +89,14 @@ class Encoder:
 
         kind = docs.schema["id"].dataType.simpleString()
         return features.select("id", "at", "x").mapInArrow(project, f"id {kind}, v array<double>")
+
+
+def chosen(preferred: list[str], factories: dict) -> tuple[str, object]:
+    """(name, encoder) of the first preferred encoder that can be made here, else the offline one. A factory raises
+    ImportError or OSError where its library or its files are missing."""
+    for name in preferred:
+        try:
+            return name, factories[name]()
+        except (KeyError, ImportError, OSError):
+            continue
+    return "tfidf", Encoder()

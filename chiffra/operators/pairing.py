@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain, count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
+from chiffra.functions.numbers import let
 
 
 def overlap_share(shown: Column, held: Column) -> Column:
@@ -53,25 +52,39 @@ def propagated(rows: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attribute_codes(charts: DataFrame, least: float = 0.55) -> DataFrame:
-    """A stable code per chart (edition, chart, title): each edition takes over the code of the most similar title seen
-    before, else a new one from its words, numbered if taken.
-
-    What an edition takes depends on the editions before, so the pass runs in order over the titles of one publication
-    series at a time (column ``series``); these are dozens of rows, and series are independent."""
-    c = charts.select("series", "edition", "chart", T.slug(F.col("title")).alias("slug"), T.token_set(T.bare_title(F.col("title"))).alias("words"))
-
-    def give(rows):
-        rows = rows.sort_values(["edition", "chart"])
-        titles: dict[str, frozenset] = {}  # the last title of each code
-        last_use: dict[str, int] = {}  # the edition that used it last
-        codes = []
-        for edition, base, words in zip(rows["edition"], rows["slug"], map(frozenset, rows["words"])):
-            near = {c: len(words & w) / len(words | w) for c, w in titles.items() if words & w and last_use[c] != edition}
-            code = max(near, key=lambda c: (near[c], c), default=None)
-            if code is None or near[code] < least:
-                code = next(c for c in chain([base], (f"{base}-{k}" for k in count(2))) if c not in titles)
-            titles[code], last_use[code] = words, edition
-            codes.append(code)
-        return rows[["series", "edition", "chart"]].assign(code=codes)
-
-    return c.groupBy("series").applyInPandas(lambda k, rows: give(rows), "series string, edition int, chart int, code string")
+    """(series, edition, chart, code): a stable code per chart (series, edition, chart, title and, where a person has set it,
+    code). A chart takes over the code whose last title is most like its own (``least`` at least, ties to the later name),
+    unless its edition has used that code already; else a new one from its words, numbered if taken.
+
+    A series is one array in order of editions, charts with a set code first, and codes are a fold over it whose state is
+    what each code stands for by then: as long as the codes of one series."""
+    given = F.col("code") if "code" in charts.columns else F.lit(None).cast("string")
+    item = F.struct("edition", given.isNull().alias("open"), "chart", given.alias("given"), T.slug(F.col("title")).alias("slug"), T.token_set(T.bare_title(F.col("title"))).alias("words"))
+    rows = charts.groupBy("series").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    known_type, code_type = "array<struct<code:string,words:array<string>,edition:int>>", "array<string>"
+    start = F.struct(F.array().cast(known_type).alias("known"), F.array().cast(code_type).alias("codes"))
+
+    def give(state: Column, x: Column) -> Column:
+        known = state["known"]
+        free = F.filter(known, lambda k: (k["edition"] != x["edition"]) & F.arrays_overlap(k["words"], x["words"]))
+        best = F.array_max(F.transform(free, lambda k: F.struct(T.jaccard_of(k["words"], x["words"]).alias("sim"), k["code"].alias("code"))))
+        names = F.transform(F.sequence(F.lit(1), F.size(known) + 1), lambda n: F.when(n == 1, x["slug"]).otherwise(F.concat(x["slug"], F.lit("-"), n.cast("string"))))
+        fresh = F.get(F.filter(names, lambda n: ~F.exists(known, lambda k: k["code"] == n)), F.lit(0))
+        code = F.coalesce(x["given"], F.when(best["sim"] >= least, best["code"]), fresh)
+
+        def put(c: Column) -> Column:
+            now = F.struct(c.alias("code"), x["words"].alias("words"), x["edition"].cast("int").alias("edition"))
+            return F.struct(F.concat(F.filter(known, lambda k: k["code"] != c), F.array(now)).cast(known_type).alias("known"), F.concat(state["codes"], F.array(c)).alias("codes"))
+
+        return let(code, put)
+
+    out = rows.select("series", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, give)["codes"].alias("codes"))).alias("z"))
+    return out.select("series", "z.rows.edition", "z.rows.chart", F.col("z.codes").alias("code"))
+
+
+def worklist(pairings: DataFrame, readings: DataFrame, reader: str) -> DataFrame:
+    """(group, chart, position): what a reader has left to read: pairings (group, chart, status) without a decision that the
+    reader, whatever the case of the name, hasn't read yet (readings: chart, reader), in order; the first is next."""
+    mine = readings.where(F.lower(F.trim("reader")) == reader.strip().lower()).select("chart").distinct()
+    left = pairings.where(~F.col("status").isin("valid", "rejected")).join(mine, "chart", "left_anti")
+    return left.select("group", "chart", F.row_number().over(Window.partitionBy("group").orderBy("chart")).alias("position"))

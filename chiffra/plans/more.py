@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
+from chiffra.operators import encoder as EN
+from chiffra.operators import pairing as PG
 from chiffra.operators import retrieval as R
 from chiffra.operators import tables as TB
 from chiffra.plans import retrieval as PR
@@ -41,11 +43,25 @@ def feature_rerank(spark, sf):
     return R.top_k(s, 5, "qid", "id").select("qid", "id", r6("score", "score"), "rank")
 
 
-@query("reviewer_worklist", "with r as (select distinct doc_id from labels where quality = 1) select source, count(*) n_open, min(doc_id) next_id from documents where doc_id not in (select doc_id from r) group by source")
+@query("reviewer_worklist", """with p as (select doc_id chart, source g, case when doc_id % 7 = 0 then 'valid' when doc_id % 11 = 0 then 'rejected' else 'candidate' end status from documents), r as (select distinct doc_id chart from labels where quality = 1)
+select g as "group", chart, row_number() over (partition by g order by chart)::int as "position" from p where status = 'candidate' and chart not in (select chart from r)""")
 def reviewer_worklist(spark, sf):
-    """What a reader has not read yet, and what comes next."""
-    left = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_anti")
-    return left.groupBy("source").agg(F.count(F.lit(1)).alias("n_open"), F.min("doc_id").alias("next_id"))
+    """What one reader has not read yet of what is still open, in order; another reader's readings do not count."""
+    d = table(spark, sf, "documents")
+    status = F.when(F.col("doc_id") % 7 == 0, "valid").when(F.col("doc_id") % 11 == 0, "rejected").otherwise("candidate")
+    p = d.select(F.col("source").alias("group"), F.col("doc_id").alias("chart"), status.alias("status"))
+    r = table(spark, sf, "labels").select(F.col("doc_id").alias("chart"), F.when(F.col("quality") == 1, " Anne ").otherwise("Paul").alias("reader"))
+    return PG.worklist(p, r, "ANNE")
+
+
+@query("encoder_neighbours")
+def encoder_neighbours(spark, sf):
+    """The most similar other title of each title by the offline encoder, learned from these titles. The axes of a
+    decomposition have no SQL; unit tests hold what the vectors must satisfy."""
+    t = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("text")).distinct().select(F.xxhash64("text").alias("id"), "text")
+    v = EN.Encoder(dims=8).fit(t).encode(t)
+    near = R.dense_top_k(v, v.select(F.col("id").alias("qid"), "v"), 2).where("qid <> id")
+    return near.groupBy("qid").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b")).select("qid", "b.id", r6("b.score", "score"))
 
 
 @query("human_override", "select d.doc_id, coalesce(nullif(case when l.quality = 0 then 'rejected' else '' end, ''), case when n_chars >= 600 then 'candidate' else 'to check' end) status from documents d left join labels l using (doc_id)")

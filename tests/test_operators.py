@@ -5,7 +5,9 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from chiffra import cli
 from chiffra.operators import assembly as A
+from chiffra.operators import encoder as EN
 from chiffra.operators import evaluation as E
 from chiffra.operators import ingestion as I
 from chiffra.operators import journal as J
@@ -109,6 +111,20 @@ def test_excerpts_and_suggestions(spark):
     assert [r[0] for r in no.select(F.col("t").rlike(R.NO_ANSWER)).collect()] == [True, False]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main(["list"]) == 0 and "token_windows (no SQL)" in capsys.readouterr().out
+    cli.main(["run", "explorer_counts", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--csv"])
+    assert readers.csv(spark, str(tmp_path / "o")).count() == 25
+
+
+def test_encoder_fallback():
+    def missing():
+        raise ImportError("no such library")
+
+    assert EN.chosen(["a", "b"], {"a": missing, "b": lambda: "B"}) == ("b", "B")
+    assert EN.chosen(["a"], {"a": missing})[0] == "tfidf"
+
+
 def test_kendall_by_inversions(spark):
     rng = np.random.default_rng(8)
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 9, 60), rng.integers(0, 7, 60)))]
@@ -195,6 +211,9 @@ def test_codes(spark):
     c = spark.createDataFrame([("s", 2023, 1, "Stock de PME par région en 2023"), ("s", 2024, 1, "Stock de PME par région en 2024"), ("s", 2024, 2, "Stock de PME par région et sexe"), ("s", 2024, 3, "Exportations agricoles")], "series string, edition int, chart int, title string")
     got = {(r["edition"], r["chart"]): r["code"] for r in P.attribute_codes(c).collect()}
     assert got[2023, 1] == got[2024, 1] and len(set(got.values())) == 3 and got[2024, 3] == "exportations-agricoles"
+    fixed = spark.createDataFrame([("s", 2023, 1, "Stock de PME par région", "own-code"), ("s", 2024, 1, "Stock de PME par région", None), ("s", 2024, 2, "Stock de PME par région", None), ("t", 2024, 9, "Stock de PME par région", None)], "series string, edition int, chart int, title string, code string")
+    got = {(r["series"], r["edition"], r["chart"]): r["code"] for r in P.attribute_codes(fixed).collect()}
+    assert got == {("s", 2023, 1): "own-code", ("s", 2024, 1): "own-code", ("s", 2024, 2): "stock-pme-region", ("t", 2024, 9): "stock-pme-region"}
 
 
 def test_windows(spark):
