@@ -147,15 +147,17 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         open_ = Observation()
-        low = low.observe(open_, F.count_if((F.col("n") > 1) & (F.col("m") < F.col("u"))).alias("n")).select("u", F.least("u", "m").alias("m"))
-        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", rows=rows)
+        low = low.observe(open_, F.count_if((F.col("n") > 1) & (F.col("m") < F.col("u"))).alias("n"))
+        low = stored(low.select("u", F.least("u", "m").alias("m"), "n"), "stars", rows=rows)
         if not open_.get["n"]:
-            dropped(large)
+            dropped(low)
             break
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        # The centre of a star has a row for each leaf: such nodes are joined where their rows are. Each edge is two rows.
+        large = stored(join_groups(both.where("v > u"), low, ["u"], "n", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", rows=rows)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, least, ["u"], "n", 2 * rows).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = stored(small.select("e.*").where("u <> v").distinct(), "stars", rows=rows)
-        dropped(now, large)
+        dropped(now, low, large)
         now = after
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
