@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from chiffra.llm import decontam, fixity, licenses, lmscore, mixing, neardup, quality, sharding, tokencount, urls
+from chiffra.llm import audit, decontam, fixity, licenses, lmscore, mixing, neardup, quality, sharding, tokencount, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urls.op9_url_filter,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
-ORACLE_SQL = {**fixity.SQL, **licenses.SQL, **urls.SQL}
+ORACLE_SQL = {**audit.SQL, **fixity.SQL, **licenses.SQL, **urls.SQL}
