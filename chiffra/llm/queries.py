@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from chiffra.llm import audit, cuckoo, decontam, fixity, licenses, lmscore, mixing, neardup, quality, sharding, tokencount, urls
+from chiffra.llm import audit, cuckoo, decontam, fixity, licenses, lmscore, mixing, neardup, quality, sharding, tokencount, urls, yinyang
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_exact_dedup": cuckoo.op12_exact_dedup,
+    "op13_centroid_clusters": yinyang.op13_centroid_clusters,
 }
-ORACLE_SQL = {**audit.SQL, **cuckoo.SQL, **fixity.SQL, **licenses.SQL, **urls.SQL}
+ORACLE_SQL = {**audit.SQL, **cuckoo.SQL, **fixity.SQL, **licenses.SQL, **urls.SQL, **yinyang.SQL}
