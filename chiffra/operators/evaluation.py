@@ -57,33 +57,52 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
-def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Signed-rank statistics of (by, a, b): zeros dropped, average ranks, min(W+, W-), win, loss, tie, and z with tie
-    correction."""
-    d = pairs.withColumn("d", F.round(F.col("a") - F.col("b"), 12))
-    w = Window.partitionBy(*by)
-    tie = Window.partitionBy(*by, "size")
-    nz = d.where("d <> 0").withColumn("size", F.abs("d"))
-    nz = nz.withColumn("r", F.rank().over(w.orderBy("size")) + (F.count(F.lit(1)).over(tie) - 1) / 2).withColumn("t", F.count(F.lit(1)).over(tie))
-    agg = nz.groupBy(*by).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("wm"), F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("tt"))
-    counts = d.groupBy(*by).agg(F.count_if(F.col("d") > 1e-12).alias("win"), F.count_if(F.col("d") < -1e-12).alias("loss"), F.count_if(F.abs("d") <= 1e-12).alias("tie"))
-    n = F.col("n")
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tt") / 48
-    return counts.join(agg, by, "left").select(*by, "win", "loss", "tie", F.least("wp", "wm").alias("w"), ((F.least("wp", "wm") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"))
+#: Up to so many differences without ties and zeros the test's p is exact.
+EXACT_UP_TO = 50
+
+
+def rank_sums(n: Column) -> Column:
+    """For n ranks, in how many of the 2^n ways to choose among them the chosen add up to 0, 1, 2, ...: each rank's generating
+    polynomial 1 + x^k is multiplied in by a shifted sum."""
+    add = lambda s, k: F.transform(F.sequence(F.lit(0), F.size(s) + k - 1), lambda i: F.coalesce(F.get(s, i), F.lit(0.0)) + F.coalesce(F.get(s, i - k), F.lit(0.0)))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), add))
 
 
-def exact_wilcoxon_p(w: float, n: int, two_sided: bool = True) -> float:
-    """Exact p of the signed-rank statistic without ties, by the number of sign patterns for each sum."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1
-    for k in range(1, n + 1):
-        ways[k:] = ways[k:] + ways[:-k]
-    p = ways[: int(math.floor(w)) + 1].sum() / 2**n
-    return min(1.0, 2 * p) if two_sided else p
+def erfc(x: Column) -> Column:
+    """The complementary error function for x >= 0, to some 15 digits behind the point."""
+    step = lambda s, k: F.struct((s["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(x.alias("term"), x.alias("sum")), step)["sum"]
+    return F.when(x > 6, 0.0).otherwise(1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series)
 
 
-def normal_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def signed_rank_p(w: Column, n: Column, z: Column, exact: Column, alternative: str = "two-sided") -> Column:
+    """p of the statistic: the exact distribution of rank sums, or the normal one. ``w`` is the smaller sum for the two-sided test,
+    the positive one for "greater"."""
+    ways = rank_sums(F.when(exact, n).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    upto = total(F.slice(ways, F.lit(1), F.floor(w).cast("int") + 1))
+    over = total(F.slice(ways, F.ceil(w).cast("int") + 1, F.size(ways)))
+    if alternative == "two-sided":
+        return F.when(exact, F.least(F.lit(1.0), 2 * upto / F.pow(F.lit(2.0), n))).otherwise(erfc(F.abs(z) / math.sqrt(2)))
+    upper = erfc(F.abs(z) / math.sqrt(2)) / 2
+    return F.when(exact, over / F.pow(F.lit(2.0), n)).otherwise(F.when(z >= 0, upper).otherwise(1 - upper))
+
+
+def wilcoxon(pairs: DataFrame, by: list[str], alternative: str = "two-sided") -> DataFrame:
+    """Signed-rank test of (by, a, b): win, loss, tie, statistic ``w``, ``z`` with tie correction, and ``p``; zeros are dropped, equal
+    sizes share their average rank. p is exact without ties and zeros up to ``EXACT_UP_TO`` differences. All three are null where
+    nothing differs. Differences of one size are counted before they are ranked, so the window runs over sizes."""
+    d = pairs.withColumn("d", F.round(F.col("a") - F.col("b"), 12))
+    counts = d.groupBy(*by).agg(F.count_if(F.col("d") > 1e-12).alias("win"), F.count_if(F.col("d") < -1e-12).alias("loss"), F.count_if(F.abs("d") <= 1e-12).alias("tie"))
+    sizes = d.where("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    run = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("r", F.coalesce(F.sum("t").over(run), F.lit(0)) + (F.col("t") + 1) / 2)
+    agg = sizes.groupBy(*by).agg(F.sum(F.col("up") * F.col("r")).alias("wp"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("wm"), F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("tt"))
+    w = F.least("wp", "wm") if alternative == "two-sided" else F.col("wp")
+    n = F.col("n")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tt") / 48
+    out = counts.join(agg, by, "left").select(*by, "win", "loss", "tie", w.alias("w"), ((w - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), "n", (F.coalesce(F.col("tt") == 0, F.lit(False)) & (F.col("tie") == 0) & (n <= EXACT_UP_TO)).alias("exact"))
+    return out.withColumn("p", signed_rank_p(F.col("w"), n, F.col("z"), F.col("exact"), alternative)).drop("n", "exact")
 
 
 def kappa(pairs: DataFrame) -> DataFrame:

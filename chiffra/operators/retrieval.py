@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
-from chiffra.sources.index import Bm25Index
+from chiffra.sources.index import Bm25Index, CellIndex, bucket_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of questions that are broadcast, at some 50 bytes each.
@@ -26,22 +26,61 @@ def question_terms(questions: DataFrame, key: str = "item_id", text: str = "text
     return questions.select(F.col(key).alias("qid"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def bm25(index: Bm25Index, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) for weighted terms (qid, term, weight), from a stored index.
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term of weight 1 adds to a passage's score. It rises with ``tf`` and falls with ``dl``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
 
-    Statistics come from all passages; ``allowed`` (id) restricts what is scored. Postings lie in buckets by id, so that
-    the sums need no shuffle, and ``top_k`` cuts each bucket to its best before anything travels. That holds as long as the
-    questions' terms can be sent to every bucket: they are counted, and beyond ``MOST_SENT`` the postings are shuffled
-    by term instead."""
+def _wanted(index: Bm25Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, term, w, avgdl) of the terms that the index has, and the blocks in the folders of those terms. The terms are counted:
+    up to ``MOST_SENT`` they are broadcast, beyond that they meet the blocks in a shuffle."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     wanted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
-    wanted = wanted.select("qid", "term", "weight", "avgdl", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"))
-    few = terms.count() <= MOST_SENT
-    wanted = F.broadcast(wanted) if few else wanted.hint("merge")
-    postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = postings.join(wanted, "term").select("qid", "id", (F.col("weight") * part).alias("part"))
-    return hits.groupBy("qid", "id").agg(F.sum("part").alias("score")).where("score > 0")
+    wanted = wanted.select("qid", "term", "avgdl", (F.col("weight") * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("w"))
+    folders = terms.groupBy(bucket_of(F.col("term")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+    few = sum(r["n"] for r in folders) <= MOST_SENT
+    return F.broadcast(wanted) if few else wanted.hint("merge"), index.blocks.where(F.col("bucket").isin([r["b"] for r in folders]))
+
+
+def _scored(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(qid, id, score) from joined blocks (qid, w, avgdl, ids, tfs, dls)."""
+    rows = hits.select("qid", "w", "avgdl", F.inline(F.arrays_zip("ids", "tfs", "dls")))
+    rows = rows.select("qid", F.col("ids").alias("id"), (F.col("w") * impact(F.col("tfs"), F.col("dls"), F.col("avgdl"))).alias("part"))
+    rows = rows if allowed is None else rows.join(allowed, "id", "left_semi")
+    return rows.groupBy("qid", "id").agg(F.sum("part").alias("score")).where("score > 0")
+
+
+def bm25(index: Bm25Index, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of all passages with one of the weighted terms (qid, term, weight), from a stored index. Statistics come
+    from all passages; ``allowed`` (id) restricts what is scored."""
+    wanted, blocks = _wanted(index, terms)
+    return _scored(blocks.join(wanted, "term"), allowed)
+
+
+def stripe_bounds(index: Bm25Index, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(qid, stripe, bound): no passage of the stripe scores higher. Beside it the wanted terms and the blocks of their folders."""
+    wanted, blocks = _wanted(index, terms)
+    best = F.array_max(F.transform("front", lambda p: impact(p["tf"], p["dl"], F.col("avgdl"))))
+    bounds = blocks.select("term", "stripe", "front").join(wanted, "term").groupBy("qid", "stripe").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") * best)).alias("bound"))
+    return bounds, wanted, blocks
+
+
+def bm25_top_k(index: Bm25Index, terms: DataFrame, k: int, allowed: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` of each question, exactly, from few of the blocks.
+
+    The bounds of a stripe's blocks add up to a bound of its passages. The ``first`` stripes of highest bound are scored; the k-th
+    score among them is a floor of the result, and of the other stripes only those whose bound reaches it are scored. The
+    bounds are read without the postings, and the postings only of the stripes that are left."""
+    bounds, wanted, blocks = stripe_bounds(index, terms)
+    first = first or max(2, -(-k // 4))
+    best = top_k(bounds.withColumnRenamed("bound", "score"), first, "qid", "stripe").select("qid", "stripe")
+    score = lambda chosen: _scored(blocks.join(wanted, "term").join(F.broadcast(chosen) if small else chosen, ["qid", "stripe"], "left_semi"), allowed)
+    small = True  # ``first`` rows a question that was itself sent out
+    head = top_k(score(best), k, "qid", "id").select("qid", "id", "score", "rank")
+    floor = head.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+    small = False
+    rest = bounds.join(floor, "qid", "left").where(F.col("bound") >= F.coalesce(F.col("floor"), F.lit(0.0)) * (1 - 1e-9) - 1e-9).select("qid", "stripe").join(best, ["qid", "stripe"], "left_anti")
+    return top_k(head.drop("rank").unionByName(score(rest)), k, "qid", "id")
 
 
 def expanded(terms: DataFrame, families: DataFrame, weight: float = 0.3, most: int = 4, questions: DataFrame | None = None) -> DataFrame:
@@ -70,7 +109,7 @@ def search(index: Bm25Index, vectors: DataFrame | None, terms: DataFrame, querie
     """(qid, id, score, rank, rank_lexical, rank_dense): the ``top_n`` of one mode. ``lexical`` ranks by BM25, ``dense`` by inner
     product, ``hybrid`` fuses the best ``channel`` of each by reciprocal ranks; all are restricted before ranking."""
     none = F.lit(None).cast("int")
-    lexical = None if mode == "dense" else top_k(bm25(index, terms, allowed), channel, "qid", "id")
+    lexical = None if mode == "dense" else bm25_top_k(index, terms, channel, allowed)
     dense = None if mode == "lexical" else dense_top_k(vectors if allowed is None else vectors.join(allowed, "id", "left_semi"), queries, channel)
     if mode == "lexical":
         return lexical.where(F.col("rank") <= top_n).select("qid", "id", "score", "rank", F.col("rank").alias("rank_lexical"), none.alias("rank_dense"))
@@ -170,6 +209,66 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, sent_bytes: int
     return top_k(out, k, "qid", "id")
 
 
+#: Vectors of a cell, and queries, that meet in one task.
+PIECE, ASKED = 4096, 1024
+
+
+def cell_bounds(index: CellIndex, queries: DataFrame) -> DataFrame:
+    """(qid, cell, bound) of queries (qid, v): q·x = q·c + q·(x - c), so no product in a cell exceeds q·c + |q| r."""
+    cells = index.cells.select("cell", "centre", "radius").collect()  # at most MOST_CELLS
+    number, radius = np.array([r["cell"] for r in cells], np.int32), np.array([r["radius"] for r in cells])
+    centre = np.array([r["centre"] for r in cells]).reshape(len(cells), -1)
+
+    def bound(batches):
+        for b in batches:
+            q = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+            if q.size and len(number):
+                most = q @ centre.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius
+                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), len(number))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.tile(number, b.num_rows)), pa.array(most.ravel())], ["qid", "cell", "bound"])
+
+    whole = queries.where(F.size("v") == centre.shape[1] if len(cells) else F.lit(False))
+    return whole.select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("v")).mapInArrow(bound, "qid long, cell int, bound double")
+
+
+def _in_cells(vectors: DataFrame, sizes: DataFrame, queries: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): the best ``k`` of each query in each piece of its chosen cells (qid, cell). Cells are cut to pieces of
+    some ``PIECE`` vectors and the queries of a cell to lots of some ``ASKED``, so no task depends on the size of either."""
+    asked = chosen.join(queries.select("qid", "v"), "qid")
+    lots = chosen.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("lots")).join(sizes, "cell").select("cell", "lots", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    lots = F.broadcast(lots)  # a row a cell
+    left = vectors.join(lots, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    right = asked.join(lots, "cell").select("qid", F.col("v").cast("array<double>").alias("v"), "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("qid"), "lots").cast("int").alias("lot"))
+
+    def meet(x: pa.Table, q: pa.Table) -> pa.Table:
+        if not x.num_rows or not q.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        matrix = lambda t: np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+        return pa.Table.from_batches([_best(q["qid"].to_numpy(), x["id"].to_numpy(), np.round(matrix(q) @ matrix(x).T, 9), k)])
+
+    keys = ["cell", "piece", "lot"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "qid long, id long, score double")
+
+
+def cells_top_k(index: CellIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, first: int = 2) -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` inner products of each query (qid, v), exactly. The ``first`` cells of highest bound
+    give a floor, and only cells whose bound reaches it are read further. ``allowed`` (id) restricts what is scored."""
+    vectors = index.vectors if allowed is None else index.vectors.join(allowed, "id", "left_semi")
+    sizes = index.cells.select("cell", "n")
+    bounds = cell_bounds(index, queries)
+    best = top_k(bounds.withColumnRenamed("bound", "score"), first, "qid", "cell").select("qid", "cell")
+    head = top_k(_in_cells(vectors, sizes, queries, best, k), k, "qid", "id")
+    floor = head.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+    rest = open_cells(bounds, floor).join(best, ["qid", "cell"], "left_anti")
+    return top_k(head.drop("rank").unionByName(_in_cells(vectors, sizes, queries, rest, k)), k, "qid", "id")
+
+
+def open_cells(bounds: DataFrame, floor: DataFrame) -> DataFrame:
+    """(qid, cell) of the cells that may hold a product of the query's ``floor`` (qid, floor) or more; all without a floor."""
+    reaches = F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-8 * (1 + F.abs("floor")))
+    return bounds.join(floor, "qid", "left").where(reaches).select("qid", "cell")
+
+
 def rrf(rankings: list[DataFrame], k: int = 60, top_n: int | None = 5) -> DataFrame:
     """Reciprocal rank fusion of rankings (qid, id, rank): sum of 1 / (k + rank)."""
     both = None

@@ -28,7 +28,7 @@ def feature_rerank(spark, sf):
     passage's first twelve characters), and 0.05 for a passage with figures if it asks for some."""
     p, ix = passages(spark, sf), PR.index(spark, sf)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("qt"), T.normalised(F.col("text")).alias("qn"), F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("nums"))
-    top = R.top_k(PR.lexical(spark, sf), 20, "qid", "id").select("qid", "id")
+    top = PR.lexical(spark, sf, 20).select("qid", "id")
     idf = ix.terms.crossJoin(F.broadcast(ix.stats)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("w"))  # one row of statistics
     w = q.select("qid", F.explode(F.array_distinct("qt")).alias("term")).join(idf, "term", "left").groupBy("qid").agg(F.collect_list(F.struct("term", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("ws"))
     pairs = F.when(F.size("qt") > 1, F.transform(F.sequence(F.lit(1), F.size("qt") - 1), lambda i: F.concat(F.get("qt", i - 1), F.lit(" "), F.get("qt", i)))).otherwise(F.array().cast("array<string>"))

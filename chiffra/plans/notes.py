@@ -90,8 +90,7 @@ _SENT = r"string_split(regexp_replace(regexp_replace(d.text, '([.;!?])\s+', '\1'
 
 def decided(spark, sf):
     """(qid, signal, refused): the best lexical score of the question itself, without expansion, against the threshold."""
-    hits = PR.lexical(spark, sf, True)
-    best = hits.groupBy("qid").agg(F.round(F.max("score"), 6).alias("signal"))
+    best = PR.lexical(spark, sf, 1, True).select("qid", F.round("score", 6).alias("signal"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
     return R.refusal(q, R.thresholds_for("lexical", THRESHOLDS, DEFAULT_THRESHOLD))
 

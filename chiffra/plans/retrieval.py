@@ -33,8 +33,9 @@ def index(spark, sf):
     return IX.session_index(passages(spark, sf), f"{sf}/documents")
 
 
-def lexical(spark, sf, allowed=False, terms=None):
-    return R.bm25(index(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), authorised(spark, sf) if allowed else None)
+def lexical(spark, sf, k, allowed=False, terms=None):
+    """(qid, id, score, rank) of the best ``k`` passages of each question."""
+    return R.bm25_top_k(index(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), k, authorised(spark, sf) if allowed else None)
 
 
 OUT = "select qid, id, rank::int rank, round(score, 6) score from ranked where rank <= "
@@ -42,12 +43,12 @@ OUT = "select qid, id, rank::int rank, round(score, 6) score from ranked where r
 
 @query("bm25_topk", f"with {bm25_ctes()} {OUT} 5")
 def bm25_topk(spark, sf):
-    return R.top_k(lexical(spark, sf), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
+    return lexical(spark, sf, 5).select("qid", "id", "rank", r6("score", "score"))
 
 
 @query("bm25_authorised_topk", f"with {ALLOWED}, {bm25_ctes('where id in (select id from allowed)')} {OUT} 5")
 def bm25_authorised_topk(spark, sf):
-    return R.top_k(lexical(spark, sf, True), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
+    return lexical(spark, sf, 5, True).select("qid", "id", "rank", r6("score", "score"))
 
 
 #: A lexicon for the driver tables: each family a list of synonyms, the last of them a phrase of several words.
@@ -79,7 +80,7 @@ def expanded_terms(spark, sf):
 
 @query("bm25_weighted_expansion", f"with {bm25_ctes(terms=_EXPAND)} {OUT} 5")
 def bm25_weighted_expansion(spark, sf):
-    return R.top_k(lexical(spark, sf, terms=expanded_terms(spark, sf)), 5, "qid", "id").select("qid", "id", "rank", r6("score", "score"))
+    return lexical(spark, sf, 5, terms=expanded_terms(spark, sf)).select("qid", "id", "rank", r6("score", "score"))
 
 
 def vectors(spark, sf):
@@ -91,9 +92,14 @@ def vector_queries(spark, sf):
     return vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
+def cells(spark, sf):
+    """The vectors in cells, built at their first use."""
+    return IX.session_index(vectors(spark, sf).select("id", "v"), f"{sf}/embeddings", IX.save_cells, "cells")
+
+
 def dense(spark, sf, k, filtered=False):
-    v = vectors(spark, sf)
-    return R.dense_top_k(v.where("label <> 3") if filtered else v, vector_queries(spark, sf), k)
+    allowed = vectors(spark, sf).where("label <> 3").select("id") if filtered else None
+    return R.cells_top_k(cells(spark, sf), vector_queries(spark, sf), k, allowed)
 
 
 def dense_ctes(where: str = "true") -> str:
@@ -170,7 +176,7 @@ def gold(spark, sf):
 
 
 def signals(spark, sf):
-    best = lexical(spark, sf).groupBy("qid").agg(F.max("score").alias("s"))
+    best = lexical(spark, sf, 1).select("qid", F.col("score").alias("s"))
     inside = gold(spark, sf).select("qid").distinct().withColumn("inside", F.lit(True))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))
     return q.join(best, "qid", "left").join(inside, "qid", "left").select("qid", F.coalesce(F.round("s", 6), F.lit(0.0)).alias("signal"), F.col("inside").isNull().alias("outside"))
@@ -238,7 +244,7 @@ _REL = f"{_GOLD}, {bm25_ctes()}, judged as (select r.qid, r.id, r.rank, g.id is
 
 def judged(spark, sf):
     g = gold(spark, sf).withColumn("g", F.lit(True))
-    return R.top_k(lexical(spark, sf), 10, "qid", "id").join(g, ["qid", "id"], "left").withColumn("rel", F.col("g").isNotNull())
+    return lexical(spark, sf, 10).join(g, ["qid", "id"], "left").withColumn("rel", F.col("g").isNotNull())
 
 
 @query("retrieval_metrics", f"""with {_REL} select qid, max(case when rank <= 1 and rel then 1.0 else 0.0 end)::double success_1, max(case when rank <= 5 and rel then 1.0 else 0.0 end)::double success_k,
@@ -292,7 +298,7 @@ def wilcoxon_pairs(spark, sf):
 def leak_rate(spark, sf):
     """Hits of internal documents when the filter is left off."""
     internal = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct().withColumn("x", F.lit(1))
-    return R.top_k(lexical(spark, sf), 5, "qid", "id").join(internal, "id", "left").agg(F.count(F.lit(1)).alias("n_hits"), F.count("x").alias("n_internal"))
+    return lexical(spark, sf, 5).join(internal, "id", "left").agg(F.count(F.lit(1)).alias("n_hits"), F.count("x").alias("n_internal"))
 
 
 @query("minmax_blend", f"""with {bm25_ctes()}, t as (select qid, id, score, min(score) over w lo, max(score) over w hi from ranked where rank <= 20 window w as (partition by qid)),
@@ -303,7 +309,7 @@ def minmax_blend(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("qid")
-    t = R.top_k(lexical(spark, sf), 20, "qid", "id").withColumn("lo", F.min("score").over(w)).withColumn("hi", F.max("score").over(w))
+    t = lexical(spark, sf, 20).withColumn("lo", F.min("score").over(w)).withColumn("hi", F.max("score").over(w))
     info = passages(spark, sf).select("id", T.tokens(F.col("text")).alias("t")).select("id", (F.size(F.array_distinct("t")) / F.nullif(F.size("t"), F.lit(0))).alias("info"))
     s = F.coalesce((F.col("score") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
     return t.join(info, "id").select("qid", "id", r6(s * (0.55 + 0.45 * F.coalesce("info", F.lit(0.0))), "score"))
@@ -314,7 +320,7 @@ def context_packing(spark, sf):
     """Hits in order until 6,000 characters; the first always stays."""
     from pyspark.sql import Window
 
-    t = R.top_k(lexical(spark, sf), 10, "qid", "id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    t = lexical(spark, sf, 10).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
     return t.withColumn("total", F.sum("n_chars").over(Window.partitionBy("qid").orderBy("rank"))).where("rank = 1 or total <= 6000").select("qid", "id", "rank", "total")
 
 
@@ -326,7 +332,7 @@ def best_sentences(spark, sf):
     """Extractive answers: the two sentences of the three best passages that share most words with the question."""
     from pyspark.sql import Window
 
-    top = R.top_k(lexical(spark, sf), 3, "qid", "id").join(passages(spark, sf), "id")
+    top = lexical(spark, sf, 3).join(passages(spark, sf), "id")
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("qset"))
     s = top.select("qid", "id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent")).join(qs, "qid")
     s = s.withColumn("overlap", F.size(F.array_intersect("qset", T.token_set(F.col("sent"))))).where("overlap > 0").withColumn("pos", F.col("pos") + 1)
@@ -358,15 +364,15 @@ def hybrid_topk(spark, sf):
 
 
 #: Configurations of the evaluation: name, mode, constant of the fusion, expansion.
-CONFIGURATIONS = [("lexical", "lexical", 60, True), ("dense", "dense", 60, True), *((f"hybrid_k{k}", "hybrid", k, True) for k in (20, 60, 100)), ("hybrid_plain", "hybrid", 60, False), ("lexical_plain", "lexical", 60, False)]
+CONFIGURATIONS = [("lexical", "lexical", 60, True), ("dense", "dense", 60, True), *((f"hybrid_k{k}", "hybrid", k, True) for k in (10, 20, 60)), ("hybrid_plain", "hybrid", 60, False), ("lexical_plain", "lexical", 60, False)]
 
 
 def configuration_hits(spark, sf):
-    """(config, qid, id, rank) of the ten best in each configuration. Each channel is ranked once."""
+    """(config, qid, id, rank) of the ten best in each configuration. Each channel is ranked once, and its ranking kept as a table."""
     allowed, ix, v = authorised(spark, sf), index(spark, sf), vectors(spark, sf).select("id", "v")
     plain, more = R.question_terms(table(spark, sf, "benchmark")), expanded_terms(spark, sf)
-    lex = {x: R.top_k(R.bm25(ix, more if x else plain, allowed), 50, "qid", "id").select("qid", "id", "rank") for x in (True, False)}
-    dense_ = R.dense_top_k(v.join(allowed, "id", "left_semi"), question_vectors(spark, sf), 50).select("qid", "id", "rank")
+    lex = {x: IX.kept(R.bm25_top_k(ix, more if x else plain, 50, allowed).select("qid", "id", "rank"), f"lexical-{x}") for x in (True, False)}
+    dense_ = IX.kept(R.dense_top_k(v.join(allowed, "id", "left_semi"), question_vectors(spark, sf), 50).select("qid", "id", "rank"), "dense")
     out = None
     for name, mode, k, more_ in CONFIGURATIONS:
         hits = lex[more_] if mode == "lexical" else dense_ if mode == "dense" else R.rrf([lex[more_], dense_], k, 10)
@@ -405,17 +411,30 @@ def evaluation_configurations(spark, sf):
     return E.configuration_means(j, want)
 
 
-@query("evaluation_tests", f"""with {_configuration_sql()}, {_PAGES},
+#: Two-sided p of a signed-rank statistic, exact up to 50 differences without ties and zeros, else by the normal distribution.
+_P = """dist as (select 0 k, [1.0::double] ways union all select k + 1, list_transform(range(len(ways) + k + 1), lambda i: coalesce(ways[i + 1], 0) + case when i - k >= 1 then ways[i - k] else 0 end) from dist where k < 50),
+tested as (select t.*, (least(wp, wm) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt / 48), 0) z from t),
+series as (select *, abs(z) / sqrt(2) x from tested),
+normal as (select *, case when x = 0 then 1.0 when x > 6 then 0.0 else 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 200), lambda i: exp(i * ln(2.0) + (2 * i + 1) * ln(x) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0))))) end pn from series),
+valued as (select *, case when tie = 0 and tt = 0 and n <= 50 then least(1.0, 2 * (select list_sum(ways[1:floor(least(wp, wm))::int + 1]) from dist where k = normal.n) / pow(2, n)) else pn end p from normal)"""
+
+
+@query("evaluation_tests", f"""with recursive {_configuration_sql()}, {_PAGES},
 j as (select config, h.qid, rank, exists (select 1 from want w where w.qid = h.qid and w.file_ = p.file_ and w.wanted between p.pg and p.pg + 1) rel from hits h join pages_ p using (id) where h.qid in (select qid from np)),
 m as (select config, qid, max(case when rel and rank <= 5 then 1.0 else 0.0 end)::double s5, coalesce(max(case when rel then 1.0::double / rank end), 0) rr from j group by 1, 2),
-p as (select b.config other, metric, case metric when 's5' then a.s5 - b.s5 else a.rr - b.rr end d from m a join m b on a.qid = b.qid and a.config = 'hybrid_k60' and b.config in ('lexical', 'dense'), (select unnest(['s5', 'rr']) metric))
-select other, metric, count(*) filter (round(d, 12) > 1e-12) win, count(*) filter (round(d, 12) < -1e-12) loss, count(*) filter (abs(round(d, 12)) <= 1e-12) tie from p group by 1, 2""")
+p as (select b.config other, metric, round(case metric when 's5' then a.s5 - b.s5 else a.rr - b.rr end, 12) d from m a join m b on a.qid = b.qid and a.config = 'hybrid_k60' and b.config in ('lexical', 'dense'), (select unnest(['s5', 'rr']) metric)),
+nz as (select other, metric, d, rank() over (partition by other, metric order by abs(d)) + (count(*) over (partition by other, metric, abs(d)) - 1) / 2.0 r, count(*) over (partition by other, metric, abs(d)) t from p where d <> 0),
+s as (select other, metric, sum(case when d > 0 then r else 0 end)::double wp, sum(case when d < 0 then r else 0 end)::double wm, count(*)::double n, sum(t * t - 1)::double tt from nz group by 1, 2),
+c as (select other, metric, count(*) filter (d > 1e-12) win, count(*) filter (d < -1e-12) loss, count(*) filter (abs(d) <= 1e-12) tie from p group by 1, 2),
+t as (select c.*, wp, wm, n, tt from c left join s using (other, metric)), {_P}
+select other, metric, win, loss, tie, least(wp, wm) w, round(p, 6) p from valued""")
 def evaluation_tests(spark, sf):
-    """The hybrid search against each channel alone, on two measures: wins, losses and ties of the paired questions."""
+    """The hybrid search against each channel alone, on two measures: wins, losses and ties of the paired questions, the
+    statistic of the signed-rank test and its p."""
     pages, want = relevant_pages(spark, sf)
     j = E.relevant(configuration_hits(spark, sf).where("config in ('hybrid_k60', 'lexical', 'dense')").join(pages, "id").withColumn("page_end", F.col("page") + 1), want)
     m = j.groupBy("config", "qid").agg(F.max(F.when(F.col("rel") & (F.col("rank") <= 5), 1.0).otherwise(0.0)).alias("s5"), F.coalesce(F.max(F.when(F.col("rel"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
     long = m.select("config", "qid", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("x")) for n in ("s5", "rr")])))
     a = long.where("config = 'hybrid_k60'").select("qid", "metric", F.col("x").alias("a"))
     pairs = a.join(long.where("config <> 'hybrid_k60'").select(F.col("config").alias("other"), "qid", "metric", F.col("x").alias("b")), ["qid", "metric"])
-    return E.wilcoxon(pairs, ["other", "metric"]).select("other", "metric", "win", "loss", "tie")
+    return E.wilcoxon(pairs, ["other", "metric"]).select("other", "metric", "win", "loss", "tie", "w", r6("p", "p"))

@@ -1,4 +1,4 @@
-"""Stored indexes: BM25 postings and statistics, and vectors, as tables that are built once and read by every search."""
+"""Stored indexes: postings in blocks with bounds, and vectors in cells, as tables that are built once and read by searches."""
 
 from __future__ import annotations
 
@@ -6,68 +6,100 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
 
+#: Passages of a stripe on average, and folders over which terms are dealt.
+STRIPE, BUCKETS = 128, 64
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: ``spark.checkpoint.dir``; the warehouse where a cluster names none, and a
-    temporary folder on a single machine."""
+    """A folder that all executors share: ``spark.checkpoint.dir``, or on a single machine a temporary folder. A cluster has
+    to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="chiffra-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/chiffra"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="chiffra-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Bm25Index:
-    """``postings`` (id, dl, term, tf) in buckets by id, ``terms`` (term, df) and ``stats`` (n, avgdl, mean_idf: one row)."""
+    """``blocks`` (bucket, term, stripe, front, ids, tfs, dls): the postings of a term in a stripe of some ``STRIPE`` passages, and
+    the pairs (tf, dl) of which one has the block's highest score, whatever the average length. ``terms`` (term, df) and
+    ``stats`` (n, avgdl, mean_idf: one row). Blocks lie in one folder a bucket of terms, sorted by term, so a search reads
+    the folders of its terms."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(id, dl, term, tf), one row per term and passage."""
+        return postings_of(self.blocks)
+
+
+def postings_of(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("term", F.inline(F.arrays_zip("ids", "tfs", "dls")))
+    return rows.select(F.col("ids").alias("id"), F.col("dls").alias("dl"), "term", F.col("tfs").alias("tf"))
 
-def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """A table of postings by its files. The catalogue's entry serves to tell Spark of the buckets and goes at once."""
-    name = f"chiffra_postings_{uuid.uuid4().hex}"
-    spark.sql(f"create table {name} (id long, dl long, term string, tf double) using parquet clustered by (id) into {buckets} buckets location '{path}'")
-    out = spark.table(name)
-    spark.sql(f"drop table {name}")
-    return out
 
+def front_of(tfs: Column, dls: Column) -> Column:
+    """array<struct<tf, dl>>: the shortest passage of each term frequency. A score rises with tf and falls with dl, so one of them
+    has the highest score of all."""
+    both = F.arrays_zip(tfs.alias("tf"), dls.alias("dl"))
+    shortest = lambda t: F.array_min(F.transform(F.filter(both, lambda p: p["tf"] == t), lambda p: p["dl"]))
+    return F.transform(F.array_distinct(tfs), lambda t: F.struct(t.alias("tf"), shortest(t).alias("dl")))
 
-def save_bm25(passages: DataFrame, path: str, buckets: int | None = None) -> Bm25Index:
-    """Index passages (id, text) into the folder ``path``. All postings of a passage lie in one bucket, so that scores are
-    summed up without a shuffle and only the best of each bucket travel."""
+
+def save_bm25(passages: DataFrame, path: str, stripes: int | None = None) -> Bm25Index:
+    """Index passages (id, text) into the folder ``path``. Texts move once, to the task of their id; there words are counted and
+    the passage's length is found, and only the counts move on to the block of their term and stripe."""
     spark = passages.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stripes = stripes or max(1, passages.count() // STRIPE)
     # Words are singled out row by row, not by functions over arrays: whole-stage code does that several times faster.
-    words = passages.select("id", F.explode(F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    placed = passages.select("id", "text").repartition("id")
+    words = placed.select("id", F.explode(F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("w"))
     terms = words.where(~F.col("w").isin(T.STOP_WORDS)).select("id", T.singular(F.col("w")).alias("term"))
     tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     rows = tf.groupBy("id").agg(F.sum("tf").cast("long").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("p"))
-    rows = rows.select("id", "dl", F.inline("p"))
-    name = f"chiffra_postings_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "id").write.mode("overwrite").format("parquet").option("path", f"{path}/postings").bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
-    spark.sql(f"drop table {name}")
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/buckets")
-    postings = _bucketed(spark, f"{path}/postings", buckets)
-    postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    rows = rows.select("id", "dl", F.inline("p")).withColumn("stripe", F.pmod(F.xxhash64("id"), F.lit(stripes)))
+    blocks = rows.groupBy(bucket_of(F.col("term")).alias("bucket"), "term", "stripe").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
+    part = lambda c: F.transform("p", lambda x: x[c])
+    blocks = blocks.select("bucket", "term", "stripe", front_of(part("tf"), part("dl")).alias("front"), part("id").alias("ids"), part("tf").alias("tfs"), part("dl").alias("dls"))
+    # A bucket is dealt to several files by stripe, so that a frequent word is no single task.
+    files = max(1, stripes // 4096)
+    blocks.repartition(BUCKETS * min(files, 64), "bucket", F.pmod("stripe", F.lit(files))).sortWithinPartitions("bucket", "term", "stripe").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stored = _blocks(spark, path)
+    counted = stored.select("term", F.size("ids").alias("df"), F.aggregate("tfs", F.lit(0.0), lambda s, x: s + x).alias("words"))
+    counted.groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("words").alias("words")).write.mode("overwrite").parquet(f"{path}/terms")
     df = spark.read.parquet(f"{path}/terms")
-    size = passages.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("words")))
+    size = passages.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(df.agg(F.sum("words").alias("words")))  # one row each
     size = size.select("n", (F.coalesce("words", F.lit(0.0)) / F.nullif("n", F.lit(0.0))).alias("avgdl"))
     mean = df.crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
     size.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return load_bm25(spark, path)
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "term string, stripe long, front array<struct<tf: double, dl: long>>, ids array<long>, tfs array<double>, dls array<long>, bucket int"
+    return spark.read.schema(kinds).parquet(f"{path}/blocks")
+
+
 def load_bm25(spark: SparkSession, path: str) -> Bm25Index:
-    buckets = spark.read.parquet(f"{path}/buckets").first()["buckets"]
-    return Bm25Index(_bucketed(spark, f"{path}/postings", buckets), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"))
+    return Bm25Index(_blocks(spark, path), spark.read.parquet(f"{path}/terms").select("term", "df"), spark.read.parquet(f"{path}/stats"))
 
 
 def save_vectors(vectors: DataFrame, path: str) -> DataFrame:
@@ -82,13 +114,79 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_built: dict[tuple[str, str], Bm25Index] = {}
+#: Vectors from which centroids are fitted, at most, and the most cells.
+SAMPLE, MOST_CELLS = 20_000, 4096
 
 
-def session_index(passages: DataFrame, name: str) -> Bm25Index:
-    """The index of ``name`` (a stable name of what ``passages`` hold), built at its first use in a Spark application."""
+@dataclass
+class CellIndex:
+    """``vectors`` (id, v, cell), and ``cells`` (cell, centre, radius, n): every vector of a cell lies within ``radius`` of its centre."""
+
+    vectors: DataFrame
+    cells: DataFrame
+
+
+def save_cells(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> CellIndex:
+    """Deal vectors (id, v) to the nearest of some sqrt(n) centres, which are fitted on the ``sample`` rows of smallest hash; every
+    vector is indexed, and radii are those of all of them. Null vectors, and those of another length than the first of
+    the sample, are left out."""
+    spark = vectors.sparkSession
+    rows = vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    dim = len(drawn[0]["v"]) if drawn else 0
+    whole = [r["v"] for r in drawn if len(r["v"]) == dim]
+    x = np.array(whole, np.float64).reshape(len(whole), dim)
+    c = x[: min(len(x), cells or min(MOST_CELLS, max(1, round(rows.count() ** 0.5))))].copy()
+    nearest = lambda x, c: ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
+    for _ in range(8 if len(x) else 0):
+        of = nearest(x, c)
+        for j in np.unique(of):
+            c[j] = x[of == j].mean(axis=0)
+
+    def place(batches):
+        for b in batches:
+            y = np.asarray(b.column(1).flatten()).reshape(b.num_rows, dim)
+            of = nearest(y, c) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(of.astype(np.int32)), pa.array(np.sqrt(((y - c[of]) ** 2).sum(axis=1)) if dim else np.zeros(b.num_rows))], ["id", "v", "cell", "far"])
+
+    placed = rows.where(F.size("v") == dim).mapInArrow(place, "id long, v array<double>, cell int, far double")
+    placed.write.mode("overwrite").parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors")
+    centres = spark.createDataFrame([(j, v) for j, v in enumerate(c.tolist())], "cell int, centre array<double>")
+    stored.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).join(centres, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    return load_cells(spark, path)
+
+
+def load_cells(spark: SparkSession, path: str) -> CellIndex:
+    return CellIndex(spark.read.parquet(f"{path}/vectors").select("id", "v", "cell"), spark.read.parquet(f"{path}/cells"))
+
+
+def files_of(rows: DataFrame) -> str:
+    """A digest of the files that ``rows`` reads: names, lengths and times; empty where it reads none."""
+    try:
+        files = rows.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h"))
+    except AnalysisException:
+        return ""
+    one = files.distinct().agg(F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum"), F.count(F.lit(1)).alias("n")).first()
+    return f"{one['n']}:{one['sum']}"
+
+
+_built: dict[tuple, object] = {}
+
+
+def session_index(passages: DataFrame, name: str, build=None, kind: str = "bm25"):
+    """The index of ``name`` (a stable name of what ``passages`` holds), built at its first use in a Spark application, and anew
+    when the files that it was made from have changed."""
     spark = passages.sparkSession
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _built:
-        _built[key] = save_bm25(passages, f"{shared_folder(spark)}/chiffra-bm25-{uuid.uuid4().hex}")
-    return _built[key]
+    key = (spark.sparkContext.applicationId, kind, name)
+    files = files_of(passages)
+    if key not in _built or _built[key][0] != files:
+        _built[key] = files, (build or save_bm25)(passages, f"{shared_folder(spark)}/chiffra-{kind}-{uuid.uuid4().hex}")
+    return _built[key][1]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, for what several branches of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/chiffra-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

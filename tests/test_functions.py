@@ -1,3 +1,4 @@
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def test_evaluation(spark):
     df = spark.createDataFrame([("le chat dort bien", "le chat dort bien"), ("a b c d", "a c e"), ("", "x")], "a string, b string")
     got = [r[0] for r in df.select(E.rouge_l(E.words(F.col("a")), E.words(F.col("b")))).collect()]
     assert got[0] == 1 and abs(got[1] - 2 * 2 / 7) < 1e-9 and got[2] == 0
-    assert E.exact_wilcoxon_p(41.0, 13) == pytest.approx(0.7870, abs=2e-2)
-    assert E.normal_p(1.96) == pytest.approx(0.05, abs=1e-3)
     k = spark.createDataFrame([("v", "v")] * 4 + [("v", "r")] * 1 + [("r", "r")] * 5, "a string, b string")
     assert E.kappa(k).first()["kappa"] == pytest.approx((0.9 - 0.5) / 0.5)
 
@@ -113,3 +112,26 @@ def test_false_rejects(spark):
 def test_keys_and_lenient_numbers(spark):
     assert one(spark, " Créations\n d’Été ", N.key_of) == "creations d'ete"
     assert [one(spark, x, N.lenient) for x in ("env. 1 204 PME", "7,5 %", "n.d.")] == [1204.0, 7.5, None]
+
+
+def test_signed_rank_p(spark):
+    """Exact p by all sign patterns; a published value; the normal one with ties; nothing that differs."""
+    for n in (1, 5, 9):
+        sums = [sum(k for k in range(1, n + 1) if pattern >> (k - 1) & 1) for pattern in range(2**n)]
+        top = n * (n + 1) // 2
+        rows = spark.createDataFrame([(float(w), n, 0.0, True) for w in range(top + 1)], "w double, n int, z double, exact boolean")
+        two = {r["w"]: r["p"] for r in rows.select("w", E.signed_rank_p(F.col("w"), F.col("n"), F.col("z"), F.col("exact")).alias("p")).collect()}
+        more = {r["w"]: r["p"] for r in rows.select("w", E.signed_rank_p(F.col("w"), F.col("n"), F.col("z"), F.col("exact"), "greater").alias("p")).collect()}
+        for w in range(top + 1):
+            assert two[w] == pytest.approx(min(1, 2 * sum(s <= w for s in sums) / 2**n), abs=1e-15)
+            assert more[w] == pytest.approx(sum(s >= w for s in sums) / 2**n, abs=1e-15)
+    ps = spark.range(0, 46).select(E.signed_rank_p(F.col("id").cast("double"), F.lit(13), F.lit(0.0), F.lit(True), "greater").alias("p"))
+    assert ps.where("abs(p - 6329 / 8192) < 1e-12").count() == 1
+    for z in (0.0, 0.3, 1.96, 4.5, 20.0):
+        assert spark.range(1).select(E.erfc(F.lit(z) / math.sqrt(2))).first()[0] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-14)
+    pairs = [("a", 1.0, float(k)) for k in range(2, 9)] + [("b", 1.0, 1.0)] * 3 + [("c", 2.0, 1.0), ("c", 2.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 1.0)]
+    got = {r["g"]: r for r in E.wilcoxon(spark.createDataFrame(pairs, "g string, a double, b double"), ["g"]).collect()}
+    assert (got["a"]["w"], got["a"]["loss"], got["a"]["p"]) == (0, 7, 2 / 128)
+    assert (got["b"]["tie"], got["b"]["w"], got["b"]["p"]) == (3, None, None)
+    z = (2 - 3) / math.sqrt(3 * 4 * 7 / 24 - 3 * 8 / 48)
+    assert got["c"]["w"] == 2 and got["c"]["p"] == pytest.approx(math.erfc(-z / math.sqrt(2)))
