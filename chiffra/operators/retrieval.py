@@ -217,7 +217,7 @@ def cell_bounds(index: CellIndex, queries: DataFrame) -> DataFrame:
     """(qid, cell, bound) of queries (qid, v): q·x = q·c + q·(x - c), so no product in a cell exceeds q·c + |q| r."""
     cells = index.cells.select("cell", "centre", "radius").collect()  # at most MOST_CELLS
     number, radius = np.array([r["cell"] for r in cells], np.int32), np.array([r["radius"] for r in cells])
-    centre = np.array([r["centre"] for r in cells]).reshape(len(cells), -1)
+    centre = np.array([r["centre"] for r in cells], np.float64).reshape(len(cells), len(cells[0]["centre"]) if cells else 0)
 
     def bound(batches):
         for b in batches:
