@@ -8,9 +8,10 @@ runs faster by the share of the sources that a fluid mixture would have used up
 their weights scaled up, and the same bound holds against that mixture. ``phase`` counts those sources. No row is left
 out or repeated.
 
-The driver makes the schedule, with a heap of the sources, and every block looks up its slot in it. It holds about a
-hundred bytes a source and twelve a block. From ``MOST_BLOCKS`` blocks on, blocks have more rows instead, so that part
-is bounded; a plan of more than ``MOST_SENT`` blocks, which only as many sources can make, is joined by a shuffle.
+The driver makes the schedule, with a heap of the sources, and every block looks up its slot in it. Each slot follows from
+those before, so that is one pass, of some two microseconds a block; blocks have ``block_rows`` rows at any size. It holds
+some hundred bytes a source and ``CHUNK`` blocks: what is decided goes to a table of the shared folder in between. A plan
+of up to ``MOST_SENT`` blocks is broadcast, a longer one meets the rows in a shuffle, ``PIECE`` blocks of a source a row.
 
 Default targets are the square roots of the sources' row counts. Null is a source of its own. Sources without a target
 get the smallest target given; targets for absent sources are ignored. The last block of a source may be short. Blocks
@@ -20,9 +21,11 @@ Columns may have any names: they travel in one struct. An empty table gives an e
 in its source depends on the number of rows (it sets the number of hash buckets), not on partitions or executors.
 """
 
+import functools
 import heapq
 import math
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,49 +35,80 @@ from pyspark.sql import functions as F
 from chiffra.llm._common import documents, place_of, ranked, stored
 
 BLOCK_ROWS = 8
-MOST_BLOCKS = 4_000_000
-#: Blocks in a row of the plan, and in a plan that is broadcast.
-PIECE, MOST_SENT = 1024, 8_000_000
+#: Blocks in a row of the plan at most, in a plan that is broadcast, and between two writes of the plan.
+PIECE, MOST_SENT, CHUNK = 1024, 2_000_000, 8_000_000
 
 
-def schedule(blocks: list[int], weights: list[float]) -> list[tuple[array, array]]:
-    """(slots, phases) of each source's blocks: earliest deadline first among those released."""
+def slots(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """(source, phase) of each slot in turn: earliest deadline first among the blocks that are released."""
     total = math.fsum(weights)
     w = [x / total for x in weights]
-    out = [(array("q"), array("i")) for _ in blocks]
+    placed = [0] * len(blocks)
     on = [j for j, n in enumerate(blocks) if n]
     ends = sorted((blocks[j] / w[j], j) for j in on)  # of the fluid mixture, in virtual time
     rest = [0.0] * (len(ends) + 1)
     for k in range(len(ends) - 1, -1, -1):
         rest[k] = rest[k + 1] + w[ends[k][1]]
     later, ready, now, phase = [(0.0, j) for j in on], [], 0.0, 0
-    for t in range(sum(blocks)):
+    for _ in range(sum(blocks)):
         while later and (later[0][0] <= now * (1 + 1e-12) + 1e-9 or not ready and later[0][0] <= now + 1e-6):
             _, j = heapq.heappop(later)
-            heapq.heappush(ready, ((len(out[j][0]) + 1) / w[j], j))
+            heapq.heappush(ready, ((placed[j] + 1) / w[j], j))
         _, j = heapq.heappop(ready if ready else later)
-        slots, phases = out[j]
-        slots.append(t)
-        phases.append(phase)
-        if len(slots) < blocks[j]:
-            heapq.heappush(later, (len(slots) / w[j], j))
+        placed[j] += 1
+        yield j, phase
+        if placed[j] < blocks[j]:
+            heapq.heappush(later, (placed[j] / w[j], j))
         left = 1.0  # of this slot's service, for the fluid mixture to hand out
         while phase < len(ends) and (ends[phase][0] - now) * rest[phase] <= left:
             left -= (ends[phase][0] - now) * rest[phase]
             now, phase = ends[phase][0], phase + 1
         if phase < len(ends):
             now += left / rest[phase]
+
+
+def schedule(blocks: list[int], weights: list[float]) -> list[tuple[array, array]]:
+    """(slots, phases) of each source's blocks."""
+    out = [(array("q"), array("i")) for _ in blocks]
+    for t, (j, phase) in enumerate(slots(blocks, weights)):
+        out[j][0].append(t)
+        out[j][1].append(phase)
     return out
 
 
-def _plan(spark: SparkSession, plan: list[tuple[array, array]], names: list[str | None]) -> DataFrame:
-    """(source, piece, phases, slots): the phase and slot of each block, ``PIECE`` blocks of a source a row."""
-    rows = []
-    for name, (slots, phases) in zip(names, plan, strict=True):
-        s, p = np.frombuffer(slots, np.int64), np.frombuffer(phases, np.int32)
-        rows += [(name, k // PIECE, p[k : k + PIECE], s[k : k + PIECE]) for k in range(0, len(s), PIECE)]
-    kinds = {"source": pa.string(), "piece": pa.int64(), "phases": pa.list_(pa.int32()), "slots": pa.list_(pa.int64())}
-    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())}), "source string, piece long, phases array<int>, slots array<long>")
+def _pieces(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, array, array]]:
+    """(source, piece, phases, slots): the phases and slots of each source's blocks, ``PIECE`` blocks at a time."""
+    held, number = {}, [0] * len(blocks)
+    for t, (j, phase) in enumerate(slots(blocks, weights)):
+        phases, at = held.setdefault(j, (array("i"), array("q")))
+        phases.append(phase)
+        at.append(t)
+        if len(at) == PIECE:
+            yield j, number[j], *held.pop(j)
+            number[j] += 1
+    for j, (phases, at) in held.items():
+        yield j, number[j], phases, at
+
+
+_KINDS = {"source": pa.string(), "piece": pa.int64(), "phases": pa.list_(pa.int32()), "slots": pa.list_(pa.int64())}
+
+
+def _plan(spark: SparkSession, blocks: list[int], weights: list[float], names: list[str | None]) -> DataFrame:
+    """(source, piece, phases, slots) as a table; beyond ``CHUNK`` blocks it is written in parts as it comes about."""
+    parts, rows, size = [], [], 0
+
+    def part() -> DataFrame:
+        columns = [[names[r[0]] for r in rows], [r[1] for r in rows], *([np.asarray(r[k]) for r in rows] for k in (2, 3))]
+        return spark.createDataFrame(pa.table({c: pa.array(v, t) for (c, t), v in zip(_KINDS.items(), columns, strict=True)}), "source string, piece long, phases array<int>, slots array<long>")
+
+    for r in _pieces(blocks, weights):
+        rows.append(r)
+        size += len(r[3])
+        if size >= CHUNK:
+            parts.append(stored(part(), "mix-plan"))
+            rows, size = [], 0
+    parts.append(part())
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: str, block_rows: int) -> tuple[DataFrame, int]:
@@ -85,9 +119,8 @@ def _placed(docs: DataFrame, targets: dict[str | None, float] | None, source: st
     given = targets or {r["source"]: math.sqrt(r["n"]) for r in counts}
     weights = [max(given.get(r["source"], min(given.values())), 1e-12) for r in counts]
     total = sum(r["n"] for r in counts)
-    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
     blocks = [-(-r["n"] // block_rows) for r in counts]
-    table = _plan(docs.sparkSession, schedule(blocks, weights), [r["source"] for r in counts])
+    table = _plan(docs.sparkSession, blocks, weights, [r["source"] for r in counts])
     order = [F.xxhash64("row", F.lit(1)), F.xxhash64("row", F.lit(2)), F.col("place")]
     nth = ranked(rows, ["source"], order, total, "nth").withColumn("block", F.expr(f"nth div {block_rows}"))
     on = nth["source"].eqNullSafe(table["source"]) & (F.expr(f"block div {PIECE}") == table["piece"])

@@ -50,11 +50,15 @@ def test_many_sources(spark):
     assert sorted({r["slot"] for r in out}) == list(range(5000 + 500)) and len({(r["slot"], r["block_row"]) for r in out}) == 12_000
 
 
-def test_blocks_grow_instead_of_the_plan(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 100)
+def test_blocks_keep_their_rows_at_any_size(spark, monkeypatch):
+    """A plan that is written in several parts and joined by a shuffle is that of one part."""
     rows = [(i, "ab"[i % 5 == 0]) for i in range(4000)]
-    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).collect()
-    assert {r["slot"] for r in out} == set(range(100)) and len({(r["slot"], r["block_row"]) for r in out}) == 4000
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    one = sorted(map(tuple, mixing.mix_sources(df).collect()))
+    for name, value in (("CHUNK", 100), ("PIECE", 16), ("MOST_SENT", 0)):
+        monkeypatch.setattr(mixing, name, value)
+    assert sorted(map(tuple, mixing.mix_sources(df).collect())) == one
+    assert {r[5] for r in one} == set(range(500)) and len({(r[5], r[3]) for r in one}) == 4000
 
 
 def test_rows(spark):
