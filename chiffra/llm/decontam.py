@@ -2,9 +2,11 @@
 
 A text becomes a sequence of tokens without outer punctuation, in lower case (A-Z). In its template, numbers, the
 units that follow them and names (capitalised words inside a sentence) give way to typed placeholders, and a run of one
-type is one placeholder: "New York" counts as much as "Boston", "1 500" as "5". A capitalised word that opens a sentence
-may be a name or not, so there are two template views, which take it for a word and for a name; the third view is the
-literal one, which catches verbatim passages whatever their case. A document holds an item if, in one view, it has at
+type is one placeholder, up to the end of the sentence: "New York" counts as much as "Boston", "1 500" as "5". A capitalised
+word that opens a sentence may be a name or not, so there are two template views, which take it for a word and for a name;
+the third view is the literal one, which catches verbatim passages whatever their case. In a text in which no word is
+capitalised, or every one, case says nothing: there any one or two words of a window may be the names that an item has in
+their places (names of one word only). A document holds an item if, in one view, it has at
 least 0.75 of the item's distinct windows of five tokens; in a template view windows with fewer than two literal tokens
 say nothing and are left out, and the values that stand in the placeholders have to agree along the best alignment: a value of the
 item goes with its most common partner in the document in ``AGREE`` of all slots, and the other way round. Items or
@@ -23,6 +25,8 @@ give empty results. Repeated rows get the same answer; a null doc_id is kept as
 the earliest. Scripts without case have no names.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,20 +85,24 @@ def _capitals(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _CAPITAL[np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, 0)))]
 
 
+def placeholder(kind: np.ndarray) -> np.ndarray:
+    return mix(kind.astype(np.uint64), 99)
+
+
 class View:
     """The tokens of a slice as one view sees them: ``seq``, ``row``, ``first`` token of each row; ``value`` is 0 for literal tokens."""
 
-    def __init__(self, number: int, rows: int, row: np.ndarray, literal: np.ndarray, kind: np.ndarray | None):
+    def __init__(self, number: int, rows: int, row: np.ndarray, literal: np.ndarray, kind: np.ndarray | None, opening: np.ndarray | None = None):
         self.number, self.row, self.seq = number, row, literal
         self.value = np.zeros(len(literal), np.uint64)
         if kind is not None and len(literal):
             head = np.ones(len(literal), bool)
-            head[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])
+            head[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | opening[1:]  # a row's first token opens too
             at = np.flatnonzero(head)
             nth = np.arange(len(literal)) - np.repeat(at, np.diff(np.append(at, len(literal))))
             run = np.add.reduceat(mix(literal + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 7), at)
             kind, self.row = kind[at], row[at]
-            self.seq = np.where(kind > 0, mix(kind.astype(np.uint64), 99), literal[at])
+            self.seq = np.where(kind > 0, placeholder(kind), literal[at])
             self.value = np.where(kind > 0, run | np.uint64(1), np.uint64(0))
         self.first = np.searchsorted(self.row, np.arange(rows + 1))
 
@@ -113,9 +121,29 @@ class View:
         extra = [mix(windows(self.seq[self.first[i] : self.first[i + 1]], int(size[i])), 4) for i in short]
         return np.concatenate([win[whole], *extra]) ^ mix(np.array([self.number], np.uint64), 5), np.concatenate([at[whole], self.first[short]])
 
+    def with_names(self, rows: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """``windows`` of ``rows`` (a mask) whose literal tokens at ``places`` are taken for names."""
+        at = np.flatnonzero(rows[self.row])
+        at = at[at + WIDTH <= self.first[1:][self.row[at]]]
+        literal = sum((self.value[at + k] == 0).astype(np.int64) for k in range(WIDTH)) if len(at) else at
+        named = np.all([self.value[at + k] == 0 for k in places], axis=0) if len(at) else at.astype(bool)
+        at = at[named & (literal - len(places) >= LITERALS)]
+        name = placeholder(np.array([2]))[0]
+        cells = np.stack([np.full(len(at), name) if k in places else self.seq[at + k] for k in range(WIDTH)], axis=1).reshape(-1)
+        return windows(cells, WIDTH)[::WIDTH] ^ mix(np.array([self.number], np.uint64), 5), at
+
+
+#: The places of a window that one or two names may have in a text without case.
+PLACES = [p for n in (1, 2) for p in itertools.combinations(range(WIDTH), n)]
+
 
 def views(data: np.ndarray, offs: np.ndarray) -> list[View]:
     """The views of a slice of texts, in the order of ``VIEWS``."""
+    return _views(data, offs)[0]
+
+
+def _views(data: np.ndarray, offs: np.ndarray) -> tuple[list[View], View, np.ndarray]:
+    """The views, and beside them that without names and the rows whose case says nothing."""
     w = Words(data, offs, lower=True)
     inner = ~_OUTER[data]
     at = np.flatnonzero(inner)
@@ -125,7 +153,8 @@ def views(data: np.ndarray, offs: np.ndarray) -> list[View]:
     some = hi > lo
     row, lo, hi, raw_end, n = w.rows()[some], lo[some], hi[some], w.end[some], len(offs) - 1
     if not len(row):
-        return [View(k, n, row, np.zeros(0, np.uint64), None) for k in range(len(VIEWS))]
+        none = [View(k, n, row, np.zeros(0, np.uint64), None) for k in range(len(VIEWS))]
+        return none, none[-1], np.zeros(n, bool)
     start, end = at[lo], at[hi - 1] + 1
     literal = span_hashes(w.data, start, end)
     bounds = np.zeros(2 * len(start), np.int64)
@@ -137,9 +166,14 @@ def views(data: np.ndarray, offs: np.ndarray) -> list[View]:
     unit = np.zeros(len(start), bool)
     unit[1:] = number[:-1] & (row[1:] == row[:-1]) & _among(literal[1:], _UNIT)
     unit &= ~number
-    name = _capitals(data, start) & ~number & ~unit
+    capital = _capitals(data, start)
+    lettered = ~number & ~_DIGIT[data[start]]
+    n_capital, n_words = (np.bincount(row, weights=x, minlength=n) for x in (capital & lettered, lettered))
+    caseless = (n_words > 0) & ((n_capital == 0) | (n_capital == n_words))
+    name = capital & ~number & ~unit
     kind = lambda names: np.where(number, 1, np.where(unit, 3, np.where(names, 2, 0)))
-    return [View(0, n, row, literal, None), View(1, n, row, literal, kind(name & ~opening)), View(2, n, row, literal, kind(name))]
+    view = lambda number, names: View(number, n, row, literal, kind(names), opening)
+    return [View(0, n, row, literal, None), view(1, name & ~opening), view(2, name)], view(2, np.zeros(len(name), bool)), caseless
 
 
 _ITEM_SCHEMA = "item_id long, view int, hashes array<long>, at array<int>, pattern array<int>"
@@ -208,25 +242,27 @@ def _cut_documents(known: np.ndarray, rare: np.ndarray, batch: pa.RecordBatch):
     occurrence with its place and the values of its five tokens."""
     for lo, hi, data, offs in strings(batch.column(2)):
         found, has = [], np.zeros(hi - lo, bool)
-        for v in views(data, offs):
-            h, at = v.windows()
+        seen, plain, caseless = _views(data, offs)
+        cuts = [(v, (), v.windows()) for v in seen]
+        cuts += [(plain, p, plain.with_names(caseless, p)) for p in PLACES] if caseless.any() else []
+        for v, places, (h, at) in cuts:
             hit = _known(known, h)
             h, at = h[hit], at[hit]
             row = v.row[at] if len(at) else at
             has[row[_known(rare, h)]] = True
-            found.append((v, h, at, row))
+            found.append((v, h, at, row, places))
         if not has.any():
             continue
         h, row = (np.concatenate([f[k] for f in found]) for k in (1, 3))
         pair = np.unique(np.rec.fromarrays([row[has[row]], h[has[row]]], names="row,h"))
         occ = [[], [], [], []]
-        for v, h, at, row in found[1:]:
+        for v, h, at, row, places in found[1:]:
             on = has[row]
             h, at, row = h[on], at[on], row[on]
             value = np.zeros((len(at), WIDTH), np.uint64)
             for k in range(WIDTH):
                 inside = at + k < v.first[row + 1] if len(row) else np.zeros(0, bool)
-                value[inside, k] = v.value[at[inside] + k]
+                value[inside, k] = mix(v.seq[at[inside] + k], 7) | np.uint64(1) if k in places else v.value[at[inside] + k]
             for o, x in zip(occ, (row, h, at - v.first[row] if len(row) else at, value), strict=True):
                 o.append(x)
         orow, oh, oat, ovalue = (np.concatenate(o) for o in occ)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -185,3 +186,53 @@ def test_verbatim_items_of_the_tables_are_found(spark):
     plain = {i for i, t in d.items() if any(x in t for x in b)}
     got = {r["doc_id"] for r in decontam.op10_decontamination(spark, sf).where("contaminated").collect()}
     assert plain <= got and len(got) < len(plain) + 20
+
+
+TOM = "Tom has 3 apples. Ann gives him 2 more. How many apples does Tom have now?"
+BOB = "Bob has 5 apples. Eve gives him 4 more. How many apples does Bob have now?"
+
+
+def test_other_names_behind_other_texts(spark):
+    """Words in front of the item don't become part of its first name, and names without capitals are names."""
+    texts = [BOB, f"Question: {BOB}", f"Q: {BOB}", f"We flew to Paris. {BOB}", BOB.lower(), BOB.upper(), f"question: {BOB.lower()} answer: 9", f"{BOB} Answer: 9"]
+    other = ["bob has 5 apples. eve gives him 4 more. how many apples does carl have now?", "Bob has 5 apples. Eve gives him 4 more. How many apples does Eve have now?", "bob has 5 pears. eve sells him 4 nuts. how many shells does bob want now?"]
+    docs = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    out = {r["row"]["doc_id"]: bool(r["hits"]) for r in decontam.mark(docs, spark.createDataFrame([(1, TOM)], "item_id long, text string")).collect()}
+    assert out == {i: i < len(texts) for i in range(len(texts + other))}
+
+
+def recall_cases(n=60, seed=3):
+    """Items with names, numbers and units, and re-parameterised variants of each within other text."""
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in "ba ke mi lo du sa ti ro nu pe".split() for b in "ran tel sim pon dur lek fam nis".split()]
+    names = ["Tom", "Ann", "Bob", "Eve", "Olaf", "Dana", "Wilson", "Carla", "Piet", "Yara"]
+    units = ["kg", "lb", "km", "hours", "days", "litres"]
+    items, docs = [], []
+    for i in range(n):
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(18, 40))]
+        spots = sorted(rng.sample(range(2, len(body) - 2), 5))
+        slots = ["name:0", "num:0", "name:1", "num:1", "name:0"]
+
+        def text(people, numbers, unit, body=body, spots=spots, slots=slots):
+            words = list(body)
+            for s, k in zip(spots, slots, strict=True):
+                kind, which = k.split(":")
+                words[s] = people[int(which)] if kind == "name" else f"{numbers[int(which)]} {unit}"
+            half = len(words) // 2
+            first, second = " ".join(words[:half]), " ".join(words[half:])
+            return f"{first[0].upper()}{first[1:]}. {second[0].upper()}{second[1:]}?"
+
+        items.append((i, text(rng.sample(names, 2), rng.sample(range(2, 99), 2), rng.choice(units))))
+        new = text(rng.sample(names, 2), rng.sample(range(100, 999), 2), rng.choice(units))
+        docs += [(i, t) for t in (new, f"Question: {new}", f"Q: {new} A: 12.", f"We flew to Paris. {new} Then came Rome.", new.lower(), f"Exercise 7. {new.lower().capitalize()}")]
+    return items, docs
+
+
+def test_recall_of_variants(spark):
+    items, docs = recall_cases()
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(docs)], "doc_id long, item long, text string")
+    out = decontam.mark(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = [[h["item_id"] for h in r["hits"]] == [r["row"]["item"]] for r in out]
+    by_kind = [sum(f for f, r in zip(found, out, strict=True) if r["row"]["doc_id"] % 6 == k) / 60 for k in range(6)]
+    print(by_kind)
+    assert min(by_kind[:5]) >= 0.9 and not any(set(h["item_id"] for h in r["hits"]) - {r["row"]["item"]} for r in out)
