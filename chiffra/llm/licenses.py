@@ -4,7 +4,9 @@ A text is cut into sentences at blank lines and after . : ; ! ? before white spa
 of lines are gone; a sentence is normalised (A-Z lowered, anything but a-z and 0-9 to one blank) and looked up among
 known licence sentences. A line end is a cut only where that finds more: the longest tail of a sentence that starts at a
 line and is known counts as a sentence of its own, and each line before it, or each line where no tail is known, is
-looked up by itself. So wrapped licence texts are found as well as notices of one line without a full stop.
+looked up by itself. So wrapped licence texts are found as well as notices of one line without a full stop. ``HOLES`` come
+before that: whoever stands where a licence names its holder is replaced by the words of the licence, a copyright line
+and the openings of some licences are cuts, and an SPDX tag or a "License:" line becomes a sentence of its own.
 
 The identifiers found, in order, are matched against ordered licence rules: a rule names successive identifiers, some of
 them optional; it claims every such run, and what it has claimed is closed to the rules after it. Identifiers with more
@@ -103,9 +105,34 @@ NAMES = {
     "ccbynd4-notice": ["cc by nd 4 0", "a creative commons attribution noderivatives 4 0 international license"],
     "cc0-notice": ["cc0 1 0"],
 }
-FRAMES = ["licensed under", "released under", "distributed under", "available under", *(f"this {x} is {y} under" for x in ("work", "project", "software", "code", "file", "text", "document") for y in ("licensed", "released", "distributed"))]
+_VERBS = ["licensed under", "released under", "distributed under", "available under"]
+FRAMES = [*_VERBS, *(f"{v} the terms of" for v in _VERBS), *(f"this {x} is {y} under" for x in ("work", "project", "software", "code", "file", "text", "document") for y in ("licensed", "released", "distributed"))]
 SENTENCES |= {k: [f"{f} {n}" for f in FRAMES for n in names] for k, names in NAMES.items()}
 
+#: What a tag or a "License:" line may call a licence, by identifier: fixed values.
+SHORT = {
+    "mit-notice": ["mit"],
+    "apache2-notice": ["apache 2 0", "apache2", "apache license 2 0", "apache license version 2 0"],
+    "gpl3-notice": ["gplv3", "gpl v3", "gpl 3 0", "gpl 3 0 only", "gnu gplv3"],
+    "gpl3-terms-later": ["gplv3+", "gpl 3 0 or later", "gpl 3 0+"],
+    "gpl2-notice": ["gplv2", "gpl v2", "gpl 2 0", "gpl 2 0 only", "gnu gplv2"],
+    "gpl2-later": ["gplv2+", "gpl 2 0 or later", "gpl 2 0+"],
+    "lgpl3-notice": ["lgplv3", "lgpl 3 0", "lgpl 3 0 only"],
+    "lgpl21-notice": ["lgplv2 1", "lgpl 2 1", "lgpl 2 1 only"],
+    "agpl3-notice": ["agplv3", "agpl 3 0", "agpl 3 0 only"],
+    "mpl2-notice": ["mpl 2 0", "mplv2"],
+    "bsd3-notice": ["bsd 3 clause"],
+    "bsd2-notice": ["bsd 2 clause"],
+    "isc-notice": ["isc"],
+    "ccby4-notice": ["cc by 4 0"],
+    "ccbysa4-notice": ["cc by sa 4 0"],
+    "cc0-notice": ["cc0 1 0"],
+    "unlicense-domain": ["unlicense"],
+    "0bsd-notice": ["0bsd"],
+    "zlib-notice": ["zlib"],
+}
+SENTENCES |= {k: [*SENTENCES.get(k, []), *(f"license is {n[:-1]} or newer" if n.endswith("+") else f"license is {n}" for n in names)] for k, names in SHORT.items()}
+
 #: Ordered rules: (licence, the successive identifiers it claims; ``?`` marks optional ones). Longer forms come before the
 #: forms they contain.
 _GPL = ["gpl-hope?", "gpl-fitness?", "gpl-see?", "gpl-received?"]
@@ -120,6 +147,7 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free?", "gpl3-terms-later", *_GPL]),
     ("GPL-3.0-or-later", ["gpl-free?", "gpl-terms", "v3-later", *_GPL]),
     ("GPL-2.0-or-later", ["gpl-free?", "gpl-terms", "v2-later", *_GPL]),
+    ("GPL-2.0-or-later", ["gpl2-later"]),
     ("GPL-3.0-only", ["gpl-free?", "gpl3-terms-only", *_GPL]),
     ("GPL-2.0-only", ["gpl-free?", "gpl2-terms-only", *_GPL]),
     ("LGPL-3.0-or-later", ["gpl-free?", "lgpl3-terms-later", *_GPL]),
@@ -145,6 +173,8 @@ RULES = [
     ("ISC", ["isc-notice?", "isc-grant", "isc-as-is?"]),
     ("ISC", ["isc-notice"]),
     ("0BSD", ["0bsd-grant", "isc-as-is?"]),
+    ("0BSD", ["0bsd-notice"]),
+    ("Zlib", ["zlib-notice"]),
     ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
     ("BSL-1.0", ["bsl-grant", "mit-as-is?"]),
     ("Unlicense", ["unlicense-domain", "unlicense-grant?", "mit-as-is?", "mit-liability?"]),
@@ -164,6 +194,16 @@ ANCHORS = ("licens", "permi", "redistribut", "warrant", "rights", "neither", "li
 GAP = 3
 #: At the start of a line: what marks a comment.
 COMMENT = r"(^|\n)[ \t]*(?:<!--|-->|//+|/\*+|\*+/?|#+|;+|--+|%+|>+)?[ \t]*"
+_GAP = "[ \\t\\r\\n]+"
+#: Replaced in the lower-cased text, in this order: (pattern, replacement), where {cut} ends a sentence and {1} is a group.
+HOLES = [
+    (f"neither{_GAP}the{_GAP}names?{_GAP}of{_GAP}.{{1,200}}?{_GAP}nor{_GAP}the{_GAP}names{_GAP}of{_GAP}(?:its|their|any|the){_GAP}contributors", "{cut}neither the name of the copyright holder nor the names of its contributors"),
+    (r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)\)?(?:[ \t]+(?:or|and)[ \t]+\(?([a-z0-9.+-]+)\)?)?", "{cut}license is {1}{cut}license is {2}{cut}"),
+    (r"(^|\n)[ \t]*licen[sc]e[ \t]*:[ \t]*([a-z0-9])", "{cut}license is {2}"),
+    (r"(license is [a-z0-9. -]+)\+", "{1} or newer"),
+    (r"(copyright[ \t]+(?:\(c\)|©)?[ \t]*[12][0-9]{3})", "{cut}{1}"),
+    (f"(permission{_GAP}is{_GAP}hereby{_GAP}granted|permission{_GAP}to{_GAP}use,{_GAP}copy|redistribution{_GAP}and{_GAP}use{_GAP}in{_GAP}source)", "{cut}{1}"),
+]
 BLANK_LINES, STOPS = r"\n(?:[ \t\r]*\n)+", r"[.:;!?]+(?:[ \t\r\n]+|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -188,6 +228,8 @@ def sentence_ids(text: Column) -> Column:
         maybe = maybe | F.contains(low, F.lit(word))
     known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
     marked = F.regexp_replace(low, COMMENT, "$1")
+    for pattern, by in HOLES:
+        marked = F.regexp_replace(marked, f"(?s){pattern}", by.replace("{cut}", "\x01").replace("{1}", "$1").replace("{2}", "$2"))
     marked = F.regexp_replace(F.regexp_replace(marked, BLANK_LINES, "\x01"), STOPS, "\x01")
     marked = F.regexp_replace(F.translate(marked, "\n", "\x02"), "[^a-z0-9\x01\x02]+", " ")
     lines = lambda cut: F.filter(F.transform(F.split(cut, "\x02"), lambda x: F.trim(x)), lambda x: x != "")
@@ -245,6 +287,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join(f"('{s}', '{k}')" for s, k in KNOWN.items())
+    bare = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{COMMENT}', '\\1', 'g')"
+    for pattern, by in HOLES:
+        new = by.replace("{cut}", "' || chr(1) || '").replace("{1}", "\\1").replace("{2}", "\\2")
+        bare = f"regexp_replace({bare}, '(?s){pattern}', '{new}', 'g')"
     steps, prev = [], "m0"
     for k, (name, rule) in enumerate(RULES):
         p = _pattern(rule)
@@ -253,7 +299,7 @@ def _sql() -> str:
     return f"""
 with known(s, id) as (values {rows}),
 d as (select row_number() over () r, doc_id, text from documents),
-marked as (select r, translate(regexp_replace(regexp_replace(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{COMMENT}', '\\1', 'g'), '{BLANK_LINES}', chr(1), 'g'), '{STOPS}', chr(1), 'g'), chr(10), chr(2)) t from d),
+marked as (select r, translate(regexp_replace(regexp_replace({bare}, '{BLANK_LINES}', chr(1), 'g'), '{STOPS}', chr(1), 'g'), chr(10), chr(2)) t from d),
 cut as (select r, unnest(parts) part, unnest(range(len(parts))) pos from (select r, string_split(regexp_replace(t, '[^a-z0-9' || chr(1) || chr(2) || ']+', ' ', 'g'), chr(1)) parts from marked)),
 l as (select r, row_number() over (partition by r order by pos) - 1 pos, ls from (select r, pos, list_filter(list_transform(string_split(part, chr(2)), lambda x: trim(x)), lambda x: x <> '') ls from cut) where len(ls) > 0),
 tails as (select r, pos, k, array_to_string(list_slice(ls, k, len(ls)), ' ') s from (select r, pos, ls, unnest(range(1, len(ls) + 1)) k from l)),

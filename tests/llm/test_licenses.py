@@ -112,3 +112,19 @@ def test_sql_agrees(spark):
     want = con.execute(licenses.SQL["op3_license_scan"]).fetchall()
     got = [tuple(r) for r in licenses.op3_license_scan(spark, sf).collect()]
     assert sorted(got) == sorted(want) and any(r[3] for r in got)
+
+
+BSD3_TEXT = BSD3.replace("copyright holder nor", "Acme Corp. of New York, Inc. nor") + "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
+
+@pytest.mark.parametrize("text, licences", [
+    (BSD3_TEXT, ["BSD-3-Clause"]), (BSD3_TEXT.replace("\n", " "), ["BSD-3-Clause"]), (" ".join(MIT_TEXT.split()), ["MIT"]), ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+    ("// SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)\nint x;", ["MIT", "GPL-2.0-or-later"]), ("# SPDX-License-Identifier: GPL-3.0+\n", ["GPL-3.0-or-later"]), ("licensed under the terms of the MIT license", ["MIT"]),
+    ("name: x\nLicense: GPLv3\nversion: 1", ["GPL-3.0-only"]), ("License: unknown", []), ("The license: see below. MIT is a school.", []), (" ".join(ISC_TEXT.split()), ["ISC"]),
+])
+def test_holders_tags_and_single_lines(spark, text, licences):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(df).first()["licenses"] == licences
+    con = duckdb.connect()
+    con.execute("create table documents as select 1::bigint doc_id, ?::varchar as text", [text])
+    assert con.execute(licenses.SQL["op3_license_scan"]).fetchall()[0][3] == ", ".join(licences)
