@@ -14,6 +14,7 @@ from chiffra.operators import pairing as P
 from chiffra.operators import series as S
 from chiffra.plans.base import query, r6, table
 from chiffra.streaming import journal as SJ
+from chiffra.streaming import limits as L
 
 # Cells: order totals by priority and year, rounded to whole units, with a total row; ids in a fixed order.
 _CELLS = """base as (select o_orderpriority row_label, year(o_orderdate)::int as year_, round(sum(o_totalprice), 0) v from orders group by all union all select 'Total', year(o_orderdate)::int, round(sum(o_totalprice), 0) from orders group by all),
@@ -296,3 +297,20 @@ def sliding_counts(spark, sf):
 def session_counts(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return SJ.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("rate_limited", """with e as (select event_id, user_id, epoch_us(ts) t from events), n as (select *, row_number() over (partition by user_id order by t, event_id) i from e),
+f as (select *, max(t - (i - 1) * 1800000000) over (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding) + (i - 1) * 1800000000 full_ from n)
+select event_id, user_id, (greatest(t, coalesce(full_ - 3600000000, t)) - t)::bigint wait_us from f""")
+def rate_limited(spark, sf):
+    """What each event waits if its user may send three at once and one each half hour."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return L.granted(e, "user_id", 1_800_000_000, 3).select("event_id", "user_id", (F.col("granted_at") - F.col("at")).alias("wait_us"))
+
+
+@query("cache_hits", """with recursive e as (select event_id, user_id, epoch_us(ts) t from events), l as (select user_id, min(t) t from e group by 1 union all select user_id, n from (select l.user_id, (select min(e.t) from e where e.user_id = l.user_id and e.t >= l.t + 3600000000) n from l) where n is not null),
+first_ as (select user_id, t, min(event_id) event_id from e join l using (user_id, t) group by 1, 2) select event_id, user_id, event_id not in (select event_id from first_) hit from e""")
+def cache_hits(spark, sf):
+    """Which events find what an earlier one of their user has loaded within the last hour."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return L.looked_up(e, "user_id", 3_600_000_000).select("event_id", "user_id", "hit")
