@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
 from chiffra.operators import answers as A
+from chiffra.operators import comparison as CP
 from chiffra.plans.base import passages, query, r6, table
-from chiffra.plans.retrieval import bm25_ctes, lexical
+from chiffra.plans.retrieval import _P, bm25_ctes, lexical
+from chiffra.sources import index as IX
 
 _SENTENCES = lambda t, i: f"select {i}, unnest({T.sentences_sql('text')}) sent, generate_subscripts({T.sentences_sql('text')}, 1)::int pos from {t}"
 
@@ -70,3 +72,32 @@ def number_audit(spark, sf):
     c = table(spark, sf, "conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null").withColumn("k", F.struct("conv_id", "turn"))
     out = A.number_audit(c.select("k", "text"), c.select("k", F.col("prev").alias("text")), "k")
     return out.select("k.conv_id", "k.turn", "total", "supported", r6("accuracy", "accuracy"))
+
+
+_ENCODERS = {"full": "embedding::double[]", "head": "embedding[1:16]::double[]", "sign": "list_transform(embedding, lambda x: sign(x)::double)"}
+
+
+def _encoder_sql():
+    one = lambda n, v: f"select '{n}' config, a.vec_id qid, b.vec_id id, a.label = b.label rel, row_number() over (partition by a.vec_id order by round(list_inner_product(a.v, b.v), 9) desc, b.vec_id) rank from (select *, {v} v from embeddings) a, (select *, {v} v from embeddings) b where a.vec_id % 20 = 0"
+    return f"""with recursive h as ({' union all '.join(one(n, v) for n, v in _ENCODERS.items())}), per as (select config, qid, avg(rel::int::double) filter (rank <= 5) x, coalesce(max(case when rel then 1.0::double / rank end), 0) rr from h where rank <= 10 group by 1, 2),
+m as (select config, count(*) n, avg(x) as precision_5, avg(rr) mrr from per group by 1), d as (select p.config, round(p.x - b.x, 12) d from per p join per b on b.qid = p.qid and b.config = 'full' where p.config <> 'full'),
+nz as (select config, d, rank() over (partition by config order by abs(d)) + (count(*) over (partition by config, abs(d)) - 1) / 2.0 r, count(*) over (partition by config, abs(d)) t from d where d <> 0),
+s as (select config, sum(case when d > 0 then r else 0 end)::double wp, sum(case when d < 0 then r else 0 end)::double wm, count(*)::double n, sum(t * t - 1)::double tt from nz group by 1),
+c as (select config, count(*) filter (d > 1e-12) win, count(*) filter (d < -1e-12) loss, count(*) filter (abs(d) <= 1e-12) tie from d group by 1), t as (select c.*, wp, wm, n, tt from c left join s using (config)), {_P}
+select m.config, m.n, round(precision_5, 6) as precision_5, round(mrr, 6) mrr, win, loss, tie, least(wp, wm) w, round(p, 6) p from m left join valued using (config)"""
+
+
+@query("encoder_comparison", _encoder_sql())
+def encoder_comparison(spark, sf):
+    """Whole vectors, their first sixteen components and their signs as three encoders: precision at 5, reciprocal rank, and the
+    test against the whole ones. Rankings are cells that a second run finds."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    sign = lambda x: F.signum(x.cast("double"))
+    vectors = {"full": F.col("embedding"), "head": F.slice("embedding", 1, 16), "sign": F.transform("embedding", sign)}
+    encoders = {n: ({"of": n}, lambda rows, v=v: rows.select("id", v.alias("v"))) for n, v in vectors.items()}
+    cells = CP.Cells(spark, f"{IX.shared_folder(spark)}/chiffra-comparison")
+    hits = CP.rankings(cells, encoders, e, e.where("id % 20 = 0"), k=10)
+    lab = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    j = hits.join(lab, "id").join(lab.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").withColumn("rel", F.col("label") == F.col("ql"))
+    out = CP.compared(j, "full")
+    return out.select("config", "n", r6("precision", "precision_5"), r6("mrr", "mrr"), "win", "loss", "tie", "w", r6("p", "p"))
