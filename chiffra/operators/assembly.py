@@ -162,7 +162,41 @@ def themed_sheet(findings: DataFrame, most: int = 3) -> DataFrame:
     return once.withColumn("n", F.row_number().over(Window.partitionBy("theme", "query").orderBy("rank"))).where(F.col("n") <= most).select("theme", "query", F.col("n").alias("rank"), "sentence")
 
 
-def recommendation(name: Column, change: Column) -> Column:
-    """A lead for decision, without figures, by magnitude and direction."""
-    kind = NO.magnitude(name)
-    return F.when(change.isNull(), None).when(change >= 0, F.concat(F.lit("Conforter ce qui porte la hausse "), contracted(F.coalesce(kind, F.lit("l'indicateur"))))).otherwise(F.concat(F.lit("Chercher les causes de la baisse "), contracted(F.coalesce(kind, F.lit("l'indicateur")))))
+def key_messages(levels: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """(key, position, role, name, label, value, change): up to three messages a report. First the largest magnitude with a change
+    (``levels``: key, name, value, change), then the strongest rise of a row (``moves``: key, name, label, change), then the
+    strongest fall; where none falls, the smallest of two rises or more. Rows of one label come before crossed ones."""
+    crossed = F.contains("label", F.lit("/")).cast("int")
+    main = levels.where("change is not null").groupBy(key).agg(F.max_by(F.struct("name", "value", "change"), F.struct("value", "name")).alias("m"))
+    main = main.select(key, F.lit(1).alias("position"), F.lit("main").alias("role"), "m.name", F.lit(None).cast("string").alias("label"), "m.value", "m.change")
+    size = F.struct((-crossed).alias("plain"), F.round(F.abs("change"), 6).alias("size"), "name", "label")
+    row = F.struct("name", "label", "change")
+    per = moves.where("change <> 0").groupBy(key).agg(
+        F.max_by(row, F.when(F.col("change") > 0, size)).alias("rise"), F.max_by(row, F.when(F.col("change") < 0, size)).alias("fall"),
+        F.min_by(row, F.when(F.col("change") > 0, size)).alias("least"), F.count_if(F.col("change") > 0).alias("rises"),
+    )
+    warning = F.when(F.col("fall").isNotNull(), F.struct(F.lit("warning").alias("role"), "fall.*")).when(F.col("rises") > 1, F.struct(F.lit("no fall").alias("role"), "least.*"))
+    both = F.array(F.struct(F.lit(2).alias("position"), F.when(F.col("rise").isNotNull(), F.struct(F.lit("rise").alias("role"), "rise.*")).alias("x")), F.struct(F.lit(3).alias("position"), warning.alias("x")))
+    rows = per.select(key, F.inline(both)).where("x is not null").select(key, "position", "x.role", "x.name", "x.label", F.lit(None).cast("double").alias("value"), "x.change")
+    return main.unionByName(rows)
+
+
+def leads(evolutions: DataFrame, key: str) -> DataFrame:
+    """(key, name, kind, labels, text): what to do about each evolution (key, name, change, label, label_change, trend,
+    has_objective, place), without figures. A fall is to be corrected, with the rows that fall most; a rise is to be
+    consolidated where an objective is documented, looked at on the spot where its row is a place, understood where it
+    lasts, else followed. Falls of one magnitude are one lead."""
+    falls = F.col("change") < 0
+    kind = F.when(falls, "correct").when(F.col("has_objective"), "consolidate").when(F.col("place") & F.col("label").isNotNull(), "target").when(F.col("trend") == "rising", "understand").otherwise("follow")
+    named = F.when((F.col("kind") == "correct") & (F.col("label_change") < 0) | (F.col("kind") == "target"), F.col("label"))
+    per = evolutions.where("change is not null").withColumn("kind", kind).groupBy(key, "name", "kind").agg(F.array_sort(F.collect_set(named)).alias("labels"))
+    whom = F.array_join(F.transform("labels", lambda x: F.concat(F.lit("« "), x, F.lit(" »"))), " et ")
+    of, some = contracted(F.col("name")), F.size("labels") > 0
+    text = (
+        F.when(F.col("kind") == "correct", F.concat(F.lit("Chercher les causes du repli "), of, F.when(some, F.concat(F.lit(", surtout pour "), whom)).otherwise("")))
+        .when(F.col("kind") == "consolidate", F.concat(F.lit("Poursuivre ce qui porte la hausse "), of, F.lit(", conforme à l'objectif documenté")))
+        .when(F.col("kind") == "target", F.concat(F.lit("Étudier sur place la situation de "), whom, F.lit(" : évolution "), of))
+        .when(F.col("kind") == "understand", F.concat(F.lit("Comprendre ce qui rend durable la hausse "), of))
+        .otherwise(F.concat(F.lit("Fixer un objectif pour suivre l'évolution "), of))
+    )
+    return per.select(key, "name", "kind", "labels", F.concat(text, F.lit(".")).alias("text"))

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
+from chiffra.operators import assembly as A
 from chiffra.operators import guard as G
 from chiffra.operators import notes as O
 from chiffra.operators import retrieval as R
+from chiffra.operators import series as S
 from chiffra.plans import retrieval as PR
 from chiffra.plans.base import passages, query, table
 
@@ -181,3 +183,43 @@ def prior_comments(spark, sf):
 @query("title_words", f"select n_name, array_to_string(list_sort({T.token_set_sql('n_name')}), ' ') words from nation")
 def title_words(spark, sf):
     return table(spark, sf, "nation").select("n_name", F.array_join(F.array_sort(T.token_set(F.col("n_name"))), " ").alias("words"))
+
+
+_MOVES = f"with {_CELLS}, f as (select ind, y, r, rel from m where rel <> 0)"
+
+
+@query("key_messages", f"""{_MOVES}, main as (select y, 1 as "position", 'main' as role, ind as name, null::varchar as label, v as "value", rel as change from t where rel is not null qualify row_number() over (partition by y order by v desc, ind desc) = 1),
+up as (select *, row_number() over (partition by y order by round(rel, 6) desc, ind desc, r desc) a, row_number() over (partition by y order by round(rel, 6), ind, r) b, count(*) over (partition by y) n from f where rel > 0),
+down as (select *, row_number() over (partition by y order by round(-rel, 6) desc, ind desc, r desc) a from f where rel < 0)
+select y note_id, "position", role, name, label, "value", round(change, 6) change from (select * from main union all select y, 2, 'rise', ind, r, null, rel from up where a = 1 union all select y, 3, 'warning', ind, r, null, rel from down where a = 1 union all select y, 3, 'no fall', ind, r, null, rel from up where b = 1 and n > 1 and y not in (select y from down))""")
+def key_messages(spark, sf):
+    """Three messages a year: the largest segment, the strongest rise and the strongest fall of a priority."""
+    levels, moves = evolutions(spark, sf)
+    out = A.key_messages(levels.withColumnRenamed("year", "note_id"), moves.withColumnRenamed("year", "note_id"), "note_id")
+    return out.withColumn("change", F.round("change", 6))
+
+
+@query("typed_leads", f"""{_MOVES}, h as (select t.*, lag(rel, 1) over k r1, lag(rel, 2) over k r2 from t window k as (partition by ind order by y)),
+top as (select ind, y, r, rel from f qualify row_number() over (partition by ind, y order by round(abs(rel), 6) desc, r desc) = 1),
+e as (select h.y, 'le segment ' || h.ind as name, h.rel as change, top.r as label, top.rel as lrel, h.rel > 0 and r1 > 0 and r2 > 0 as rising, h.ind = 'BUILDING' as obj from h left join top on top.ind = h.ind and top.y = h.y where h.rel is not null),
+k as (select *, case when change < 0 then 'correct' when obj then 'consolidate' when rising then 'understand' else 'follow' end kind from e)
+select y note_id, kind, name, case when kind = 'correct' and lrel < 0 then label else '' end as labels from k""")
+def typed_leads(spark, sf):
+    """What to do about each segment's evolution, by direction, documented objective (one segment has one), and lasting trend."""
+    levels, moves = evolutions(spark, sf)
+    top = F.max_by(F.struct("label", F.col("change").alias("label_change")), F.struct(F.round(F.abs("change"), 6), "label")).alias("top")
+    tops = moves.where("change <> 0").groupBy("name", "year").agg(top).select("name", "year", "top.*")
+    trends = S.trend(levels, ["name"]).select("name", "year", "trend")
+    e = levels.join(tops, ["name", "year"], "left").join(trends, ["name", "year"], "left").withColumn("has_objective", F.col("name") == "BUILDING").withColumn("place", F.coalesce(O.is_place(F.col("label")), F.lit(False)))
+    out = A.leads(e.withColumn("name", F.concat(F.lit("le segment "), "name")).withColumnRenamed("year", "note_id"), "note_id")
+    return out.select("note_id", "kind", "name", F.array_join("labels", ", ").alias("labels"))
+
+
+def evolutions(spark, sf):
+    """(name, year, value, change) of totals, and (name, year, label, change) of the rows above the floor of commentary."""
+    w = Window.partitionBy("indicator", "row").orderBy("year")
+    c = cells(spark, sf).withColumn("pv", F.lag("value").over(w)).withColumn("py", F.lag("year").over(w))
+    c = c.withColumn("change", F.when(F.col("py") == F.col("year") - 1, F.round(100 * (F.col("value") - F.col("pv")) / F.nullif("pv", F.lit(0.0)), 1)))
+    levels = c.where("row = 'Total'").select(F.col("indicator").alias("name"), "year", "value", "change")
+    rows = c.where("row <> 'Total'").select(F.col("indicator").alias("name"), "year", F.col("row").alias("label"), "change", "pv")
+    return levels, rows.join(levels.select("name", "year", F.col("value").alias("total")), ["name", "year"]).where("change is not null and abs(pv) >= greatest(50.0, total * 0.01)").select("name", "year", "label", "change")

@@ -305,3 +305,17 @@ def test_streams_equal_batches(spark, tmp_path):
     live = SJ.drained(SJ.latest(SJ.events(spark, sf)), str(tmp_path / "c4"), "update", "s_latest")
     want = {r["user_id"]: r["event_id"] for r in J.latest(batch.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).collect()}
     assert {r["user_id"]: r["event_id"] for r in live.collect()} == want
+
+
+def test_places_and_magnitudes_in_commentary(spark):
+    """Rows that are towns divide by place without a word of the title; rows of two magnitudes are not ranked; leads by kind."""
+    rows = [("Création d'entreprises", r, y, v) for r, a, b in (("Total", 300.0, 330.0), ("Douala", 200.0, 210.0), ("Yaoundé", 100.0, 120.0)) for y, v in ((2020, a), (2021, b))]
+    rows += [("Bilan", r, 2021, v) for r, v in (("Chiffre d'affaires", 900.0), ("Emplois", 80.0))]
+    said = NO.commentary(spark.createDataFrame([(t, t, *r) for t, *r in rows], "k string, title string, row string, year int, value double"), ["k"]).collect()
+    text = {(r["k"], r["year"], r["position"]): r["text"] for r in said}
+    assert "dans la répartition par localisation géographique, " in text["Création d'entreprises", 2021, 4]
+    assert ("Création d'entreprises", 2021, 3) in text and ("Bilan", 2021, 3) not in text
+    e = [(1, "le stock", -2.0, "Est", -5.0, "short", False, True), (1, "le stock", -1.0, "Nord", -3.0, "short", True, True), (1, "les UPA", 2.0, "Sud", 9.0, "short", False, True), (1, "la valeur", 2.0, None, None, "rising", False, False), (2, "les OES", 1.0, "a", 1.0, "short", True, True), (2, "les UPI", None, "a", 1.0, "short", True, True)]
+    got = A.leads(spark.createDataFrame(e, "n int, name string, change double, label string, label_change double, trend string, has_objective boolean, place boolean"), "n").collect()
+    assert {(r["n"], r["name"], r["kind"], tuple(r["labels"])) for r in got} == {(1, "le stock", "correct", ("Est", "Nord")), (1, "les UPA", "target", ("Sud",)), (1, "la valeur", "understand", ()), (2, "les OES", "consolidate", ())}
+    assert [r["text"] for r in got if r["kind"] == "correct"] == ["Chercher les causes du repli du stock, surtout pour « Est » et « Nord »."]
