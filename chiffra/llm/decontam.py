@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.llm._common import copied_join, documents, dropped, join_groups, marked_ids, stored
-from chiffra.llm._text import Words, lists, mix, span_hashes, strings, sums, windows
+from chiffra.llm._text import SLICE, Words, lists, mix, span_hashes, strings, sums, windows
 
 WIDTH = 5
 SHARE = 75  # percent of an item's windows
@@ -143,7 +143,7 @@ def views(data: np.ndarray, offs: np.ndarray) -> list[View]:
 
 
 def _views(data: np.ndarray, offs: np.ndarray) -> tuple[list[View], View, np.ndarray]:
-    """The views, and beside them that without names and the rows whose case says nothing."""
+    """The views, and beside them the rows whose case says nothing and, if there are any, the view without names."""
     w = Words(data, offs, lower=True)
     inner = ~_OUTER[data]
     at = np.flatnonzero(inner)
@@ -173,7 +173,8 @@ def _views(data: np.ndarray, offs: np.ndarray) -> tuple[list[View], View, np.nda
     name = capital & ~number & ~unit
     kind = lambda names: np.where(number, 1, np.where(unit, 3, np.where(names, 2, 0)))
     view = lambda number, names: View(number, n, row, literal, kind(names), opening)
-    return [View(0, n, row, literal, None), view(1, name & ~opening), view(2, name)], view(2, np.zeros(len(name), bool)), caseless
+    seen = [View(0, n, row, literal, None), view(1, name & ~opening), view(2, name)]
+    return seen, view(2, np.zeros(len(name), bool)) if caseless.any() else seen[-1], caseless
 
 
 _ITEM_SCHEMA = "item_id long, view int, hashes array<long>, at array<int>, pattern array<int>"
@@ -240,7 +241,7 @@ _DOC_SCHEMA = "h1 long, h2 long, hashes array<long>, occ_hash array<long>, occ_a
 def _cut_documents(known: np.ndarray, rare: np.ndarray, batch: pa.RecordBatch):
     """A row per document with a rare window: its distinct windows that items may have and, for the template views, each
     occurrence with its place and the values of its five tokens."""
-    for lo, hi, data, offs in strings(batch.column(2)):
+    for lo, hi, data, offs in strings(batch.column(2), SLICE // 4):  # four views at once
         found, has = [], np.zeros(hi - lo, bool)
         seen, plain, caseless = _views(data, offs)
         cuts = [(v, (), v.windows()) for v in seen]
