@@ -15,14 +15,15 @@ FILES, ROWS_PER_FILE = 24, 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Where none is named, a temporary one on a single machine
-    and one in the warehouse, which executors share in any case, on a cluster."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where none is named, a temporary one on a single machine; a
+    cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        local = spark.sparkContext.master.startswith("local")
-        path = tempfile.mkdtemp(prefix="chiffra-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/chiffra"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="chiffra-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
