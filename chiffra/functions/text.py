@@ -96,6 +96,21 @@ def joined_hyphens(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " "))
 
 
+#: What lists of contents and covers say.
+NO_PROSE = ["liste des graphiques", "liste des tableaux", "sommaire", "ministere des", "ministry of", "republique du cameroun", "table des matieres"]
+
+
+def substantial(c: Column, words: int = 20, capitals: float = 0.4) -> Column:
+    """Whether a passage is prose to quote from: ``words`` words or more, no leaders, no words of a cover or list of contents, and not
+    mostly capitals."""
+    letters, upper = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(r"\p{Lu}"))
+    plain = normalised(c)
+    listed = F.lit(False)
+    for x in NO_PROSE:
+        listed = listed | F.contains(plain, F.lit(x))
+    return F.coalesce(~listed & ~c.rlike(r"\.{6,}") & (upper <= capitals * letters) & (F.regexp_count(c, F.lit(r"[^ \t\n\r\x0B\f]+")) >= words), F.lit(False))
+
+
 #: Units and periods that titles are compared without.
 UNIT_PATTERN = r"(?i)\((en|in)\s[^)]*\)|\(\s*%\s*\)|\ben\s*%"
 PERIOD_PATTERN = r"(?i)\b(de|entre|en|depuis)?\s*(19|20)\d{2}(\s*(a|à|et|-)\s*(19|20)?\d{0,2})?\b"

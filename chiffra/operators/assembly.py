@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import numbers as N
+from chiffra.functions import text as T
 from chiffra.operators import guard as G
 from chiffra.operators import notes as NO
 
@@ -200,3 +201,25 @@ def leads(evolutions: DataFrame, key: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Fixer un objectif pour suivre l'évolution "), of))
     )
     return per.select(key, "name", "kind", "labels", F.concat(text, F.lit(".")).alias("text"))
+
+
+def perspective(figures: DataFrame, passages: DataFrame, key: str, tendencies: int = 5) -> DataFrame:
+    """(key, kind, position, text): what a perspective note starts from. The figures of each theme (``figures``: key, theme, rank,
+    text), each once, the first ``rank`` of a theme first; then the first substantial passages (``passages``: key, id, text)."""
+    once = figures.groupBy(key, "text").agg(F.min(F.struct("theme", "rank")).alias("at"))
+    f = once.select(key, F.lit("figure").alias("kind"), F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("position"), "text")
+    p = passages.where(T.substantial(F.col("text"))).withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("position") <= tendencies)
+    return f.unionByName(p.select(key, F.lit("tendency").alias("kind"), "position", "text"))
+
+
+def coherence_report(pairs: DataFrame) -> DataFrame:
+    """(n_codes, n_multi, n_single): codes (code, edition) that two editions or more have, and those of one."""
+    per = pairs.groupBy("code").agg(F.count_distinct("edition").alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("n_codes"), F.count_if(F.col("n") >= 2).alias("n_multi"), F.count_if(F.col("n") == 1).alias("n_single"))
+
+
+def dashboard(levels: DataFrame, key: str) -> DataFrame:
+    """(key, year, value, change, n_years, source): the latest level of each magnitude (key, year, value, change, source), with the
+    length of its series."""
+    last = F.max_by(F.struct("year", "value", "change", "source"), "year").alias("l")
+    return levels.groupBy(key).agg(last, F.count_distinct("year").alias("n_years")).select(key, "l.year", "l.value", "l.change", "n_years", "l.source")
