@@ -81,13 +81,16 @@ def top_evolutions(spark, sf):
     return s.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.round("score", 6).desc(), "month"))).where("n <= 7").select("p", "month", F.round("score", 4).alias("score"))
 
 
-@query("report_evolutions")
+@query("report_evolutions", f"""with recursive {_SAL}, rk as (select p, strftime(mo, '%Y-%m') mon, round(change, 0)::int rounded, score, row_number() over (partition by p order by round(score, 6) desc, mo) rank from sc),
+w as (select p, 0::bigint rank, []::varchar[] a, []::int[] b, false took from (select distinct p from rk) union all
+select p, rank, case when ok then list_append(a, mon) else a end, case when ok then list_append(b, rounded) else b end, ok from (select w.p, rk.rank, a, b, mon, rounded, not list_contains(a, mon) and not list_contains(b, rounded) and len(a) < 7 ok from w join rk on rk.p = w.p and rk.rank = w.rank + 1))
+select p report, rank::int rank, mon as "month", rounded, round(score, 4) score from w join rk using (p, rank) where took""")
 def report_evolutions(spark, sf):
     """Each region's list of evolutions: by score, no two of the same month or the same rounded change. What is taken depends
     on what was taken; lists are those of single reports, and any number of reports is processed at once."""
-    s = S.saliency(month_changes(spark, sf), ["p"], "month").select(F.col("p").alias("report"), "month", F.round("change", 0).alias("rounded"), "score")
+    s = S.saliency(month_changes(spark, sf), ["p"], "month").select(F.col("p").alias("report"), "month", F.round("change", 0).cast("int").alias("rounded"), "score")
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("report").orderBy(F.round("score", 6).desc(), "month")))
-    return S.ordered_dedup(s, "report", "month", "rounded", 7)
+    return S.ordered_dedup(s, "report", "month", "rounded", 7).withColumn("score", F.round("score", 4))
 
 
 @query("total_reconciliation", """with l as (select l_orderkey k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 0) v from lineitem group by 1), t as (select year(o_orderdate)::int as year_, round(o_totalprice / 1000, 0) total, round(coalesce(v, 0) / 1000, 0) ref from orders left join l on k = o_orderkey)
