@@ -6,6 +6,8 @@ slice of its own, and hashing works through at most ``BLOCK`` bytes at a time, s
 is a small multiple of it.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,21 @@ _PINV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy(kernel):
+    """``kernel`` (batches to batches) that at its end gives the system back what the allocators of Arrow and the C library keep:
+    the worker process lives on beside the executor's JVM, through stages that need no Python."""
+
+    def run(batches):
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers with well spread bits (the finaliser of splitmix64)."""
     z = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

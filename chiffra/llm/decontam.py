@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.llm._common import copied_join, documents, dropped, join_groups, marked_ids, stored
-from chiffra.llm._text import SLICE, Words, lists, mix, span_hashes, strings, sums, windows
+from chiffra.llm._text import SLICE, Words, lists, mix, span_hashes, strings, sums, tidy, windows
 
 WIDTH = 5
 SHARE = 75  # percent of an item's windows
@@ -332,7 +332,7 @@ def found_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _cut_documents(*sent.value, batch)
 
-    seen = docs.select(*_digest(F.col("text")), "text").mapInArrow(cut, _DOC_SCHEMA)
+    seen = docs.select(*_digest(F.col("text")), "text").mapInArrow(tidy(cut), _DOC_SCHEMA)
     seen = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in ("hashes", "occ_hash", "occ_at", "occ_value")])
     seen = stored(seen, "windows")
     pairs = stored(seen.select("h1", "h2", F.explode("hashes").alias("hash")).join(probes, "hash").select("h1", "h2", "class").distinct(), "candidates")

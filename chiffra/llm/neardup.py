@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.llm._common import FILTER_WORDS, copied_join, documents, dropped, id_bits, join_groups, stored, with_ids, without_ids
-from chiffra.llm._text import Words, lists, mix, strings, windows
+from chiffra.llm._text import Words, lists, mix, strings, tidy, windows
 
 WIDTH = 5
 SLOTS, PER_BAND = 256, 4
@@ -132,7 +132,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def make(batches):
         yield from _sets(sent.value)(batches)
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(make, "rep long, shingles array<long>")
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(tidy(make), "rep long, shingles array<long>")
     return rows.where(F.size("shingles") > 0)
 
 
@@ -273,7 +273,7 @@ def _apt(x: Column, y: Column) -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and the set's digest (d1, d2) of every row of ``docs``."""
-    sig = stored(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    sig = stored(docs.select("doc_id", "text").mapInArrow(tidy(_sign), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]

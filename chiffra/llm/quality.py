@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiffra.llm._common import documents, stored
-from chiffra.llm._text import Words, mix, span_hashes, strings, sums, windows
+from chiffra.llm._text import Words, mix, span_hashes, strings, sums, tidy, windows
 
 FIT_ROWS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_upper", "n_marks", "n_digits", "n_lines")
@@ -91,7 +91,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", *COUNTS])
 
     schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
-    return packed.mapInArrow(count, schema)
+    return packed.mapInArrow(tidy(count), schema)
 
 
 #: Features of the rules, as SQL over the counts; the same text is evaluated by Spark and, for fitting, by numpy.
