@@ -59,11 +59,15 @@ def test_internal_documents_never_return(spark, tmp_path):
     assert {(r["id"], r["score"]) for r in R.bm25(again, t).collect()} == {(r["id"], r["score"]) for r in R.bm25(ix, t).collect()}
 
 
-def test_scores_are_summed_up_where_postings_lie(spark):
-    from chiffra.plans.catalogue import QUERIES
-
-    plan = QUERIES["bm25_topk"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and not re.search(r"hashpartitioning\(qid#\d+L?, id#", plan)
+def test_bounds_are_read_without_postings(spark):
+    from chiffra.plans.retrieval import index
+    from chiffra.plans.base import table
+
+    sf = "/root/testdata/sf0.01"
+    bounds, *_ = R.stripe_bounds(index(spark, sf), R.question_terms(table(spark, sf, "benchmark")))
+    plan = bounds._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: struct<([^\n]*front[^\n]*)>", plan)
+    assert schemas and not any("ids" in x or "tfs" in x for x in schemas)
 
 
 def test_modes_of_search(spark, tmp_path):
