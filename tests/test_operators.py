@@ -116,6 +116,13 @@ def test_excerpts_and_suggestions(spark):
 
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "token_windows (no SQL)" in capsys.readouterr().out
+    folder = "/root/testdata/sf0.001"
+    question = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1"), "doc_id", "left_anti").where("length(text) > 200").orderBy("doc_id").first()
+    said = lambda *args: (cli.main(list(args)), capsys.readouterr().out)[1]
+    assert f"[{question['doc_id']}]" in said("consult", folder, question["text"][:200])
+    assert "no passage is near enough" in said("consult", folder, "zzzz qqqq")
+    assert "BUILDING" in said("comment", folder, "BUILDING", "1996") and "nothing is known" in said("comment", folder, "RIEN", "1996")
+    assert "main : " in said("note", folder, "1996")
     cli.main(["run", "explorer_counts", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--csv"])
     assert readers.csv(spark, str(tmp_path / "o")).count() == 25
 
