@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
-from chiffra.sources.index import Bm25Index, CellIndex, bucket_of
+from chiffra.sources.index import Bm25Index, CellIndex, bucket_of, kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of questions that are broadcast, at some 50 bytes each.
@@ -256,10 +256,11 @@ def cells_top_k(index: CellIndex, queries: DataFrame, k: int, allowed: DataFrame
     vectors = index.vectors if allowed is None else index.vectors.join(allowed, "id", "left_semi")
     sizes = index.cells.select("cell", "n")
     bounds = cell_bounds(index, queries)
-    best = top_k(bounds.withColumnRenamed("bound", "score"), first, "qid", "cell").select("qid", "cell")
-    head = top_k(_in_cells(vectors, sizes, queries, best, k), k, "qid", "id")
+    # What later steps read more than once is kept as a small table; lazily each would run all steps before it again.
+    best = kept(top_k(bounds.withColumnRenamed("bound", "score"), first, "qid", "cell").select("qid", "cell"), "cells-first")
+    head = kept(top_k(_in_cells(vectors, sizes, queries, best, k), k, "qid", "id"), "cells-head")
     floor = head.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-    rest = open_cells(bounds, floor).join(best, ["qid", "cell"], "left_anti")
+    rest = kept(open_cells(bounds, floor).join(best, ["qid", "cell"], "left_anti"), "cells-rest")
     return top_k(head.drop("rank").unionByName(_in_cells(vectors, sizes, queries, rest, k)), k, "qid", "id")
 
 
