@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chiffra.functions import numbers as N
 from chiffra.functions import text as T
+from chiffra.operators import answers as AN
 from chiffra.operators import assembly as A
 from chiffra.operators import notes as NO
 from chiffra.operators import series as S
@@ -246,12 +247,15 @@ def themed_sheet(spark, sf):
 @query("title_pairing", f"""with c as (select p_partkey k, p_size ed, {T.token_set_sql("p_name || ' ' || p_type")} s from part where p_partkey % 20 = 1), t as (select p_partkey k, p_size ed, {T.token_set_sql("p_name || ' ' || p_type")} s from part where p_partkey % 20 > 1)
 select c.k chart, t.k as "table", round({T.jaccard_sql('c.s', 't.s')}, 6) score from c join t using (ed) where {T.jaccard_sql('c.s', 't.s')} >= 0.25 qualify row_number() over (partition by c.k order by round({T.jaccard_sql('c.s', 't.s')}, 9) desc, t.k desc) = 1""")
 def title_pairing(spark, sf):
-    """Charts with the table of their edition whose title is most alike; charts and tables meet on their words."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("ed"), T.token_set(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
-    c, t = p.where("k % 20 = 1").select(F.col("k").alias("chart"), "ed", F.col("s").alias("cs"), F.explode("s").alias("w")), p.where("k % 20 > 1").select(F.col("k").alias("table"), "ed", F.col("s").alias("ts"), F.explode("s").alias("w"))
-    both = c.join(t, ["ed", "w"]).groupBy("chart", "table").agg(F.first("cs").alias("cs"), F.first("ts").alias("ts")).withColumn("score", T.jaccard_of(F.col("cs"), F.col("ts"))).where("score >= 0.25")
-    best = both.groupBy("chart").agg(F.max_by(F.struct("table", "score"), F.struct(F.round("score", 9), "table")).alias("b"))
-    return best.select("chart", "b.table", r6("b.score", "score"))
+    """Charts with the table of their edition whose title is most alike. A title is the set of its words, each behind its edition,
+    so titles of different editions have nothing in common; equal titles are one, of tables that with the last number."""
+    word = F.transform(T.token_set(F.concat_ws(" ", "p_name", "p_type")), lambda w: F.concat(F.col("p_size").cast("string"), F.lit(" "), w))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.array_sort(word).alias("s"))
+    c, t = p.where("k % 20 = 1"), p.where("k % 20 > 1").groupBy("s").agg(F.max("k").alias("b"))
+    both = AN.similar_sets(c.groupBy("s").agg(F.min("k").alias("a")), t, 0.25)
+    best = both.groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("table"), F.col("sim").alias("score")), F.struct(F.round("sim", 9), "b")).alias("b"))
+    first = c.groupBy("s").agg(F.min("k").alias("a"))
+    return c.join(first, "s").join(best, "a").select(F.col("k").alias("chart"), "b.table", r6("b.score", "score"))
 
 
 @query("overfetched_search", "select qid, id, rank from (select qid, id, row_number() over (partition by qid order by rank)::int rank from (select a.vec_id qid, b.vec_id id, b.label, row_number() over (partition by a.vec_id order by round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) rank from embeddings a, embeddings b where a.vec_id % 20 = 0) where rank <= 20 and label <> 3) where rank <= 5")

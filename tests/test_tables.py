@@ -78,3 +78,16 @@ def test_notes(spark):
     ps = spark.createDataFrame([(1, "Ce document a un objectif. L'objectif est d'atteindre un stock de cent mille entreprises en région."), (2, "Rien.")], "passage_id int, text string")
     ti = spark.createDataFrame([(9, "Stock des entreprises par région")], "title_id int, title string")
     assert NO.objectives(ps, ti).first()["passage_id"] == 1
+
+
+def test_title_pairing_meets_equal_titles_once(spark, tmp_path, monkeypatch):
+    from chiffra.plans import assembly as PA
+
+    rows = [(20 * i + j, f"{a} bolt", "LARGE", 1 + i % 2) for i in range(30) for j, a in enumerate(["red", "blue", "old", "hot"] * 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    met = []
+    monkeypatch.setattr(PA.AN, "similar_sets", lambda *a, f=PA.AN.similar_sets: met.append(f(*a)) or met[-1])
+    got = {r["chart"]: (r["table"], r["score"]) for r in PA.title_pairing(spark, str(tmp_path)).collect()}
+    last = {n: max(k for k, a, _, e in rows if e == n and k % 20 > 1 and a == "blue bolt") for n in (1, 2)}
+    assert got == {k: (last[e], 1.0) for k, _, _, e in rows if k % 20 == 1}
+    assert met[0].count() <= 2 * 4 * 4  # two editions of four titles
