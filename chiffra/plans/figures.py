@@ -109,7 +109,7 @@ s as (select *, round(0.5 * si + 0.5 * sv, 9) score from s0), r as (select *, ro
 select ed edition, chart, max(tab) filter (n = 1) as "table", max(tab) filter (n = 2) table_2, round(max(score) filter (n = 1), 6) score, case when max(score) filter (n = 1) >= 0.35 then 'candidate' else 'to check' end status from r where n <= 2 group by 1, 2""")
 def pairing_top2(spark, sf):
     """Charts are prices by brand, tables prices by kind, within a size; each is titled by the first name that it holds."""
-    f = table(spark, sf, "part").groupBy(F.col("p_size").alias("edition"), "p_brand", "p_type", "p_name").agg(F.round(F.avg("p_retailprice"), 1).alias("v"))
+    f = table(spark, sf, "part").groupBy(F.col("p_size").alias("edition"), "p_brand", "p_type", "p_name").agg(N.scaled_round(F.avg("p_retailprice"), 1).alias("v"))
     ed = Window.partitionBy("edition")
     title = F.concat(F.lit("Prix "), F.min("p_name")).alias("title")
     charts = f.groupBy("edition", "p_brand").agg(F.array_distinct(F.collect_list("v")).alias("values"), title).withColumn("chart", F.row_number().over(ed.orderBy("p_brand")))

@@ -1,4 +1,6 @@
 import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,10 @@ def test_signed_rank_p(spark):
     assert (got["b"]["tie"], got["b"]["w"], got["b"]["p"]) == (3, None, None)
     z = (2 - 3) / math.sqrt(3 * 4 * 7 / 24 - 3 * 8 / 48)
     assert got["c"]["w"] == 2 and got["c"]["p"] == pytest.approx(math.erfc(-z / math.sqrt(2)))
+
+
+def test_scaled_round(spark):
+    # One step of a double under 900.35, whose tenfold is 9003.5: SQL's round gives 900.4, rounding by the writing 900.3.
+    x = spark.createDataFrame([(900.3499999999999,), (900.34,), (-900.3499999999999,), (None,)], "x double")
+    assert [r[0] for r in x.select(N.scaled_round(F.col("x"), 1)).collect()] == [900.4, 900.3, -900.4, None]
+    assert duckdb.sql("select round(900.3499999999999::double, 1)").fetchall() == [(900.4,)]
