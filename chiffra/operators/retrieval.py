@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
-from chiffra.sources.index import Bm25Index, CellIndex, bucket_of, kept
+from chiffra.sources.index import Bm25Index, CellIndex, bucket_of, kept, stripe_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of questions that are broadcast, at some 50 bytes each.
 MOST_SENT = 500_000
+#: Stripes whose passages are scored in one task, for so many questions at a time.
+LOT, SCORED = 16, 256
 
 
 def top_k(scored: DataFrame, k: int, by: str, key: str, score: str = "score") -> DataFrame:
@@ -31,15 +34,15 @@ def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _wanted(index: Bm25Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(qid, term, w, avgdl) of the terms that the index has, and the blocks in the folders of those terms. The terms are counted:
-    up to ``MOST_SENT`` they are broadcast, beyond that they meet the blocks in a shuffle."""
+def _wanted(index: Bm25Index, terms: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(qid, term, w, avgdl) of the terms that the index has, the blocks in the folders of those terms, and whether the terms are
+    few: up to ``MOST_SENT`` they are broadcast, beyond that they meet the blocks in a shuffle."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     wanted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     wanted = wanted.select("qid", "term", "avgdl", (F.col("weight") * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("w"))
     folders = terms.groupBy(bucket_of(F.col("term")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
     few = sum(r["n"] for r in folders) <= MOST_SENT
-    return F.broadcast(wanted) if few else wanted.hint("merge"), index.blocks.where(F.col("bucket").isin([r["b"] for r in folders]))
+    return F.broadcast(wanted) if few else wanted.hint("merge"), index.blocks.where(F.col("bucket").isin([r["b"] for r in folders])), few
 
 
 def _scored(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -53,32 +56,86 @@ def _scored(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
 def bm25(index: Bm25Index, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score) of all passages with one of the weighted terms (qid, term, weight), from a stored index. Statistics come
     from all passages; ``allowed`` (id) restricts what is scored."""
-    wanted, blocks = _wanted(index, terms)
+    wanted, blocks, _ = _wanted(index, terms)
     return _scored(blocks.join(wanted, "term"), allowed)
 
 
 def stripe_bounds(index: Bm25Index, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(qid, stripe, bound): no passage of the stripe scores higher. Beside it the wanted terms and the blocks of their folders."""
-    wanted, blocks = _wanted(index, terms)
+    wanted, blocks, _ = _wanted(index, terms)
+    return _bounds(wanted, blocks), wanted, blocks
+
+
+def _bounds(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     best = F.array_max(F.transform("front", lambda p: impact(p["tf"], p["dl"], F.col("avgdl"))))
-    bounds = blocks.select("term", "stripe", "front").join(wanted, "term").groupBy("qid", "stripe").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") * best)).alias("bound"))
-    return bounds, wanted, blocks
+    return blocks.select("term", "stripe", "front").join(wanted, "term").groupBy("qid", "stripe").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") * best)).alias("bound"))
 
 
 def bm25_top_k(index: Bm25Index, terms: DataFrame, k: int, allowed: DataFrame | None = None, first: int | None = None) -> DataFrame:
-    """(qid, id, score, rank): the best ``k`` of each question, exactly, from few of the blocks.
+    """(qid, id, score, rank): the best ``k`` of each question, exactly.
+
+    Up to ``MOST_SENT`` terms go out to lots of stripes, each of which moves once, whatever the number of questions, and sends on
+    its own best ``k`` a question. Of more terms, only few blocks meet the questions: see ``_pruned_top_k``."""
+    wanted, blocks, few = _wanted(index, terms)
+    return _lots_top_k(index, wanted, blocks, k, allowed) if few else _pruned_top_k(wanted, blocks, k, allowed, first)
+
+
+def _lots_top_k(index: Bm25Index, wanted: DataFrame, blocks: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    rows = wanted.collect()  # at most MOST_SENT
+    spark, stripes = blocks.sparkSession, index.stats.first()["stripes"]
+    questions, avgdl = sorted({r["qid"] for r in rows}), rows[0]["avgdl"] if rows else None
+    number, asked = {q: i for i, q in enumerate(questions)}, {}
+    for r in sorted(rows, key=lambda r: r["term"]):
+        asked.setdefault(r["term"], []).append((number[r["qid"]], r["w"]))
+    sent = spark.sparkContext.broadcast((np.array(questions, np.int64), asked))
+
+    def best(lot: pa.Table, may: pa.Table | None = None) -> pa.Table:
+        (qids, asked), lot = sent.value, lot.combine_chunks()
+        flat = lambda c: lot[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if lot.num_rows else np.zeros(0)
+        tf, dl, n = flat("tfs"), flat("dls"), np.diff(lot["ids"].combine_chunks().offsets.to_numpy()) if lot.num_rows else np.zeros(0, int)
+        keys, at = np.unique(flat("ids"), return_inverse=True)
+        part = impact(tf, dl, avgdl)
+        open_ = np.ones(len(keys), bool) if may is None else np.isin(keys, may["id"].to_numpy())
+        ends = np.cumsum(n)
+        spans: dict[str, list[tuple[int, int]]] = {}
+        for term, end, size in zip(lot["term"].to_pylist(), ends.tolist(), n.tolist(), strict=True):
+            spans.setdefault(term, []).append((end - size, end))
+        out = [pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for lo in range(0, len(qids) if open_.any() else 0, SCORED):
+            scores = np.zeros((min(SCORED, len(qids) - lo), len(keys)))
+            for term in sorted(spans):
+                here = [(q - lo, w) for q, w in asked[term] if lo <= q < lo + SCORED]
+                if here:
+                    x = np.concatenate([part[a:b] for a, b in spans[term]])
+                    to = np.concatenate([at[a:b] for a, b in spans[term]])
+                    for q, w in here:
+                        scores[q, to] += w * x  # a passage has one posting of a term
+            found = pa.Table.from_batches([_best(qids[lo : lo + SCORED], keys[open_], np.round(scores[:, open_], 9), k, scores[:, open_])])
+            out.append(found.filter(pc.greater(found["score"], 0.0)))
+        return pa.concat_tables(out)
+
+    lot = lambda stripe: F.floor(stripe / LOT).alias("lot")
+    met = blocks.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select(lot(F.col("stripe")), "term", "ids", "tfs", "dls").groupBy("lot")
+    kind = "qid long, id long, score double"
+    if allowed is None:
+        found = met.applyInArrow(lambda x: best(x), kind)  # noqa: PLW0108 (with two arguments the first would be the key)
+    else:
+        may = allowed.select(lot(stripe_of(F.col("id"), F.lit(stripes))), F.col("id").cast("long").alias("id"))
+        found = met.cogroup(may.groupBy("lot")).applyInArrow(lambda x, y: best(x, y), kind)  # noqa: PLW0108
+    return top_k(found, k, "qid", "id")
 
-    The bounds of a stripe's blocks add up to a bound of its passages. The ``first`` stripes of highest bound are scored; the k-th
+
+def _pruned_top_k(wanted: DataFrame, blocks: DataFrame, k: int, allowed: DataFrame | None, first: int | None) -> DataFrame:
+    """The bounds of a stripe's blocks add up to a bound of its passages. The ``first`` stripes of highest bound are scored; the k-th
     score among them is a floor of the result, and of the other stripes only those whose bound reaches it are scored. The
     bounds are read without the postings, and the postings only of the stripes that are left."""
-    bounds, wanted, blocks = stripe_bounds(index, terms)
     first = first or max(2, -(-k // 4))
+    # What later steps read more than once is kept as a small table; lazily each would run all steps before it again.
+    bounds = kept(_bounds(wanted, blocks), "bounds")
     best = top_k(bounds.withColumnRenamed("bound", "score"), first, "qid", "stripe").select("qid", "stripe")
-    score = lambda chosen: _scored(blocks.join(wanted, "term").join(F.broadcast(chosen) if small else chosen, ["qid", "stripe"], "left_semi"), allowed)
-    small = True  # ``first`` rows a question that was itself sent out
-    head = top_k(score(best), k, "qid", "id").select("qid", "id", "score", "rank")
+    score = lambda chosen: _scored(blocks.join(wanted, "term").join(chosen, ["qid", "stripe"], "left_semi"), allowed)
+    head = kept(top_k(score(best), k, "qid", "id").select("qid", "id", "score", "rank"), "bm25-head")
     floor = head.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-    small = False
     rest = bounds.join(floor, "qid", "left").where(F.col("bound") >= F.coalesce(F.col("floor"), F.lit(0.0)) * (1 - 1e-9) - 1e-9).select("qid", "stripe").join(best, ["qid", "stripe"], "left_anti")
     return top_k(head.drop("rank").unionByName(score(rest)), k, "qid", "id")
 
@@ -156,8 +213,8 @@ NO_ANSWER = r"(?i)ne (r[ée]pondent|permettent|contiennent|fournissent|mentionne
 SENT_BYTES, PRODUCT = 64 << 20, 1024
 
 
-def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """The best ``k`` of each row of ``scores`` (queries by vectors), ties by key."""
+def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, exact: np.ndarray | None = None) -> pa.RecordBatch:
+    """The best ``k`` of each row of ``scores`` (queries by vectors), ties by key; with scores of ``exact`` if given."""
     if scores.shape[1] > k:
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         q, v = np.nonzero(scores >= least[:, None])
@@ -167,7 +224,7 @@ def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> pa.R
     q, v = q[order], v[order]
     nth = np.arange(len(q)) - np.searchsorted(q, q)
     q, v = q[nth < k], v[nth < k]
-    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(keys[v], pa.int64()), pa.array(scores[q, v], pa.float64())], ["qid", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(keys[v], pa.int64()), pa.array((scores if exact is None else exact)[q, v], pa.float64())], ["qid", "id", "score"])
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, sent_bytes: int = SENT_BYTES) -> DataFrame:

@@ -34,11 +34,15 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def stripe_of(id_: Column, stripes: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), stripes)
+
+
 @dataclass
 class Bm25Index:
     """``blocks`` (bucket, term, stripe, front, ids, tfs, dls): the postings of a term in a stripe of some ``STRIPE`` passages, and
     the pairs (tf, dl) of which one has the block's highest score, whatever the average length. ``terms`` (term, df) and
-    ``stats`` (n, avgdl, mean_idf: one row). Blocks lie in one folder a bucket of terms, sorted by term, so a search reads
+    ``stats`` (n, avgdl, mean_idf, stripes: one row). Blocks lie in one folder a bucket of terms, sorted by term, so a search reads
     the folders of its terms."""
 
     blocks: DataFrame
@@ -65,23 +69,24 @@ def front_of(tfs: Column, dls: Column) -> Column:
 
 
 def save_bm25(passages: DataFrame, path: str, stripes: int | None = None) -> Bm25Index:
-    """Index passages (id, text) into the folder ``path``. Texts move once, to the task of their id; there words are counted and
-    the passage's length is found, and only the counts move on to the block of their term and stripe."""
+    """Index passages (id, text) into the folder ``path``. Texts move once, to the task of their stripe; there words are counted,
+    lengths found and blocks made, and only the blocks move on, to the folder of their term."""
     spark = passages.sparkSession
     stripes = stripes or max(1, passages.count() // STRIPE)
     # Words are singled out row by row, not by functions over arrays: whole-stage code does that several times faster.
-    placed = passages.select("id", "text").repartition("id")
-    words = placed.select("id", F.explode(F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("w"))
-    terms = words.where(~F.col("w").isin(T.STOP_WORDS)).select("id", T.singular(F.col("w")).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    rows = tf.groupBy("id").agg(F.sum("tf").cast("long").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("p"))
-    rows = rows.select("id", "dl", F.inline("p")).withColumn("stripe", F.pmod(F.xxhash64("id"), F.lit(stripes)))
-    blocks = rows.groupBy(bucket_of(F.col("term")).alias("bucket"), "term", "stripe").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
-    part = lambda c: F.transform("p", lambda x: x[c])
-    blocks = blocks.select("bucket", "term", "stripe", front_of(part("tf"), part("dl")).alias("front"), part("id").alias("ids"), part("tf").alias("tfs"), part("dl").alias("dls"))
+    placed = passages.select(stripe_of(F.col("id"), F.lit(stripes)).alias("stripe"), "id", "text").repartition("stripe")
+    words = placed.select("stripe", "id", F.explode(F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    terms = words.where(~F.col("w").isin(T.STOP_WORDS)).select("stripe", "id", T.singular(F.col("w")).alias("term"))
+    tf = terms.groupBy("stripe", "id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    rows = tf.groupBy("stripe", "id").agg(F.sum("tf").cast("long").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("p"))
+    rows = rows.select("stripe", "id", "dl", F.inline("p"))
+    blocks = rows.groupBy("stripe", "term").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
     # A bucket is dealt to several files by stripe, so that a frequent word is no single task.
     files = max(1, stripes // 4096)
-    blocks.repartition(BUCKETS * min(files, 64), "bucket", F.pmod("stripe", F.lit(files))).sortWithinPartitions("bucket", "term", "stripe").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    part = lambda c: F.transform("p", lambda x: x[c])
+    dealt = blocks.repartition(BUCKETS * min(files, 64), bucket_of(F.col("term")), F.pmod("stripe", F.lit(files)))
+    dealt = dealt.select(bucket_of(F.col("term")).alias("bucket"), "term", "stripe", front_of(part("tf"), part("dl")).alias("front"), part("id").alias("ids"), part("tf").alias("tfs"), part("dl").alias("dls"))
+    dealt.sortWithinPartitions("bucket", "term", "stripe").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     stored = _blocks(spark, path)
     counted = stored.select("term", F.size("ids").alias("df"), F.aggregate("tfs", F.lit(0.0), lambda s, x: s + x).alias("words"))
     counted.groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("words").alias("words")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -89,7 +94,7 @@ def save_bm25(passages: DataFrame, path: str, stripes: int | None = None) -> Bm2
     size = passages.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(df.agg(F.sum("words").alias("words")))  # one row each
     size = size.select("n", (F.coalesce("words", F.lit(0.0)) / F.nullif("n", F.lit(0.0))).alias("avgdl"))
     mean = df.crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
-    size.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    size.crossJoin(mean).withColumn("stripes", F.lit(stripes)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return load_bm25(spark, path)
 
 

@@ -80,3 +80,24 @@ def test_best_vectors_from_few_cells(spark, tmp_path, monkeypatch, k):
 def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "id long, v array<double>")
     assert R.cells_top_k(IX.save_cells(none, str(tmp_path / "c")), none.withColumnRenamed("id", "qid"), 3).count() == 0
+
+
+def test_a_search_moves_no_posting_once_a_question(spark, texts, tmp_path, monkeypatch):
+    """As many questions as one likes: blocks move once. Beyond what is sent out, the pruned search finds the same."""
+    ix = IX.save_bm25(texts, str(tmp_path / "ix"), 40)
+    asked = spark.createDataFrame([(q, "mot1a mot2a mot3a mot7a") for q in range(300)], "item_id long, text string")
+    t = R.question_terms(asked)
+    want = sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in R.top_k(R.bm25(ix, t), 4, "qid", "id").collect())
+    got = R.bm25_top_k(ix, t, 4)
+    assert sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in got.collect()) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("front") == 0  # bounds of questions by stripes aren't formed
+    monkeypatch.setattr(R, "MOST_SENT", 10)
+    assert sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in R.bm25_top_k(ix, t, 4, first=2).collect()) == want
+    assert R.bm25_top_k(ix, t.where("false"), 4).count() == 0
+
+
+def test_an_index_knows_the_stripe_of_a_passage(spark, texts, tmp_path):
+    ix = IX.save_bm25(texts, str(tmp_path / "ix"), 40)
+    assert ix.stats.first()["stripes"] == 40
+    of = ix.blocks.select("stripe", F.explode("ids").alias("id"))
+    assert of.where(F.col("stripe") != IX.stripe_of(F.col("id"), F.lit(40))).count() == 0
