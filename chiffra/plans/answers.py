@@ -37,8 +37,12 @@ def sentence_sources(spark, sf):
 _TOP = f"{bm25_ctes()}, top as (select qid, id, rank from ranked where rank <= 5), qs as (select item_id qid, {T.token_set_sql('text')} qset from benchmark), s as (select qid, rank, unnest({T.sentences_sql('d.text')}) sent, generate_subscripts({T.sentences_sql('d.text')}, 1)::int pos from top join documents d on d.doc_id = top.id)"
 
 
-def _candidates(spark, sf):
-    top = lexical(spark, sf, 5).select("qid", "id", "rank").join(passages(spark, sf), "id")
+def _top_texts(spark, sf):
+    return IX.kept(lexical(spark, sf, 5).select("qid", "id", "rank").join(passages(spark, sf), "id"), "top-texts")
+
+
+def _candidates(spark, sf, top=None):
+    top = _top_texts(spark, sf) if top is None else top
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("qset"))
     s = top.select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("p", "sent")).join(qs, "qid")
     return s.select("qid", "rank", (F.col("p") + 1).alias("pos"), "sent", F.array_intersect("qset", T.token_set(F.col("sent"))).alias("covers"))
@@ -59,8 +63,9 @@ select qid, "position", "block"::int as "block", round(overlap, 6) overlap from
 def attached_sources(spark, sf):
     """The two sentences that share most words with the question, each with the passage it comes from as far as its words say."""
     w = Window.partitionBy("qid").orderBy(F.col("n").desc(), "rank", "pos")
-    c = _candidates(spark, sf).withColumn("n", F.size("covers")).where("n > 0").withColumn("position", F.row_number().over(w)).where("position <= 2")
-    blocks = lexical(spark, sf, 5).select("qid", "id", F.col("rank").alias("block")).join(passages(spark, sf), "id").select("qid", "block", T.token_set(F.col("text")).alias("words"))
+    top = _top_texts(spark, sf)
+    c = _candidates(spark, sf, top).withColumn("n", F.size("covers")).where("n > 0").withColumn("position", F.row_number().over(w)).where("position <= 2")
+    blocks = top.select("qid", F.col("rank").alias("block"), T.token_set(F.col("text")).alias("words"))
     return A.attached(c.select("qid", "position", T.token_set(F.col("sent")).alias("words")), blocks, ["qid"]).select("qid", "position", "block", r6("overlap", "overlap"))
 
 

@@ -13,6 +13,7 @@ from chiffra.operators import retrieval as R
 from chiffra.operators import series as S
 from chiffra.plans import retrieval as PR
 from chiffra.plans.base import passages, query, table
+from chiffra.sources import index as IX
 
 
 def cells(spark, sf):
@@ -94,12 +95,13 @@ def decided(spark, sf):
     """(qid, signal, refused): the best lexical score of the question itself, without expansion, against the threshold."""
     best = PR.lexical(spark, sf, 1, True).select("qid", F.round("score", 6).alias("signal"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
-    return R.refusal(q, R.thresholds_for("lexical", THRESHOLDS, DEFAULT_THRESHOLD))
+    return IX.kept(R.refusal(q, R.thresholds_for("lexical", THRESHOLDS, DEFAULT_THRESHOLD)), "decided")
 
 
-def shown(spark, sf):
-    """(qid, id, rank) of the hybrid search for the questions that are not refused."""
-    return PR.hybrid_topk(spark, sf).select("qid", "id", "rank").join(decided(spark, sf).where("not refused").select("qid"), "qid", "left_semi")
+def shown(spark, sf, d=None):
+    """(qid, id, rank) of the hybrid search for the questions that are not refused (by ``d``, what was decided, if it is at hand)."""
+    d = decided(spark, sf) if d is None else d
+    return PR.hybrid_topk(spark, sf).select("qid", "id", "rank").join(d.where("not refused").select("qid"), "qid", "left_semi")
 
 
 @query("consultation", rf"""with {_SIG}, hit as (select h.qid, h.id, h.rank, {_SENT} s from hybrid h join sig using (qid) join documents d on d.doc_id = h.id where rank <= 5 and not refused),
@@ -111,8 +113,9 @@ def consultation(spark, sf):
     """The service: authorised passages, signal, refusal under the encoder's threshold, else five hybrid hits, each with an
     excerpt around the sentence that shares most words with the question."""
     words = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("words"))
-    hits = R.excerpts(shown(spark, sf), passages(spark, sf), words)
-    refused = decided(spark, sf).where("refused").select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("excerpt"))
+    d = decided(spark, sf)
+    hits = R.excerpts(shown(spark, sf, d), passages(spark, sf), words)
+    refused = d.where("refused").select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("excerpt"))
     return hits.unionByName(refused)
 
 
@@ -135,9 +138,10 @@ def consultation_suggestions(spark, sf):
 select qid, '{{"question":' || qid || ',"mode":"hybrid"}}' as entry, coalesce(sources, '[]') sources, case when refused then 'no passage is near enough' end abstention from sig left join h using (qid)""")
 def consultation_journal(spark, sf):
     """The journal's rows of all questions: entry and sources as JSON, and why nothing was answered."""
-    src = shown(spark, sf).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("h"))
+    d = decided(spark, sf)
+    src = shown(spark, sf, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("h"))
     src = src.select("qid", F.to_json(F.transform("h", lambda x: F.struct(x["id"].alias("passage_id"), x["rank"].alias("rank")))).alias("sources"))
-    j = decided(spark, sf).join(src, "qid", "left")
+    j = d.join(src, "qid", "left")
     entry = F.to_json(F.struct(F.col("qid").alias("question"), F.lit("hybrid").alias("mode")))
     return j.select("qid", entry.alias("entry"), F.coalesce("sources", F.lit("[]")).alias("sources"), F.when(F.col("refused"), "no passage is near enough").alias("abstention"))
 
@@ -147,7 +151,7 @@ def extractive_answers(spark, sf):
     """Two sentences of the three best passages as an answer, in front of the guard with the numbers of all five as authorised
     values: what the guard does with each. Its SQL twin would be that of the guard; unit tests hold it."""
     hits, q = shown(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("words"))
-    texts = hits.join(passages(spark, sf), "id")
+    texts = IX.kept(hits.join(passages(spark, sf), "id"), "shown-texts")
     s = texts.where("rank <= 3").select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).join(q, "qid")
     s = s.withColumn("n", F.size(F.array_intersect("words", T.token_set(F.col("sentence"))))).where("n > 0")
     s = s.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("n").desc(), "rank", "pos"))).where("k <= 2").withColumn("statement_id", F.col("qid") * 2 + F.col("k") - 1)

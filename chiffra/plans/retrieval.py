@@ -34,8 +34,9 @@ def index(spark, sf):
 
 
 def lexical(spark, sf, k, allowed=False, terms=None):
-    """(qid, id, score, rank) of the best ``k`` passages of each question."""
-    return R.bm25_top_k(index(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), k, authorised(spark, sf) if allowed else None)
+    """(qid, id, score, rank) of the best ``k`` passages of each question, kept as a small table: what joins it reads it again, and
+    knows its size before."""
+    return IX.kept(R.bm25_top_k(index(spark, sf), terms or R.question_terms(table(spark, sf, "benchmark")), k, authorised(spark, sf) if allowed else None), "lexical")
 
 
 OUT = "select qid, id, rank::int rank, round(score, 6) score from ranked where rank <= "
@@ -168,18 +169,21 @@ def gold(spark, sf):
     words = F.regexp_extract_all(T.normalised(F.col("text")), F.lit("[a-z0-9]+"), 0)
     inner = q.select("qid", F.explode_outer(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("w"))
     inner = inner.withColumn("term", F.when(~F.col("w").isin(T.STOP_WORDS), T.singular(F.col("w")))).join(ix.terms, "term", "left")
-    rare = inner.groupBy("qid").agg(F.min_by("term", F.when(F.col("term").isNotNull(), F.struct(F.coalesce("df", F.lit(0.0)), "term"))).alias("term"))
-    maybe = rare.where("term is not null").join(ix.postings.select("id", "term"), "term").select("qid", "id")
+    rare = IX.kept(inner.groupBy("qid").agg(F.min_by("term", F.when(F.col("term").isNotNull(), F.struct(F.coalesce("df", F.lit(0.0)), "term"))).alias("term")), "gold-terms")
+    folders = rare.where("term is not null").groupBy(IX.bucket_of(F.col("term")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+    asked = rare.where("term is not null")
+    asked = F.broadcast(asked) if sum(r["n"] for r in folders) <= R.MOST_SENT else asked
+    maybe = ix.blocks.where(F.col("bucket").isin([r["b"] for r in folders])).select("term", "ids").join(asked, "term").select("qid", F.explode("ids").alias("id"))
     held = maybe.join(q, "qid").join(passages(spark, sf).withColumnRenamed("text", "passage"), "id").where(F.contains("passage", F.col("text"))).select("qid", "id")
     short = rare.where("term is null").join(q, "qid").select("qid", "text")
-    return held.unionByName(passages(spark, sf).withColumnRenamed("text", "passage").join(short, F.contains("passage", F.col("text"))).select("qid", "id"))
+    return IX.kept(held.unionByName(passages(spark, sf).withColumnRenamed("text", "passage").join(short, F.contains("passage", F.col("text"))).select("qid", "id")), "gold")
 
 
 def signals(spark, sf):
     best = lexical(spark, sf, 1).select("qid", F.col("score").alias("s"))
     inside = gold(spark, sf).select("qid").distinct().withColumn("inside", F.lit(True))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))
-    return q.join(best, "qid", "left").join(inside, "qid", "left").select("qid", F.coalesce(F.round("s", 6), F.lit(0.0)).alias("signal"), F.col("inside").isNull().alias("outside"))
+    return IX.kept(q.join(best, "qid", "left").join(inside, "qid", "left").select("qid", F.coalesce(F.round("s", 6), F.lit(0.0)).alias("signal"), F.col("inside").isNull().alias("outside")), "signals")
 
 
 @query("confidence_signal", f"with {_SIGNALS} select qid, signal, outside from signals")
@@ -243,22 +247,25 @@ _REL = f"{_GOLD}, {bm25_ctes()}, judged as (select r.qid, r.id, r.rank, g.id is
 
 
 def judged(spark, sf):
-    g = gold(spark, sf).withColumn("g", F.lit(True))
-    return lexical(spark, sf, 10).join(g, ["qid", "id"], "left").withColumn("rel", F.col("g").isNotNull())
+    """The gold rows, and the hits with whether they are gold."""
+    g = gold(spark, sf)
+    return g, lexical(spark, sf, 10).join(g.withColumn("g", F.lit(True)), ["qid", "id"], "left").withColumn("rel", F.col("g").isNotNull())
 
 
 @query("retrieval_metrics", f"""with {_REL} select qid, max(case when rank <= 1 and rel then 1.0 else 0.0 end)::double success_1, max(case when rank <= 5 and rel then 1.0 else 0.0 end)::double success_k,
 coalesce(max(case when rel then 1.0::double / rank end), 0) rr, round(sum(case when rel and rank <= 5 then 1 / log2(rank + 1) else 0 end), 6) dcg from judged join ng using (qid) group by qid""")
 def retrieval_metrics(spark, sf):
-    j = judged(spark, sf).join(gold(spark, sf).select("qid").distinct(), "qid", "left_semi")
+    g, j = judged(spark, sf)
+    j = j.join(g.select("qid").distinct(), "qid", "left_semi")
     return j.groupBy("qid").agg(*R.ranking_metrics(j)).withColumn("dcg", F.round("dcg", 6))
 
 
 @query("ndcg_ref", f"""with {_REL}, d as (select qid, sum(case when rel and rank <= 5 then 1 / log2(rank + 1) else 0 end) dcg from judged group by qid)
 select qid, n n_relevant, round(dcg / (select sum(1 / log2(i + 1)) from (select unnest(range(1, 6)) i) where i <= n), 6) ndcg from d join ng using (qid)""")
 def ndcg_ref(spark, sf):
-    n = gold(spark, sf).groupBy("qid").agg(F.count(F.lit(1)).alias("n_relevant"))
-    d = judged(spark, sf).groupBy("qid").agg(F.sum(F.when(F.col("rel") & (F.col("rank") <= 5), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
+    g, j = judged(spark, sf)
+    n = g.groupBy("qid").agg(F.count(F.lit(1)).alias("n_relevant"))
+    d = j.groupBy("qid").agg(F.sum(F.when(F.col("rel") & (F.col("rank") <= 5), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(5)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return d.join(n, "qid").select("qid", "n_relevant", r6(F.col("dcg") / ideal, "ndcg"))
 
@@ -360,7 +367,7 @@ hybrid as (select *, row_number() over (partition by qid order by round(score, 9
 def hybrid_topk(spark, sf):
     """The search itself: authorised passages, the 50 best by BM25 with expansion and by vectors, fused by reciprocal ranks."""
     out = R.search(index(spark, sf), vectors(spark, sf).select("id", "v"), expanded_terms(spark, sf), question_vectors(spark, sf), "hybrid", authorised(spark, sf))
-    return out.select("qid", "id", "rank", r6("score", "score"), "rank_lexical", "rank_dense")
+    return IX.kept(out.select("qid", "id", "rank", r6("score", "score"), "rank_lexical", "rank_dense"), "hybrid")
 
 
 #: Configurations of the evaluation: name, mode, constant of the fusion, expansion.
