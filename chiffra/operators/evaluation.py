@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chiffra.functions import text as T
+from chiffra.functions.numbers import let
 
 
 def words(c: Column) -> Column:
@@ -42,14 +43,16 @@ def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
 
 
 def ngrams(c: Column, n: int) -> Column:
-    """The n-grams of a word array, as strings."""
-    return F.when(F.size(c) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " ")))
+    """The n-grams of a word array, as strings. The array is computed once, not once a place."""
+    if n == 1:
+        return c
+    return let(c, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))))
 
 
 def rouge_n_recall(candidate: Column, reference: Column, n: int) -> Column:
     """Share of the reference's distinct n-grams that the candidate has."""
-    r = F.array_distinct(ngrams(reference, n))
-    return F.when(F.size(r) == 0, 0.0).otherwise(F.size(F.array_intersect(r, ngrams(candidate, n))) / F.size(r))
+    share = lambda r: F.when(F.size(r) == 0, 0.0).otherwise(F.size(F.array_intersect(r, ngrams(candidate, n))) / F.size(r))
+    return let(F.array_distinct(ngrams(reference, n)), share)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import duckdb
 import pytest
@@ -144,3 +145,13 @@ def test_scaled_round(spark):
     x = spark.createDataFrame([(900.3499999999999,), (900.34,), (-900.3499999999999,), (None,)], "x double")
     assert [r[0] for r in x.select(N.scaled_round(F.col("x"), 1)).collect()] == [900.4, 900.3, -900.4, None]
     assert duckdb.sql("select round(900.3499999999999::double, 1)").fetchall() == [(900.4,)]
+
+
+def test_recall_of_long_texts(spark):
+    """Words are singled out once a text, so the work is linear: 20,000 words took minutes when each place did it anew."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text, text + " more"), ("a b", "")], "a string, b string")
+    start = time.time()
+    got = [tuple(r) for r in df.select(*[E.rouge_n_recall(E.words(F.col("a")), E.words(F.col("b")), n) for n in (1, 2)]).collect()]
+    assert got == [(20_000 / 20_001, 19_999 / 20_000), (0.0, 0.0)]
+    assert time.time() - start < 60
