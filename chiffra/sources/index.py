@@ -137,11 +137,14 @@ def save_cells(vectors: DataFrame, path: str, cells: int | None = None, sample:
     the sample, are left out."""
     spark = vectors.sparkSession
     rows = vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    # Of evenly spread hashes the lowest share holds the sample, so that no partition sends a sample of its own to the driver.
+    n, h = rows.count(), F.xxhash64("id")
+    low = rows.where(h <= -(1 << 63) + (1 << 63) // max(n, 1) * min(4 * sample, n))
+    drawn = (low if low.count() >= min(sample, n) else rows).orderBy(h, "id").limit(sample).collect()
     dim = len(drawn[0]["v"]) if drawn else 0
     whole = [r["v"] for r in drawn if len(r["v"]) == dim]
     x = np.array(whole, np.float64).reshape(len(whole), dim)
-    c = x[: min(len(x), cells or min(MOST_CELLS, max(1, round(rows.count() ** 0.5))))].copy()
+    c = x[: min(len(x), cells or min(MOST_CELLS, max(1, round(n ** 0.5))))].copy()
     nearest = lambda x, c: ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
     for _ in range(8 if len(x) else 0):
         of = nearest(x, c)
