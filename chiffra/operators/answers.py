@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chiffra.functions import text as T
+from chiffra.sources.index import kept
 
 
-def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) of ``left`` (a, s) and ``right`` (b, s), token sets whose Jaccard similarity is ``least`` or more.
+#: Words of the left sets that are sent out, at 8 bytes each.
+MOST_SENT = 500_000
 
-    Rows of equal sets are one before they meet. Tokens are ordered from the rarest of ``right``; two sets as similar as that share
-    one of their first |s| - ceil(least |s|) + 1 tokens, and only those are joined, of sets whose sizes allow it. So a token
-    that many sets hold gives no pairs of its own, as it comes last."""
-    distinct = lambda t, name: t.where(F.size("s") > 0).groupBy(F.array_sort("s").alias("s")).agg(F.collect_list(name).alias(name)).withColumn("set", F.xxhash64("s"))
-    l, r = distinct(left, "a"), distinct(right, "b")
-    df = r.select(F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+def sharing(rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """``rows`` (s, ...) of which a share of ``least`` of the set or more is in ``words`` (w), and few others; none that is empty. It goes
+    by hashes of words, so a set stays where it is; with more than ``MOST_SENT`` words all rows with a word pass."""
+    known = words.select(F.xxhash64("w").alias("h")).distinct().limit(MOST_SENT + 1).toArrow()["h"].to_numpy()
+    if len(known) > MOST_SENT:
+        return rows.where(F.size("s") > 0)
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(known))
+
+    @F.arrow_udf("boolean")
+    def enough(hashes: pa.Array) -> pa.Array:
+        words, size, h = sent.value, np.diff(hashes.offsets.to_numpy()), hashes.flatten().to_numpy()
+        hit = np.searchsorted(words, h, "right") > np.searchsorted(words, h)
+        held = np.bincount(np.repeat(np.arange(len(size)), size), hit, len(size))
+        return pa.array((size > 0) & (held >= least * size - 1e-9))
+
+    return rows.where(enough(F.transform("s", lambda w: F.xxhash64(w))))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float, first: bool = False) -> DataFrame:
+    """(a, b, sim) of ``left`` (a, s) and ``right`` (b, s), token sets whose Jaccard similarity is ``least`` or more; with ``first``, of
+    right rows of equal sets the smallest b stands for all.
+
+    Sets of ``right`` that hold too few words of ``left`` go where they are read, before any shuffle. The others are written
+    once, rows of equal sets as one, and all later steps read that table. Words are ordered by how many of those sets hold them. Two sets as
+    similar as that share ceil(least |s|) words or more, so the rarest shared one is, counted from the most frequent, at
+    that place or behind it; only words there are joined, of sets whose sizes allow it. So a word that many sets hold gives
+    no pairs of its own, as it comes last."""
+
+    def distinct(t: DataFrame, name: str, of: Column) -> DataFrame:
+        return kept(t.groupBy(F.array_sort("s").alias("s")).agg(of.alias(name)).withColumn("set", F.monotonically_increasing_id()), f"sets-{name}")
+
+    l = distinct(left.where(F.size("s") > 0), "a", F.collect_list("a"))
+    words = l.select(F.explode("s").alias("w")).distinct()
+    r = distinct(sharing(right, words, least), "b", F.array(F.min("b")) if first else F.collect_list("b"))
+    df = r.select(F.explode("s").alias("w")).join(words, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(t: DataFrame) -> DataFrame:
-        words = t.select("set", F.size("s").alias("size"), F.explode("s").alias("w")).join(df, "w", "left")
-        nth = F.row_number().over(Window.partitionBy("set", "size").orderBy(F.coalesce("df", F.lit(0)), "w"))
-        return words.withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).where("df is not null").select("set", "size", "w")
+        held = t.select("set", F.size("s").alias("size"), F.explode("s").alias("w")).join(df, "w")
+        nth = F.row_number().over(Window.partitionBy("set").orderBy(F.col("df").desc(), F.col("w").desc()))
+        return held.withColumn("nth", nth).where(F.col("nth") >= F.ceil(least * F.col("size") - 1e-9)).select("set", "size", "w")
 
     x, y = prefix(l).withColumnsRenamed({"set": "x", "size": "nx"}), prefix(r).withColumnsRenamed({"set": "y", "size": "ny"})
     fits = (F.col("nx") >= least * F.col("ny") - 1e-9) & (F.col("ny") >= least * F.col("nx") - 1e-9)

@@ -28,8 +28,7 @@ def sentence_sources(spark, sf):
     q = sentence_sets(table(spark, sf, "benchmark"), "item_id").select(F.struct("item_id", "pos").alias("a"), "s")
     d = sentence_sets(table(spark, sf, "documents"), "doc_id").select(F.struct("doc_id", "pos").alias("b"), "s")
     # The first of equal sentences stands for all: the best source is the first of the best.
-    d = d.groupBy(F.array_sort("s").alias("s")).agg(F.min("b").alias("b"))
-    pairs = A.similar_sets(q, d, 0.5).select("a.item_id", "a.pos", "b", "sim")
+    pairs = A.similar_sets(q, d, 0.5, first=True).select("a.item_id", "a.pos", "b", "sim")
     w = Window.partitionBy("item_id", "pos").orderBy(F.round("sim", 9).desc(), "b")
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("item_id", "pos", "b.doc_id", F.col("b.pos").alias("doc_pos"), r6("sim", "sim"))
 
